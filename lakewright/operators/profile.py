@@ -6,7 +6,9 @@ one row per column. Quantiles are exact unless ``approximate`` is asked for.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -32,6 +34,8 @@ Z_BOUND = 3
 RANKED_COLUMNS = 20
 TOP_VALUES = 10
 
+_CORRELATION = "column_a string, column_b string, correlation double"
+
 
 def _percent(part: Column, whole: Column) -> Column:
     return F.try_divide(part * F.lit(100.0), whole.cast("double"))
@@ -83,22 +87,26 @@ def missing_table(df: DataFrame) -> DataFrame:
 def distinct_counts(df: DataFrame, approximate: bool = False) -> DataFrame:
     """Distinct non-null values per column, and their share of all rows.
 
-    Exact counts make Spark expand each row once per column and shuffle the distinct values;
-    the approximate form keeps one fixed-size sketch per column and task.
+    Exact counts aggregate every column for itself, so a scan reads each column once and no
+    row is repeated; the distinct values are what is shuffled. The approximate form keeps one
+    fixed-size sketch per column and task, in one pass. ``df`` should be a scan or a written
+    table, not a costly plan.
     """
-    count = F.approx_count_distinct if approximate else F.count_distinct
-    wide = one_row(
-        df,
-        [count(present(f.name, f.dataType)).alias(f"d{i}") for i, f in enumerate(df.schema.fields)],
-    )
-    return long_form(
-        wide,
-        "column",
-        [
-            (name, [("distinct_count", F.col(f"d{i}")), ("distinct_pct", _percent(F.col(f"d{i}"), F.col("n")))])
-            for i, name in enumerate(df.columns)
-        ],
-    )
+    fields = df.schema.fields
+    if approximate:
+        wide = one_row(df, [F.approx_count_distinct(present(f.name, f.dataType)).alias(f"d{i}") for i, f in enumerate(fields)])
+        counted = long_form(wide, "column", [(f.name, [("d", F.col(f"d{i}")), ("n", F.col("n"))]) for i, f in enumerate(fields)])
+    else:
+        # Rows are counted per value before the shuffle, so a hot value is one row per task.
+        parts = [
+            df.groupBy(present(f.name, f.dataType).alias("v"))
+            .agg(F.count(F.lit(1)).alias("k"))
+            .agg(F.count("v").alias("d"), F.coalesce(F.sum("k"), F.lit(0)).alias("n"))
+            .select(F.lit(f.name).alias("column"), "d", "n")
+            for f in fields
+        ]
+        counted = reduce(DataFrame.unionByName, parts)
+    return counted.select("column", F.col("d").alias("distinct_count"), _percent(F.col("d"), F.col("n")).alias("distinct_pct"))
 
 
 def numeric_stats(df: DataFrame, approximate: bool = False) -> DataFrame:
@@ -131,19 +139,16 @@ def numeric_stats(df: DataFrame, approximate: bool = False) -> DataFrame:
 def column_profile(df: DataFrame, approximate: bool = False) -> DataFrame:
     """One row per column: type, missing, distinct, and statistics for numeric columns.
 
-    One aggregate over the data plus the median pass. With ``approximate`` the distinct counts
-    and medians are sketches, which is the form for tables too large to shuffle.
+    Counts and moments of all columns are one aggregate; distinct counts and medians have
+    their own passes. With ``approximate`` these two are sketches, which is the form for
+    tables too large to shuffle their distinct values.
     """
     fields = df.schema.fields
     names = numeric_columns(df)
     medians = _quantiles(df, names, [0.5], approximate)
-    count = F.approx_count_distinct if approximate else F.count_distinct
     parts: list[Column] = []
     for i, f in enumerate(fields):
-        parts += [
-            F.count_if(missing(f.name, f.dataType)).alias(f"m{i}"),
-            count(present(f.name, f.dataType)).alias(f"d{i}"),
-        ]
+        parts.append(F.count_if(missing(f.name, f.dataType)).alias(f"m{i}"))
         if is_numeric(f.dataType):
             v = as_double(f.name, f.dataType)
             parts += [
@@ -162,8 +167,6 @@ def column_profile(df: DataFrame, approximate: bool = False) -> DataFrame:
                     ("dtype", F.lit(f.dataType.simpleString())),
                     ("null_count", F.col(f"m{i}")),
                     ("null_percentage", _percent(F.col(f"m{i}"), F.col("n"))),
-                    ("unique_values", F.col(f"d{i}")),
-                    ("unique_percentage", _percent(F.col(f"d{i}"), F.col("n"))),
                     *[
                         (label, F.col(f"{label}{i}") if numeric else _double(None))
                         for label in ("mean", "std", "min", "max")
@@ -172,7 +175,21 @@ def column_profile(df: DataFrame, approximate: bool = False) -> DataFrame:
                 ],
             )
         )
-    return long_form(one_row(df, parts), "column", rows)
+    statistics = long_form(one_row(df, parts), "column", rows)
+    # One row per column of the table on either side.
+    return statistics.join(F.broadcast(distinct_counts(df, approximate)), "column").select(
+        "column",
+        "dtype",
+        "null_count",
+        "null_percentage",
+        F.col("distinct_count").alias("unique_values"),
+        F.col("distinct_pct").alias("unique_percentage"),
+        "mean",
+        "std",
+        "min",
+        "max",
+        "median",
+    )
 
 
 def describe(df: DataFrame, approximate: bool = False) -> DataFrame:
@@ -204,27 +221,51 @@ def describe(df: DataFrame, approximate: bool = False) -> DataFrame:
 def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Pearson correlation of every pair of numeric columns over the rows where both are present.
 
-    One pass; one group of moments per pair of columns. A constant column correlates to null.
+    The means come first; the second pass sums products of the deviations from them, which
+    keeps plain sums accurate. Only pairs with a gap in either column need sums of their own;
+    the others share one sum of squares per column. A constant column correlates to null.
     Rows: column_a, column_b, correlation, both triangles and the diagonal.
     """
     names = list(columns) if columns is not None else numeric_columns(df)
+    if not names:
+        return df.sparkSession.createDataFrame([], _CORRELATION)
     values = df.select(*[as_double(n, field_type(df, n)).alias(f"c{i}") for i, n in enumerate(names)])
-    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
-    parts = []
-    for i, j in pairs:
-        a, b = F.col(f"c{i}"), F.col(f"c{j}")
-        if i != j:
-            a, b = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
-        product = F.stddev_samp(a) * F.stddev_samp(b)
-        parts.append(F.try_divide(F.covar_samp(a, b), product).alias(f"p{i}_{j}"))
-    rows = []
-    for i, a in enumerate(names):
-        for j, b in enumerate(names):
-            pair = F.col(f"p{min(i, j)}_{max(i, j)}")
-            rows.append(F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), pair.alias("correlation")))
-    if not rows:
-        return df.sparkSession.createDataFrame([], "column_a string, column_b string, correlation double")
-    return values.agg(*parts).select(F.inline(F.array(*rows)))
+    facts = one_row(
+        values, [f(f"c{i}").alias(f"{t}{i}") for i in range(len(names)) for t, f in (("m", F.avg), ("k", F.count))]
+    ).first()
+    gaps = [facts[f"k{i}"] < facts["n"] for i in range(len(names))]
+    centred = values.select(
+        *[(F.col(f"c{i}") - F.lit(facts[f"m{i}"]).cast("double")).alias(f"d{i}") for i in range(len(names))]
+    )
+    parts: dict[str, Column] = {}
+    for i in range(len(names)):
+        parts[f"s{i}"], parts[f"q{i}"] = F.sum(f"d{i}"), F.sum(F.col(f"d{i}") * F.col(f"d{i}"))
+        parts[f"n{i}"] = F.count(f"d{i}")
+        for j in range(i + 1, len(names)):
+            a, b = F.col(f"d{i}"), F.col(f"d{j}")
+            parts[f"p{i}_{j}"] = F.sum(a * b)
+            if gaps[i] or gaps[j]:
+                a, b = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
+                for label, sum_ in (("n", F.count(a)), ("a", F.sum(a)), ("b", F.sum(b)), ("aa", F.sum(a * a)), ("bb", F.sum(b * b))):
+                    parts[f"{label}{i}_{j}"] = sum_
+    # A few numbers per pair of columns, whatever the number of rows.
+    sums = centred.agg(*[c.alias(name) for name, c in parts.items()]).first()
+
+    def correlation(i: int, j: int) -> float | None:
+        own = i != j and (gaps[i] or gaps[j])
+        picked = [f"{x}{i}_{j}" for x in ("n", "a", "b", "aa", "bb")] if own else [f"n{i}", f"s{i}", f"s{j}", f"q{i}", f"q{j}"]
+        n, sa, sb, saa, sbb = (sums[x] for x in picked)
+        if not n:
+            return None
+        va, vb = saa - sa * sa / n, sbb - sb * sb / n
+        # What rounding leaves of a constant column is no variance.
+        if va <= saa * 1e-14 or vb <= sbb * 1e-14:
+            return None
+        sab = sums[f"p{i}_{j}"] if i != j else saa
+        return (sab - sa * sb / n) / math.sqrt(va) / math.sqrt(vb)
+
+    rows = [(a, b, correlation(min(i, j), max(i, j))) for i, a in enumerate(names) for j, b in enumerate(names)]
+    return df.sparkSession.createDataFrame(rows, _CORRELATION)
 
 
 def value_counts(
@@ -261,39 +302,28 @@ def histogram(
     b = one_row(
         values, [f(f"c{i}").alias(f"{t}{i}") for i in range(len(names)) for t, f in (("lo", F.min), ("hi", F.max))]
     ).first()
-    cells = []
-    for i, n in enumerate(names):
+    cells, starts, widths = [], [], []
+    for i in range(len(names)):
         lo, hi = b[f"lo{i}"], b[f"hi{i}"]
-        if lo is None:
-            continue
+        width = 0.0 if lo is None or lo == hi else (hi - lo) / bins
+        starts.append(_double(lo))
+        widths.append(_double(width))
         c = F.col(f"c{i}")
-        # Bin by arithmetic on the bounds: floor((x - lo) / width), the maximum pulled back.
-        place = F.lit(1).cast("bigint") if lo == hi else F.least(
-            F.floor((c - F.lit(lo)) / F.lit((hi - lo) / bins)).cast("bigint") + 1, F.lit(bins)
-        )
-        width = 0.0 if lo == hi else (hi - lo) / bins
-        cells.append(
-            F.struct(
-                F.lit(n).alias("column"),
-                F.when(c.isNotNull(), place).alias("bin"),
-                F.lit(lo).cast("double").alias("__lo"),
-                F.lit(width).cast("double").alias("__width"),
-            )
-        )
+        # Bin by arithmetic on the bounds; the maximum is pulled back into the last bin.
+        place = F.least(F.floor((c - starts[i]) / F.lit(width)).cast("bigint") + 1, F.lit(bins)) if width else F.lit(1)
+        cells.append(F.struct(F.lit(i).alias("i"), F.when(c.isNotNull(), place.cast("bigint")).alias("bin")))
     if not cells:
         return df.sparkSession.createDataFrame([], "column string, bin bigint, bin_start double, bin_end double, count bigint")
-    return (
-        values.select(F.inline(F.array(*cells)))
-        .filter("bin is not null")
-        .groupBy("column", "bin", "__lo", "__width")
-        .agg(F.count(F.lit(1)).alias("count"))
-        .select(
-            "column",
-            "bin",
-            (F.col("__lo") + F.col("__width") * (F.col("bin") - 1)).alias("bin_start"),
-            (F.col("__lo") + F.col("__width") * F.col("bin")).alias("bin_end"),
-            "count",
-        )
+    counted = (
+        values.select(F.inline(F.array(*cells))).filter("bin is not null").groupBy("i", "bin").agg(F.count(F.lit(1)).alias("count"))
+    )
+    start, width = F.get(F.array(*starts), F.col("i")), F.get(F.array(*widths), F.col("i"))
+    return counted.select(
+        F.get(F.array(*[F.lit(n) for n in names]), F.col("i")).alias("column"),
+        "bin",
+        (start + width * (F.col("bin") - 1)).alias("bin_start"),
+        (start + width * F.col("bin")).alias("bin_end"),
+        "count",
     )
 
 

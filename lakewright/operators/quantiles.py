@@ -19,15 +19,15 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from lakewright.functions.columns import as_double, field_type
 
 # Values (rows times columns) up to which the built-in exact percentile is used.
-ONE_TASK_VALUES = 4_000_000
+ONE_TASK_VALUES = 1_000_000
 # Sampled values per interval and round.
-SAMPLE_VALUES = 100_000
+SAMPLE_VALUES = 50_000
 # Values of one interval that may be gathered to pick a rank.
-GATHERED_VALUES = 200_000
+GATHERED_VALUES = 100_000
 
 
 @dataclass
-class _Interval:
+class _Target:
     """Where the value of 0-based ``rank`` is: strictly between two bounds, or known."""
 
     column: str
@@ -38,13 +38,18 @@ class _Interval:
     high: float | None = None
     value: float | None = None
 
-    def contains(self, c: Column) -> Column:
-        inside = c.isNotNull()
+    @property
+    def interval(self) -> tuple:
+        return self.column, self.low, self.high
+
+    def inside(self) -> Column:
+        c = F.col(self.column)
+        test = c.isNotNull()
         if self.low is not None:
-            inside = inside & (c > F.lit(self.low))
+            test = test & (c > F.lit(self.low))
         if self.high is not None:
-            inside = inside & (c < F.lit(self.high))
-        return inside
+            test = test & (c < F.lit(self.high))
+        return test
 
 
 def exact_quantiles(
@@ -72,9 +77,9 @@ def exact_quantiles(
         return {c: list(row[n]) if row[n] is not None else [None] * len(probabilities) for c, n in zip(columns, names)}
 
     ranks = {n: sorted({r for p in probabilities for r in _neighbours(p, counts[n])}) for n in names}
-    intervals = [_Interval(n, r, counts[n]) for n in names for r in ranks[n]]
-    _narrow(values, intervals, gathered_values, sample_values)
-    found = {(i.column, i.rank): i.value for i in intervals}
+    targets = [_Target(n, r, counts[n]) for n in names for r in ranks[n]]
+    _narrow(values, targets, gathered_values, sample_values)
+    found = {(t.column, t.rank): t.value for t in targets}
 
     def at(name: str, p: float) -> float | None:
         if not counts[name]:
@@ -94,73 +99,133 @@ def _neighbours(p: float, count: int) -> tuple[int, ...]:
     return math.floor(position), math.ceil(position)
 
 
-def _narrow(values: DataFrame, intervals: list[_Interval], gathered_values: int, sample_values: int) -> None:
-    while open_ := [i for i in intervals if i.value is None and i.count > gathered_values]:
-        proposals = _propose(values, open_, sample_values)
-        _count_sides(values, open_, proposals)
-    rest = [i for i in intervals if i.value is None]
-    if rest:
-        row = values.agg(
-            *[
-                F.sort_array(F.collect_list(F.when(i.contains(F.col(i.column)), F.col(i.column))))[
-                    i.rank - i.below
-                ].alias(f"v{k}")
-                for k, i in enumerate(rest)
-            ]
-        ).first()
-        for k, i in enumerate(rest):
-            i.value = row[k]
-
-
-def _propose(values: DataFrame, intervals: list[_Interval], sample_values: int) -> list[tuple[float, float]]:
-    """Two sampled values per interval that should enclose its rank."""
+def _narrow(values: DataFrame, targets: list[_Target], gathered_values: int, sample_values: int) -> None:
+    while open_ := [t for t in targets if t.value is None]:
+        clusters = _clusters(open_)
+        proposals = _propose(values, clusters, sample_values)
+        few = [i for i, p in enumerate(proposals) if p.expected <= gathered_values]
+        _gather(values, [(clusters[i], proposals[i]) for i in few])
+        # What is too wide to gather, or lay outside the bounds after all, shrinks by counting.
+        rest = [i for i, c in enumerate(clusters) if any(t.value is None for t in c)]
+        if rest:
+            _count_sides(values, [(clusters[i], proposals[i]) for i in rest])
+
+
+@dataclass(frozen=True)
+class _Proposal:
+    """Bounds for a cluster, and about how many values lie between them, ends included."""
+
+    low: float
+    high: float
+    expected: float
+
+
+def _sorted_lists(values: DataFrame, wanted: list[Column], counted: Sequence[Column] = ()) -> DataFrame:
+    """One row: the non-null values of each expression as a sorted list ``s<k>``, and how many
+    rows meet each condition as ``n<k>``. The lists are short by construction."""
+    chosen = values.select(
+        *[c.alias(f"s{k}") for k, c in enumerate(wanted)], *[c.alias(f"n{k}") for k, c in enumerate(counted)]
+    )
+    if not counted:
+        chosen = chosen.filter(F.coalesce(*[F.col(c) for c in chosen.columns]).isNotNull())
+    lists = [F.sort_array(F.collect_list(f"s{k}")).alias(f"s{k}") for k in range(len(wanted))]
+    return chosen.agg(*lists, *[F.count_if(F.col(f"n{k}")).alias(f"n{k}") for k in range(len(counted))])
+
+
+def _gather(values: DataFrame, work: list[tuple[list[_Target], _Proposal]]) -> None:
+    """Collect the few values between the bounds and pick the ranks that lie there."""
+    if not work:
+        return
+    lists, below = [], []
+    for cluster, p in work:
+        c, inside = F.col(cluster[0].column), cluster[0].inside()
+        lists.append(F.when(inside & (c >= p.low) & (c <= p.high), c))
+        below.append(inside & (c < p.low))
+    row = _sorted_lists(values, lists, below)
+    members = [(k, t) for k, (cluster, _) in enumerate(work) for t in cluster]
+    picked = row.select(
+        *[F.get(F.col(f"s{k}"), (F.lit(t.rank - t.below) - F.col(f"n{k}")).cast("int")) for k, t in members]
+    ).first()
+    for (_, t), value in zip(members, picked):
+        t.value = value
+
+
+def _clusters(targets: list[_Target]) -> list[list[_Target]]:
+    """Neighbouring ranks of one interval together; they share their bounds and counters."""
+    clusters: list[list[_Target]] = []
+    for t in sorted(targets, key=lambda t: (t.column, t.rank)):
+        last = clusters[-1][-1] if clusters else None
+        if last is not None and last.interval == t.interval and t.rank - last.rank <= 1:
+            clusters[-1].append(t)
+        else:
+            clusters.append([t])
+    return clusters
+
+
+def _propose(values: DataFrame, clusters: list[list[_Target]], sample_values: int) -> list[_Proposal]:
+    """Two sampled values per cluster that should enclose its ranks; one sample per interval."""
     drawn = values.withColumn("__r", F.rand(17))
-    sketches = []
-    for k, i in enumerate(intervals):
-        share = (i.rank - i.below + 0.5) / i.count
-        rate = min(1.0, sample_values / i.count)
-        spread = 4 * math.sqrt(max(share * (1 - share), 1 / sample_values) / sample_values)
-        ends = F.array(F.lit(max(0.0, share - spread)), F.lit(min(1.0, share + spread)))
-        c = F.col(i.column)
-        taken = F.when(i.contains(c) & (F.col("__r") < rate), c)
-        sketches.append(F.percentile_approx(taken, ends, 10_000).alias(f"s{k}"))
-    row = drawn.agg(*sketches).first()
-    # An empty sample proposes nothing; then the smallest value of the interval is one bound.
-    if any(s is None for s in row):
-        least = values.agg(*[F.min(F.when(i.contains(F.col(i.column)), F.col(i.column))) for i in intervals]).first()
-        return [tuple(s) if s is not None else (least[k], least[k]) for k, s in enumerate(row)]
-    return [tuple(s) for s in row]
-
-
-def _count_sides(values: DataFrame, intervals: list[_Interval], proposals: list[tuple[float, float]]) -> None:
-    """Replace every interval by the part of it that holds its rank."""
+    first = {c[0].interval: c[0] for c in clusters}
+    place = {interval: k for k, interval in enumerate(first)}
+    samples = _sorted_lists(
+        drawn,
+        [F.when((F.col("__r") < sample_values / t.count) & t.inside(), F.col(t.column)) for t in first.values()],
+    )
+    picks = []
+    for cluster in clusters:
+        t, end = cluster[0], cluster[-1]
+        sample = F.col(f"s{place[t.interval]}")
+        size = F.size(sample)
+        ends = []
+        for rank, sign in ((t.rank, -1), (end.rank, 1)):
+            share = (rank - t.below + 0.5) / t.count
+            spread = 4 * math.sqrt(max(share * (1 - share), 1 / sample_values) / sample_values)
+            spot = F.floor(F.lit(min(1.0, max(0.0, share + sign * spread))) * size).cast("int")
+            ends.append(F.get(sample, F.least(spot, size - 1)))
+        between = _count_between(sample, *ends)
+        picks += [*ends, F.try_divide(between * F.lit(float(t.count)), size.cast("double"))]
+    row = samples.select(*picks).first()
+    found = list(zip(row[0::3], row[1::3], row[2::3]))
+    if any(a is None for a, _, _ in found):
+        # An empty sample proposes nothing; the smallest value of the interval does instead.
+        least = values.agg(*[F.min(F.when(c[0].inside(), F.col(c[0].column))) for c in clusters]).first()
+        found = [f if f[0] is not None else (m, m, math.inf) for f, m in zip(found, least)]
+    return [_Proposal(*f) for f in found]
+
+
+def _count_between(values: Column, low: Column, high: Column) -> Column:
+    return F.size(F.filter(values, lambda x: (x >= low) & (x <= high)))
+
+
+def _count_sides(values: DataFrame, work: list[tuple[list[_Target], _Proposal]]) -> None:
+    """Replace the interval of every target by the part of it that holds its rank."""
     counters = []
-    for k, (i, (a, b)) in enumerate(zip(intervals, proposals)):
-        c = F.col(i.column)
-        inside = i.contains(c)
+    for k, (cluster, p) in enumerate(work):
+        c, inside = F.col(cluster[0].column), cluster[0].inside()
         counters += [
-            F.count_if(inside & (c < a)).alias(f"a{k}"),
-            F.count_if(c == a).alias(f"ea{k}"),
-            F.count_if(inside & (c > a) & (c < b)).alias(f"m{k}"),
-            F.count_if(c == b).alias(f"eb{k}"),
+            F.count_if(inside & (c < p.low)).alias(f"a{k}"),
+            F.count_if(c == p.low).alias(f"ea{k}"),
+            F.count_if((c > p.low) & (c < p.high)).alias(f"m{k}"),
+            F.count_if(c == p.high).alias(f"eb{k}"),
         ]
     row = values.agg(*counters).first()
-    for k, (i, (a, b)) in enumerate(zip(intervals, proposals)):
-        left, at_a, middle, at_b = (row[f"{x}{k}"] for x in ("a", "ea", "m", "eb"))
-        if a == b:
-            middle = at_b = 0
-        offset = i.rank - i.below
-        if offset < left:
-            i.high, i.count = a, left
-        elif offset < left + at_a:
-            i.value = a
-        elif offset < left + at_a + middle:
-            i.low, i.high, i.below, i.count = a, b, i.below + left + at_a, middle
-        elif offset < left + at_a + middle + at_b:
-            i.value = b
-        else:
-            skipped = left + at_a + middle + at_b
-            i.low, i.below, i.count = b, i.below + skipped, i.count - skipped
+    for k, (cluster, p) in enumerate(work):
+        left, at_low, middle, at_high = (row[f"{x}{k}"] for x in ("a", "ea", "m", "eb"))
+        if p.low == p.high:
+            middle = at_high = 0
+        upto_low, upto_high = left + at_low, left + at_low + middle
+        for t in cluster:
+            offset = t.rank - t.below
+            if offset < left:
+                t.high, t.count = p.low, left
+            elif offset < upto_low:
+                t.value = p.low
+            elif offset < upto_high:
+                t.low, t.high, t.below, t.count = p.low, p.high, t.below + upto_low, middle
+            elif offset < upto_high + at_high:
+                t.value = p.high
+            else:
+                t.low, t.below, t.count = p.high, t.below + upto_high + at_high, t.count - upto_high - at_high
 
 
 def quantile_table(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], **limits) -> DataFrame:

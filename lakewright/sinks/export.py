@@ -9,6 +9,12 @@ from pyspark.sql import DataFrame
 # One file means one task: allowed up to this many rows, after a count.
 SINGLE_FILE_ROWS = 1_000_000
 
+# Without these Spark writes milliseconds only.
+_MICROSECONDS = {
+    "timestampFormat": "yyyy-MM-dd HH:mm:ss.SSSSSSXXX",
+    "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS",
+}
+
 
 def write_csv(df: DataFrame, path: str, single_file: bool = False, mode: str = "errorifexists") -> None:
     """CSV with a header in every file, no index; null and empty text both come out empty."""
@@ -17,7 +23,7 @@ def write_csv(df: DataFrame, path: str, single_file: bool = False, mode: str = "
             raise ValueError(f"a single CSV file may hold {SINGLE_FILE_ROWS} rows; export to many files")
         # A shuffle to one task, so that the work before it stays parallel.
         df = df.repartition(1)
-    df.write.mode(mode).option("header", True).option("emptyValue", "").csv(path)
+    df.write.mode(mode).option("header", True).option("emptyValue", "").options(**_MICROSECONDS).csv(path)
 
 
 def write_report(tables: Mapping[str, DataFrame], path: str, mode: str = "errorifexists") -> None:

@@ -57,8 +57,9 @@ def write_partitioned(
     """Write ``date=<yyyy-MM-dd_HH>/<column>=<value>`` folders; returns the partition columns.
 
     ``date`` is the instant that names the date folder. The rebalance hint brings the rows of
-    one folder together, and adaptive execution splits a folder that outgrows the target size
-    and merges small ones, so neither a hot date nor a thousand tiny files result.
+    one folder together and adaptive execution splits a folder that outgrows the target size,
+    so neither a hot date nor a thousand tiny files result. Small shuffle partitions are merged
+    only for a dataset without folders: with folders that saves no file, only parallelism.
     ``dynamic`` replaces only the folders present in ``df``, which makes a rerun idempotent.
     """
     by = list(partition_columns)
@@ -75,7 +76,11 @@ def write_partitioned(
         writer = writer.option("partitionOverwriteMode", "dynamic")
     if by:
         writer = writer.partitionBy(*by)
-    with settings(df.sparkSession, {"spark.sql.adaptive.advisoryPartitionSizeInBytes": target_file_bytes}):
+    sizing = {
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": target_file_bytes,
+        "spark.sql.adaptive.coalescePartitions.enabled": str(not by).lower(),
+    }
+    with settings(df.sparkSession, sizing):
         writer.parquet(path)
     return by
 

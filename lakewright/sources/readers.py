@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from lakewright.functions.columns import col, quoted
+from lakewright.session import settings
 
 
 def read_parquet(spark: SparkSession, *paths: str) -> DataFrame:
@@ -19,10 +20,13 @@ def read_csv(
     schema: T.StructType | str | None = None,
     options: Mapping[str, object] | None = None,
 ) -> DataFrame:
-    """CSV with a header row. Without a schema Spark reads the data once more to infer it."""
+    """CSV with a header row. Without a schema Spark reads the data once more to infer it;
+    instants are then read without a time zone."""
     reader = spark.read.option("header", True).options(**dict(options or {}))
-    reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
-    return reader.csv(path)
+    if schema is not None:
+        return reader.schema(schema).csv(path)
+    with settings(spark, {"spark.sql.timestampType": "TIMESTAMP_NTZ"}):
+        return reader.option("inferSchema", True).csv(path)
 
 
 def read_values(df: DataFrame, column: str) -> DataFrame:

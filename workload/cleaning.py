@@ -200,7 +200,7 @@ def clean_all(spark, sf):
 def _(spark, sf):
     path = new_path(spark, "csv")
     write_csv(table(spark, sf, "orders"), path)
-    return clean.clean(read_csv(spark, path, options={"timestampType": "ntz"}), strict_types=True)
+    return clean.clean(read_csv(spark, path), strict_types=True)
 
 
 @query(

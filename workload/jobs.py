@@ -26,10 +26,10 @@ def per_folder(df):
     )
 
 
-@query("write_partitioned", "K1 C12 W6", PER_FOLDER)
+@query("write_partitioned", "K1 C12", PER_FOLDER.replace("_%H", "_00"))
 def _(spark, sf):
     path = new_path(spark, "events")
-    lake.write_partitioned(table(spark, sf, "events"), path, date=F.col("ts"), partition_columns=["event_type"])
+    lake.write_partitioned(table(spark, sf, "events"), path, date=F.date_trunc("day", "ts"), partition_columns=["event_type"])
     return per_folder(lake.read_dataset(spark, path))
 
 
