@@ -26,14 +26,25 @@ def valid_values(values: DataFrame, excluded: Iterable = ()) -> DataFrame:
     return (kept.filter(~col(name).isin(excluded)) if excluded else kept).distinct()
 
 
+def held_values(values: DataFrame) -> tuple[DataFrame, bool]:
+    """A one-column set, and whether it is small enough to broadcast.
+
+    A small set is read once here and kept by value, so that the scan behind it is not
+    repeated by every use; a larger one stays the plan it was.
+    """
+    found = values.limit(BROADCAST_VALUES + 1).collect()
+    if len(found) > BROADCAST_VALUES:
+        return values, False
+    return values.sparkSession.createDataFrame(found, values.schema), True
+
+
 def keep_values(df: DataFrame, column: str, values: DataFrame, negate: bool = False) -> DataFrame:
     """Semi join (or anti join) with a one-column set of values of any size.
 
-    The set is broadcast only after a count has shown that it is small. Beyond that the join
-    is left to Spark, and adaptive execution splits a partition that one hot value fills.
+    The set is broadcast only once it is known to be small. Beyond that the join is left to
+    Spark, and adaptive execution splits a partition that one hot value fills.
     """
-    named = values.select(col(values.columns[0]).alias("__value")).dropna()
-    small = named.limit(BROADCAST_VALUES + 1).count() <= BROADCAST_VALUES
+    named, small = held_values(values.select(col(values.columns[0]).alias("__value")).dropna())
     right = F.broadcast(named) if small else named
     left = df.filter(col(column).isNotNull()) if negate else df
     return left.join(right, col(column) == F.col("__value"), "left_anti" if negate else "left_semi")

@@ -41,9 +41,13 @@ def _percent(part: Column, whole: Column) -> Column:
     return F.try_divide(part * F.lit(100.0), whole.cast("double"))
 
 
-def _quantiles(
+Quantiles = dict[str, list[float | None]]
+
+
+def quantiles_of(
     df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], approximate: bool
-) -> dict[str, list[float | None]]:
+) -> Quantiles:
+    """Exact quantiles, or one sketch per column in a single pass."""
     if not approximate:
         return exact_quantiles(df, columns, probabilities)
     wanted = F.array(*[F.lit(float(p)) for p in probabilities])
@@ -112,7 +116,7 @@ def distinct_counts(df: DataFrame, approximate: bool = False) -> DataFrame:
 def numeric_stats(df: DataFrame, approximate: bool = False) -> DataFrame:
     """Mean, sample deviation, minimum, maximum and median of every numeric column."""
     names = numeric_columns(df)
-    medians = _quantiles(df, names, [0.5], approximate)
+    medians = quantiles_of(df, names, [0.5], approximate)
     values = {n: as_double(n, field_type(df, n)) for n in names}
     wide = one_row(
         df,
@@ -136,16 +140,17 @@ def numeric_stats(df: DataFrame, approximate: bool = False) -> DataFrame:
     )
 
 
-def column_profile(df: DataFrame, approximate: bool = False) -> DataFrame:
+def column_profile(df: DataFrame, approximate: bool = False, medians: Quantiles | None = None) -> DataFrame:
     """One row per column: type, missing, distinct, and statistics for numeric columns.
 
     Counts and moments of all columns are one aggregate; distinct counts and medians have
     their own passes. With ``approximate`` these two are sketches, which is the form for
-    tables too large to shuffle their distinct values.
+    tables too large to shuffle their distinct values. ``medians`` saves the pass when they
+    are known.
     """
     fields = df.schema.fields
-    names = numeric_columns(df)
-    medians = _quantiles(df, names, [0.5], approximate)
+    if medians is None:
+        medians = quantiles_of(df, numeric_columns(df), [0.5], approximate)
     parts: list[Column] = []
     for i, f in enumerate(fields):
         parts.append(F.count_if(missing(f.name, f.dataType)).alias(f"m{i}"))
@@ -195,7 +200,7 @@ def column_profile(df: DataFrame, approximate: bool = False) -> DataFrame:
 def describe(df: DataFrame, approximate: bool = False) -> DataFrame:
     """Count, mean, deviation, minimum, quartiles and maximum of every numeric column."""
     names = numeric_columns(df)
-    quartiles = _quantiles(df, names, [0.25, 0.5, 0.75], approximate)
+    quartiles = quantiles_of(df, names, [0.25, 0.5, 0.75], approximate)
     parts: list[Column] = []
     for i, n in enumerate(names):
         v = as_double(n, field_type(df, n))
@@ -337,11 +342,13 @@ def outliers_iqr(
     columns: Sequence[str] | None = None,
     factor: float = FENCE_FACTOR,
     approximate: bool = False,
+    quartiles: Quantiles | None = None,
 ) -> DataFrame:
     """Rows strictly outside the quartile fences, per numeric column, and their share of the
     non-null rows. Quartiles first, then one counting pass with the fences as literals."""
     names = list(columns) if columns is not None else numeric_columns(df)
-    quartiles = _quantiles(df, names, [0.25, 0.75], approximate)
+    if quartiles is None:
+        quartiles = quantiles_of(df, names, [0.25, 0.75], approximate)
     parts: list[Column] = []
     for i, n in enumerate(names):
         v = as_double(n, field_type(df, n))

@@ -1,8 +1,8 @@
 """Exact quantiles with linear interpolation, at any size.
 
 Spark's exact ``percentile`` keeps a value-to-count map of the whole column in one task. That is
-fine for a table of known small size and is used there. Above it the wanted order statistics
-are enclosed instead: a sample proposes bounds around each of them, one counting scan tells
+fine for a table of known small size and is used there, one task per column. Above it the
+wanted order statistics are enclosed instead: a sample proposes bounds around each of them, one counting scan tells
 which side of the bounds the rank lies, and the enclosed interval shrinks until what is left
 fits a bounded list. The counts are exact, so a poor sample costs another round, never a
 wrong result. No column is shuffled; every scan returns one row of counters.
@@ -13,12 +13,13 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from lakewright.functions.columns import as_double, field_type
 
-# Values (rows times columns) up to which the built-in exact percentile is used.
+# Values of a column up to which the built-in exact percentile is used.
 ONE_TASK_VALUES = 1_000_000
 # Sampled values per interval and round.
 SAMPLE_VALUES = 50_000
@@ -71,10 +72,11 @@ def exact_quantiles(
     values = df.select(*[as_double(c, field_type(df, c)).alias(f"c{i}") for i, c in enumerate(columns)])
     names = values.columns
     counts = values.agg(*[F.count(n).alias(n) for n in names]).first().asDict()
-    if sum(counts.values()) <= one_task_values:
+    if max(counts.values()) <= one_task_values:
         wanted = F.array(*[F.lit(float(p)) for p in probabilities])
-        row = values.agg(*[F.percentile(n, wanted).alias(n) for n in names]).first()
-        return {c: list(row[n]) if row[n] is not None else [None] * len(probabilities) for c, n in zip(columns, names)}
+        single = [values.agg(F.percentile(n, wanted).alias("q")).select(F.lit(n).alias("name"), "q") for n in names]
+        found = {r["name"]: r["q"] for r in reduce(DataFrame.unionByName, single).collect()}
+        return {c: list(found[n] or [None] * len(probabilities)) for c, n in zip(columns, names)}
 
     ranks = {n: sorted({r for p in probabilities for r in _neighbours(p, counts[n])}) for n in names}
     targets = [_Target(n, r, counts[n]) for n in names for r in ranks[n]]

@@ -7,7 +7,7 @@ from datetime import date
 
 from pyspark.sql import DataFrame
 
-from lakewright.functions.columns import col
+from lakewright.functions.columns import col, numeric_columns
 from lakewright.operators import profile
 from lakewright.operators.clean import parse_dates
 from lakewright.operators.filters import filter_table
@@ -35,15 +35,19 @@ def profile_table(
     if sample_rows is not None:
         total = df.count()
         sampled = random_sample(df, sample_rows, seed, total)
+    # Medians and quartiles come from the same passes.
+    found = profile.quantiles_of(sampled, numeric_columns(sampled), [0.25, 0.5, 0.75], approximate)
+    medians = {c: [q[1]] for c, q in found.items()}
+    quartiles = {c: [q[0], q[2]] for c, q in found.items()}
     tables = {
         "rows": row_count(sampled),
         "overview": overview(sampled, total),
-        "columns": profile.column_profile(sampled, approximate),
+        "columns": profile.column_profile(sampled, approximate, medians),
         "missing": profile.missing_table(sampled),
         "histograms": profile.histogram(sampled, bins=bins),
         "correlations": profile.correlation_matrix(sampled),
         "value_counts": profile.value_counts(sampled),
-        "outliers": profile.rank_outliers(profile.outliers_iqr(sampled, approximate=approximate)),
+        "outliers": profile.rank_outliers(profile.outliers_iqr(sampled, quartiles=quartiles)),
     }
     if report_path:
         write_report(tables, report_path)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lakewright.functions import predicates
 from lakewright.operators.clean import CleanPlan, plan_clean
-from lakewright.operators.filters import apply_category_policy, valid_values
+from lakewright.operators.filters import apply_category_policy, held_values, valid_values
 from lakewright.operators.joins import join_salted, star_with_prefix
 from lakewright.operators.ranges import time_slot
 from lakewright.plans.config import ExtractConfig
@@ -63,7 +63,8 @@ def run_extract(
     Without a fixed schema the joined rows are staged once in the shared folder: deciding the
     types and writing then read columnar files instead of joining twice.
     """
-    rows = joined_rows(fact, detail, categories, config)
+    valid, _ = held_values(valid_values(categories, config.excluded))
+    rows = joined_rows(fact, detail, valid, config)
     if config.schema is not None:
         cleaned = CleanPlan(config.schema).apply(rows)
     else:
@@ -95,7 +96,7 @@ def run_extract(
         {
             "extraction_id": name,
             "excluded_categories": ",".join(sorted(config.excluded)),
-            "valid_categories_count": valid_values(categories, config.excluded).count(),
+            "valid_categories_count": valid.count(),
             "date_range": f"{config.start} to {config.end}" if config.start else "all",
             "compression": config.codec,
             "row_group_rows": config.row_group_rows,

@@ -53,6 +53,7 @@ def write_partitioned(
     target_file_bytes: int = TARGET_FILE_BYTES,
     options: Mapping[str, str] | None = None,
     dynamic: bool = False,
+    rebalance: bool | None = None,
 ) -> list[str]:
     """Write ``date=<yyyy-MM-dd_HH>/<column>=<value>`` folders; returns the partition columns.
 
@@ -60,13 +61,16 @@ def write_partitioned(
     one folder together and adaptive execution splits a folder that outgrows the target size,
     so neither a hot date nor a thousand tiny files result. Small shuffle partitions are merged
     only for a dataset without folders: with folders that saves no file, only parallelism.
-    ``dynamic`` replaces only the folders present in ``df``, which makes a rerun idempotent.
+    A dataset without folders is written as it is partitioned, with no shuffle, unless
+    ``rebalance`` asks for files of the target size. ``dynamic`` replaces only the folders
+    present in ``df``, which makes a rerun idempotent.
     """
     by = list(partition_columns)
     if date is not None:
         df = df.withColumn("date", partition_text(date))
         by = ["date", *by]
-    spread = df.hint("rebalance", *[col(c) for c in by]) if by else df.hint("rebalance")
+    rebalance = bool(by) if rebalance is None else rebalance
+    spread = df.hint("rebalance", *[col(c) for c in by]) if rebalance else df
     if sort_by:
         spread = spread.sortWithinPartitions(*[col(c) for c in [*by, *sort_by]])
     writer = spread.write.mode(mode).options(**dict(options or parquet_options()))
@@ -113,6 +117,7 @@ def compact(
         sort_by=sort_by,
         target_file_bytes=target_file_bytes,
         options=options,
+        rebalance=True,
     )
     return _read_text_partitions(spark, target)
 
