@@ -300,36 +300,38 @@ def histogram(
 ) -> DataFrame:
     """Rows per equal-width bin of each numeric column, empty bins left out.
 
-    The maximum falls into the last bin and a constant column into bin 1.
+    The maximum falls into the last bin and a constant column into bin 1. Every column is
+    aggregated for itself, so the shuffle holds one row per bin and task.
     """
     names = list(columns) if columns is not None else numeric_columns(df, max_columns)
     values = df.select(*[finite_double(df, n).alias(f"c{i}") for i, n in enumerate(names)])
     b = one_row(
         values, [f(f"c{i}").alias(f"{t}{i}") for i in range(len(names)) for t, f in (("lo", F.min), ("hi", F.max))]
     ).first()
-    cells, starts, widths = [], [], []
-    for i in range(len(names)):
+    parts = []
+    for i, n in enumerate(names):
         lo, hi = b[f"lo{i}"], b[f"hi{i}"]
-        width = 0.0 if lo is None or lo == hi else (hi - lo) / bins
-        starts.append(_double(lo))
-        widths.append(_double(width))
-        c = F.col(f"c{i}")
+        if lo is None:
+            continue
+        width = (hi - lo) / bins
         # Bin by arithmetic on the bounds; the maximum is pulled back into the last bin.
-        place = F.least(F.floor((c - starts[i]) / F.lit(width)).cast("bigint") + 1, F.lit(bins)) if width else F.lit(1)
-        cells.append(F.struct(F.lit(i).alias("i"), F.when(c.isNotNull(), place.cast("bigint")).alias("bin")))
-    if not cells:
+        place = f"least(cast(floor((v - {lo!r}D) / {width!r}D) as bigint) + 1, {bins})" if width else "1"
+        parts.append(
+            values.selectExpr(f"c{i} as v")
+            .filter("v is not null")
+            .groupBy(F.expr(f"cast({place} as bigint)").alias("bin"))
+            .agg(F.count(F.lit(1)).alias("count"))
+            .select(
+                F.lit(n).alias("column"),
+                "bin",
+                F.expr(f"{lo!r}D + {width!r}D * (bin - 1)").alias("bin_start"),
+                F.expr(f"{lo!r}D + {width!r}D * bin").alias("bin_end"),
+                "count",
+            )
+        )
+    if not parts:
         return df.sparkSession.createDataFrame([], "column string, bin bigint, bin_start double, bin_end double, count bigint")
-    counted = (
-        values.select(F.inline(F.array(*cells))).filter("bin is not null").groupBy("i", "bin").agg(F.count(F.lit(1)).alias("count"))
-    )
-    start, width = F.get(F.array(*starts), F.col("i")), F.get(F.array(*widths), F.col("i"))
-    return counted.select(
-        F.get(F.array(*[F.lit(n) for n in names]), F.col("i")).alias("column"),
-        "bin",
-        (start + width * (F.col("bin") - 1)).alias("bin_start"),
-        (start + width * F.col("bin")).alias("bin_end"),
-        "count",
-    )
+    return reduce(DataFrame.unionByName, parts)
 
 
 def finite_double(df: DataFrame, name: str) -> Column:

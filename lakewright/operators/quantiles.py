@@ -1,17 +1,20 @@
 """Exact quantiles with linear interpolation, at any size.
 
-Spark's exact ``percentile`` keeps a value-to-count map of the whole column in one task. That is
-fine for a table of known small size and is used there, one task per column. Above it the
-wanted order statistics are enclosed instead: a sample proposes bounds around each of them, one counting scan tells
-which side of the bounds the rank lies, and the enclosed interval shrinks until what is left
-fits a bounded list. The counts are exact, so a poor sample costs another round, never a
-wrong result. No column is shuffled; every scan returns one row of counters.
+Spark's exact ``percentile`` keeps a value-to-count map of the whole column in one task, which
+only a small table allows. Here the wanted order statistics are enclosed instead: a sample
+proposes bounds around each of them, and one scan counts what lies below the bounds and gathers
+the few values between them. A rank outside its bounds, or bounds with too much between them,
+shrinks the interval by exact counts and the next round goes on there. So a poor sample costs a
+round, never a wrong result; no column is shuffled and no task holds one.
+
+Every column has its own small aggregate, joined by a union: the scan reads one column for it,
+and the columns are worked on side by side.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -19,12 +22,10 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from lakewright.functions.columns import as_double, field_type
 
-# Values of a column up to which the built-in exact percentile is used.
-ONE_TASK_VALUES = 1_000_000
 # Sampled values per interval and round.
 SAMPLE_VALUES = 50_000
 # Values of one interval that may be gathered to pick a rank.
-GATHERED_VALUES = 100_000
+GATHERED_VALUES = 200_000
 
 
 @dataclass
@@ -53,11 +54,24 @@ class _Target:
         return test
 
 
+@dataclass
+class _Cluster:
+    """Neighbouring ranks of one interval. They share proposed bounds, ends included."""
+
+    targets: list[_Target]
+    low: float = -math.inf
+    high: float = math.inf
+    expected: float = 0.0
+
+    @property
+    def first(self) -> _Target:
+        return self.targets[0]
+
+
 def exact_quantiles(
     df: DataFrame,
     columns: Sequence[str],
     probabilities: Sequence[float],
-    one_task_values: int = ONE_TASK_VALUES,
     gathered_values: int = GATHERED_VALUES,
     sample_values: int = SAMPLE_VALUES,
 ) -> dict[str, list[float | None]]:
@@ -72,15 +86,10 @@ def exact_quantiles(
     values = df.select(*[as_double(c, field_type(df, c)).alias(f"c{i}") for i, c in enumerate(columns)])
     names = values.columns
     counts = values.agg(*[F.count(n).alias(n) for n in names]).first().asDict()
-    if max(counts.values()) <= one_task_values:
-        wanted = F.array(*[F.lit(float(p)) for p in probabilities])
-        single = [values.agg(F.percentile(n, wanted).alias("q")).select(F.lit(n).alias("name"), "q") for n in names]
-        found = {r["name"]: r["q"] for r in reduce(DataFrame.unionByName, single).collect()}
-        return {c: list(found[n] or [None] * len(probabilities)) for c, n in zip(columns, names)}
-
     ranks = {n: sorted({r for p in probabilities for r in _neighbours(p, counts[n])}) for n in names}
     targets = [_Target(n, r, counts[n]) for n in names for r in ranks[n]]
-    _narrow(values, targets, gathered_values, sample_values)
+    while open_ := [t for t in targets if t.value is None]:
+        _narrow(values, _clusters(open_), gathered_values, sample_values)
     found = {(t.column, t.rank): t.value for t in targets}
 
     def at(name: str, p: float) -> float | None:
@@ -101,133 +110,151 @@ def _neighbours(p: float, count: int) -> tuple[int, ...]:
     return math.floor(position), math.ceil(position)
 
 
-def _narrow(values: DataFrame, targets: list[_Target], gathered_values: int, sample_values: int) -> None:
-    while open_ := [t for t in targets if t.value is None]:
-        clusters = _clusters(open_)
-        proposals = _propose(values, clusters, sample_values)
-        few = [i for i, p in enumerate(proposals) if p.expected <= gathered_values]
-        _gather(values, [(clusters[i], proposals[i]) for i in few])
-        # What is too wide to gather, or lay outside the bounds after all, shrinks by counting.
-        rest = [i for i, c in enumerate(clusters) if any(t.value is None for t in c)]
-        if rest:
-            _count_sides(values, [(clusters[i], proposals[i]) for i in rest])
-
-
-@dataclass(frozen=True)
-class _Proposal:
-    """Bounds for a cluster, and about how many values lie between them, ends included."""
-
-    low: float
-    high: float
-    expected: float
-
-
-def _sorted_lists(values: DataFrame, wanted: list[Column], counted: Sequence[Column] = ()) -> DataFrame:
-    """One row: the non-null values of each expression as a sorted list ``s<k>``, and how many
-    rows meet each condition as ``n<k>``. The lists are short by construction."""
-    chosen = values.select(
-        *[c.alias(f"s{k}") for k, c in enumerate(wanted)], *[c.alias(f"n{k}") for k, c in enumerate(counted)]
-    )
-    if not counted:
-        chosen = chosen.filter(F.coalesce(*[F.col(c) for c in chosen.columns]).isNotNull())
-    lists = [F.sort_array(F.collect_list(f"s{k}")).alias(f"s{k}") for k in range(len(wanted))]
-    return chosen.agg(*lists, *[F.count_if(F.col(f"n{k}")).alias(f"n{k}") for k in range(len(counted))])
-
-
-def _gather(values: DataFrame, work: list[tuple[list[_Target], _Proposal]]) -> None:
-    """Collect the few values between the bounds and pick the ranks that lie there."""
-    if not work:
-        return
-    lists, below = [], []
-    for cluster, p in work:
-        c, inside = F.col(cluster[0].column), cluster[0].inside()
-        lists.append(F.when(inside & (c >= p.low) & (c <= p.high), c))
-        below.append(inside & (c < p.low))
-    row = _sorted_lists(values, lists, below)
-    members = [(k, t) for k, (cluster, _) in enumerate(work) for t in cluster]
-    picked = row.select(
-        *[F.get(F.col(f"s{k}"), (F.lit(t.rank - t.below) - F.col(f"n{k}")).cast("int")) for k, t in members]
-    ).first()
-    for (_, t), value in zip(members, picked):
-        t.value = value
-
-
-def _clusters(targets: list[_Target]) -> list[list[_Target]]:
-    """Neighbouring ranks of one interval together; they share their bounds and counters."""
-    clusters: list[list[_Target]] = []
+def _clusters(targets: list[_Target]) -> list[_Cluster]:
+    clusters: list[_Cluster] = []
     for t in sorted(targets, key=lambda t: (t.column, t.rank)):
-        last = clusters[-1][-1] if clusters else None
+        last = clusters[-1].targets[-1] if clusters else None
         if last is not None and last.interval == t.interval and t.rank - last.rank <= 1:
-            clusters[-1].append(t)
+            clusters[-1].targets.append(t)
         else:
-            clusters.append([t])
+            clusters.append(_Cluster([t]))
     return clusters
 
 
-def _propose(values: DataFrame, clusters: list[list[_Target]], sample_values: int) -> list[_Proposal]:
-    """Two sampled values per cluster that should enclose its ranks; one sample per interval."""
-    drawn = values.withColumn("__r", F.rand(17))
-    first = {c[0].interval: c[0] for c in clusters}
-    place = {interval: k for k, interval in enumerate(first)}
-    samples = _sorted_lists(
-        drawn,
-        [F.when((F.col("__r") < sample_values / t.count) & t.inside(), F.col(t.column)) for t in first.values()],
-    )
-    picks = []
-    for cluster in clusters:
-        t, end = cluster[0], cluster[-1]
-        sample = F.col(f"s{place[t.interval]}")
-        size = F.size(sample)
-        ends = []
-        for rank, sign in ((t.rank, -1), (end.rank, 1)):
-            share = (rank - t.below + 0.5) / t.count
-            spread = 4 * math.sqrt(max(share * (1 - share), 1 / sample_values) / sample_values)
-            spot = F.floor(F.lit(min(1.0, max(0.0, share + sign * spread))) * size).cast("int")
-            ends.append(F.get(sample, F.least(spot, size - 1)))
-        between = _count_between(sample, *ends)
-        picks += [*ends, F.try_divide(between * F.lit(float(t.count)), size.cast("double"))]
-    row = samples.select(*picks).first()
-    found = list(zip(row[0::3], row[1::3], row[2::3]))
-    if any(a is None for a, _, _ in found):
+def _narrow(values: DataFrame, clusters: list[_Cluster], gathered_values: int, sample_values: int) -> None:
+    _propose(values, [c for c in clusters if c.first.count > gathered_values], sample_values)
+    _gather(values, [c for c in clusters if c.expected <= gathered_values])
+    _count_sides(values, [c for c in clusters if any(t.value is None for t in c.targets)])
+
+
+def _per_column(clusters: Iterable[_Cluster]) -> dict[str, list[_Cluster]]:
+    found: dict[str, list[_Cluster]] = {}
+    for c in clusters:
+        found.setdefault(c.first.column, []).append(c)
+    return found
+
+
+def _collect(numbers: dict[str, DataFrame]) -> dict[str, list[float | None]]:
+    """The one-row frames of all columns, each a few numbers, in one job."""
+    labelled = [
+        frame.select(F.lit(name).alias("name"), F.array(*[F.col(c).cast("double") for c in frame.columns]).alias("numbers"))
+        for name, frame in numbers.items()
+    ]
+    return {r["name"]: r["numbers"] for r in reduce(DataFrame.unionByName, labelled).collect()}
+
+
+def _sorted_lists(wanted: list[Column]) -> list[Column]:
+    return [F.sort_array(F.collect_list(c)) for c in wanted]
+
+
+def _propose(values: DataFrame, clusters: list[_Cluster], sample_values: int) -> None:
+    """Two sampled values per cluster that should enclose its ranks, and how much is between."""
+    if not clusters:
+        return
+    frames = {}
+    for name, mine in _per_column(clusters).items():
+        first = {c.first.interval: c.first for c in mine}
+        place = {interval: f"s{k}" for k, interval in enumerate(first)}
+        drawn = values.select(name, F.rand(17).alias("r")).select(
+            *[
+                F.when((F.col("r") < sample_values / t.count) & t.inside(), F.col(name)).alias(place[t.interval])
+                for t in first.values()
+            ]
+        )
+        some = drawn.filter(F.coalesce(*[F.col(s) for s in drawn.columns]).isNotNull())
+        samples = some.agg(*[s.alias(n) for s, n in zip(_sorted_lists([F.col(s) for s in drawn.columns]), drawn.columns)])
+        picks = []
+        for c in mine:
+            t, sample = c.first, F.col(place[c.first.interval])
+            ends = []
+            for rank, sign in ((t.rank, -1), (c.targets[-1].rank, 1)):
+                share = (rank - t.below + 0.5) / t.count
+                spread = 4 * math.sqrt(max(share * (1 - share), 1 / sample_values) / sample_values)
+                spot = F.floor(F.lit(min(1.0, max(0.0, share + sign * spread))) * F.size(sample)).cast("int")
+                ends.append(F.get(sample, F.least(spot, F.size(sample) - 1)))
+            between = F.try_divide(_count_between(sample, *ends) * F.lit(float(t.count)), F.size(sample).cast("double"))
+            picks += [*ends, between]
+        frames[name] = samples.select(*[p.alias(f"p{k}") for k, p in enumerate(picks)])
+    rows = _collect(frames)
+    empty = []
+    for name, mine in _per_column(clusters).items():
+        for k, c in enumerate(mine):
+            c.low, c.high, c.expected = rows[name][3 * k : 3 * k + 3]
+            if c.low is None:
+                empty.append(c)
+    if empty:
         # An empty sample proposes nothing; the smallest value of the interval does instead.
-        least = values.agg(*[F.min(F.when(c[0].inside(), F.col(c[0].column))) for c in clusters]).first()
-        found = [f if f[0] is not None else (m, m, math.inf) for f, m in zip(found, least)]
-    return [_Proposal(*f) for f in found]
+        least = values.agg(*[F.min(F.when(c.first.inside(), F.col(c.first.column))) for c in empty]).first()
+        for c, value in zip(empty, least):
+            c.low = c.high = value
+            c.expected = math.inf
 
 
 def _count_between(values: Column, low: Column, high: Column) -> Column:
     return F.size(F.filter(values, lambda x: (x >= low) & (x <= high)))
 
 
-def _count_sides(values: DataFrame, work: list[tuple[list[_Target], _Proposal]]) -> None:
-    """Replace the interval of every target by the part of it that holds its rank."""
-    counters = []
-    for k, (cluster, p) in enumerate(work):
-        c, inside = F.col(cluster[0].column), cluster[0].inside()
-        counters += [
-            F.count_if(inside & (c < p.low)).alias(f"a{k}"),
-            F.count_if(c == p.low).alias(f"ea{k}"),
-            F.count_if((c > p.low) & (c < p.high)).alias(f"m{k}"),
-            F.count_if(c == p.high).alias(f"eb{k}"),
+def _gather(values: DataFrame, clusters: list[_Cluster]) -> None:
+    """Collect the few values between the bounds and pick the ranks that lie there."""
+    if not clusters:
+        return
+    frames = {}
+    for name, mine in _per_column(clusters).items():
+        v = F.col(name)
+        between = [c.first.inside() & (v >= c.low) & (v <= c.high) for c in mine]
+        lists = values.select(
+            *[F.when(b, v).alias(f"v{k}") for k, b in enumerate(between)],
+            *[(c.first.inside() & (v < c.low)).alias(f"b{k}") for k, c in enumerate(mine)],
+        ).agg(
+            *[s.alias(f"s{k}") for k, s in enumerate(_sorted_lists([F.col(f"v{k}") for k in range(len(mine))]))],
+            *[F.count_if(f"b{k}").alias(f"n{k}") for k in range(len(mine))],
+        )
+        picks = [
+            F.get(F.col(f"s{k}"), (F.lit(t.rank - t.below) - F.col(f"n{k}")).cast("int"))
+            for k, c in enumerate(mine)
+            for t in c.targets
         ]
-    row = values.agg(*counters).first()
-    for k, (cluster, p) in enumerate(work):
-        left, at_low, middle, at_high = (row[f"{x}{k}"] for x in ("a", "ea", "m", "eb"))
-        if p.low == p.high:
-            middle = at_high = 0
-        upto_low, upto_high = left + at_low, left + at_low + middle
-        for t in cluster:
-            offset = t.rank - t.below
-            if offset < left:
-                t.high, t.count = p.low, left
-            elif offset < upto_low:
-                t.value = p.low
-            elif offset < upto_high:
-                t.low, t.high, t.below, t.count = p.low, p.high, t.below + upto_low, middle
-            elif offset < upto_high + at_high:
-                t.value = p.high
-            else:
-                t.low, t.below, t.count = p.high, t.below + upto_high + at_high, t.count - upto_high - at_high
+        frames[name] = lists.select(*[p.alias(f"p{k}") for k, p in enumerate(picks)])
+    rows = _collect(frames)
+    for name, mine in _per_column(clusters).items():
+        for t, value in zip([t for c in mine for t in c.targets], rows[name]):
+            t.value = value
+
+
+def _count_sides(values: DataFrame, clusters: list[_Cluster]) -> None:
+    """Replace the interval of every target by the part of it that holds its rank."""
+    if not clusters:
+        return
+    frames = {}
+    for name, mine in _per_column(clusters).items():
+        v, counters = F.col(name), []
+        for k, c in enumerate(mine):
+            counters += [
+                F.count_if(c.first.inside() & (v < c.low)).alias(f"a{k}"),
+                F.count_if(v == c.low).alias(f"ea{k}"),
+                F.count_if((v > c.low) & (v < c.high)).alias(f"m{k}"),
+                F.count_if(v == c.high).alias(f"eb{k}"),
+            ]
+        frames[name] = values.agg(*counters)
+    rows = _collect(frames)
+    for name, mine in _per_column(clusters).items():
+        for k, c in enumerate(mine):
+            left, at_low, middle, at_high = (int(x) for x in rows[name][4 * k : 4 * k + 4])
+            if c.low == c.high:
+                middle = at_high = 0
+            upto_low, upto_high = left + at_low, left + at_low + middle
+            for t in c.targets:
+                offset = t.rank - t.below
+                if offset < left:
+                    t.high, t.count = c.low, left
+                elif offset < upto_low:
+                    t.value = c.low
+                elif offset < upto_high:
+                    t.low, t.high, t.below, t.count = c.low, c.high, t.below + upto_low, middle
+                elif offset < upto_high + at_high:
+                    t.value = c.high
+                else:
+                    t.low, t.below, t.count = c.high, t.below + upto_high + at_high, t.count - upto_high - at_high
 
 
 def quantile_table(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], **limits) -> DataFrame:

@@ -11,22 +11,25 @@ from pyspark.sql import SparkSession
 
 # Settings every job here is written for. Adaptive execution coalesces small shuffle
 # partitions, splits skewed join partitions and replaces sort-merge joins whose side
-# turns out small; nothing else in the library depends on a fixed partition count.
-ADAPTIVE_SETTINGS: Mapping[str, str] = {
+# turns out small; nothing else in the library depends on a fixed partition count. The last
+# one stops PySpark from recording the Python line of every column expression, which costs
+# more than small queries take to run.
+SETTINGS: Mapping[str, str] = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
 def build_session(app_name: str = "lakewright", master: str | None = None, **conf: object) -> SparkSession:
-    """Session with the adaptive settings; keyword names use ``__`` for a dot."""
+    """Session with the settings above; keyword names use ``__`` for a dot."""
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    for key, value in ADAPTIVE_SETTINGS.items():
+    for key, value in SETTINGS.items():
         builder = builder.config(key, value)
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), str(value))

@@ -92,7 +92,7 @@ def test_narrowed_quantiles_are_exact(spark):
     rows = [tuple(d[i] if i < len(d) else None for d in SHAPES.values()) for i in range(longest)]
     df = spark.createDataFrame(rows, ", ".join(f"`{n}` double" for n in SHAPES)).repartition(4)
     wanted = [0.0, 0.25, 0.5, 0.75, 0.999, 1.0]
-    tight = exact_quantiles(df, list(SHAPES), wanted, one_task_values=0, gathered_values=40, sample_values=300)
+    tight = exact_quantiles(df, list(SHAPES), wanted, gathered_values=40, sample_values=300)
     plain = exact_quantiles(df, list(SHAPES), wanted)
     for name, data in SHAPES.items():
         assert tight[name] == pytest.approx([brute(data, p) for p in wanted], rel=1e-12), name
@@ -101,7 +101,7 @@ def test_narrowed_quantiles_are_exact(spark):
 
 def test_quantiles_of_nothing(spark):
     df = spark.createDataFrame([(None, 1.0)], "a double, b double")
-    got = exact_quantiles(df, ["a", "b"], [0.5, 1.0], one_task_values=0)
+    got = exact_quantiles(df, ["a", "b"], [0.5, 1.0])
     assert got == {"a": [None, None], "b": [1.0, 1.0]}
     assert exact_quantiles(df, [], [0.5]) == {}
     assert quantile_table(df, ["b"], [0.5]).collect()[0].asDict() == {"column": "b", "probability": 0.5, "value": 1.0}

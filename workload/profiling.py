@@ -154,7 +154,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     lines = table(spark, sf, "lineitem")
-    limits = {"one_task_values": 0, "gathered_values": 2000, "sample_values": 5000}
+    limits = {"gathered_values": 2000, "sample_values": 5000}
     return rounded(quantile_table(lines, ["l_extendedprice", "l_quantity"], [0.01, 0.5, 0.99], **limits), value=4)
 
 
