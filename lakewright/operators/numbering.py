@@ -24,6 +24,10 @@ _POSITION_BITS = 33
 
 def _written_in_order(df: DataFrame, order: Sequence[Column], partitions: int | None) -> DataFrame:
     spark = df.sparkSession
+    # A hash of the row comes last in the order: rows of a hot key can then be split over tasks,
+    # and equal keys are ordered the same way whenever a task is repeated.
+    hashable = [col(f.name) for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    order = [*order, F.xxhash64(*hashable)] if hashable else list(order)
     ranged = df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order)
     path = new_path(spark, "ordered")
     ranged.sortWithinPartitions(*order).withColumn(_SLOT, F.monotonically_increasing_id()).write.parquet(path)
@@ -44,9 +48,9 @@ def with_row_number(
 ) -> DataFrame:
     """Global 1-based row number in the given order.
 
-    ``order_by`` should identify a row: a tie-break column is what splits a hot key over
-    several tasks and makes the numbering repeatable. Select the needed columns first, since
-    every column of ``df`` is shuffled and written once.
+    Rows that ``order_by`` does not tell apart are ordered by a hash of the row, which also
+    lets several tasks share a hot key. Select the needed columns first, since every column of
+    ``df`` is shuffled and written once.
     """
     ordered = _written_in_order(df, _as_columns(order_by), partitions)
     # One row per shuffle partition: bounded by the partition setting, not by the data.

@@ -313,9 +313,13 @@ def histogram(
         lo, hi = b[f"lo{i}"], b[f"hi{i}"]
         if lo is None:
             continue
-        width = (hi - lo) / bins
+        width, steps = (hi - lo) / bins, "(v - {lo!r}D) / {width!r}D"
+        if math.isinf(width):
+            # The span of the values overflows; divide before subtracting.
+            width, steps = hi / bins - lo / bins, "v / {width!r}D - {lo!r}D / {width!r}D"
         # Bin by arithmetic on the bounds; the maximum is pulled back into the last bin.
-        place = f"least(cast(floor((v - {lo!r}D) / {width!r}D) as bigint) + 1, {bins})" if width else "1"
+        steps = steps.format(lo=lo, width=width)
+        place = f"least(cast(floor({steps}) as bigint) + 1, {bins})" if width else "1"
         parts.append(
             values.selectExpr(f"c{i} as v")
             .filter("v is not null")

@@ -80,11 +80,19 @@ def write_partitioned(
         writer = writer.option("partitionOverwriteMode", "dynamic")
     if by:
         writer = writer.partitionBy(*by)
-    sizing = {
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": target_file_bytes,
-        "spark.sql.adaptive.coalescePartitions.enabled": str(not by).lower(),
-    }
-    with settings(df.sparkSession, sizing):
+    spark = df.sparkSession
+    sizing = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": target_file_bytes}
+    if by:
+        # Merging off would also switch off its own initial partition count, if one is set.
+        count = spark.conf.get("spark.sql.shuffle.partitions")
+        sizing |= {
+            "spark.sql.adaptive.coalescePartitions.enabled": "false",
+            "spark.sql.shuffle.partitions": spark.conf.get(
+                "spark.sql.adaptive.coalescePartitions.initialPartitionNum", None
+            )
+            or count,
+        }
+    with settings(spark, sizing):
         writer.parquet(path)
     return by
 

@@ -28,10 +28,13 @@ def test_ntile_formula(spark, n):
     assert sizes == [full + 1] * extra + ([full] * (n - extra) if full else [])
 
 
-def test_skewed_key_is_spread_with_a_tie_break(spark):
-    df = spark.range(2000).select(F.lit(1).alias("k"), "id")
-    written = numbering._written_in_order(df, [F.col("k"), F.col("id")], 4)
+@pytest.mark.parametrize("order", [["k", "id"], ["k"]])
+def test_skewed_key_is_spread(spark, order):
+    df = spark.range(2000).select(F.lit(1).alias("k"), "id", F.create_map(F.lit("a"), F.col("id")).alias("m"))
+    written = numbering._written_in_order(df, [F.col(o) for o in order], 4)
     assert written.select("__part").distinct().count() == 4
+    first, second = (numbering.with_row_number(df, order).select("id", "row_number").collect() for _ in range(2))
+    assert sorted(first) == sorted(second) and sorted(r.row_number for r in first) == list(range(1, 2001))
 
 
 def test_numbering_an_empty_table(spark):

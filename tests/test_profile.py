@@ -144,6 +144,12 @@ def test_histogram_edges(spark):
     assert max(r.bin_end for r in rows if r.column == "x") == 10.0
 
 
+def test_histogram_of_extreme_and_negative_values(spark):
+    df = spark.createDataFrame([(-1.7e308, -3.0), (1.7e308, 1e-7), (0.0, 5e20), (float("inf"), None)], "x double, y double")
+    got = sorted((r.column, r.bin, r["count"]) for r in profile.histogram(df, bins=2).collect())
+    assert got == [("x", 1, 1), ("x", 2, 2), ("y", 1, 2), ("y", 2, 1)]
+
+
 def test_outliers(spark):
     df = spark.createDataFrame([(float(v), 1.0, None) for v in [*range(20), 500]], "x double, same double, void double")
     iqr = by(profile.outliers_iqr(df))
