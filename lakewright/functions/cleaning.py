@@ -8,8 +8,6 @@ from pyspark.sql import Column, functions as F
 NULL_TOKENS = ("nan", "None", "<NA>")
 # Fixed value: the empty text counts as missing only where a schema is applied.
 SCHEMA_NULL_TOKENS = (*NULL_TOKENS, "")
-# Fixed value: format of the partition text for an instant.
-PARTITION_TEXT_FORMAT = "yyyy-MM-dd_HH"
 
 # What counts as a number, an integer and a date in text. The guards make the cast agree
 # with other engines: Spark alone would read "1d" or a bare year.
@@ -47,7 +45,12 @@ def key_to_integer(c: Column, is_text: bool) -> Column:
 
 
 def partition_text(c: Column) -> Column:
-    return F.date_format(c, PARTITION_TEXT_FORMAT)
+    """An instant as ``yyyy-MM-dd_HH``, a fixed format.
+
+    Put together from its fields: a format function would first move an instant without time
+    zone into the session's zone, where some hours do not exist.
+    """
+    return F.concat(c.cast("date").cast("string"), F.lit("_"), F.lpad(F.hour(c).cast("string"), 2, "0"))
 
 
 def day_start(text: str) -> Column:

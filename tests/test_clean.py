@@ -142,5 +142,11 @@ def test_moment_parser_rejects_what_is_not_a_date(spark):
 
 
 def test_partition_text(spark):
-    df = spark.sql("select timestamp_ntz'2024-01-02 03:59:59' t")
-    assert df.select(partition_text(F.col("t")).alias("p")).first().p == "2024-01-02_03"
+    df = spark.sql("select timestamp_ntz'2024-03-10 02:59:59' t, date'2024-01-02' d, cast(null as timestamp_ntz) n")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        got = df.select(*[partition_text(F.col(c)).alias(c) for c in df.columns]).first()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    # The first hour was skipped in that zone.
+    assert tuple(got) == ("2024-03-10_02", "2024-01-02_00", None)
