@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,7 +39,7 @@ def batches(frames: Iterable[pa.RecordBatch], limit: int, text: str = "text") ->
     """
     for batch in frames:
         column = batch.column(batch.schema.get_field_index(text)).cast(pa.large_binary())
-        sizes = [0 if x is None else len(x) for x in column]
+        sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
         start = total = 0
         for i, size in enumerate(sizes):
             if i > start and total + size > limit:

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakewright.llm import chat, quality, secrets
+from lakewright.llm import chat, decontaminate, langid, quality, secrets, warc
+from lakewright.llm.common import crc_of_id
 from lakewright.session import new_path
 from lakewright.sources.readers import read_parquet
 
@@ -24,6 +25,53 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return read_parquet(spark, f"{folder}/{name}.parquet")
 
 
+@query
+def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every document, learned from two thirds of them."""
+    documents = table(spark, folder, "documents")
+    held_out = crc_of_id("doc_id") % 3 == 1
+    model = langid.train(documents.filter(~held_out).select("text", "lang"))
+    found = langid.predict(documents.select("doc_id", held_out.alias("held_out"), "text"), model)
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query
+def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of every document inside benchmark windows."""
+    found = decontaminate.contamination(spark, table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+@query
+def op4_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """All pages written as WARC records and read back."""
+    archive = new_path(spark, "warc")
+    pages = table(spark, folder, "pages")
+    warc.write_warc(spark, warc.page_records(pages), archive)
+    back = warc.read_warc(spark, archive).filter(F.col("record_type").isin("response", "revisit"))
+    kind = dict(pages.dtypes)["page_id"]
+
+    def page(column: str):
+        return F.nullif(F.substring_index(F.col(column), ":", -1), F.lit("")).cast(kind)
+
+    # A response's payload is measured anew; a revisit has the length and digest of the payload it stands for.
+    payload, response = F.coalesce(F.col("payload"), F.lit(b"")), F.col("record_type") == "response"
+    return back.select(
+        page("record_id").alias("page_id"),
+        F.when(response, F.octet_length(payload).cast("bigint")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
+        F.when(response, F.sha1(payload)).otherwise(F.col("payload_digest")).alias("payload_digest"),
+        "record_type",
+        page("refers_to").alias("refers_to"),
+    )
+
+
 @query
 def op8_secret_ledger(spark: SparkSession, folder: str) -> DataFrame:
     """Secrets of all documents, by way of a new ledger."""
