@@ -1,16 +1,17 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
 The index stores the positions of every benchmark term in every document: one row per document and term, in the shared
-folder. Document frequencies come from the index. Each window of a benchmark item is looked up by its rarest term;
-a posting gives an alignment of the item with the document, and the offset-adjusted posting lists of the item's other
-terms are intersected with it. Runs of matching offsets at least a window long are exact phrase matches. Proximity
-matches use the same index.
+folder. Document frequencies come from the index. Each window of a benchmark item is looked up by its rarest terms,
+whose offset-adjusted posting lists are intersected; what they agree on is an alignment of the item with the document, and
+the lists of the item's other terms are intersected with that. Runs of matching offsets at least a window long are exact
+phrase matches. Proximity matches use the same index.
 
 The terms of the benchmark are broadcast in blocks of at most ``TERM_BYTES``; a larger benchmark takes several passes.
 
 Edge cases: missing text has no words; an item without words is in no document; an item shorter than a window is one
 window; repeated items with one id count once; repeated documents are separate rows; empty tables on either side give no matches, and every document still
-has its row; a very long text is one row of a batch and its postings are spread by term; other columns are ignored.
+has its row; a very long text is one row of a batch and its postings are spread by term; other columns are ignored. The
+documents must read the same way each time, as files do.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ from lakewright.llm.common import batches, bytes_of_text, staged
 WINDOW = 10
 TERM_BYTES = 32 << 20
 BATCH_BYTES = 8 << 20
+RAREST = 3  # terms of a window whose lists are intersected first
+BROADCAST_ROWS = 1_000_000  # document numbers broadcast to thin the postings; more are joined by a shuffle
 LENGTH = -1  # the term number under which the index keeps a document's number of words
 
 # Bytes of words as they are, A-Z in lower case, all others blank.
@@ -67,9 +70,9 @@ def item_terms(items: DataFrame, item: str = "item_id", text: str = "text") -> D
 
 
 def build_index(documents: DataFrame, terms: list[bytes], key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Postings of the given terms: ``doc`` (a row number), ``doc_id``, ``term`` (position in ``terms``), ``positions``.
+    """Postings of the given terms: ``doc`` (a row number), ``term`` (position in ``terms``), ``positions``.
 
-    Each document also has a row with the term ``LENGTH`` whose one position is its number of words.
+    Each document also has a row with the term ``LENGTH``, which holds its ``doc_id`` and, as the one position, its number of words.
     """
     shared = documents.sparkSession.sparkContext.broadcast({term: n for n, term in enumerate(terms)})
     kind = documents.select(key).schema[0].dataType.simpleString()
@@ -99,7 +102,7 @@ def build_index(documents: DataFrame, terms: list[bytes], key: str = "doc_id", t
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(docs + row),
-                    batch.column(0).take(pa.array(docs)),
+                    batch.column(0).take(pa.array(np.where(np.arange(len(docs)) < len(first), n, docs), mask=np.arange(len(docs)) < len(first))),
                     pa.array(np.concatenate([term[first], np.full(n, LENGTH)]).astype(np.int32)),
                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(positions)),
                 ],
@@ -120,16 +123,28 @@ def phrase_matches(index: DataFrame, items: DataFrame, window: int = WINDOW) ->
     frequency = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     known = items.join(frequency, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     reach = W.partitionBy("item").orderBy("i").rowsBetween(0, window - 1)
+    own = F.array_sort(F.collect_list(F.struct("df", F.col("i").alias("at"), "term")).over(reach))
     seeds = (
-        known.select("item", "i", "length", F.min(F.struct("df", F.col("i").alias("at"), F.col("term").alias("seed"))).over(reach).alias("rarest"))
-        .filter((F.col("i") <= F.greatest(F.lit(0), F.col("length") - window)) & (F.col("rarest.df") > 0))
-        .select("item", "rarest.at", F.col("rarest.seed").alias("term"))
-        .distinct()
+        known.select("item", "i", "length", own.alias("own"))
+        .filter((F.col("i") <= F.greatest(F.lit(0), F.col("length") - window)) & (F.col("own")[0]["df"] > 0))
+        .groupBy("item", F.slice("own", 1, RAREST).alias("own"))
+        .agg(F.min("i").alias("seed"))
+        .select("item", "seed", F.size("own").alias("need"), F.inline("own"))
+        .drop("df")
     )
-    alignments = (
-        postings.join(seeds, "term").select("doc", "item", "at", F.explode("positions").alias("p")).select("doc", "item", (F.col("p") - F.col("at")).alias("shift")).distinct()
+    # The seeds are no more rows than the block of items has words, times a constant.
+    agreed = (
+        postings.join(F.broadcast(seeds), "term")
+        .select("doc", "item", "seed", "need", "at", F.explode("positions").alias("p"))
+        .groupBy("doc", "item", "seed", "need", (F.col("p") - F.col("at")).alias("shift"))
+        .agg(F.count(F.lit(1)).alias("n"))
+        .filter("n = need")
     )
-    wanted = alignments.join(items.select("item", "item_id", "i", "term", "length"), "item")
+    alignments = staged(index.sparkSession, agreed.select("doc", "item", "shift").distinct(), "alignments")
+    docs = alignments.select("doc").distinct()
+    if docs.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        postings = postings.join(F.broadcast(docs), "doc", "left_semi")
+    wanted = alignments.join(F.broadcast(items.select("item", "item_id", "i", "term", "length")), "item")
     here = wanted.join(postings.select("doc", "term", "positions"), ["doc", "term"]).filter(F.expr("array_contains(positions, shift + i)"))
     # Offsets in a row have the same difference to their row number.
     order = W.partitionBy("doc", "item", "shift").orderBy("i")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakewright.llm import chat, decontaminate, langid, quality, secrets, warc
+from lakewright.llm import brown, chat, decontaminate, langid, packing, quality, secrets, warc
 from lakewright.llm.common import crc_of_id
 from lakewright.session import new_path
 from lakewright.sources.readers import read_parquet
@@ -54,7 +54,7 @@ def op4_warc(spark: SparkSession, folder: str) -> DataFrame:
     """All pages written as WARC records and read back."""
     archive = new_path(spark, "warc")
     pages = table(spark, folder, "pages")
-    warc.write_warc(spark, warc.page_records(pages), archive)
+    warc.write_warc(spark, warc.page_records(pages), archive, compression="gzip")
     back = warc.read_warc(spark, archive).filter(F.col("record_type").isin("response", "revisit"))
     kind = dict(pages.dtypes)["page_id"]
 
@@ -72,6 +72,28 @@ def op4_warc(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def tokenizer() -> tuple[str, int]:
+    """Path and size of the vocabulary the packing query is defined with."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json"), 50_257
+
+
+@query
+def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents packed into sequences of 2048 tokens at most."""
+    pieces = packing.pack_documents(spark, table(spark, folder, "documents"), *tokenizer())
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query
+def op7_class_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Log probabilities of all documents, learned from four fifths of them."""
+    documents = table(spark, folder, "documents").select("doc_id", "text", (crc_of_id("doc_id") % 5 == 1).alias("held_out"))
+    model, counts = brown.train(spark, documents.filter(~F.col("held_out")))
+    return brown.score(spark, documents, model, counts, keep=("held_out",))
+
+
 @query
 def op8_secret_ledger(spark: SparkSession, folder: str) -> DataFrame:
     """Secrets of all documents, by way of a new ledger."""

@@ -6,6 +6,9 @@ a record that fails them, or that the reader was told not to want, is skipped wi
 Writing: every task attempt writes files of its own name and bounded size; the manifest of a committed write names those that
 count, so a lost executor or a repeated attempt leaves nothing a reader would see.
 
+Compressed archives have a gzip member per record. Members written here carry their length in an extra field, so a
+reader inflates a record's headers and jumps over the rest; members of others are inflated one after the other.
+
 Folders are reached through ``pyarrow.fs``, so a file system Arrow knows is needed: local, shared mounts, HDFS, S3, GCS.
 
 Edge cases: a missing payload is an empty one; a missing URL leaves the header out; line breaks in a header value become
@@ -18,7 +21,9 @@ import base64
 import gzip
 import io
 import json
+import struct
 import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -97,18 +102,61 @@ def record_bytes(row: dict, date: str) -> bytes:
     return head + b"\r\n" + block + b"\r\n\r\n"
 
 
-def read_headers(stream: io.BufferedIOBase) -> dict[str, str] | None:
-    """Headers up to the empty line, names in lower case; None at the end of the stream."""
+SKIP = struct.Struct("<4B4x2BH2sHI")  # gzip header with one extra field, "sl": the length of the whole member
+
+
+def gzip_member(data: bytes) -> bytes:
+    packer = zlib.compressobj(6, zlib.DEFLATED, -15)
+    body = packer.compress(data) + packer.flush()
+    head = SKIP.pack(0x1F, 0x8B, 8, 4, 0, 255, 8, b"sl", 4, SKIP.size + len(body) + 8)
+    return head + body + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
+
+
+def member_length(head: bytes) -> int | None:
+    """Length of the member that starts so, if it carries one."""
+    if len(head) < SKIP.size:
+        return None
+    a, b, _, flags, _, _, extra, name, size, length = SKIP.unpack(head)
+    return length if (a, b, flags, extra, name, size) == (0x1F, 0x8B, 4, 8, b"sl", 4) else None
+
+
+class _Inflate(io.RawIOBase):
+    """The content of a member, inflated only as far as it is read."""
+
+    def __init__(self, source, length: int):
+        self.source, self.left, self.unpack, self.rest = source, length, zlib.decompressobj(-15), b""
+
+    def readable(self):
+        return True
+
+    def readinto(self, buffer):
+        while not self.unpack.eof:
+            if not self.rest and self.left:
+                self.rest = self.source.read(min(self.left, 1 << 16))
+                self.left -= len(self.rest)
+            data = self.unpack.decompress(self.rest, len(buffer))
+            self.rest = self.unpack.unconsumed_tail
+            if data:
+                buffer[: len(data)] = data
+                return len(data)
+            if not self.rest and not self.left:
+                break
+        return 0
+
+
+def read_headers(stream: io.BufferedIOBase) -> dict | None:
+    """Headers up to the empty line, names in lower case, and their size as ``bytes``; None at the end of the stream."""
     line = stream.readline()
     while line in (b"\r\n", b"\n"):
         line = stream.readline()
     if not line:
         return None
-    found = {"": line.decode("utf-8", "replace").strip()}
+    found, size = {"": line.decode("utf-8", "replace").strip()}, len(line)
     while (line := stream.readline()) not in (b"\r\n", b"\n", b""):
         name, _, value = line.decode("utf-8", "replace").partition(":")
         found[name.strip().lower()] = value.strip()
-    return found
+        size += len(line)
+    return found | {"bytes": size + len(line)}
 
 
 @dataclass
@@ -175,56 +223,81 @@ class WarcReader(DataSourceReader):
                 return False
         return True
 
-    def records(self, stream: io.BufferedIOBase, length: int) -> Iterator[dict]:
-        """Records that start within the first ``length`` bytes (-1: all)."""
-        while length < 0 or stream.tell() < length:
-            found = read_headers(stream)
-            if found is None:
+    def record(self, stream: io.BufferedIOBase) -> tuple[dict | None, int]:
+        """The next record, None if it is not wanted, and how many bytes of it are left unread (-1: no record)."""
+        found = read_headers(stream)
+        if found is None:
+            return None, -1
+        left = int(found.get("content-length", 0))
+        row = {c: found.get(name) for c, name in HEADERS.items()}
+        for c in ("record_id", "refers_to"):
+            row[c] = row[c] and row[c].strip("<>")
+        row["payload_digest"] = digest_to_hex(row["payload_digest"])
+        if not self.wanted(row):
+            return None, left
+        row |= {"payload_bytes": left, "payload": None}
+        if found.get("content-type", "").startswith("application/http"):
+            http = read_headers(stream) or {}
+            left -= http.get("bytes", 0)
+            row["payload_bytes"] = int(http.get("content-length", left))
+        if self.payload and left:
+            row["payload"] = stream.read(left)
+            left = 0
+        return row, left
+
+    def records(self, path: str, start: int, end: int) -> Iterator[dict]:
+        """Records that start in the given part of a file."""
+        system, _ = open_folder(self.path)
+        with system.open_input_file(path) as source:
+            source.seek(start)
+            if not path.endswith(".gz"):
+                stream = io.BufferedReader(_From(source), 1 << 16)
+                while end < 0 or stream.tell() < end:
+                    row, left = self.record(stream)
+                    if left < 0:
+                        return
+                    if row:
+                        yield row
+                    if left:
+                        stream.seek(left, 1)
                 return
-            size = int(found.get("content-length", 0))
-            end = stream.tell() + size
-            row = {c: found.get(name) for c, name in HEADERS.items()}
-            for c in ("record_id", "refers_to"):
-                row[c] = row[c] and row[c].strip("<>")
-            row["payload_digest"] = digest_to_hex(row["payload_digest"])
-            row |= {"payload_bytes": size, "payload": None}
-            if self.wanted(row):
-                if found.get("content-type", "").startswith("application/http"):
-                    http = read_headers(stream) or {}
-                    row["payload_bytes"] = int(http.get("content-length", end - stream.tell()))
-                if self.payload and end > stream.tell():
-                    row["payload"] = stream.read(end - stream.tell())
-                yield row
-            if end > stream.tell():
-                stream.seek(end)
+            while end < 0 or start < end:
+                length = member_length(source.read(SKIP.size))
+                source.seek(start)
+                if length is None:
+                    break
+                source.seek(start + SKIP.size)
+                row, _ = self.record(io.BufferedReader(_Inflate(source, length - SKIP.size - 8), 1 << 12))
+                if row:
+                    yield row
+                start += length
+                source.seek(start)
+            else:
+                return
+            stream = gzip.GzipFile(fileobj=source)
+            while (got := self.record(stream))[1] >= 0:
+                if got[0]:
+                    yield got[0]
+                stream.read(got[1])
 
     def read(self, partition: Piece) -> Iterator[pa.RecordBatch]:
-        system, _ = open_folder(self.path)
         held, size = [], 0
         for path, start, end in partition.parts:
-            if path.endswith(".gz"):
-                stream, length = gzip.GzipFile(fileobj=system.open_input_stream(path, compression=None)), -1
-            else:
-                source = system.open_input_file(path)
-                stream = io.BufferedReader(_From(source, start), 1 << 16)
-                length = end - start if end >= 0 else -1
-            with stream:
-                for row in self.records(stream, length):
-                    held.append(row)
-                    size += len(row["payload"] or b"") + 200
-                    if size >= BATCH_BYTES:
-                        yield pa.RecordBatch.from_pylist(held, ARROW)
-                        held, size = [], 0
+            for row in self.records(path, start, end):
+                held.append(row)
+                size += len(row["payload"] or b"") + 200
+                if size >= BATCH_BYTES:
+                    yield pa.RecordBatch.from_pylist(held, ARROW)
+                    held, size = [], 0
         if held:
             yield pa.RecordBatch.from_pylist(held, ARROW)
 
 
 class _From(io.RawIOBase):
-    """A file from some byte on, seekable."""
+    """An Arrow file as a raw stream, for buffering."""
 
-    def __init__(self, source, start: int):
-        self.source, self.start = source, start
-        source.seek(start)
+    def __init__(self, source):
+        self.source = source
 
     def readable(self):
         return True
@@ -233,14 +306,11 @@ class _From(io.RawIOBase):
         return True
 
     def tell(self):
-        return self.source.tell() - self.start
+        return self.source.tell()
 
     def seek(self, to, whence=0):
-        if whence == 1:
-            to += self.tell()
-        elif whence == 2:
-            to += self.source.size() - self.start
-        self.source.seek(self.start + to)
+        to += self.source.tell() if whence == 1 else self.source.size() if whence == 2 else 0
+        self.source.seek(to)
         return to
 
     def readinto(self, buffer):
@@ -248,11 +318,6 @@ class _From(io.RawIOBase):
         buffer[: len(data)] = data
         return len(data)
 
-    def close(self):
-        if not self.closed:
-            self.source.close()
-        super().close()
-
 
 class WarcWriter(DataSourceArrowWriter):
     def __init__(self, options: dict, overwrite: bool):
@@ -269,7 +334,7 @@ class WarcWriter(DataSourceArrowWriter):
             for row in batch.to_pylist():
                 data = record_bytes(row, self.date)
                 if self.gzip:
-                    data = gzip.compress(data, 6)
+                    data = gzip_member(data)
                 if out is not None and files[-1]["bytes"] + len(data) > self.limit:
                     out.close()
                     out = None
@@ -278,7 +343,7 @@ class WarcWriter(DataSourceArrowWriter):
                     out = system.open_output_stream(f"{root}/{name}", compression=None)
                     files.append({"name": name, "bytes": 0, "splits": [0]})
                 last = files[-1]
-                if not self.gzip and last["bytes"] - last["splits"][-1] >= SPLIT_BYTES:
+                if last["bytes"] - last["splits"][-1] >= SPLIT_BYTES:
                     last["splits"].append(last["bytes"])
                 out.write(data)
                 last["bytes"] += len(data)
