@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakewright.llm import brown, chat, decontaminate, langid, packing, quality, secrets, warc
+from lakewright.llm import brown, chat, decontaminate, jaccard, langid, packing, quality, repeats, secrets, warc
 from lakewright.llm.common import crc_of_id
 from lakewright.session import new_path
 from lakewright.sources.readers import read_parquet
@@ -35,6 +35,12 @@ def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score")
 
 
+@query
+def op2_repeated_bytes(spark: SparkSession, folder: str) -> DataFrame:
+    """What is left of every document without the 50-byte strings of documents with smaller ids."""
+    return repeats.remove_repeats(spark, table(spark, folder, "documents")).drop("kept")
+
+
 @query
 def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Words of every document inside benchmark windows."""
@@ -72,6 +78,12 @@ def op4_warc(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op5_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Classes of all documents linked by nine tenths of their shingles."""
+    return jaccard.jaccard_classes(spark, table(spark, folder, "documents"))
+
+
 def tokenizer() -> tuple[str, int]:
     """Path and size of the vocabulary the packing query is defined with."""
     import public_tokenizers
