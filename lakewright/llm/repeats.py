@@ -21,7 +21,6 @@ import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -126,8 +125,8 @@ def rerank(frame: DataFrame, keys: list[str]) -> DataFrame:
 
     Groups are summed before the shuffle and joined back, so that adaptive execution can split a hot string.
     """
-    groups = frame.groupBy(*keys).agg(F.min(F.struct("doc_id", "row", "at")).alias("rank"), F.max("doc_id").alias("last")).filter("rank.doc_id < last").drop("last")
-    return frame.join(groups, keys).select("row", "doc_id", "at", "rank")
+    groups = frame.groupBy(*keys).agg(F.min(F.struct("doc_id", "row", "at")).alias("name"), F.max("doc_id").alias("last")).filter("name.doc_id < last").drop("last")
+    return frame.join(groups, keys).select("row", "doc_id", "at", F.col("name").alias("rank"))
 
 
 def repeated_strings(spark: SparkSession, rows: DataFrame, length: int = LENGTH) -> DataFrame:
