@@ -198,13 +198,13 @@ def group_links(sets: DataFrame, percent: int) -> DataFrame:
     A group is cut into blocks by size; blocks whose sizes are too far apart to hold partners do not meet.
     """
     order = W.partitionBy("label").orderBy("n", "node").rowsBetween(W.unboundedPreceding, 0)
-    blocked = sets.withColumn("block", F.floor((F.sum("n").over(order) - 1) / BLOCK_SHINGLES))
+    # The running sum moves sizes only; the sets follow in the join.
+    blocked = sets.select("node", "n", "label").withColumn("block", F.floor((F.sum("n").over(order) - 1) / BLOCK_SHINGLES))
     spans = blocked.groupBy("label", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     a, b = spans.alias("a"), spans.alias("b")
     meet = a.join(b, "label").filter(F.expr(f"a.block <= b.block AND {percent} * b.low <= 100 * a.high")).select("label", F.col("a.block").alias("x"), F.col("b.block").alias("y"))
-    tasks = blocked.join(
-        meet.select("label", F.explode(F.array_distinct(F.array("x", "y"))).alias("block"), "x", "y"), ["label", "block"]
-    )
+    places = blocked.join(meet.select("label", F.explode(F.array_distinct(F.array("x", "y"))).alias("block"), "x", "y"), ["label", "block"])
+    tasks = places.join(sets.select("node", "tokens"), "node")
 
     def search(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("node")
@@ -256,6 +256,7 @@ def jaccard_classes(spark: SparkSession, documents: DataFrame, key: str = "doc_i
     ids = F.broadcast(ids) if wanted.count() <= BROADCAST_ROWS else ids
     texts = documents.select(key, text).join(ids, key, "left_semi").select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     sets = texts.mapInArrow(full, "node bigint, fp binary, tokens binary").join(wanted, ["node", "fp"]).dropDuplicates(["node"])
+    sets = staged(spark, sets, "full-sets")
     found = staged(spark, group_links(sets.select("node", "n", "label", "tokens"), percent), "links")
     linked = components(spark, wanted.select("node"), found).filter("node != label")
     classes = prints.join(linked, "node", "left").select("fp", F.coalesce("label", "node").alias("class"))
