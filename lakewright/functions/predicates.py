@@ -50,6 +50,17 @@ def whole_days(name: str, first: str | date, last: str | date) -> Column:
     return half_open(name, lo.date(), hi.date() + timedelta(days=1))
 
 
+def day_range(name: str, first: str | date | None, last: str | date | None) -> Column:
+    """Both days included whole; None leaves a side open, whatever dates it holds."""
+    if first is not None and last is not None:
+        return whole_days(name, first, last)
+    if first is not None:
+        return col(name) >= moment_literal(_moment(first).date())
+    if last is not None:
+        return col(name) < moment_literal(_moment(last).date() + timedelta(days=1))
+    return F.lit(True)
+
+
 def equals(name: str, value: object) -> Column:
     return col(name) == key_literal(value)
 

@@ -111,7 +111,5 @@ def filter_table(
         df = select_members(df, category, values)
     if date_column is not None:
         df = df.filter(col(date_column).isNotNull())
-        lo, hi = start or "0001-01-01", end or "9999-12-30"
-        if start is not None or end is not None:
-            df = df.filter(predicates.whole_days(date_column, lo, hi))
+        df = df.filter(predicates.day_range(date_column, start, end))
     return df

@@ -11,8 +11,8 @@ from lakewright.operators.numbering import with_row_number
 
 # Spark merges a top n in one task; beyond this size the distributed row number is used.
 ONE_TASK_ROWS = 200_000
-# Smallest, largest and usual number of preview rows.
-PREVIEW_MIN, PREVIEW_MAX, PREVIEW_ROWS = 5, 100, 10
+# Fixed value: usual number of preview rows.
+PREVIEW_ROWS = 10
 
 
 def sort_by(df: DataFrame, *keys: str | Column) -> DataFrame:
@@ -31,6 +31,5 @@ def preview(
     df: DataFrame, rows: int = PREVIEW_ROWS, keys: Sequence[str | Column] = (), all_columns: bool = False
 ) -> DataFrame:
     """A few rows and, unless asked for all, the first columns; repeatable when keys are given."""
-    rows = max(PREVIEW_MIN, min(rows, PREVIEW_MAX))
     shown = top_n(df, keys, rows) if keys else df.limit(rows)
     return shown if all_columns else first_columns(shown, PREVIEW_COLUMNS)

@@ -13,8 +13,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lakewright.functions.columns import (
-    MAX_CATEGORY_CHARTS,
-    MAX_NUMERIC_CHARTS,
     as_double,
     categorical_columns,
     col,
@@ -28,10 +26,9 @@ from lakewright.functions.columns import (
 )
 from lakewright.operators.quantiles import exact_quantiles
 
-# Reach of the quartile fences, z-score bound, ranked outlier columns, top values.
+# Reach of the quartile fences, z-score bound, top values.
 FENCE_FACTOR = 1.5
 Z_BOUND = 3
-RANKED_COLUMNS = 20
 TOP_VALUES = 10
 
 _CORRELATION = "column_a string, column_b string, correlation double"
@@ -277,7 +274,7 @@ def value_counts(
     df: DataFrame,
     columns: Sequence[str] | None = None,
     k: int = TOP_VALUES,
-    max_columns: int | None = MAX_CATEGORY_CHARTS,
+    max_columns: int | None = None,
 ) -> DataFrame:
     """The ``k`` most frequent non-null values of each categorical column; ties by value.
 
@@ -296,7 +293,7 @@ def value_counts(
 
 
 def histogram(
-    df: DataFrame, columns: Sequence[str] | None = None, bins: int = 20, max_columns: int | None = MAX_NUMERIC_CHARTS
+    df: DataFrame, columns: Sequence[str] | None = None, bins: int = 20, max_columns: int | None = None
 ) -> DataFrame:
     """Rows per equal-width bin of each numeric column, empty bins left out.
 
@@ -390,6 +387,7 @@ def _outlier_rows(wide: DataFrame, names: Sequence[str]) -> DataFrame:
     )
 
 
-def rank_outliers(outliers: DataFrame, k: int = RANKED_COLUMNS) -> DataFrame:
-    """The columns with the largest share of outliers; ties by name."""
-    return outliers.orderBy(F.desc_nulls_last("outlier_pct"), "column").limit(k)
+def rank_outliers(outliers: DataFrame, k: int | None = None) -> DataFrame:
+    """The columns by their share of outliers, largest first, ties by name; only ``k`` of them if asked for."""
+    ranked = outliers.orderBy(F.desc_nulls_last("outlier_pct"), "column")
+    return ranked if k is None else ranked.limit(k)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -80,7 +81,7 @@ def stratified_sample(
     """
     numbered = with_row_number(df, [col(stratum), *order_by], "__rn")
     strata = numbered.groupBy(col(stratum).alias("__s")).agg(
-        F.min("__rn").alias("__first"), F.ceil(F.count(F.lit(1)) * F.lit(float(fraction))).alias("__take")
+        F.min("__rn").alias("__first"), F.ceil(F.count(F.lit(1)) * F.lit(Decimal(str(fraction)))).cast("bigint").alias("__take")
     )
     if strata.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         strata = F.broadcast(strata)

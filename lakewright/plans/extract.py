@@ -37,6 +37,8 @@ def joined_rows(fact: DataFrame, detail: DataFrame, categories: DataFrame, confi
 
     All filters sit below the join, on the side they belong to, and reach the scans.
     """
+    if bool(config.start) != bool(config.end):
+        raise ValueError("give both days of the range or neither")
     if config.date_column and config.start and config.end:
         stop = date.fromisoformat(config.end) + timedelta(days=1)
         fact = fact.filter(predicates.half_open(config.date_column, config.start, stop))
@@ -81,7 +83,7 @@ def run_extract(
         date=slot,
         partition_columns=[config.partition_column] if config.partition_column else [],
         mode="overwrite",
-        dynamic=slot is not None,
+        dynamic=slot is not None or config.partition_column is not None,
         sort_by=[config.fact_key],
         target_file_bytes=config.target_file_bytes,
         options=parquet_options(

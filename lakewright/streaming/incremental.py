@@ -43,7 +43,10 @@ def append_new(df: DataFrame, key: str, path: str, **kwargs) -> object | None:
     spark = df.sparkSession
     try:
         mark = high_water_mark(spark.read.parquet(path), key)
-    except AnalysisException:
+    except AnalysisException as error:
+        # Only a dataset that is not there yet has no mark; anything else is a fault.
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         mark = None
     new = df if mark is None else df.filter(predicates.after_key(key, mark))
     top = high_water_mark(new, key)

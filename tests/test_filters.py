@@ -142,3 +142,9 @@ def test_filters_reach_the_scan(lineitem, orders):
     assert "In(o_orderpriority, [1-URGENT,2-HIGH])" in plan_of(
         orders.filter(p.allowed("o_orderpriority", ["1-URGENT", "2-HIGH"]))
     )
+
+
+def test_open_day_ranges_keep_extreme_dates(spark):
+    rows = spark.sql("SELECT id, CAST(d AS timestamp_ntz) d FROM VALUES (1, '0001-01-01'), (2, '2024-01-02 23:59:59'), (3, '9999-12-31') t(id, d)")
+    kept = lambda **days: sorted(r.id for r in filters.filter_table(rows, date_column="d", **days).collect())
+    assert kept(start="2024-01-02") == [2, 3] and kept(end="2024-01-02") == [1, 2] and kept() == [1, 2, 3]

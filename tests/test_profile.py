@@ -162,3 +162,9 @@ def test_outliers(spark):
 
 def test_count_matching(mixed):
     assert tuple(profile.count_matching(mixed, F.col("n") == 3).first()) == (2, 5)
+
+
+def test_no_column_is_left_out_by_default(spark):
+    wide = spark.range(20).selectExpr(*[f"id + {i} AS n{i}" for i in range(21)], *[f"CAST(id % 2 AS string) AS s{i}" for i in range(11)])
+    assert profile.histogram(wide, bins=2).select("column").distinct().count() == 21
+    assert profile.value_counts(wide).select("column").distinct().count() == 11
