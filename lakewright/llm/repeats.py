@@ -5,10 +5,17 @@ string, so equal ranks mean equal strings, whatever the hash of anything. The fi
 position's rank with the rank ``step`` bytes on, groups the rank pairs in Spark and reranks: 16 bytes, 32, and the threshold of 50. A
 position whose string starts in one document only can never repeat and leaves at once.
 
-Most positions never enter. Every 50-byte string has an anchor, the smallest hash of the 20-byte strings in it, which is the
-same wherever the string occurs. Anchors are counted first, about one for 15 bytes; their hashes that occur in two
-documents go into a bitmap of fixed size, and only strings whose anchor is in the bitmap become positions. The bitmap may let
-others pass, never hold one back.
+Copies are long, so most of their strings are settled before, at one position for many. A text is cut into phrases where
+nearby bytes alone say so, about every 65 bytes, and the positions of cuts are ranked by their phrase and the bytes after it
+that the strings starting in the phrase reach (as 128 bits of BLAKE2). Such a prefix is past the threshold: where it also occurs in
+a document of smaller id, every string inside it is settled. The doubling ranks what phrases leave open: the strings at
+the ends of copies, short ones, and first occurrences. The document with the smallest id that holds a string is never settled by
+phrases, so it still meets every open string.
+
+Most strings enter neither. Every 50-byte string has an anchor, the smallest hash of the 20-byte strings in it, which is the
+same wherever the string occurs. Anchors are counted first, about one for 15 bytes; those that occur in two
+rows go into a bitmap of fixed size, and only strings whose anchor is in the bitmap are looked at. Before the bytes are
+ranked this is done once more, with the open strings alone. The bitmap may let others pass, never hold one back.
 
 Edge cases: missing text is empty; texts shorter than the threshold are kept whole; repeated rows with one id do not remove
 each other, as neither id is smaller; rows without an id are kept whole; an empty table gives an empty result; other columns are ignored. A
@@ -32,6 +39,7 @@ from lakewright.llm.common import batches, bytes_of_text, staged
 LENGTH = 50
 ANCHOR = 20
 FIRST = 16
+REACH = 32  # a cut has the only smallest hash among so many places on either side
 BITS = 28  # the bitmap has 2 ** BITS bits
 BATCH_BYTES = 2 << 20
 MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -42,82 +50,196 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def anchors(text: np.ndarray, length: int = LENGTH, width: int = ANCHOR) -> np.ndarray:
-    """The anchor hash of every string of ``length`` bytes: the smallest hash of its substrings of ``width`` bytes."""
-    if len(text) < length:
+def hashes(text: np.ndarray, width: int) -> np.ndarray:
+    """A hash of every substring of ``width`` bytes, from those of half the width."""
+    if len(text) < width:
         return np.zeros(0, np.uint64)
+    half, reach, out, done = text.astype(np.uint64) + np.uint64(1), 1, None, 0
     size = len(text) - width + 1
-    value = np.full(size, 1, np.uint64)
-    for j in range(width):
-        value = (value + text[j : j + size]) * np.uint64(0x9E3779B97F4A7C15)
-    value = mix(value)
-    window, reach = length - width + 1, 1
+    while reach <= width:
+        if width & reach:
+            part = half[done : done + size]
+            out = part if out is None else out * MIX + part
+            done += reach
+        if 2 * reach <= width:
+            half = half[:-reach] * np.uint64(0x9E3779B97F4A7C15 + 2 * reach) + half[reach:]
+            half ^= half >> np.uint64(31)
+        reach *= 2
+    return mix(out)
+
+
+def smallest(value: np.ndarray, window: int) -> np.ndarray:
+    """The smallest of every ``window`` neighbouring values."""
+    if len(value) < window:
+        return value[:0]
+    reach = 1
     while 2 * reach <= window:
         value = np.minimum(value[:-reach], value[reach:])
         reach *= 2
-    if reach < window:
-        value = np.minimum(value[: -(window - reach)], value[window - reach :])
-    return value
+    return np.minimum(value[: -(window - reach)], value[window - reach :]) if reach < window else value
+
+
+def anchors(text: np.ndarray, length: int = LENGTH, width: int = ANCHOR) -> np.ndarray:
+    """The anchor hash of every string of ``length`` bytes: the smallest hash of its substrings of ``width`` bytes."""
+    return smallest(hashes(text, width), length - width + 1)
 
 
-def shared_bitmap(spark: SparkSession, rows: DataFrame, length: int) -> np.ndarray:
-    """Bits of the anchors that occur in documents of different ids, as bytes."""
+def cuts(text: np.ndarray) -> np.ndarray:
+    """Where phrases begin: at 0 and where a hash is smaller than all others near it. Copies are cut alike inside."""
+    value = hashes(text, ANCHOR)
+    least = smallest(value, 2 * REACH + 1)
+    at = np.flatnonzero(value[REACH : REACH + len(least)] == least) + REACH
+    gap = np.diff(at, prepend=-REACH - 1, append=len(text) + REACH + 1) > REACH
+    return np.append(0, at[gap[:-1] & gap[1:]])
+
+
+def shared_bitmap(rows: DataFrame, length: int) -> np.ndarray:
+    """Bits of the anchors that occur in two rows, as words. ``rows``: ``row``, ``text``; parts of a row count as one if they lie together."""
 
     def send(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(frames, BATCH_BYTES):
-            found, ids = [], []
-            for doc, content in zip(batch.column(0).to_pylist(), bytes_of_text(batch.column(1))):
-                own = np.unique(anchors(np.frombuffer(content, np.uint8), length))
-                found.append(own)
-                ids.append(np.full(len(own), doc, np.int64))
-            hashes, ids = np.concatenate(found), np.concatenate(ids)
-            order = np.lexsort((ids, hashes))
-            hashes, ids = hashes[order], ids[order]
-            first = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1])) if len(hashes) else np.zeros(0, np.int64)
-            last = np.append(first[1:], len(hashes)) - 1 if len(first) else first
-            yield pa.RecordBatch.from_arrays([pa.array(hashes[first].view(np.int64)), pa.array(ids[first]), pa.array(ids[last])], ["h", "low", "high"])
-
-    both = rows.mapInArrow(send, "h bigint, low bigint, high bigint").groupBy("h").agg(F.min("low").alias("low"), F.max("high").alias("high")).filter("low < high")
-    places = both.select(F.shiftrightunsigned("h", 64 - BITS).alias("place"))
+            found: dict[int, list[np.ndarray]] = {}
+            for row, content in zip(batch.column(0).to_pylist(), bytes_of_text(batch.column(1))):
+                found.setdefault(row, []).append(places(np.frombuffer(content, np.uint8), length))
+            place, n = np.unique(np.concatenate([np.unique(np.concatenate(x)) for x in found.values()]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(place.astype(np.int32)), pa.array(np.minimum(n, 2).astype(np.int32))], ["place", "n"])
+
+    both = rows.mapInArrow(send, "place int, n int").groupBy("place").agg(F.sum("n").alias("n")).filter("n > 1")
     # At most one row of 32 bits for each word of the bitmap.
-    words = places.groupBy(F.expr("shiftright(place, 5)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, CAST(place % 32 AS INT)))").alias("bits")).toPandas()
+    words = both.groupBy(F.expr("shiftright(place, 5)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, place % 32))").alias("bits")).toPandas()
     out = np.zeros(1 << (BITS - 5), "<u4")
     out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).astype(np.uint32)
     return out
 
 
-def positions(spark: SparkSession, rows: DataFrame, bitmap: np.ndarray, length: int) -> DataFrame:
-    """``row``, ``doc_id``, ``at`` and 16 bytes (``k1``, ``k2``) of every byte of the strings that may repeat, and whether one starts there.
+def places(text: np.ndarray, length: int) -> np.ndarray:
+    """The bit of the anchor of every string of ``length`` bytes."""
+    return (anchors(text, length) >> np.uint64(64 - BITS)).astype(np.int64)
 
-    The last bytes of a candidate string need ranks too, as far as 16 bytes start there.
-    """
+
+def candidates(bitmap: np.ndarray, text: np.ndarray, length: int) -> np.ndarray:
+    """Whether each string of ``length`` bytes has its anchor in the bitmap."""
+    place = places(text, length)
+    return (bitmap[place >> 5] >> (place & 31).astype(np.uint32)) & 1 == 1
+
+
+def runs_of(mask: np.ndarray) -> list[tuple[int, int]]:
+    """Begin and end of every run of true values."""
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], mask.view(np.int8), [0]])))
+    return list(zip(edge[::2].tolist(), edge[1::2].tolist()))
+
+
+def covered_bytes(starts: np.ndarray, length: int) -> np.ndarray:
+    """Bytes of the strings of ``length`` bytes that begin at ``starts``."""
+    step = np.zeros(len(starts) + length, np.int64)
+    at = np.flatnonzero(starts)
+    step[at] += 1
+    step[at + length] -= 1
+    return np.cumsum(step)[:-1] > 0
+
+
+PHRASES = "at int, stop int, k1 bigint, k2 bigint"
+SEGMENTS = "base int, text binary"
+
+
+def segments_of(content: bytes, starts: np.ndarray, length: int) -> list[tuple[int, bytes]]:
+    """Place and bytes of every part that consists of strings of ``length`` bytes beginning at ``starts``."""
+    return [(a, content[a:b]) for a, b in runs_of(covered_bytes(starts, length))]
+
+
+def phrases_of(content: bytes, text: np.ndarray, starts: np.ndarray, length: int) -> list[tuple[int, int, int, int]]:
+    """Begin, end and digest of the phrases whose first string may repeat, each with all strings that start in it."""
+    begin = cuts(text)
+    end = np.append(np.minimum(begin[1:] + length - 1, len(text)), len(text))
+    live = np.append(starts, np.zeros(length, bool))[begin]
+    out = []
+    for a, b in zip(begin[live].tolist(), end[live].tolist()):
+        digest = hashlib.blake2b(content[a:b], digest_size=16).digest()
+        out.append((a, b, int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)))
+    return out
+
+
+def candidate_parts(spark: SparkSession, rows: DataFrame, bitmap: np.ndarray, length: int) -> DataFrame:
+    """``row``, ``doc_id``, ``phrases`` and ``segments`` of the texts with strings that may repeat."""
     shared = spark.sparkContext.broadcast(bitmap)
+    kinds = [pa.list_(pa.struct([("at", pa.int32()), ("stop", pa.int32()), ("k1", pa.int64()), ("k2", pa.int64())])), pa.list_(pa.struct([("base", pa.int32()), ("text", pa.binary())]))]
 
     def run(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(frames, BATCH_BYTES):
+            out: list[list] = [[], [], [], []]
             for row, doc, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), bytes_of_text(batch.column(2))):
                 text = np.frombuffer(content, np.uint8)
-                place = (anchors(text, length) >> np.uint64(64 - BITS)).astype(np.int64)
-                starts = (shared.value[place >> 5] >> (place & 31).astype(np.uint32)) & 1 == 1
+                starts = candidates(shared.value, text, length)
+                if starts.any():
+                    own = [dict(zip(("at", "stop", "k1", "k2"), x)) for x in phrases_of(content, text, starts, length)]
+                    parts = [{"base": a, "text": b} for a, b in segments_of(content, starts, length)]
+                    for column, value in zip(out, (row, doc, own, parts)):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], kinds[0]), pa.array(out[3], kinds[1])], ["row", "doc_id", "phrases", "segments"])
+
+    return rows.mapInArrow(run, f"row bigint, doc_id bigint, phrases array<struct<{PHRASES.replace(' ', ':').replace(',:', ',')}>>, segments array<struct<{SEGMENTS.replace(' ', ':').replace(',:', ',')}>>")
+
+
+def open_segments(segments: DataFrame, settled: DataFrame, length: int) -> DataFrame:
+    """``row``, ``doc_id``, ``base`` and ``text``: the parts of the segments with strings that ``settled`` (``row``, ``first``, ``last`` start) does not hold."""
+    spans = settled.groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+
+    def run(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(frames, BATCH_BYTES):
+            out: list[list] = [[], [], [], []]
+            for r, content in zip(batch.select(["row", "doc_id", "base", "spans"]).to_pylist(), bytes_of_text(batch.column("text"))):
+                starts = np.ones(len(content) - length + 1, bool)
+                for s in r["spans"] or []:
+                    starts[max(s["first"] - r["base"], 0) : max(s["last"] + 1 - r["base"], 0)] = False
+                for at, part in segments_of(content, starts, length):
+                    for column, value in zip(out, (r["row"], r["doc_id"], r["base"] + at, part)):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.binary()))], ["row", "doc_id", "base", "text"])
+
+    joined = segments.join(spans, "row", "left").select("row", "doc_id", "base", "text", "spans")
+    return joined.mapInArrow(run, "row bigint, doc_id bigint, base int, text binary")
+
+
+def steps_of(length: int) -> list[int]:
+    """The offsets by which the prefix doubles from ``FIRST`` bytes to ``length``."""
+    out, reach = [], FIRST
+    while reach < length:
+        out.append(min(reach, length - reach))
+        reach += out[-1]
+    return out
+
+
+def positions(spark: SparkSession, segments: DataFrame, bitmap: np.ndarray, length: int) -> DataFrame:
+    """``row``, ``doc_id``, ``at`` and 16 bytes (``k1``, ``k2``) of the strings that may repeat and of the places their doubling looks at."""
+    shared = spark.sparkContext.broadcast(bitmap)
+    offsets = {0}
+    for step in steps_of(length):
+        offsets |= {x + step for x in offsets}
+
+    def run(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(frames, BATCH_BYTES):
+            for row, doc, base, content in zip(*[batch.column(i).to_pylist() for i in range(3)], bytes_of_text(batch.column(3))):
+                text = np.frombuffer(content, np.uint8)
+                starts = candidates(shared.value, text, length)
                 if not starts.any():
                     continue
                 needs = np.zeros(len(text) - FIRST + 1, bool)
-                for step in range(length - FIRST + 1):
-                    needs[step : step + len(starts)] |= starts
+                for offset in offsets:
+                    needs[offset : offset + len(starts)] |= starts
                 at = np.flatnonzero(needs)
                 pairs = np.lib.stride_tricks.sliding_window_view(text, FIRST)[at].copy().view("<i8")
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.full(len(at), row)),
                         pa.array(np.full(len(at), doc)),
-                        pa.array(at.astype(np.int32)),
+                        pa.array((base + at).astype(np.int32)),
                         pa.array(np.ascontiguousarray(pairs[:, 0])),
                         pa.array(np.ascontiguousarray(pairs[:, 1])),
                     ],
                     ["row", "doc_id", "at", "k1", "k2"],
                 )
 
-    return rows.mapInArrow(run, "row bigint, doc_id bigint, at int, k1 bigint, k2 bigint")
+    return segments.mapInArrow(run, "row bigint, doc_id bigint, at int, k1 bigint, k2 bigint")
 
 
 def rerank(frame: DataFrame, keys: list[str]) -> DataFrame:
@@ -129,23 +251,36 @@ def rerank(frame: DataFrame, keys: list[str]) -> DataFrame:
     return frame.join(groups, keys).select("row", "doc_id", "at", F.col("name").alias("rank"))
 
 
+def settled_by_phrases(parts: DataFrame, length: int) -> DataFrame:
+    """``row``, ``first``, ``last``: all strings that start from ``first`` to ``last`` also start in a document of smaller id."""
+    found = parts.select("row", "doc_id", F.explode("phrases").alias("p")).select("row", "doc_id", "p.*")
+    least = found.groupBy("k1", "k2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last")).filter("least < last").drop("last")
+    return found.join(least, ["k1", "k2"]).filter("least < doc_id").selectExpr("row", "at AS first", f"stop - {length} AS last")
+
+
 def repeated_strings(spark: SparkSession, rows: DataFrame, length: int = LENGTH) -> DataFrame:
-    """``row``, ``at``: where strings of ``length`` bytes start that also start in a document of smaller id.
+    """``row``, ``first``, ``last``: strings of ``length`` bytes that start there also start in a document of smaller id.
 
     ``rows``: ``row`` (unique), ``doc_id`` (bigint, not null), ``text``.
     """
     if length < FIRST + ANCHOR:
         raise ValueError(f"at least {FIRST + ANCHOR} bytes")
-    bitmap = shared_bitmap(spark, rows.select("doc_id", "text"), length)
-    ranked = staged(spark, rerank(positions(spark, rows, bitmap, length), ["k1", "k2"]), "ranks")
-    covered = FIRST
-    while covered < length:
-        step = min(covered, length - covered)
-        ahead = W.partitionBy("row").orderBy("at").rangeBetween(step, step)
-        pairs = ranked.withColumn("next", F.first("rank").over(ahead)).filter("next IS NOT NULL")
-        ranked = staged(spark, rerank(pairs, ["rank", "next"]) if covered + step < length else _final(pairs), "ranks")
-        covered += step
-    return ranked
+    bitmap = shared_bitmap(rows.select("row", "text"), length)
+    parts = staged(spark, candidate_parts(spark, rows, bitmap, length), "repeat-candidates")
+    settled = staged(spark, settled_by_phrases(parts, length), "settled")
+    segments = parts.select("row", "doc_id", F.explode("segments").alias("s")).select("row", "doc_id", "s.*")
+    segments = staged(spark, open_segments(segments, settled, length), "open-strings")
+    bitmap = shared_bitmap(segments.select("row", "text"), length)
+    ranked = staged(spark, rerank(positions(spark, segments, bitmap, length), ["k1", "k2"]), "ranks")
+    for step in steps_of(length)[:-1]:
+        ranked = staged(spark, rerank(_pairs(ranked, step), ["rank", "next"]), "ranks")
+    starts = staged(spark, _final(_pairs(ranked, steps_of(length)[-1])), "starts")
+    return settled.union(starts.selectExpr("row", "at AS first", "at AS last"))
+
+
+def _pairs(ranked: DataFrame, step: int) -> DataFrame:
+    ahead = W.partitionBy("row").orderBy("at").rangeBetween(step, step)
+    return ranked.withColumn("next", F.first("rank").over(ahead)).filter("next IS NOT NULL")
 
 
 def _final(pairs: DataFrame) -> DataFrame:
@@ -166,9 +301,10 @@ def remove_repeats(spark: SparkSession, documents: DataFrame, length: int = LENG
     rows = documents.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(number, "row bigint, doc_id bigint, text string")
     starts = repeated_strings(spark, rows.filter("doc_id IS NOT NULL"), length)
     # Starts at most a string apart belong to one removed run.
-    order = W.partitionBy("row").orderBy("at")
-    fresh = starts.withColumn("fresh", F.when(F.col("at") - F.lag("at").over(order) <= length, 0).otherwise(1))
-    runs = fresh.withColumn("run", F.sum("fresh").over(order)).groupBy("row", "run").agg(F.min("at").alias("start"), (F.max("at") + length).alias("end"))
+    order = W.partitionBy("row").orderBy("first", "last")
+    before = F.max("last").over(order.rowsBetween(W.unboundedPreceding, -1))
+    fresh = starts.withColumn("fresh", F.when(F.col("first") - before <= length, 0).otherwise(1))
+    runs = fresh.withColumn("run", F.sum("fresh").over(order.rowsBetween(W.unboundedPreceding, 0))).groupBy("row", "run").agg(F.min("first").alias("start"), (F.max("last") + length).alias("end"))
     spans = runs.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
 
     def cut(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
