@@ -113,8 +113,8 @@ def shared_bitmap(rows: DataFrame, length: int) -> np.ndarray:
 
 
 def places(text: np.ndarray, length: int) -> np.ndarray:
-    """The bit of the anchor of every string of ``length`` bytes."""
-    return (anchors(text, length) >> np.uint64(64 - BITS)).astype(np.int64)
+    """The bit of the anchor of every string of ``length`` bytes. Anchors are small hashes, so they are mixed again."""
+    return (mix(anchors(text, length) * MIX) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
 def candidates(bitmap: np.ndarray, text: np.ndarray, length: int) -> np.ndarray:
