@@ -28,6 +28,7 @@ import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -41,6 +42,7 @@ ANCHOR = 20
 FIRST = 16
 REACH = 32  # a cut has the only smallest hash among so many places on either side
 BITS = 28  # the bitmap has 2 ** BITS bits
+BLOCK_BITS = 17  # and is built in blocks of so many
 BATCH_BYTES = 2 << 20
 MIX = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -105,10 +107,18 @@ def shared_bitmap(rows: DataFrame, length: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(place.astype(np.int32)), pa.array(np.minimum(n, 2).astype(np.int32))], ["place", "n"])
 
     both = rows.mapInArrow(send, "place int, n int").groupBy("place").agg(F.sum("n").alias("n")).filter("n > 1")
-    # At most one row of 32 bits for each word of the bitmap.
-    words = both.groupBy(F.expr("shiftright(place, 5)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, place % 32))").alias("bits")).toPandas()
+
+    def fill(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        bits = np.zeros(1 << BLOCK_BITS, np.uint8)
+        bits[frame["place"].to_numpy() & ((1 << BLOCK_BITS) - 1)] = 1
+        return pd.DataFrame({"block": [key[0]], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
+
+    # The driver gets the bitmap in blocks, 2 ** BITS bits in all whatever the input.
+    blocks = both.withColumn("block", F.shiftright("place", BLOCK_BITS)).groupBy("block").applyInPandas(fill, "block int, bits binary")
     out = np.zeros(1 << (BITS - 5), "<u4")
-    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).astype(np.uint32)
+    parts = out.view(np.uint8).reshape(-1, 1 << (BLOCK_BITS - 3))
+    for block, bits in blocks.collect():
+        parts[block] = np.frombuffer(bits, np.uint8)
     return out
 
 
