@@ -10,12 +10,9 @@ from pyspark.sql import DataFrame, functions as F
 from lakewright.functions import predicates
 from lakewright.functions.columns import col, field_type, missing
 
-# Below the first size the category set is joined, below the second it becomes
-# an IN list, from the second on the excluded values decide.
-SMALL_SET_SIZE = 10
-IN_LIST_SIZE = 30
-# A set of at most this many values may be broadcast; a larger one is left to a shuffled join.
+# A set of at most this many values and bytes may be broadcast; a larger one is left to a shuffled join.
 BROADCAST_VALUES = 100_000
+BROADCAST_BYTES = 16 * 1024 * 1024
 
 
 def valid_values(values: DataFrame, excluded: Iterable = ()) -> DataFrame:
@@ -30,11 +27,15 @@ def held_values(values: DataFrame) -> tuple[DataFrame, bool]:
     """A one-column set, and whether it is small enough to broadcast.
 
     A small set is read once here and kept by value, so that the scan behind it is not
-    repeated by every use; a larger one stays the plan it was.
+    repeated by every use; a larger one stays the plan it was. Bytes are summed before any value
+    is sent to the driver.
     """
-    found = values.limit(BROADCAST_VALUES + 1).collect()
-    if len(found) > BROADCAST_VALUES:
+    few = values.limit(BROADCAST_VALUES + 1)
+    size = F.octet_length(col(values.columns[0]).cast("string")).cast("bigint")
+    count, size = few.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    if count > BROADCAST_VALUES or size > BROADCAST_BYTES:
         return values, False
+    found = few.collect()
     return values.sparkSession.createDataFrame(found, values.schema), True
 
 
@@ -56,22 +57,16 @@ def apply_category_policy(
     """Filter on a category column.
 
     ``allow``: category among the valid values. ``deny``: category not among the excluded
-    values. ``auto`` chooses by the number of valid values: a set join below 10, an IN list
-    below 30, otherwise the deny form, and no filter when nothing is excluded. The forms
-    differ for categories that are not among the valid values, so ``allow`` is the default.
+    values. ``open``: no filter. They differ for categories that are not among the valid
+    values, so the caller chooses; the number of values never does.
     """
     if mode == "allow":
         return keep_values(df, column, valid)
     if mode == "deny":
         return df.filter(predicates.denied(column, excluded))
-    if mode != "auto":
+    if mode != "open":
         raise ValueError(f"unknown mode {mode!r}")
-    few = [row[0] for row in valid.limit(IN_LIST_SIZE).collect()]
-    if len(few) < SMALL_SET_SIZE:
-        return keep_values(df, column, valid)
-    if len(few) < IN_LIST_SIZE:
-        return df.filter(predicates.allowed(column, few))
-    return df.filter(predicates.denied(column, excluded))
+    return df
 
 
 def select_members(df: DataFrame, column: str, values: Sequence) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lakewright.functions.columns import col, quoted
+from lakewright.operators.numbering import hashable_columns
+from lakewright.session import new_path
 
 
 def star_with_prefix(
@@ -31,10 +33,17 @@ def star_with_prefix(
 
 
 def hot_keys(df: DataFrame, key: str, share: float = 0.01) -> list:
-    """Keys that hold at least ``share`` of the rows; at most ``1 / share`` of them exist."""
-    counts = df.filter(col(key).isNotNull()).groupBy(col(key).alias("k")).agg(F.count(F.lit(1)).alias("n"))
-    total = df.count()
-    return [row.k for row in counts.filter(F.col("n") >= F.lit(share * total)).collect()]
+    """Keys that hold at least ``share`` of the rows; at most ``1 / share`` of them exist.
+
+    One pass over the table: the total is the sum of the counts, which are staged.
+    """
+    if not 0 < share < 1:
+        raise ValueError("share lies between 0 and 1")
+    path = new_path(df.sparkSession, "key-counts")
+    df.groupBy(col(key).alias("k")).agg(F.count(F.lit(1)).alias("n")).write.parquet(path)
+    counts = df.sparkSession.read.parquet(path)
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    return [row.k for row in counts.filter(F.col("k").isNotNull() & (F.col("n") >= F.lit(share * total))).collect()]
 
 
 def join_salted(
@@ -59,7 +68,7 @@ def join_salted(
     hot = hot_keys(left, left_key, share)
     if not hot:
         return star_with_prefix(left, right, left_key, right_key, right_columns, prefix, how)
-    row_hash = F.xxhash64(*[col(c) for c in left.columns])
+    row_hash = F.xxhash64(*hashable_columns(left))
     l = left.withColumn(
         "__salt",
         F.when(col(left_key).isin(hot), F.pmod(row_hash, F.lit(salts)).cast("int")).otherwise(F.lit(0)),

@@ -22,11 +22,16 @@ _OFFSET = "__offset"
 _POSITION_BITS = 33
 
 
+def hashable_columns(df: DataFrame) -> list[Column]:
+    """The columns a hash can be taken of: all without maps."""
+    return [col(f.name) for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+
+
 def _written_in_order(df: DataFrame, order: Sequence[Column], partitions: int | None) -> DataFrame:
     spark = df.sparkSession
     # A hash of the row comes last in the order: rows of a hot key can then be split over tasks,
     # and equal keys are ordered the same way whenever a task is repeated.
-    hashable = [col(f.name) for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    hashable = hashable_columns(df)
     order = [*order, F.xxhash64(*hashable)] if hashable else list(order)
     ranged = df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order)
     path = new_path(spark, "ordered")

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, functions as F
 
 from lakewright.functions.columns import PREVIEW_COLUMNS, col, first_columns
-from lakewright.operators.numbering import with_row_number
+from lakewright.operators.numbering import hashable_columns, with_row_number
 
 # Spark merges a top n in one task; beyond this size the distributed row number is used.
 ONE_TASK_ROWS = 200_000
@@ -20,11 +20,12 @@ def sort_by(df: DataFrame, *keys: str | Column) -> DataFrame:
 
 
 def top_n(df: DataFrame, keys: Sequence[str | Column], n: int) -> DataFrame:
-    """The first ``n`` rows in key order; give keys that identify a row."""
+    """The first ``n`` rows, sorted by the keys and, where these are equal, by a hash of the row."""
     order = [col(k) if isinstance(k, str) else k for k in keys]
+    hashable = hashable_columns(df)
     if n <= ONE_TASK_ROWS:
-        return df.orderBy(*order).limit(n)
-    return with_row_number(df, order, "__rn").filter(f"__rn <= {int(n)}").drop("__rn")
+        return df.orderBy(*order, *([F.xxhash64(*hashable)] if hashable else [])).limit(n)
+    return with_row_number(df, order, "__rn").filter(f"__rn <= {int(n)}").orderBy("__rn").drop("__rn")
 
 
 def preview(

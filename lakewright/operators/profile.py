@@ -298,13 +298,17 @@ def histogram(
     """Rows per equal-width bin of each numeric column, empty bins left out.
 
     The maximum falls into the last bin and a constant column into bin 1. Every column is
-    aggregated for itself, so the shuffle holds one row per bin and task.
+    aggregated for itself, so the shuffle holds one row per bin and task. Infinite values are
+    counted in a row of their own without a bin.
     """
     names = list(columns) if columns is not None else numeric_columns(df, max_columns)
     values = df.select(*[finite_double(df, n).alias(f"c{i}") for i, n in enumerate(names)])
-    b = one_row(
-        values, [f(f"c{i}").alias(f"{t}{i}") for i in range(len(names)) for t, f in (("lo", F.min), ("hi", F.max))]
-    ).first()
+    bounds = []
+    for i, n in enumerate(names):
+        v = finite_double(df, n)
+        infinite = F.abs(as_double(n, field_type(df, n))) == F.lit(float("inf"))
+        bounds += [F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}"), F.count_if(infinite).alias(f"inf{i}")]
+    b = one_row(df, bounds).first()
     parts = []
     for i, n in enumerate(names):
         lo, hi = b[f"lo{i}"], b[f"hi{i}"]
@@ -330,6 +334,9 @@ def histogram(
                 "count",
             )
         )
+    infinite = [(n, None, None, None, b[f"inf{i}"]) for i, n in enumerate(names) if b[f"inf{i}"]]
+    if infinite:
+        parts.append(df.sparkSession.createDataFrame(infinite, "column string, bin bigint, bin_start double, bin_end double, count bigint"))
     if not parts:
         return df.sparkSession.createDataFrame([], "column string, bin bigint, bin_start double, bin_end double, count bigint")
     return reduce(DataFrame.unionByName, parts)

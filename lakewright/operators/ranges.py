@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from datetime import date, datetime, timedelta
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from lakewright.functions.columns import col, quoted
 from lakewright.functions.predicates import key_literal
-from lakewright.operators.numbering import ntile_of, with_row_number, with_running_total
+from lakewright.operators.numbering import ntile_of, with_running_total
 
 # Hours per time range in the conservative and in the wide setting.
 NARROW_HOURS = 12
@@ -69,7 +70,12 @@ def range_predicates(ranges: DataFrame, key: str) -> list[str]:
     name = quoted(key)
 
     def text(value: object) -> str:
-        return str(value) if isinstance(value, (int, float)) else "'" + str(value).replace("'", "''") + "'"
+        if isinstance(value, (int, float, Decimal)):
+            return str(value)
+        quoted_text = "'" + str(value).replace("'", "''") + "'"
+        if isinstance(value, datetime):
+            return f"TIMESTAMP {quoted_text}"
+        return f"DATE {quoted_text}" if isinstance(value, date) else quoted_text
 
     out = []
     for i, row in enumerate(rows):
@@ -132,11 +138,22 @@ def _day(value: str | date) -> datetime:
 
 
 def equal_ranges(df: DataFrame, order_by: Sequence[str], n: int, partitions: int | None = None) -> DataFrame:
-    """Exactly equal buckets of a table in key order: bucket, rows, first and last key."""
-    keys = df.select(*[col(c) for c in order_by])
-    total = keys.count()
-    numbered = with_row_number(keys, list(order_by), "rn", partitions)
-    first = order_by[0]
-    return numbered.groupBy(ntile_of(F.col("rn"), F.lit(total), n).alias("bucket")).agg(
-        F.count(F.lit(1)).alias("rows"), F.min(quoted(first)).alias("low"), F.max(quoted(first)).alias("high")
+    """Exactly equal buckets of a table in key order: bucket, rows, first and last key.
+
+    Rows are counted per key first, so a hot key is one row, which adds to every bucket it reaches into.
+    """
+    if n < 1:
+        raise ValueError("n must be at least 1")
+    keys = df.groupBy(*[col(c) for c in order_by]).agg(F.count(F.lit(1)).alias("__n"))
+    total = df.count()
+    counted = with_running_total(keys, list(order_by), F.col("__n"), "__upto", partitions)
+    first, rows, first_row = order_by[0], F.lit(total).cast("bigint"), F.col("__upto") - F.col("__n") + 1
+    buckets = F.sequence(ntile_of(first_row, rows, n), ntile_of(F.col("__upto"), rows, n))
+    reached = counted.select("*", F.explode(buckets).alias("bucket"))
+    small, large = total // n, total % n
+    end = F.col("bucket") * small + F.least(F.col("bucket"), F.lit(large))
+    begin = (F.col("bucket") - 1) * small + F.least(F.col("bucket") - 1, F.lit(large)) + 1
+    inside = F.least(F.col("__upto"), end) - F.greatest(first_row, begin) + 1
+    return reached.groupBy("bucket").agg(
+        F.sum(inside).alias("rows"), F.min(quoted(first)).alias("low"), F.max(quoted(first)).alias("high")
     )

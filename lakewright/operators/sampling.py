@@ -66,9 +66,20 @@ def systematic_sample(
     return placed.filter(kept).drop("__pos")
 
 
-def stratified_random(df: DataFrame, stratum: str, fractions: Mapping, seed: int = 42) -> DataFrame:
-    """About the given share of each stratum, in one scan."""
-    return df.sampleBy(col(stratum), dict(fractions), seed)
+def stratified_random(
+    df: DataFrame, stratum: str, fractions: Mapping, seed: int = 42, default: float | None = None
+) -> DataFrame:
+    """About the given share of each stratum, in one scan.
+
+    A stratum without a share, null among them, has the ``default``; without one it is an error.
+    """
+    listed = F.coalesce(col(stratum).isin(list(fractions)), F.lit(False))
+    if default is None and not df.filter(~listed).isEmpty():
+        raise ValueError("some strata have no share; list them or give a default")
+    share = F.lit(default or 0.0)
+    for value, fraction in fractions.items():
+        share = F.when(col(stratum) == F.lit(value), F.lit(fraction)).otherwise(share)
+    return df.filter(F.rand(seed) < share)
 
 
 def stratified_sample(

@@ -16,7 +16,8 @@ class ExtractConfig:
 
     ``start`` and ``end`` are days, both included whole. ``hours`` is the width of the time
     ranges that name the date folders. ``schema`` fixes the output types in advance; without
-    it they are decided from the joined rows.
+    it they are decided from the joined rows. A run with neither days nor a partition column
+    writes a dataset without folders and fails where one exists, unless ``replace`` is set.
     """
 
     table: str
@@ -42,4 +43,5 @@ class ExtractConfig:
     row_group_rows: int | None = ROW_GROUP_ROWS
     dictionary_columns: tuple[str, ...] | None = None
     target_file_bytes: int = TARGET_FILE_BYTES
+    replace: bool = False
     facts: dict[str, str] = field(default_factory=dict)

@@ -56,6 +56,18 @@ def shared_folder(spark: SparkSession) -> str:
     return made
 
 
+def folders_like(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that match a pattern of Hadoop's file systems, in whatever store they are."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+    return sorted(f.getPath().toString() for f in found or [])
+
+
+def drop_folder(spark: SparkSession, name: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def new_path(spark: SparkSession, label: str) -> str:
     """A path in the shared folder that no earlier run has used."""
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"

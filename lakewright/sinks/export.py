@@ -6,8 +6,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
 
-# One file means one task: allowed up to this many rows, after a count.
-SINGLE_FILE_ROWS = 1_000_000
+from lakewright.sources.readers import CSV_FORMAT
 
 # Without these Spark writes milliseconds only.
 _MICROSECONDS = {
@@ -16,14 +15,24 @@ _MICROSECONDS = {
 }
 
 
-def write_csv(df: DataFrame, path: str, single_file: bool = False, mode: str = "errorifexists") -> None:
-    """CSV with a header in every file, no index; null and empty text both come out empty."""
-    if single_file:
-        if df.limit(SINGLE_FILE_ROWS + 1).count() > SINGLE_FILE_ROWS:
-            raise ValueError(f"a single CSV file may hold {SINGLE_FILE_ROWS} rows; export to many files")
+def write_csv(
+    df: DataFrame,
+    path: str,
+    single_file_rows: int | None = None,
+    mode: str = "errorifexists",
+    options: Mapping[str, object] | None = None,
+) -> None:
+    """CSV with a header in every file, no index; null and empty text both come out empty.
+
+    ``single_file_rows`` asks for one file, written by one task, of at most so many rows.
+    """
+    if single_file_rows is not None:
+        if df.limit(single_file_rows + 1).count() > single_file_rows:
+            raise ValueError(f"more than {single_file_rows} rows for a single CSV file")
         # A shuffle to one task, so that the work before it stays parallel.
         df = df.repartition(1)
-    df.write.mode(mode).option("header", True).option("emptyValue", "").options(**_MICROSECONDS).csv(path)
+    writer = df.write.mode(mode).option("header", True).option("emptyValue", "").options(**CSV_FORMAT, **_MICROSECONDS)
+    writer.options(**dict(options or {})).csv(path)
 
 
 def write_report(tables: Mapping[str, DataFrame], path: str, mode: str = "errorifexists") -> None:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lakewright.functions.cleaning import partition_text
 from lakewright.functions.columns import col
-from lakewright.session import new_path, settings
+from lakewright.session import drop_folder, folders_like, new_path, settings
 
 # Codec, level, and rows per row group of the conservative and the wide setting.
 CODEC, LEVEL = "zstd", 6
@@ -97,8 +97,15 @@ def write_partitioned(
     return by
 
 
+def refuse_stream_output(spark: SparkSession, path: str) -> None:
+    """Raise for the output of the file sink of a stream: its log, not its folders, says what is read."""
+    if folders_like(spark, f"{path}/_spark_metadata"):
+        raise ValueError(f"{path} is written by a stream, whose log would hide or miss the replaced files; compact to a new path")
+
+
 def backfill(df: DataFrame, path: str, date: Column, **kwargs) -> list[str]:
     """Write a set of ranges in one job, replacing exactly the date folders they touch."""
+    refuse_stream_output(df.sparkSession, path)
     return write_partitioned(df, path, date=date, mode="overwrite", dynamic=True, **kwargs)
 
 
@@ -133,17 +140,31 @@ def compact(
 def compact_in_place(
     spark: SparkSession, path: str, partition_columns: Sequence[str], sort_by: Sequence[str] = (), **kwargs
 ) -> None:
-    """Compact a partitioned dataset under its own path.
+    """Compact the folders of a partitioned dataset that need it, under its own path.
 
-    The compacted copy is written beside it first and then replaces the folders, so a path is
-    never read and overwritten at once.
+    These are the folders of more files than their bytes fill, with a mean size below the
+    target. Their compacted copy is written beside the dataset first and then replaces them, so
+    a path is never read and overwritten at once; all other folders stay as they are.
     """
     if not partition_columns:
         raise ValueError("in-place compaction replaces partition folders")
-    staged = compact(spark, path, new_path(spark, "compacted"), partition_columns, sort_by, **kwargs)
-    write_partitioned(
-        staged, path, partition_columns=partition_columns, sort_by=sort_by, mode="overwrite", dynamic=True, **kwargs
-    )
+    refuse_stream_output(spark, path)
+    data, target = _read_text_partitions(spark, path), kwargs.get("target_file_bytes", TARGET_FILE_BYTES)
+    folders = manifest(data, partition_columns)
+    loose = folders.filter((F.col("bytes_written") < F.col("files_written") * target) & (F.ceil(F.col("bytes_written") / target) < F.col("files_written")))
+    # Kept by value, one row per folder: the dataset changes below.
+    listed = new_path(spark, "loose-folders")
+    loose.select(*[col(c).alias(f"__{i}") for i, c in enumerate(partition_columns)]).write.parquet(listed)
+    loose = spark.read.parquet(listed)
+    if loose.isEmpty():
+        return
+    same = [col(c).eqNullSafe(F.col(f"__{i}")) for i, c in enumerate(partition_columns)]
+    shape = {"partition_columns": partition_columns, "sort_by": sort_by, **kwargs}
+    copy = new_path(spark, "compacted")
+    write_partitioned(data.join(loose, same, "left_semi"), copy, **shape)
+    write_partitioned(_read_text_partitions(spark, copy), path, mode="overwrite", dynamic=True, **shape)
+    drop_folder(spark, copy)
+    drop_folder(spark, listed)
 
 
 def _read_text_partitions(spark: SparkSession, path: str) -> DataFrame:

@@ -10,6 +10,15 @@ from lakewright.functions.columns import col, quoted
 from lakewright.session import settings
 
 
+# Quoting as in RFC 4180, which other tools write and read.
+CSV_FORMAT = {
+    "quote": '"',
+    "escape": '"',
+    "ignoreLeadingWhiteSpace": "false",
+    "ignoreTrailingWhiteSpace": "false",
+}
+
+
 def read_parquet(spark: SparkSession, *paths: str) -> DataFrame:
     return spark.read.parquet(*paths)
 
@@ -19,10 +28,16 @@ def read_csv(
     path: str | Sequence[str],
     schema: T.StructType | str | None = None,
     options: Mapping[str, object] | None = None,
+    multi_line: bool = True,
 ) -> DataFrame:
-    """CSV with a header row. Without a schema Spark reads the data once more to infer it;
-    instants are then read without a time zone."""
-    reader = spark.read.option("header", True).options(**dict(options or {}))
+    """CSV with a header row, quotes doubled inside quoted text, spaces kept.
+
+    Without a schema Spark reads the data once more to infer it; instants are then read without
+    a time zone. Quoted text may hold line breaks, so a file is read by one task; for huge files
+    without such text ``multi_line=False`` lets Spark split them.
+    """
+    reader = spark.read.option("header", True).options(**CSV_FORMAT).option("multiLine", multi_line)
+    reader = reader.options(**dict(options or {}))
     if schema is not None:
         return reader.schema(schema).csv(path)
     with settings(spark, {"spark.sql.timestampType": "TIMESTAMP_NTZ"}):

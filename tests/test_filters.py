@@ -36,29 +36,16 @@ def test_allow_and_its_complement_cover_the_non_null_rows(spark):
     assert kept(outside) == [4, 5, 6]
 
 
-@pytest.mark.parametrize(
-    ("n_valid", "excluded", "expected"),
-    [
-        (0, ["v00"], "none"),
-        (9, ["x"], "valid"),
-        (10, ["x"], "valid"),
-        (29, ["x"], "valid"),
-        (30, ["x"], "not excluded"),
-        (30, [], "all"),
-    ],
-)
-def test_auto_policy_thresholds(spark, n_valid, excluded, expected):
+@pytest.mark.parametrize("n_valid", [0, 9, 30])
+def test_the_size_of_the_set_never_changes_the_policy(spark, n_valid):
     names = [f"v{i:02d}" for i in range(n_valid)]
     df = cats(spark, [*names, "x", "unlisted", None])
     valid = spark.createDataFrame([(n,) for n in names], "v string")
-    got = kept(filters.apply_category_policy(df, C, valid, excluded, "auto"))
-    want = {
-        "none": [],
-        "valid": list(range(n_valid)),
-        "not excluded": [*range(n_valid), n_valid + 1],
-        "all": list(range(n_valid + 3)),
-    }[expected]
-    assert got == want
+    assert kept(filters.apply_category_policy(df, C, valid, ["x"], "allow")) == list(range(n_valid))
+    assert kept(filters.apply_category_policy(df, C, valid, ["x"], "deny")) == [*range(n_valid), n_valid + 1]
+    assert kept(filters.apply_category_policy(df, C, valid, ["x"], "open")) == list(range(n_valid + 3))
+    with pytest.raises(ValueError):
+        filters.apply_category_policy(df, C, valid, ["x"], "auto")
 
 
 def test_policy_modes(spark):
@@ -148,3 +135,9 @@ def test_open_day_ranges_keep_extreme_dates(spark):
     rows = spark.sql("SELECT id, CAST(d AS timestamp_ntz) d FROM VALUES (1, '0001-01-01'), (2, '2024-01-02 23:59:59'), (3, '9999-12-31') t(id, d)")
     kept = lambda **days: sorted(r.id for r in filters.filter_table(rows, date_column="d", **days).collect())
     assert kept(start="2024-01-02") == [2, 3] and kept(end="2024-01-02") == [1, 2] and kept() == [1, 2, 3]
+
+
+def test_sets_of_many_bytes_are_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(filters, "BROADCAST_BYTES", 10)
+    long, short = (spark.createDataFrame([(v,)], "v string") for v in ("x" * 11, "x"))
+    assert filters.held_values(long)[1] is False and filters.held_values(short)[1] is True

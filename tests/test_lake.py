@@ -4,6 +4,7 @@ import os
 
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql.utils import AnalysisException
 from pyspark.sql import functions as F
 
 from lakewright import ExtractConfig, explore_table, profile_table, run_extract
@@ -99,17 +100,16 @@ def test_extraction_id_ignores_the_order_of_exclusions(spark):
     assert lake.extraction_id(spark, "t", None, None) == unset
 
 
-def test_csv_round_trip_and_single_file(spark, tmp_path, monkeypatch):
+def test_csv_round_trip_and_single_file(spark, tmp_path):
     df = spark.createDataFrame([(1, "a,b", ""), (2, None, 'q"t')], "id int, `a b` string, c string")
     path = str(tmp_path / "c")
-    export.write_csv(df, path, single_file=True)
+    export.write_csv(df, path, single_file_rows=100)
     (name,) = glob.glob(f"{path}/*.csv")
     lines = open(name).read().splitlines()
     assert lines[0] == "id,a b,c" and sorted(lines[1:])[0] == '1,"a,b",'
     assert readers.read_csv(spark, path).schema["id"].dataType.simpleString() == "int"
-    monkeypatch.setattr(export, "SINGLE_FILE_ROWS", 1)
     with pytest.raises(ValueError):
-        export.write_csv(df, str(tmp_path / "d"), single_file=True)
+        export.write_csv(df, str(tmp_path / "d"), single_file_rows=1)
 
 
 def test_jdbc_options():
@@ -201,6 +201,65 @@ def test_extract_job(spark, lineitem, orders, tmp_path, fixed):
     assert again.data.count() == want.count() and again.extraction_id == done.extraction_id
 
 
+def small_lake(spark, tmp_path, **kwargs):
+    day = F.timestamp_add("DAY", (F.col("id") % 10).cast("int"), F.lit("2024-01-01").cast("timestamp_ntz"))
+    fact = spark.range(200).select("id", day.alias("d"), F.when(F.col("id") % 2 == 0, "EU").otherwise("US").alias("zone"))
+    detail = fact.select("id", F.lit("c").alias("cat"), F.col("zone").alias("area"))
+    config = ExtractConfig("t", "id", "id", ("cat",), "cat", **{"date_column": "d", "hours": 48, **kwargs})
+    return run_extract(spark, fact, detail, detail.select("cat"), config, str(tmp_path))
+
+
+def everything(spark, result):
+    return sorted(values(lake.read_dataset(spark, result.path), "id"))
+
+
+def test_overlapping_and_repeated_runs_keep_each_row_once(spark, tmp_path):
+    ids = lambda low, high: [i for i in range(200) if low <= i % 10 + 1 <= high]
+    small_lake(spark, tmp_path, start="2024-01-01", end="2024-01-07")
+    second = small_lake(spark, tmp_path, start="2024-01-08", end="2024-01-10")
+    assert everything(spark, second) == list(range(200))
+    again = small_lake(spark, tmp_path, start="2024-01-02", end="2024-01-05")
+    assert everything(spark, again) == list(range(200))
+    assert sorted(values(again.partitions, "date")) == ["2024-01-01_00", "2024-01-03_00", "2024-01-05_00"]
+    assert sorted(values(again.data, "id")) == ids(1, 6) == sorted(values(again.data, "id"))
+    assert sum(values(again.partitions, "rows_processed")) == len(ids(1, 6))
+    with pytest.raises(ValueError):
+        small_lake(spark, tmp_path, start="2024-01-02", end="2024-01-05", hours=24)
+
+
+def test_runs_of_partition_values_stay_apart(spark, tmp_path):
+    days = {"start": "2024-01-01", "end": "2024-01-10"}
+    small_lake(spark, tmp_path, partition_column="area", partition_value="EU", **days)
+    us = small_lake(spark, tmp_path, partition_column="area", partition_value="US", **days)
+    assert everything(spark, us) == list(range(200))
+    assert set(values(us.data, "tb2_area")) == {"US"} and us.data.count() == 100
+
+
+def test_emptied_folders_go_and_plain_datasets_are_not_replaced(spark, tmp_path):
+    days = {"start": "2024-01-01", "end": "2024-01-10"}
+    small_lake(spark, tmp_path, **days)
+    none = small_lake(spark, tmp_path, excluded=("c",), **days)
+    assert not glob.glob(f"{none.path}/date=*")
+    with pytest.raises(AnalysisException):
+        small_lake(spark, tmp_path, date_column=None)
+
+
+def test_stream_output_is_not_rewritten(spark, tmp_path):
+    os.makedirs(tmp_path / "s" / "_spark_metadata")
+    with pytest.raises(ValueError):
+        lake.compact_in_place(spark, str(tmp_path / "s"), ["date"])
+
+
+def test_compaction_leaves_full_folders_alone(spark, tmp_path):
+    path = str(tmp_path / "c")
+    for part, count in (("a", 1), ("b", 3)):
+        spark.range(90).withColumn("p", F.lit(part)).repartition(count).write.mode("append").partitionBy("p").parquet(path)
+    before = glob.glob(f"{path}/p=a/*.parquet")
+    lake.compact_in_place(spark, path, ["p"])
+    assert glob.glob(f"{path}/p=a/*.parquet") == before and len(glob.glob(f"{path}/p=b/*.parquet")) == 1
+    assert spark.read.parquet(path).count() == 180
+
+
 def test_profile_job(spark, events, tmp_path):
     tables = profile_table(events, report_path=str(tmp_path / "r"))
     assert set(os.listdir(tmp_path / "r")) == set(tables)

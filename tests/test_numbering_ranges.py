@@ -140,4 +140,4 @@ def test_stratified_sample_takes_a_share_of_each_stratum(spark):
     assert sorted(map(tuple, out.collect())) == sorted(
         [(i, "big") for i in range(7)] + [(70, "small"), (71, "small"), (72, "small"), (99, None)]
     )
-    assert set(values(sampling.stratified_random(df, "s", {"big": 1.0}), "s")) == {"big"}
+    assert set(values(sampling.stratified_random(df, "s", {"big": 1.0}, default=0.0), "s")) == {"big"}

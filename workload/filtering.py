@@ -59,6 +59,34 @@ def _(spark, sf):
     return read_csv(spark, path, events.schema)
 
 
+@query("csv_documents", "S2 K5", "SELECT * REPLACE (nullif(text, '') AS text) FROM documents")
+def _(spark, sf):
+    docs, path = table(spark, sf, "documents"), new_path(spark, "csv")
+    write_csv(docs, path)
+    return read_csv(spark, path, docs.schema)
+
+
+@query("csv_pages", "S2 K5", "SELECT page_id, nullif(html, '') AS html FROM pages")
+def _(spark, sf):
+    pages, path = table(spark, sf, "pages").select("page_id", "html"), new_path(spark, "csv")
+    write_csv(pages, path)
+    return read_csv(spark, path, pages.schema)
+
+
+@query(
+    "csv_hard_text",
+    "S2 K5",
+    """SELECT event_id, CASE event_id % 4 WHEN 0 THEN ' "a", ' || chr(10) || ' b ' WHEN 1 THEN NULL
+       WHEN 2 THEN NULL ELSE '\\"' || event_type || '\\' END AS hard FROM events""",
+)
+def _(spark, sf):
+    turn = F.col("event_id") % 4
+    hard = F.when(turn == 0, ' "a", \n b ').when(turn == 1, "").when(turn == 3, F.concat(F.lit('\\"'), "event_type", F.lit("\\")))
+    rows, path = table(spark, sf, "events").select("event_id", hard.alias("hard")), new_path(spark, "csv")
+    write_csv(rows, path)
+    return read_csv(spark, path, rows.schema)
+
+
 @query("lookup_values", "S3 H2", "SELECT DISTINCT o_orderpriority FROM orders WHERE o_orderpriority IS NOT NULL")
 def _(spark, sf):
     return priorities(spark, sf)
@@ -130,7 +158,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     valid = filters.valid_values(priorities(spark, sf), ["5-LOW"])
-    return filters.apply_category_policy(table(spark, sf, "orders"), "o_orderpriority", valid, ["5-LOW"], "auto")
+    return filters.apply_category_policy(table(spark, sf, "orders"), "o_orderpriority", valid, ["5-LOW"], "allow")
 
 
 @query(
@@ -141,20 +169,20 @@ def _(spark, sf):
 def _(spark, sf):
     parts = table(spark, sf, "part")
     valid = filters.valid_values(read_values(parts, "p_brand"), ["Brand#11"])
-    return filters.apply_category_policy(parts, "p_brand", valid, ["Brand#11"], "auto")
+    return filters.apply_category_policy(parts, "p_brand", valid, ["Brand#11"], "allow")
 
 
 @query("policy_auto_deny", "W3 W2", f"SELECT * FROM {GROUPS} WHERE grp NOT IN ('g03', 'g07')")
 def _(spark, sf):
     events = keyed_groups(spark, sf)
     valid = filters.valid_values(read_values(events, "grp"), ["g03", "g07"])
-    return filters.apply_category_policy(events, "grp", valid, ["g03", "g07"], "auto")
+    return filters.apply_category_policy(events, "grp", valid, ["g03", "g07"], "deny")
 
 
 @query("policy_auto_open", "W3", f"SELECT * FROM {GROUPS}")
 def _(spark, sf):
     events = keyed_groups(spark, sf)
-    return filters.apply_category_policy(events, "grp", filters.valid_values(read_values(events, "grp")), (), "auto")
+    return filters.apply_category_policy(events, "grp", filters.valid_values(read_values(events, "grp")), (), "open")
 
 
 @query(
@@ -264,7 +292,7 @@ def _(spark, sf):
     config = ExtractConfig(
         **{
             **CONFIG.__dict__,
-            "category_mode": "auto",
+            "category_mode": "allow",
             "start": None,
             "end": None,
             "partition_column": "l_returnflag",

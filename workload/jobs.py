@@ -153,3 +153,46 @@ def _(spark, sf):
     lines, orders = table(spark, sf, "lineitem"), table(spark, sf, "orders")
     result = run_extract(spark, lines, orders, priorities(spark, sf), frozen, new_path(spark, "lake"))
     return result.partitions.select("date", "rows_processed")
+
+
+def _ids(sql):
+    return f"SELECT l_orderkey::BIGINT AS l_orderkey, l_linenumber::BIGINT AS l_linenumber, count(*) AS rows FROM ({sql}) GROUP BY 1, 2"
+
+
+def counted_ids(df):
+    keys = [F.col(c).cast("bigint").alias(c) for c in ("l_orderkey", "l_linenumber")]
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
+
+
+def runs(spark, sf, *changes):
+    """The whole dataset after some runs, and the result of the last of them."""
+    target = new_path(spark, "lake")
+    for change in changes:
+        config = ExtractConfig(**{**CONFIG.__dict__, "hours": 48, **change})
+        last = run_extract(spark, table(spark, sf, "lineitem"), table(spark, sf, "orders"), priorities(spark, sf), config, target)
+    return lake.read_dataset(spark, last.path), last
+
+
+YEARS = """SELECT l.l_orderkey, l.l_linenumber FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
+WHERE o.o_orderpriority <> '5-LOW' AND l_shipdate >= TIMESTAMP '1996-01-01' AND l_shipdate < TIMESTAMP '1998-01-01'"""
+
+
+@query("extract_overlapping_runs", "L1 I4 F5", _ids(YEARS))
+def _(spark, sf):
+    """Runs over days that overlap and cover folders in part leave each row once."""
+    parts = [("1996-01-01", "1996-12-30"), ("1996-12-31", "1997-12-31"), ("1996-06-02", "1997-02-05")]
+    return counted_ids(runs(spark, sf, *[{"start": a, "end": b} for a, b in parts])[0])
+
+
+@query("extract_detail_partition", "L1 W6 K1", _ids(YEARS + " AND o.o_orderstatus IN ('F', 'O')"))
+def _(spark, sf):
+    """Two runs for two values of a partition column of the detail side."""
+    return counted_ids(runs(spark, sf, *[{"partition_column": "o_orderstatus", "partition_value": v} for v in "FO"])[0])
+
+
+@query("extract_second_manifest", "L1 K6", f"SELECT count(*) AS rows_processed FROM ({YEARS})".replace("'1996-01-01'", "'1997-01-01'"))
+def _(spark, sf):
+    """The manifest of a second run counts the rows of its own folders: the first of them begins on 1 January 1997 and keeps
+    the rows of that day, which the first run wrote."""
+    last = runs(spark, sf, {"end": "1997-01-01"}, {"start": "1997-01-02"})[1]
+    return last.partitions.agg(F.sum("rows_processed").alias("rows_processed"))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from lakewright.operators import profile
 from lakewright.operators.quantiles import quantile_table
 from lakewright.plans.explore import explore_table, profile_table
 from lakewright.session import new_path
+from lakewright.sources.readers import read_csv
 from workload.registry import query, table
 
 NUMBERS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -110,9 +113,24 @@ def _(spark, sf):
     return rounded(found, null_percentage=4, unique_percentage=4, mean=4, std=4)
 
 
-@query("column_profile_sketched", "A5")
+@query(
+    "column_profile_sketched",
+    "A5",
+    "SELECT column_name AS column, true AS exact_equal, true AS distinct_within FROM (DESCRIBE lineitem)",
+)
 def _(spark, sf):
-    return profile.column_profile(table(spark, sf, "lineitem"), approximate=True)
+    """Whether what is not sketched equals the exact profile, and sketched distinct counts keep to five deviations of 5 %."""
+    lines = table(spark, sf, "lineitem")
+    plain = ["dtype", "null_count", "mean", "std", "min", "max"]
+    exact, sketched = profile.column_profile(lines), profile.column_profile(lines, approximate=True)
+    both = exact.alias("e").join(sketched.alias("s"), "column")
+    close = [
+        F.col(f"e.{c}").eqNullSafe(F.col(f"s.{c}")) if c not in ("mean", "std")
+        else F.coalesce(F.abs(F.col(f"e.{c}") - F.col(f"s.{c}")) <= F.abs(F.col(f"e.{c}")) * 1e-9, F.col(f"e.{c}").isNull())
+        for c in plain
+    ]
+    off = F.abs(F.col("e.unique_values") - F.col("s.unique_values"))
+    return both.select("column", reduce(lambda a, b: a & b, close).alias("exact_equal"), (off <= 0.25 * F.col("e.unique_values")).alias("distinct_within"))
 
 
 DESCRIBED = """count($) AS count, round(avg($), 4)::DOUBLE AS mean, round(stddev_samp($), 4)::DOUBLE AS std,
@@ -274,9 +292,25 @@ def profile_report(spark, sf):
     return rounded(found, null_percentage=4, unique_percentage=4, mean=4, std=4)
 
 
-@query("profile_sampled", "L2 P1")
+@query(
+    "profile_sampled",
+    "L2 P1",
+    "SELECT column_name AS column, true AS same_type, true AS inside, true AS mean_within FROM (DESCRIBE lineitem)",
+)
 def _(spark, sf):
-    return profile_table(table(spark, sf, "lineitem"), sample_rows=20_000)["columns"]
+    """Whether the profile of a sample has every column, lies inside the bounds of the table and its means within five deviations."""
+    lines = table(spark, sf, "lineitem")
+    sampled, whole = profile_table(lines, sample_rows=20_000)["columns"], profile.column_profile(lines, approximate=True)
+    both = whole.alias("w").join(sampled.alias("s"), "column")
+    none = F.col("w.mean").isNull()
+    inside = (F.col("s.min") >= F.col("w.min")) & (F.col("s.max") <= F.col("w.max"))
+    near = F.abs(F.col("s.mean") - F.col("w.mean")) <= 5 * F.col("w.std") / F.sqrt(F.lit(min(20_000, lines.count()) * 0.9))
+    return both.select(
+        "column",
+        (F.col("w.dtype") == F.col("s.dtype")).alias("same_type"),
+        F.when(none, True).otherwise(inside).alias("inside"),
+        F.when(none, True).otherwise(near).alias("mean_within"),
+    )
 
 
 FILTERED = """events WHERE event_type IN ('click', 'view', 'purchase') AND CAST(ts AS DATE) BETWEEN DATE '2024-01-03' AND DATE '2024-01-20'"""
@@ -308,4 +342,9 @@ def _(spark, sf):
 def _(spark, sf):
     path = new_path(spark, "export")
     _explore(spark, sf, export_path=path)
-    return spark.read.schema(table(spark, sf, "events").schema).option("header", True).csv(f"{path}/filtered")
+    events = table(spark, sf, "events")
+    original = read_csv(spark, f"{path}/original", events.schema)
+    # The exported original is the whole table, rows and all.
+    if not original.exceptAll(events).isEmpty() or original.count() != events.count():
+        raise ValueError("the exported original differs from the table")
+    return read_csv(spark, f"{path}/filtered", events.schema)

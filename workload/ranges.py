@@ -128,9 +128,18 @@ def _(spark, sf):
     return keyset_chunk(table(spark, sf, "lineitem"), "l_orderkey", 100, 333)
 
 
-@query("sample_random", "P1")
-def _(spark, sf):
-    return sampling.random_sample(table(spark, sf, "events"), 5000)
+@query("sample_random", "P1", "SELECT true AS subset, true AS size_within FROM (SELECT count(*) FROM events)")
+def _(spark, sf):
+    """Whether every sampled row is a row of the table, and the size within five deviations."""
+    events = table(spark, sf, "events")
+    total = events.count()
+    share = min(1.0, 5000 / total)
+    sample = sampling.random_sample(events, 5000, total=total).join(events.select("*", F.lit(1).alias("found")), events.columns, "left")
+    bound = 5 * (total * share * (1 - share)) ** 0.5
+    return sample.agg(
+        (F.count("found") == F.count(F.lit(1))).alias("subset"),
+        (F.abs(F.count(F.lit(1)) - F.lit(total * share)) <= bound).alias("size_within"),
+    )
 
 
 @query(
@@ -167,6 +176,29 @@ def _(spark, sf):
     return sampling.stratified_sample(table(spark, sf, "events"), "event_type", 0.05, ["event_id"])
 
 
-@query("sample_stratified_random", "P4")
+@query(
+    "equal_ranges_hot",
+    "F2 F3",
+    """SELECT bucket, count(*) AS rows, min(k) AS low, max(k) AS high
+       FROM (SELECT k, ntile(7) OVER (ORDER BY k) AS bucket FROM
+             (SELECT CASE WHEN event_id % 10 = 0 THEN event_id ELSE 500 END AS k FROM events)) GROUP BY bucket""",
+)
+def _(spark, sf):
+    hot = F.when(F.col("event_id") % 10 == 0, F.col("event_id")).otherwise(F.lit(500))
+    return ranges.equal_ranges(table(spark, sf, "events").select(hot.alias("k")), ["k"], 7)
+
+
+@query(
+    "sample_stratified_random",
+    "P4",
+    "SELECT o_orderpriority, true AS size_within FROM orders GROUP BY o_orderpriority",
+)
 def _(spark, sf):
-    return sampling.stratified_random(table(spark, sf, "orders"), "o_orderpriority", {"1-URGENT": 0.5, "2-HIGH": 0.1})
+    """Whether the sample of each stratum has its share, within five deviations."""
+    orders, shares = table(spark, sf, "orders"), {"1-URGENT": 0.5, "2-HIGH": 0.1}
+    share = F.when(F.col("o_orderpriority") == "1-URGENT", 0.5).when(F.col("o_orderpriority") == "2-HIGH", 0.1).otherwise(0.3)
+    sample = sampling.stratified_random(orders, "o_orderpriority", shares, default=0.3)
+    sizes = sample.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("k"))
+    strata = orders.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n")).join(sizes, "o_orderpriority", "left")
+    off = F.abs(F.coalesce("k", F.lit(0)) - F.col("n") * share)
+    return strata.select("o_orderpriority", (off <= 5 * F.sqrt(F.col("n") * share * (1 - share))).alias("size_within"))
