@@ -12,10 +12,11 @@ a document of smaller id, every string inside it is settled. The doubling ranks
 the ends of copies, short ones, and first occurrences. The document with the smallest id that holds a string is never settled by
 phrases, so it still meets every open string.
 
-Most strings enter neither. Every 50-byte string has an anchor, the smallest hash of the 20-byte strings in it, which is the
-same wherever the string occurs. Anchors are counted first, about one for 15 bytes; those that occur in two
-rows go into a bitmap of fixed size, and only strings whose anchor is in the bitmap are looked at. Before the bytes are
-ranked this is done once more, with the open strings alone. The bitmap may let others pass, never hold one back.
+Most strings enter neither. Every 50-byte string has an anchor, the smallest hash of the 20-byte strings in it, which is
+the same wherever the string occurs. Anchors are counted first, about one for 15 bytes; those that occur in two
+rows go into a bitmap of fixed size, and only strings whose anchor is in the bitmap are looked at. Before the doubling this is
+done once more, with the open strings alone and anchors of 40 bytes, which seldom meet by chance. The bitmap may let others pass,
+never hold one back.
 
 Edge cases: missing text is empty; texts shorter than the threshold are kept whole; repeated rows with one id do not remove
 each other, as neither id is smaller; rows without an id are kept whole; an empty table gives an empty result; other columns are ignored. A
@@ -81,7 +82,7 @@ def smallest(value: np.ndarray, window: int) -> np.ndarray:
     return np.minimum(value[: -(window - reach)], value[window - reach :]) if reach < window else value
 
 
-def anchors(text: np.ndarray, length: int = LENGTH, width: int = ANCHOR) -> np.ndarray:
+def anchors(text: np.ndarray, length: int, width: int) -> np.ndarray:
     """The anchor hash of every string of ``length`` bytes: the smallest hash of its substrings of ``width`` bytes."""
     return smallest(hashes(text, width), length - width + 1)
 
@@ -95,14 +96,14 @@ def cuts(text: np.ndarray) -> np.ndarray:
     return np.append(0, at[gap[:-1] & gap[1:]])
 
 
-def shared_bitmap(rows: DataFrame, length: int) -> np.ndarray:
+def shared_bitmap(rows: DataFrame, length: int, width: int) -> np.ndarray:
     """Bits of the anchors that occur in two rows, as words. ``rows``: ``row``, ``text``; parts of a row count as one if they lie together."""
 
     def send(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(frames, BATCH_BYTES):
             found: dict[int, list[np.ndarray]] = {}
             for row, content in zip(batch.column(0).to_pylist(), bytes_of_text(batch.column(1))):
-                found.setdefault(row, []).append(places(np.frombuffer(content, np.uint8), length))
+                found.setdefault(row, []).append(places(np.frombuffer(content, np.uint8), length, width))
             place, n = np.unique(np.concatenate([np.unique(np.concatenate(x)) for x in found.values()]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(place.astype(np.int32)), pa.array(np.minimum(n, 2).astype(np.int32))], ["place", "n"])
 
@@ -122,14 +123,14 @@ def shared_bitmap(rows: DataFrame, length: int) -> np.ndarray:
     return out
 
 
-def places(text: np.ndarray, length: int) -> np.ndarray:
+def places(text: np.ndarray, length: int, width: int) -> np.ndarray:
     """The bit of the anchor of every string of ``length`` bytes. Anchors are small hashes, so they are mixed again."""
-    return (mix(anchors(text, length) * MIX) >> np.uint64(64 - BITS)).astype(np.int64)
+    return (mix(anchors(text, length, width) * MIX) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-def candidates(bitmap: np.ndarray, text: np.ndarray, length: int) -> np.ndarray:
+def candidates(bitmap: np.ndarray, text: np.ndarray, length: int, width: int) -> np.ndarray:
     """Whether each string of ``length`` bytes has its anchor in the bitmap."""
-    place = places(text, length)
+    place = places(text, length, width)
     return (bitmap[place >> 5] >> (place & 31).astype(np.uint32)) & 1 == 1
 
 
@@ -179,7 +180,7 @@ def candidate_parts(spark: SparkSession, rows: DataFrame, bitmap: np.ndarray, le
             out: list[list] = [[], [], [], []]
             for row, doc, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), bytes_of_text(batch.column(2))):
                 text = np.frombuffer(content, np.uint8)
-                starts = candidates(shared.value, text, length)
+                starts = candidates(shared.value, text, length, ANCHOR)
                 if starts.any():
                     own = [dict(zip(("at", "stop", "k1", "k2"), x)) for x in phrases_of(content, text, starts, length)]
                     parts = [{"base": a, "text": b} for a, b in segments_of(content, starts, length)]
@@ -219,7 +220,7 @@ def steps_of(length: int) -> list[int]:
     return out
 
 
-def positions(spark: SparkSession, segments: DataFrame, bitmap: np.ndarray, length: int) -> DataFrame:
+def positions(spark: SparkSession, segments: DataFrame, bitmap: np.ndarray, length: int, width: int) -> DataFrame:
     """``row``, ``doc_id``, ``at`` and 16 bytes (``k1``, ``k2``) of the strings that may repeat and of the places their doubling looks at."""
     shared = spark.sparkContext.broadcast(bitmap)
     offsets = {0}
@@ -230,7 +231,7 @@ def positions(spark: SparkSession, segments: DataFrame, bitmap: np.ndarray, leng
         for batch in batches(frames, BATCH_BYTES):
             for row, doc, base, content in zip(*[batch.column(i).to_pylist() for i in range(3)], bytes_of_text(batch.column(3))):
                 text = np.frombuffer(content, np.uint8)
-                starts = candidates(shared.value, text, length)
+                starts = candidates(shared.value, text, length, width)
                 if not starts.any():
                     continue
                 needs = np.zeros(len(text) - FIRST + 1, bool)
@@ -275,13 +276,14 @@ def repeated_strings(spark: SparkSession, rows: DataFrame, length: int = LENGTH)
     """
     if length < FIRST + ANCHOR:
         raise ValueError(f"at least {FIRST + ANCHOR} bytes")
-    bitmap = shared_bitmap(rows.select("row", "text"), length)
+    bitmap = shared_bitmap(rows.select("row", "text"), length, ANCHOR)
     parts = staged(spark, candidate_parts(spark, rows, bitmap, length), "repeat-candidates")
     settled = staged(spark, settled_by_phrases(parts, length), "settled")
     segments = parts.select("row", "doc_id", F.explode("segments").alias("s")).select("row", "doc_id", "s.*")
     segments = staged(spark, open_segments(segments, settled, length), "open-strings")
-    bitmap = shared_bitmap(segments.select("row", "text"), length)
-    ranked = staged(spark, rerank(positions(spark, segments, bitmap, length), ["k1", "k2"]), "ranks")
+    wide = max(ANCHOR, length - 10)
+    bitmap = shared_bitmap(segments.select("row", "text"), length, wide)
+    ranked = staged(spark, rerank(positions(spark, segments, bitmap, length, wide), ["k1", "k2"]), "ranks")
     for step in steps_of(length)[:-1]:
         ranked = staged(spark, rerank(_pairs(ranked, step), ["rank", "next"]), "ranks")
     starts = staged(spark, _final(_pairs(ranked, steps_of(length)[-1])), "starts")
