@@ -16,6 +16,8 @@ from lakewright.llm.queries import table, tokenizer
 from lakewright.session import new_path
 
 LEAST_SCORE = 0.5
+# Near copies share four fifths of their five-word shingles; op5_jaccard_join keeps its own width and share.
+NEAR_WIDTH, NEAR_PERCENT = 5, 80
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +29,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each class of similar documents; one row for each id."""
-    classes = jaccard.jaccard_classes(spark, docs)
+    classes = jaccard.jaccard_classes(spark, docs, width=NEAR_WIDTH, percent=NEAR_PERCENT)
     kept = classes.filter(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select("doc_id").distinct()
     return docs.dropDuplicates(["doc_id"]).join(kept.select(F.col("doc_id").alias("_id")), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
 
