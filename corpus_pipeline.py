@@ -27,25 +27,34 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return found.filter((F.col("_lang") != langid.UNKNOWN) & (F.col("_score") >= LEAST_SCORE)).drop("_lang", "_score")
 
 
+def with_row_key(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """The rows written with a number of their own, ``_row``: ids may be missing or used by several rows."""
+    return staged(spark, docs.withColumn("_row", F.monotonically_increasing_id()), "row-keys")
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each class of similar documents; one row for each id."""
-    classes = jaccard.jaccard_classes(spark, docs, width=NEAR_WIDTH, percent=NEAR_PERCENT)
-    kept = classes.filter(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select("doc_id").distinct()
-    return docs.dropDuplicates(["doc_id"]).join(kept.select(F.col("doc_id").alias("_id")), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    """One row of each class of similar documents: that of the smallest id, a missing id last. Rows without words stay."""
+    keyed = with_row_key(spark, docs)
+    classes = jaccard.jaccard_classes(spark, keyed, key="_row", width=NEAR_WIDTH, percent=NEAR_PERCENT).withColumnRenamed("doc_id", "_row")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_row").alias("row"))
+    kept = classes.join(keyed.select("_row", "doc_id"), "_row").groupBy("component_id").agg(F.min(order).alias("first"))
+    return keyed.join(kept.select(F.col("first.row").alias("_row")), "_row", "left_semi").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of the benchmark."""
-    found = decontaminate.contamination(spark, docs, table(spark, sf_dir, "benchmark"))
-    hit = found.filter("n_hit > 0").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    keyed = with_row_key(spark, docs)
+    found = decontaminate.contamination(spark, keyed, table(spark, sf_dir, "benchmark"), key="_row")
+    hit = found.filter("n_hit > 0").select(F.col("doc_id").alias("_row"))
+    return keyed.join(hit, "_row", "left_anti").select(*docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with their secrets replaced and ``n_chars`` counted anew where one was."""
-    found = secrets.scan_secrets(spark, docs, new_path(spark, "secret-ledger"))
-    spans = found.filter(F.size("spans") > 0).select(F.col("doc_id").alias("_id"), "spans").dropDuplicates(["_id"])
-    joined = docs.join(spans.withColumnRenamed("spans", "_spans"), F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    keyed = with_row_key(spark, docs)
+    found = secrets.scan_secrets(spark, keyed, new_path(spark, "secret-ledger"), path="_row")
+    spans = found.filter(F.size("spans") > 0).select("_row", F.col("spans").alias("_spans"))
+    joined = keyed.join(spans, "_row", "left")
     clean = joined.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(secrets.redact("text", "_spans")))
     return clean.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text"))).select(*docs.columns)
 

@@ -1,7 +1,7 @@
 """N-gram Jaccard join by T-occurrence search with DivideSkip, and the classes its links form.
 
-A document is the set of its word shingles, hashed to 64 bits. Copies of a set share a fingerprint and are represented by the
-smallest id. Sets are ordered by hash; two sets that are similar enough share at least ``c`` of their first
+A document is the set of its word shingles, hashed to 64 bits. Copies of a set share a fingerprint and are represented by one
+number. Sets are ordered by hash; two sets that are similar enough share at least ``c`` of their first
 ``n - T + c`` shingles, where ``T`` is the overlap the smaller of two similar sets needs. Counting shared prefix
 shingles therefore drops, exactly, every document that can have no partner. The rest falls into groups connected by
 shared prefix shingles. A group is searched in blocks of bounded size: within a task, the short inverted lists of a query are
@@ -10,7 +10,8 @@ and exact overlaps decide. Documents already linked with the first of a block ar
 nothing to the classes.
 
 Edge cases: missing text and texts without words have no shingles and no links; with fewer words than a shingle, all words are
-one shingle; repeated rows are copies of each other; an empty table gives an empty result; other columns are ignored. One very long
+one shingle; repeated rows are copies of each other; rows without an id or with the id of another row are linked by their own
+text; an empty table gives an empty result; other columns are ignored. One very long
 text is one set in memory.
 """
 
@@ -222,13 +223,13 @@ def group_links(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def jaccard_classes(spark: SparkSession, documents: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """Per row ``doc_id``, ``n_shingles`` and ``component_id``, the smallest ``doc_id`` its links reach. Ids must be integers."""
+    """Per row ``doc_id``, ``n_shingles`` and ``component_id``, the smallest ``doc_id`` its links reach, missing if none there has an id."""
     every = staged(spark, sets_of(documents, key, text, width, percent), "shingle-sets")
-    prints = every.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("node"))
-    prints = staged(spark, prints.filter("node IS NOT NULL"), "fingerprints")
-    # One row of each distinct set: that of its smallest id.
-    distinct = every.join(prints.withColumnRenamed("node", "doc_id"), ["fp", "doc_id"], "left_semi").dropDuplicates(["fp", "doc_id"])
-    nodes = staged(spark, distinct.select(F.col("doc_id").cast("bigint").alias("node"), "n", "fp", "prefix"), "distinct-sets")
+    # One row of each distinct set, with its smallest id and a number of its own: ids may be missing or used by several rows.
+    least = every.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("least"))
+    prints = staged(spark, least.withColumn("node", F.monotonically_increasing_id()), "fingerprints")
+    one = every.alias("e").join(prints.alias("p"), F.expr("e.fp = p.fp AND e.doc_id <=> p.least")).select("p.node", "e.n", "p.fp", "e.prefix", "p.least")
+    nodes = staged(spark, one.dropDuplicates(["node"]), "distinct-sets")
     kept = staged(spark, nodes.join(with_partners(nodes, percent), "node", "left_semi"), "with-partners")
 
     def plain_prefix(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,22 +245,25 @@ def jaccard_classes(spark: SparkSession, documents: DataFrame, key: str = "doc_i
 
     def full(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(frames, BATCH_BYTES):
-            own = [shingles(x, width) for x in bytes_of_text(batch.column(1))]
+            own = [shingles(x, width) for x in bytes_of_text(batch.column(0))]
             prints = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in own]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(prints, pa.binary()), pa.array([x.tobytes() for x in own], pa.binary())], ["node", "fp", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(prints, pa.binary()), pa.array([x.tobytes() for x in own], pa.binary())], ["fp", "tokens"])
 
     # Groups of one have no links. The texts of the others are read again rather than keeping all sets.
     alone = groups.groupBy("label").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select("label")
-    wanted = groups.join(alone, "label").join(kept.select("node", "n", "fp"), "node")
-    wanted = staged(spark, wanted.select("node", "label", "n", "fp"), "grouped")
-    ids = wanted.select(F.col("node").alias(key))
+    wanted = groups.join(alone, "label").join(kept.select("node", "n", "fp", "least"), "node")
+    wanted = staged(spark, wanted.select("node", "label", "n", "fp", "least"), "grouped")
+    ids = wanted.select("least").distinct()
     ids = F.broadcast(ids) if wanted.count() <= BROADCAST_ROWS else ids
-    texts = documents.select(key, text).join(ids, key, "left_semi").select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    sets = texts.mapInArrow(full, "node bigint, fp binary, tokens binary").join(wanted, ["node", "fp"]).dropDuplicates(["node"])
+    # Another text under a wanted id goes when its fingerprint finds no node.
+    texts = documents.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).join(ids, F.expr("doc_id <=> least"), "left_semi").select("text")
+    sets = texts.mapInArrow(full, "fp binary, tokens binary").join(wanted.drop("least"), "fp").dropDuplicates(["node"])
     sets = staged(spark, sets, "full-sets")
     found = staged(spark, group_links(sets.select("node", "n", "label", "tokens"), percent), "links")
-    linked = components(spark, wanted.select("node"), found).filter("node != label")
-    classes = prints.join(linked, "node", "left").select("fp", F.coalesce("label", "node").alias("class"))
+    linked = components(spark, wanted.select("node"), found)
+    linked = staged(spark, prints.join(linked, "node", "left").select("fp", "least", F.coalesce("label", "node").alias("label")), "classes")
+    smallest = linked.groupBy("label").agg(F.min("least").alias("class"))
+    classes = linked.join(smallest, "label").select("fp", "class")
     return every.join(classes, "fp", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("class", "doc_id")).otherwise(F.col("doc_id")).alias("component_id")
+        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("class")).otherwise(F.col("doc_id")).alias("component_id")
     )

@@ -46,3 +46,73 @@ def test_near_copies_share_four_fifths_of_five_words(spark):
     far[20], far[50], far[80] = "x", "y", "z"
     df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(far))], "doc_id bigint, text string")
     assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, df, SMALL).collect()) == [1, 3]
+
+
+def family(seed, edits=0):
+    words = [f"{seed}{i}" for i in range(60)]
+    for i in range(edits):
+        words[30 + i] = f"new{seed}{i}"
+    return " ".join(words)
+
+
+ODD = [
+    (None, family("a")),
+    (None, family("b")),
+    (None, family("b", 1)),
+    (1, family("c")),
+    (1, family("d")),
+    (2, family("d", 1)),
+    (3, family("d", 2)),
+    (None, family("c", 1)),
+    (4, family("e")),
+    (4, family("e")),
+    (5, ""),
+    (None, None),
+    (6, "token=abcdef12 one"),
+    (6, "nothing to hide here"),
+    (None, "password=hunter2222 two"),
+    (None, "plain words only"),
+]
+
+
+def odd_documents(spark):
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in ODD]
+    return spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+
+
+def pairs(rows):
+    return sorted(((r[0], r[1]) for r in rows), key=str)
+
+
+def test_near_copies_without_row_ids(spark):
+    docs = odd_documents(spark)
+    got = corpus_pipeline.drop_near_copies(spark, docs, SMALL)
+    assert got.columns == docs.columns
+    assert pairs(got.collect()) == pairs(plain_near_copies(docs.collect()))
+
+
+def test_classes_without_row_ids(spark):
+    docs = odd_documents(spark)
+    rows = docs.collect()
+    least = {}
+    numbers = plain_classes([r.text for r in rows], 3, 90)
+    for c, r in zip(numbers, rows):
+        least[c] = min((x for x in (least.get(c), r.doc_id) if x is not None), default=None)
+    want = [(r.doc_id, len(plain_shingles(r.text, 3)), least[c]) for c, r in zip(numbers, rows)]
+    assert sorted(map(tuple, corpus_pipeline.jaccard.jaccard_classes(spark, docs).collect()), key=str) == sorted(want, key=str)
+
+
+def test_decontamination_without_row_ids(spark, monkeypatch):
+    leak = " ".join(f"q{i}" for i in range(12))
+    items = spark.createDataFrame([(1, leak)], "item_id bigint, text string")
+    monkeypatch.setattr(corpus_pipeline, "table", lambda *_: items)
+    hit = spark.createDataFrame([(None, f"x {leak} y", "en", "s", 1), (1, leak, "en", "s", 1)], odd_documents(spark).schema)
+    got = corpus_pipeline.drop_contaminated(spark, odd_documents(spark).unionByName(hit), SMALL)
+    assert pairs(got.collect()) == pairs(ODD)
+
+
+def test_secrets_without_row_ids(spark):
+    docs = odd_documents(spark)
+    want = [(i, (t or "").replace("token=abcdef12", "[REDACTED]").replace("password=hunter2222", "[REDACTED]") if t is not None else None) for i, t in ODD]
+    got = corpus_pipeline.redact_secrets(spark, docs, SMALL).collect()
+    assert pairs(got) == pairs(want) and all(r.n_chars == len(r.text or "") for r in got)
