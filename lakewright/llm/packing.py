@@ -1,16 +1,18 @@
 """Lexical retrieval packing: a sharded BM25 index finds unused neighbours for each seed, which fill its window.
 
-Documents are tokenized once into the shared folder. Document frequencies and the mean length cover all of them. A
-shard is a run of documents of bounded size within a partition; it holds an inverted index of its fragments with BM25
-weights. A document of a window or more is cut into whole windows first. What is left of it is a fragment: the next
+Documents are tokenized once into the shared folder. Document frequencies and the mean length cover all of them. A shuffle
+then orders all documents by the rarest terms of their fragments that others share, so that those with a rare term in common
+are neighbours wherever they were read from; equal routes are split by size. A shard is a run of that order of bounded size
+within a partition; it holds an inverted index of its fragments with BM25 weights, and all terms of a seed are scored. Neighbours
+routed by other terms into another shard are not found; README has the measured recall. A document of a window or more is cut into whole windows first. What is left of it is a fragment: the next
 unused fragment seeds a window, its best-scoring unused neighbours are appended, and the last one is cut where the
 window ends; its rest seeds the next window. The open window at the end of a shard is cut into powers of two, so no
 sequence needs padding.
 
 Edge cases: missing and empty texts have the end token only; repeated rows are packed each; equal scores go to the
 earlier fragment; fragments without a scoring neighbour continue with the next one in order; an empty table gives no pieces; other
-columns are ignored. Memory is bounded by a shard and the longest text. The tokenized rows are read from files, so a repeated
-task packs the same way.
+columns are ignored. Memory is bounded by a shard and the longest text. Rows are in a total order within a task, so a repeated
+task packs the same way; a second run may cut the order elsewhere.
 """
 
 from __future__ import annotations
@@ -32,7 +34,8 @@ WINDOW = 2048
 END = 1
 BATCH_BYTES = 4 << 20
 SHARD_TOKENS = 4 << 20
-QUERY_TERMS = 24
+ROUTE_TERMS = 8
+COMMON = 8  # terms in at least one of so many fragments of a shard have a weight for each fragment
 K1, B = 1.2, 0.75
 
 # Fixed value: how this kind of byte-level vocabulary splits a text before merging.
@@ -110,6 +113,31 @@ def document_frequencies(tokens: DataFrame, vocabulary: int) -> np.ndarray:
     return out
 
 
+def route(ids: np.ndarray, frequency: np.ndarray) -> bytes:
+    """Sort key of a fragment: its rarest terms that other documents hold too, rarest first."""
+    terms = np.unique(ids)
+    terms = terms[frequency[terms] > 1]
+    return terms[np.lexsort((terms, frequency[terms]))[:ROUTE_TERMS]].astype(">u4").tobytes()
+
+
+def routed(documents: DataFrame, frequency: np.ndarray, width: str, window: int) -> DataFrame:
+    """``doc_id`` and ``ids`` of all documents, those with the same rarest terms next to each other."""
+    shared = documents.sparkSession.sparkContext.broadcast(frequency)
+
+    def add(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 40
+        for batch in frames:
+            own = [np.frombuffer(blob.as_py(), width) for blob in batch.column(1)]
+            routes = [route(ids[len(ids) // window * window :], shared.value) for ids in own]
+            numbers = pa.array(range(row, row + len(own)), pa.int64())
+            row += len(own)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(routes, pa.binary()), numbers], ["doc_id", "ids", "route", "row"])
+
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    rows = documents.select("doc_id", "ids").mapInArrow(add, f"doc_id {kind}, ids binary, route binary, row bigint")
+    return rows.repartitionByRange("route", "row").sortWithinPartitions("route", "row").select("doc_id", "ids")
+
+
 class Shard:
     """Fragments of a shard with their inverted index; ``take`` gives the best unused neighbour of the seed."""
 
@@ -120,14 +148,20 @@ class Shard:
             terms.append(term)
             owners.append(np.full(len(term), number, np.int32))
             counts.append(count)
-        self.own = [(t, c) for t, c in zip(terms, counts)]
+        self.own = terms
         term, owner, count = np.concatenate(terms), np.concatenate(owners), np.concatenate(counts).astype(np.float32)
         size = np.array([len(f) for f in fragments], np.float32)[owner]
         weight = idf[term] * count * (K1 + 1) / (count + K1 * (1 - B + B * size / mean))
         order = np.argsort(term, kind="stable")
         self.owner, self.weight = owner[order], weight[order].astype(np.float32)
         self.first = np.searchsorted(term[order], np.arange(len(idf) + 1))
-        self.idf, self.unused, self.next = idf, np.ones(len(fragments), bool), 0
+        self.unused, self.next = np.ones(len(fragments), bool), 0
+        # Terms that many fragments hold: a row of weights each, at most 4 * COMMON bytes a posting in all.
+        common = np.flatnonzero(COMMON * np.diff(self.first) >= len(fragments))
+        self.row, self.dense = dict(zip(common.tolist(), range(len(common)))), np.zeros((len(common), len(fragments)), np.float32)
+        for n, t in enumerate(common):
+            a, b = self.first[t], self.first[t + 1]
+            self.dense[n, self.owner[a:b]] = self.weight[a:b]
 
     def seed(self) -> int | None:
         while self.next < len(self.unused) and not self.unused[self.next]:
@@ -135,15 +169,14 @@ class Shard:
         return self.next if self.next < len(self.unused) else None
 
     def scores(self, seed: int) -> np.ndarray:
-        """BM25 of all fragments for the seed's most telling terms; used ones score less than nothing."""
-        term, count = self.own[seed]
-        telling = self.idf[term] * count / (count + K1)
-        if len(term) > QUERY_TERMS:
-            term = term[np.argpartition(-telling, QUERY_TERMS)[:QUERY_TERMS]]
+        """BM25 of all fragments for the seed's terms; used ones score less than nothing."""
         total = np.zeros(len(self.unused), np.float32)
-        for t in term:
-            a, b = self.first[t], self.first[t + 1]
-            total[self.owner[a:b]] += self.weight[a:b]
+        for t in self.own[seed].tolist():
+            if t in self.row:
+                total += self.dense[self.row[t]]
+            else:
+                a, b = self.first[t], self.first[t + 1]
+                total[self.owner[a:b]] += self.weight[a:b]
         return np.where(self.unused, total, -1)
 
 
@@ -251,7 +284,7 @@ def pack(tokens: DataFrame, vocabulary: int, window: int = WINDOW, shard_tokens:
             yield from close()
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", "ids").mapInArrow(
+    return routed(documents, frequency, width, window).mapInArrow(
         run, f"doc_id {kind}, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
     )
 
