@@ -29,6 +29,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lakewright.llm.common import batches, bytes_of_text, staged
+from lakewright.operators.numbering import with_running_total
 
 WIDTH, PERCENT = 3, 90
 BATCH_BYTES = 8 << 20
@@ -198,9 +199,10 @@ def group_links(sets: DataFrame, percent: int) -> DataFrame:
 
     A group is cut into blocks by size; blocks whose sizes are too far apart to hold partners do not meet.
     """
-    order = W.partitionBy("label").orderBy("n", "node").rowsBetween(W.unboundedPreceding, 0)
-    # The running sum moves sizes only; the sets follow in the join.
-    blocked = sets.select("node", "n", "label").withColumn("block", F.floor((F.sum("n").over(order) - 1) / BLOCK_SHINGLES))
+    # A running sum over all groups, of sizes only, less what comes before the group; the sets follow in the join.
+    placed = staged(sets.sparkSession, with_running_total(sets.select("node", "n", "label"), ["label", "n", "node"], F.col("n"), "upto"), "placed")
+    starts = placed.groupBy("label").agg(F.min(F.col("upto") - F.col("n")).alias("start"))
+    blocked = placed.join(starts, "label").select("node", "n", "label", F.floor((F.col("upto") - F.col("start") - 1) / BLOCK_SHINGLES).alias("block"))
     spans = blocked.groupBy("label", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     a, b = spans.alias("a"), spans.alias("b")
     meet = a.join(b, "label").filter(F.expr(f"a.block <= b.block AND {percent} * b.low <= 100 * a.high")).select("label", F.col("a.block").alias("x"), F.col("b.block").alias("y"))
