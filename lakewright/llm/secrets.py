@@ -47,7 +47,8 @@ RULES = (
 )
 BASE_KINDS = ("assign", "access", "hex")
 SPANS = "array<struct<start:bigint,rule:int,kind:string,end:bigint>>"
-LEDGER = f"blob_id binary, scanned array<string>, spans {SPANS}"
+# In the ledger each span has the rule and version that found it; ledgers written without are read by what their row scanned.
+LEDGER = f"blob_id binary, scanned array<string>, spans {SPANS.replace('>>', ',key:string>>')}"
 
 
 def find_spans(text: str, rules: Iterable[tuple[int, Rule, re.Pattern]]) -> list[dict]:
@@ -56,7 +57,7 @@ def find_spans(text: str, rules: Iterable[tuple[int, Rule, re.Pattern]]) -> list
     for number, rule, pattern in rules:
         for match in pattern.finditer(text):
             if len(match.group(rule.group)) >= rule.least:
-                found.append({"start": match.start(), "rule": number, "kind": rule.kind, "end": match.end()})
+                found.append({"start": match.start(), "rule": number, "kind": rule.kind, "end": match.end(), "key": rule.key})
     return sorted(found, key=lambda s: (s["start"], s["rule"], s["end"]))
 
 
@@ -68,7 +69,12 @@ def read_ledger(spark: SparkSession, ledger: str) -> DataFrame:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         rows = spark.createDataFrame([], LEDGER)
-    return rows.groupBy("blob_id").agg(
+
+    def keyed(span):
+        of_kind = F.filter("scanned", lambda k: k == F.concat(span["kind"], F.lit("@"), F.substring_index(k, "@", -1)))
+        return span.withField("key", F.coalesce(span["key"], F.get(of_kind, F.lit(0))))
+
+    return rows.withColumn("spans", F.transform("spans", keyed)).groupBy("blob_id").agg(
         F.array_distinct(F.flatten(F.collect_list("scanned"))).alias("scanned"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"),
     )
@@ -100,7 +106,7 @@ def update_ledger(
 
     def scan(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compiled = [(number, rule, re.compile(rule.pattern, re.ASCII)) for number, rule in enumerate(rules)]
-        kind = pa.list_(pa.struct([("start", pa.int64()), ("rule", pa.int32()), ("kind", pa.string()), ("end", pa.int64())]))
+        kind = pa.list_(pa.struct([("start", pa.int64()), ("rule", pa.int32()), ("kind", pa.string()), ("end", pa.int64()), ("key", pa.string())]))
         for batch in frames:
             spans = []
             for content, todo in zip(batch.column(1), batch.column(2)):
@@ -120,8 +126,9 @@ def scan_secrets(
     their present versions count, so entries of retired rules stay unseen.
     """
     update_ledger(spark, documents, ledger, rules, path, text)
-    kinds = F.array(*[F.lit(r.kind) for r in rules])
-    found = read_ledger(spark, ledger).select(F.col("blob_id").alias("blob"), F.filter("spans", lambda s: F.array_contains(kinds, s["kind"])).alias("spans"))
+    keys = F.array(*[F.lit(r.key) for r in rules])
+    present = F.transform(F.filter("spans", lambda s: F.array_contains(keys, s["key"])), lambda s: s.dropFields("key"))
+    found = read_ledger(spark, ledger).select(F.col("blob_id").alias("blob"), present.alias("spans"))
     return (
         documents.select(F.col(path), blob_id(text).alias("blob_id"))
         .join(found.filter(F.size("spans") > 0), F.col("blob_id") == F.col("blob"), "left")
