@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakewright.llm import brown, chat, decontaminate, jaccard, langid, packing, quality, repeats, secrets, warc
+from lakewright.llm import brown, chat, decontaminate, importance, jaccard, langid, packing, personal, quality, repair, repeats, secrets, warc
 from lakewright.llm.common import crc_of_id
 from lakewright.session import new_path
 from lakewright.sources.readers import read_parquet
@@ -153,3 +154,48 @@ def op10_chat_format(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"),
         F.length("formatted").cast("bigint").alias("formatted_chars"),
     )
+
+
+@query
+def op11_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data of all documents, by patterns and a field trained on a small labelled table."""
+    documents = table(spark, folder, "documents")
+    model = personal.train(personal.labelled_table(spark, documents))
+    found = personal.find_personal(documents.select("doc_id", "text"), model)
+    names = F.array(*[F.lit(k) for k in personal.KINDS])
+
+    def written(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    base = F.filter("spans", lambda s: s["base"])
+
+    def count(number, kind):
+        return F.size(F.filter(base, lambda s: s["kind"] == number)).cast("bigint").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id",
+        *[count(number, kind) for number, kind in enumerate(personal.KINDS)],
+        F.sha2(written(base).cast("binary"), 256).alias("base_sha256"),
+        written(F.col("spans")).alias("spans"),
+    )
+
+
+@query
+def op12_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    """Weights of all documents towards the benchmark, and a quarter of them drawn."""
+    return importance.resample(spark, table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query
+def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    """All conversations damaged, then repaired at least cost."""
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    found, repaired = repair.repair(spark, repair.damage(turns))
+    every = repair.merged("conv_id", turns.select("conv_id").distinct(), found, repair.digests(repaired))
+
+    def known(column: str, default: object):
+        return F.coalesce(F.col(column), F.lit(default)).alias(column)
+
+    counts = [known(c, 0) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    empty = hashlib.sha256(b"").hexdigest()
+    return every.select("conv_id", *counts, known("audit", ""), known("repaired_sha256", empty))
