@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from datetime import date, datetime, timedelta
-from urllib.parse import unquote
+from urllib.parse import quote, unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -95,13 +95,14 @@ def run_extract(
         of_run = F.col("date").between(*run_days.names)
     if column and config.partition_value is not None:
         of_run = of_run & (col(column) == str(config.partition_value))
-    kept = None
+    kept, existing = None, []
     if run_days:
         existing = _folders_of_run(spark, path, run_days.names, column, config)
         if existing:
             kept = new_path(spark, "kept")
             cleaned = _with_kept_rows(spark, cleaned, path, run_days, of_run, config, kept)
     name = extraction_id(spark, config.table, config.start, config.end, config.excluded)
+    before = {folder: folders_like(spark, f"{folder}/*.parquet") for folder, _ in existing}
     by = write_partitioned(
         cleaned,
         path,
@@ -115,13 +116,10 @@ def run_extract(
             config.codec, config.level, config.dictionary_columns, config.row_group_rows, cleaned.columns
         ),
     )
-    if run_days and existing:
-        # Folder names only: at most one per slot and partition value of this run.
-        filled = cleaned.select(partition_text(slot).alias("date"), *([col(column).cast("string")] if column else [])).distinct()
-        produced = {tuple(row) for row in filled.collect()}
-        for folder, keys in existing:
-            if keys not in produced:
-                drop_folder(spark, folder)
+    # A folder that still has its old files has got no row of this run.
+    for folder, files in before.items():
+        if folders_like(spark, f"{folder}/*.parquet") == files:
+            drop_folder(spark, folder)
     for folder in (staged, kept):
         if folder:
             drop_folder(spark, folder)
@@ -132,9 +130,11 @@ def run_extract(
     partitions = manifest(written, by).withColumns({"partition_id": folder, "path": F.concat(F.lit(f"{path}/"), folder)})
     write_manifest(
         partitions,
-        f"{lake}/_manifests/{config.table}/{name}",
+        manifest_path(lake, config, name),
         {
             "extraction_id": name,
+            "partition_column": column,
+            "partition_value": None if config.partition_value is None else str(config.partition_value),
             "excluded_categories": ",".join(sorted(config.excluded)),
             "valid_categories_count": valid.count(),
             "date_range": f"{config.start} to {config.end}" if config.start else "all",
@@ -147,6 +147,23 @@ def run_extract(
     return ExtractResult(name, path, written, partitions)
 
 
+def manifest_path(lake: str, config: ExtractConfig, name: str) -> str:
+    """Where a run's manifest lies: runs of the same days for several partition values have one each."""
+    value = "" if config.partition_value is None else "-" + quote(str(config.partition_value), safe="")
+    return f"{lake}/_manifests/{config.table}/{name}{value}"
+
+
+def extraction_runs(spark: SparkSession, lake: str, table: str) -> DataFrame:
+    """The facts and totals of all runs of a table, one row per manifest."""
+    return spark.read.json(f"{lake}/_manifests/{table}/*/run")
+
+
+def extraction_partitions(spark: SparkSession, lake: str, table: str) -> DataFrame:
+    """The partitions of all runs of a table, with the manifest each is listed in."""
+    manifest_name = F.regexp_extract(F.col("_metadata.file_path"), "/([^/]+)/partitions/[^/]*$", 1)
+    return spark.read.json(f"{lake}/_manifests/{table}/*/partitions").withColumn("manifest", manifest_name)
+
+
 def _nothing(spark: SparkSession, cleaned: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
     """Data and partitions of a run that found no row in a dataset without any; such a run has no manifest."""
     fields = [f for f in cleaned.schema.fields if f.name not in by] + [T.StructField(c, T.StringType()) for c in by]

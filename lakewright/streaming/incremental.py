@@ -15,6 +15,7 @@ from lakewright.operators.clean import apply_schema
 from lakewright.operators.filters import keep_values
 from lakewright.operators.ordering import top_n
 from lakewright.sinks.lake import parquet_options, write_partitioned
+from lakewright.sinks.versions import VersionedDataset
 
 
 def keyset_chunk(df: DataFrame, key: str, last: object | None, rows: int, keep_ties: bool = True) -> DataFrame:
@@ -108,3 +109,32 @@ def run_stream(
         on_started(query)
     query.awaitTermination()
     return query
+
+
+def run_committed_stream(
+    stream: DataFrame,
+    path: str,
+    checkpoint: str,
+    date: Column | None = None,
+    partition_columns: Sequence[str] = (),
+    writer: str | None = None,
+    on_started: Callable[[StreamingQuery], None] | None = None,
+    **kwargs,
+) -> StreamingQuery:
+    """Process all files that are there into a versioned dataset, one commit a batch, and stop.
+
+    The commit holds the number of the batch, so a batch that is delivered again after a failure adds nothing, and the
+    output has no log of the file sink: compaction, backfill and any batch reader work on it. The writer's name is the id
+    that the checkpoint keeps for the query, unless one is given; a new checkpoint is a new writer.
+    """
+
+    def commit(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        name = writer or spark.sparkContext.getLocalProperty("sql.streaming.queryId")
+        VersionedDataset(spark, path, date, partition_columns).append(batch, name, number, **kwargs)
+
+    query = stream.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    if on_started:
+        on_started(query)
+    query.awaitTermination()
+    return query

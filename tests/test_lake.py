@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lakewright import ExtractConfig, explore_table, profile_table, run_extract
 from lakewright.operators.clean import plan_clean
+from lakewright.plans.extract import extraction_partitions, extraction_runs
 from lakewright.session import new_path, shared_folder
 from lakewright.sinks import export, lake
 from lakewright.sources import readers
@@ -235,6 +236,37 @@ def test_runs_of_partition_values_stay_apart(spark, tmp_path):
     assert set(values(us.data, "tb2_area")) == {"US"} and us.data.count() == 100
 
 
+def test_runs_of_partition_values_keep_their_manifests(spark, tmp_path):
+    days = {"start": "2024-01-01", "end": "2024-01-10", "partition_column": "area"}
+    for value in ("EU", "US", "EU"):
+        small_lake(spark, tmp_path, partition_value=value, **days)
+    facts = extraction_runs(spark, str(tmp_path), "t").collect()
+    assert sorted((r.partition_value, r.total_rows) for r in facts) == [("EU", 100), ("US", 100)]
+    assert len({r.extraction_id for r in facts}) == 1
+    listed = extraction_partitions(spark, str(tmp_path), "t").groupBy("manifest").agg(F.sum("rows_processed").alias("n"))
+    assert sorted(values(listed, "n")) == [100, 100]
+
+
+def test_a_fixed_schema_computes_the_rows_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    day = F.timestamp_add("DAY", (F.col("id") % 10).cast("int"), F.lit("2024-01-01").cast("timestamp_ntz"))
+    fact = spark.range(200).select("id", day.alias("d"))
+    counted = fact.mapInArrow(count, fact.schema)
+    detail = spark.range(200).select("id", F.lit("c").alias("cat"))
+    schema = fact.withColumn("tb2_cat", F.lit("c")).schema
+    config = ExtractConfig("t", "id", "id", ("cat",), "cat", date_column="d", start="2024-01-01", end="2024-01-10", hours=48, schema=schema)
+    for run in (1, 2):
+        result = run_extract(spark, counted, detail, detail.select("cat"), config, str(tmp_path))
+        assert seen.value == 200 * run
+    assert everything(spark, result) == list(range(200))
+
+
 def test_emptied_folders_go_and_plain_datasets_are_not_replaced(spark, tmp_path):
     days = {"start": "2024-01-01", "end": "2024-01-10"}
     small_lake(spark, tmp_path, **days)

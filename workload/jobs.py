@@ -9,9 +9,10 @@ from lakewright.functions.cleaning import partition_text
 from lakewright.operators.clean import plan_clean
 from lakewright.operators.ranges import time_slot
 from lakewright.plans.config import ExtractConfig
-from lakewright.plans.extract import run_extract
+from lakewright.plans.extract import extraction_partitions, extraction_runs, run_extract
 from lakewright.session import new_path
 from lakewright.sinks import lake
+from lakewright.sinks.versions import VersionedDataset
 from lakewright.streaming import incremental
 from workload.filtering import CONFIG, priorities
 from workload.registry import query, table
@@ -196,3 +197,98 @@ def _(spark, sf):
     the rows of that day, which the first run wrote."""
     last = runs(spark, sf, {"end": "1997-01-01"}, {"start": "1997-01-02"})[1]
     return last.partitions.agg(F.sum("rows_processed").alias("rows_processed"))
+
+
+@query(
+    "extract_two_values_manifests",
+    "L1 K6 K7 W6",
+    f"""SELECT o_orderstatus AS partition_value, strftime(time_bucket(INTERVAL 48 HOUR, l_shipdate, TIMESTAMP '1996-01-01'), '%Y-%m-%d_%H') AS date,
+       count(*) AS rows_processed, sum(count(*)) OVER (PARTITION BY o_orderstatus)::BIGINT AS total_rows
+       FROM ({YEARS.replace('l.l_linenumber FROM', 'l.l_linenumber, o_orderstatus, l_shipdate FROM')}) WHERE o_orderstatus IN ('F', 'O') GROUP BY 1, 2""",
+)
+def _(spark, sf):
+    """Runs of two partition values over the same days each keep a manifest."""
+    folder = runs(spark, sf, *[{"partition_column": "o_orderstatus", "partition_value": v} for v in "FO"])[1].path.rsplit("/", 1)
+    facts = extraction_runs(spark, *folder).select("extraction_id", "partition_value", "total_rows")
+    listed = extraction_partitions(spark, *folder).select("manifest", "date", "rows_processed")
+    own = F.col("manifest") == F.concat_ws("-", "extraction_id", "partition_value")
+    return listed.join(facts, own).select("partition_value", "date", "rows_processed", "total_rows")
+
+
+@query(
+    "append_null_keys",
+    "I2",
+    """SELECT count(*) AS rows, min(key) AS low, max(key) AS high, 2::BIGINT AS versions,
+       (SELECT count(*) FROM events WHERE event_type = 'error') AS without_key
+       FROM (SELECT nullif(event_id, CASE WHEN event_type = 'error' THEN event_id END) AS key FROM events) WHERE key IS NOT NULL""",
+)
+def _(spark, sf):
+    """Three runs into a versioned dataset, the mark kept in its log; rows without a key are counted, not lost silently."""
+    events = table(spark, sf, "events").withColumn("key", F.when(F.col("event_type") != "error", F.col("event_id")))
+    data = VersionedDataset(spark, new_path(spark, "logged"))
+    half = incremental.high_water_mark(events, "key") // 2
+    data.append_new(events.filter(F.col("key") <= half), "key")
+    for _ in range(2):
+        version, without = data.append_new(events, "key", null_keys="count")
+    return data.read().agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.min("key").alias("low"),
+        F.max("key").alias("high"),
+        F.lit(version.number).cast("bigint").alias("versions"),
+        F.lit(without).cast("bigint").alias("without_key"),
+    )
+
+
+STREAMED = """SELECT strftime(ts, '%Y-%m-%d_00') AS date, event_type, count(*) AS rows, round(sum({value}), 2)::DOUBLE AS total{more}
+  FROM events WHERE event_type IN ('click', 'view', 'purchase', 'signup') GROUP BY 1, 2"""
+
+
+def committed_stream(spark, sf):
+    """Five files of the events as a stream of a batch each into a versioned dataset, run twice."""
+    events = table(spark, sf, "events")
+    source, target, progress = (new_path(spark, name) for name in ("arriving", "committed", "progress"))
+    events.repartition(5, "event_id").write.parquet(source)
+    day = F.date_trunc("day", "ts")
+    for _ in range(2):
+        arrived = incremental.stream_files(spark, source, events.schema, files_per_batch=1)
+        incremental.run_committed_stream(arrived.filter(F.col("event_type") != "error"), target, progress, day, ["event_type"])
+    return VersionedDataset(spark, target, day, ["event_type"])
+
+
+@query("stream_then_compact", "I3 I5 K4", STREAMED.format(value="value", more=", 1::BIGINT AS files"))
+def stream_then_compact(spark, sf):
+    """Committed batches leave small files, which are then packed: one in each folder."""
+    data = committed_stream(spark, sf)
+    data.compact()
+    rows = data.read().withColumn("file", F.col("_metadata.file_path"))
+    return rows.groupBy("date", "event_type").agg(
+        F.count(F.lit(1)).alias("rows"), F.round(F.sum("value"), 2).alias("total"), F.count_distinct("file").alias("files")
+    )
+
+
+@query(
+    "stream_then_backfill",
+    "I3 I4 I5",
+    STREAMED.format(value="CASE WHEN ts >= TIMESTAMP '2024-01-20 06:00:00' AND ts < TIMESTAMP '2024-01-22 18:00:00' THEN value + 1 ELSE value END", more=""),
+)
+def _(spark, sf):
+    """A range that begins and ends inside a day is corrected twice in the output of a stream."""
+    data = committed_stream(spark, sf)
+    start, stop = "2024-01-20T06:00:00", "2024-01-22T18:00:00"
+    range_ = p.half_open("ts", "2024-01-20 06:00:00", "2024-01-22 18:00:00")
+    new = table(spark, sf, "events").filter(range_ & (F.col("event_type") != "error")).withColumn("value", F.col("value") + 1)
+    for _ in range(2):
+        data.replace_range(new, "ts", start, stop)
+    return per_folder(data.read())
+
+
+@query("backfill_part_of_folder", "I4 F5 W4", PER_FOLDER.replace("_%H", "_00"))
+def _(spark, sf):
+    """Days that a first run got wrong are replaced from six to six, so that the outer folders are covered in part."""
+    events, day = table(spark, sf, "events"), F.date_trunc("day", "ts")
+    data = VersionedDataset(spark, new_path(spark, "ranges"), day)
+    wrong = (F.col("ts") >= "2024-01-20T06:00:00") & (F.col("ts") < "2024-01-23T06:00:00")
+    data.append(events.withColumn("value", F.when(wrong, 0.0).otherwise(F.col("value"))))
+    for low, high in (("2024-01-20T06:00:00", "2024-01-21T12:00:00"), ("2024-01-21T12:00:00", "2024-01-23T06:00:00")):
+        data.replace_range(events.filter((F.col("ts") >= low) & (F.col("ts") < high)), "ts", low, high)
+    return per_folder(data.read())
