@@ -9,7 +9,6 @@ from urllib.parse import quote, unquote
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from lakewright.functions import predicates
-from lakewright.functions.cleaning import partition_text
 from lakewright.functions.columns import col
 from lakewright.operators.clean import CleanPlan, plan_clean
 from lakewright.operators.filters import apply_category_policy, held_values, valid_values
