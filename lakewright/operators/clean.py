@@ -192,31 +192,38 @@ def keys_to_integer(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def parse_dates(
-    df: DataFrame, columns: Sequence[str] | None = None, epoch_unit: str | None = None
+    df: DataFrame, columns: Sequence[str] | None = None, epoch_unit: str | None = None, formats: Sequence[str] = ()
 ) -> tuple[DataFrame, list[str]]:
     """Date candidates parsed whole column or not at all, and the names of the usable ones.
 
     One pass counts the values that fail to parse; a text column with any stays as it is and
     is not offered. ``epoch_unit`` ('s', 'ms' or 'us') reads integer candidates as epochs.
+    ``formats`` are further patterns of text, tried after the ISO form in the order given: a column takes the
+    first that fits all its values. Patterns with a zone give the instant's time in the session's zone.
     """
     scale = {"s": 1_000_000, "ms": 1_000, "us": 1, None: 1}[epoch_unit]
     origin = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-    parsed: dict[str, Column] = {}
+    parsed: dict[str, list[Column]] = {}
     usable: list[str] = []
     for name in columns if columns is not None else date_candidates(df, epoch_unit):
         kind = field_type(df, name)
         if isinstance(kind, TEXT):
-            parsed[name] = parse_moment(F.when(col(name) != "", col(name)))
+            text = F.when(col(name) != "", col(name))
+            parsed[name] = [parse_moment(text), *[F.try_to_timestamp(text, F.lit(f)).cast("timestamp_ntz") for f in formats]]
         elif isinstance(kind, INTEGERS):
-            parsed[name] = origin + F.make_dt_interval(secs=F.lit(1)) * (col(name) * F.lit(scale) / F.lit(1e6))
+            parsed[name] = [origin + F.make_dt_interval(secs=F.lit(1)) * (col(name) * F.lit(scale) / F.lit(1e6))]
         usable.append(name)
+    chosen: dict[str, Column] = {}
     if parsed:
         failures = [
-            F.count_if(col(n).isNotNull() & (col(n).cast("string") != "") & p.isNull()).alias(f"f{i}")
-            for i, (n, p) in enumerate(parsed.items())
+            F.count_if(col(n).isNotNull() & (col(n).cast("string") != "") & way.isNull()).alias(f"f{i}_{j}")
+            for i, (n, ways) in enumerate(parsed.items())
+            for j, way in enumerate(ways)
         ]
         row = one_row(df, failures).first()
-        bad = {n for i, n in enumerate(parsed) if row[f"f{i}"]}
-        usable = [n for n in usable if n not in bad]
-        parsed = {n: p for n, p in parsed.items() if n not in bad}
-    return df.select(*[parsed[c].alias(c) if c in parsed else col(c) for c in df.columns]), usable
+        for i, (n, ways) in enumerate(parsed.items()):
+            fits = [way for j, way in enumerate(ways) if not row[f"f{i}_{j}"]]
+            if fits:
+                chosen[n] = fits[0]
+        usable = [n for n in usable if n in chosen or n not in parsed]
+    return df.select(*[chosen[c].alias(c) if c in chosen else col(c) for c in df.columns]), usable

@@ -24,12 +24,15 @@ from lakewright.functions.columns import (
     one_row,
     present,
 )
+from lakewright.operators.gram import blocked_correlation
 from lakewright.operators.quantiles import exact_quantiles
 
 # Reach of the quartile fences, z-score bound, top values.
 FENCE_FACTOR = 1.5
 Z_BOUND = 3
 TOP_VALUES = 10
+# Pairs of more columns than this are too many expressions for one aggregate.
+WIDE_COLUMNS = 24
 
 _CORRELATION = "column_a string, column_b string, correlation double"
 
@@ -110,8 +113,19 @@ def distinct_counts(df: DataFrame, approximate: bool = False) -> DataFrame:
     return counted.select("column", F.col("d").alias("distinct_count"), _percent(F.col("d"), F.col("n")).alias("distinct_pct"))
 
 
+def exact_extremes(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """Least and greatest value of every numeric column as text: integers and decimals beyond 2^53 keep all their digits.
+
+    NaN is missing. ``numeric_stats`` and ``describe`` give all numbers as doubles.
+    """
+    names = list(columns) if columns is not None else numeric_columns(df)
+    values = {n: present(n, field_type(df, n)) for n in names}
+    parts = [fn(values[n]).cast("string").alias(f"{x}{i}") for i, n in enumerate(names) for x, fn in (("lo", F.min), ("hi", F.max))]
+    return long_form(one_row(df, parts), "column", [(n, [("min_value", F.col(f"lo{i}")), ("max_value", F.col(f"hi{i}"))]) for i, n in enumerate(names)])
+
+
 def numeric_stats(df: DataFrame, approximate: bool = False) -> DataFrame:
-    """Mean, sample deviation, minimum, maximum and median of every numeric column."""
+    """Mean, sample deviation, minimum, maximum and median of every numeric column, as doubles."""
     names = numeric_columns(df)
     medians = quantiles_of(df, names, [0.5], approximate)
     values = {n: as_double(n, field_type(df, n)) for n in names}
@@ -225,12 +239,15 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> D
 
     The means come first; the second pass sums products of the deviations from them, which
     keeps plain sums accurate. Only pairs with a gap in either column need sums of their own;
-    the others share one sum of squares per column. A constant column correlates to null.
+    the others share one sum of squares per column. A constant column correlates to null. A wide table
+    takes ``blocked_correlation``, which sums the same products as matrices.
     Rows: column_a, column_b, correlation, both triangles and the diagonal.
     """
     names = list(columns) if columns is not None else numeric_columns(df)
     if not names:
         return df.sparkSession.createDataFrame([], _CORRELATION)
+    if len(names) > WIDE_COLUMNS:
+        return blocked_correlation(df, names)
     values = df.select(*[as_double(n, field_type(df, n)).alias(f"c{i}") for i, n in enumerate(names)])
     facts = one_row(
         values, [f(f"c{i}").alias(f"{t}{i}") for i in range(len(names)) for t, f in (("m", F.avg), ("k", F.count))]

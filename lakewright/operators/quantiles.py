@@ -257,6 +257,18 @@ def _count_sides(values: DataFrame, clusters: list[_Cluster]) -> None:
                     t.low, t.below, t.count = c.high, t.below + upto_high + at_high, t.count - upto_high - at_high
 
 
+def order_statistic(df: DataFrame, column: str, rank: int, gathered_values: int = GATHERED_VALUES, sample_values: int = SAMPLE_VALUES) -> float | None:
+    """The value of a 0-based rank among the non-null values in order; None where there are not so many."""
+    values = df.select(as_double(column, field_type(df, column)).alias("c0"))
+    count = values.agg(F.count("c0")).first()[0]
+    if not 0 <= rank < count:
+        return None
+    target = _Target("c0", rank, count)
+    while target.value is None:
+        _narrow(values, _clusters([target]), gathered_values, sample_values)
+    return target.value
+
+
 def quantile_table(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], **limits) -> DataFrame:
     """The quantiles as rows: column, probability, value."""
     found = exact_quantiles(df, columns, probabilities, **limits)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from datetime import date, datetime, timedelta
 from decimal import Decimal
@@ -88,18 +89,35 @@ def range_predicates(ranges: DataFrame, key: str) -> list[str]:
     return out
 
 
+def bounds_below(key: Column, bounds: Column, count: int) -> Column:
+    """How many of ``count`` sorted bounds lie below the key, found by halving: the work grows with the digits of ``count``."""
+    start = F.struct(F.lit(0).alias("low"), F.lit(count).alias("high"))
+
+    def halve(at: Column, _: Column) -> Column:
+        middle = F.shiftright(at["low"] + at["high"], 1)
+        done = at["low"] >= at["high"]
+        above = ~done & (F.get(bounds, middle) < key)
+        return F.struct(
+            F.when(above, middle + 1).otherwise(at["low"]).alias("low"),
+            F.when(done | above, at["high"]).otherwise(middle).alias("high"),
+        )
+
+    steps = F.sequence(F.lit(1), F.lit(max(1, count.bit_length())))
+    return F.aggregate(steps, start, halve, lambda at: at["low"]).cast("bigint")
+
+
 def assign_key_range(df: DataFrame, key: str, ranges: DataFrame, name: str = "range_id") -> DataFrame:
-    """The number of the range a key falls into, from the boundaries as one literal array.
+    """The number of the range a key falls into, from the boundaries as one literal array, so no join is made.
 
-    The array holds one element per range; a row finds its range by counting the boundaries
-    below its key, so no join is made.
+    The array holds one element per range. A row finds its range by halving.
     """
-    highs = [row["high"] for row in ranges.orderBy("range_id").collect()][:-1]
-    if not highs:
+    ends = ranges.orderBy("range_id").select(F.col("high").cast("string").alias("text")).collect()[:-1]
+    if not ends:
         return df.withColumn(name, F.when(col(key).isNotNull(), F.lit(1).cast("bigint")))
-    bounds = F.array(*[key_literal(h) for h in highs])
-    below = F.size(F.filter(bounds, lambda b: b < col(key))).cast("bigint")
-    return df.withColumn(name, F.when(col(key).isNotNull(), below + 1))
+    # One constant for all boundaries, whatever their type: text keeps every digit of it.
+    kind = ranges.schema["high"].dataType.simpleString()
+    bounds = F.from_json(F.lit(json.dumps([r["text"] for r in ends])), "array<string>").cast(f"array<{kind}>")
+    return df.withColumn(name, F.when(col(key).isNotNull(), bounds_below(col(key), bounds, len(ends)) + 1))
 
 
 def time_ranges(

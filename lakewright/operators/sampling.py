@@ -8,8 +8,9 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lakewright.functions.columns import col
-from lakewright.operators.numbering import with_row_number, with_running_total
+from lakewright.operators.numbering import hashable_columns, with_row_number, with_running_total
 from lakewright.operators.ordering import top_n
+from lakewright.operators.quantiles import order_statistic
 
 # Fixed value: rows in a sample unless told otherwise.
 SAMPLE_ROWS = 1_000_000
@@ -23,6 +24,27 @@ def random_sample(df: DataFrame, rows: int = SAMPLE_ROWS, seed: int = 42, total:
     return df if total <= rows else df.sample(False, rows / total, seed)
 
 
+def exact_sample(df: DataFrame, rows: int = SAMPLE_ROWS, seed: int = 42) -> DataFrame:
+    """Exactly ``rows`` random rows, the same ones on every run; all rows of a smaller table.
+
+    Every row has a number from a hash of itself and the seed. The bound below which so many lie is found by counting,
+    so no row is moved or sorted for it. Only rows at the bound itself, equal rows, need an order.
+    """
+    if rows < 1:
+        return df.limit(0)
+    columns = hashable_columns(df)
+    # 52 bits of the hash are exact in a double.
+    drawn = F.shiftright(F.xxhash64(*columns, F.lit(seed)), 12)
+    bound = order_statistic(df.select(drawn.alias("drawn")), "drawn", rows - 1)
+    if bound is None:
+        return df
+    limit = F.lit(int(bound)).cast("bigint")
+    below = df.filter(drawn < limit)
+    missing = rows - below.count()
+    equal = with_row_number(df.filter(drawn == limit), [F.xxhash64(*columns, F.lit(seed + 1))], "__place")
+    return below.unionByName(equal.filter(F.col("__place") <= missing).drop("__place"))
+
+
 def keyed_sample(df: DataFrame, key: str, per_mille: int) -> DataFrame:
     """A repeatable share of the rows, chosen by mixing an integer key.
 

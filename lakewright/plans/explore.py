@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from datetime import date
+from functools import cache
 
 from pyspark.sql import DataFrame
 
@@ -17,6 +18,24 @@ from lakewright.sinks.export import write_csv, write_report
 from lakewright.sources.readers import overview, row_count
 
 
+class Tables(Mapping[str, DataFrame]):
+    """Named tables, each made when it is first asked for."""
+
+    def __init__(self, makers: dict[str, Callable[[], DataFrame]]):
+        self._makers, self._made = makers, {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._made:
+            self._made[name] = self._makers[name]()
+        return self._made[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._makers)
+
+    def __len__(self) -> int:
+        return len(self._makers)
+
+
 def profile_table(
     df: DataFrame,
     sample_rows: int | None = None,
@@ -24,8 +43,8 @@ def profile_table(
     approximate: bool = False,
     bins: int = 20,
     report_path: str | None = None,
-) -> dict[str, DataFrame]:
-    """Every profile table of a dataset, by name.
+) -> Mapping[str, DataFrame]:
+    """Every profile table of a dataset, by name. A table's passes run when it is asked for; those that share quantiles share the passes.
 
     Without ``sample_rows`` the whole table is profiled. With it, a random sample of about
     that size is; ``columns`` and ``files`` then still describe the dataset.
@@ -35,20 +54,29 @@ def profile_table(
     if sample_rows is not None:
         total = df.count()
         sampled = random_sample(df, sample_rows, seed, total)
-    # Medians and quartiles come from the same passes.
-    found = profile.quantiles_of(sampled, numeric_columns(sampled), [0.25, 0.5, 0.75], approximate)
-    medians = {c: [q[1]] for c, q in found.items()}
-    quartiles = {c: [q[0], q[2]] for c, q in found.items()}
-    tables = {
-        "rows": row_count(sampled),
-        "overview": overview(sampled, total),
-        "columns": profile.column_profile(sampled, approximate, medians),
-        "missing": profile.missing_table(sampled),
-        "histograms": profile.histogram(sampled, bins=bins),
-        "correlations": profile.correlation_matrix(sampled),
-        "value_counts": profile.value_counts(sampled),
-        "outliers": profile.rank_outliers(profile.outliers_iqr(sampled, quartiles=quartiles)),
-    }
+
+    @cache
+    def quartiles() -> dict[str, list[float | None]]:
+        return profile.quantiles_of(sampled, numeric_columns(sampled), [0.25, 0.5, 0.75], approximate)
+
+    def columns() -> DataFrame:
+        return profile.column_profile(sampled, approximate, {c: [q[1]] for c, q in quartiles().items()})
+
+    def outliers() -> DataFrame:
+        return profile.rank_outliers(profile.outliers_iqr(sampled, quartiles={c: [q[0], q[2]] for c, q in quartiles().items()}))
+
+    tables = Tables(
+        {
+            "rows": lambda: row_count(sampled),
+            "overview": lambda: overview(sampled, total),
+            "columns": columns,
+            "missing": lambda: profile.missing_table(sampled),
+            "histograms": lambda: profile.histogram(sampled, bins=bins),
+            "correlations": lambda: profile.correlation_matrix(sampled),
+            "value_counts": lambda: profile.value_counts(sampled),
+            "outliers": outliers,
+        }
+    )
     if report_path:
         write_report(tables, report_path)
     return tables
@@ -65,7 +93,7 @@ def explore_table(
     order_by: Sequence[str] = (),
     all_columns: bool = False,
     export_path: str | None = None,
-) -> dict[str, DataFrame]:
+) -> Mapping[str, DataFrame]:
     """Filter a table by category and days, with a preview, counts and a description.
 
     Text date columns are parsed for the filter; the exported original stays as read.
@@ -77,9 +105,11 @@ def explore_table(
     if export_path:
         write_csv(filtered, f"{export_path}/filtered")
         write_csv(df, f"{export_path}/original")
-    return {
-        "filtered": filtered,
-        "preview": preview(filtered, rows, [col(c) for c in order_by], all_columns),
-        "describe": profile.describe(filtered),
-        "rows": row_count(filtered),
-    }
+    return Tables(
+        {
+            "filtered": lambda: filtered,
+            "preview": lambda: preview(filtered, rows, [col(c) for c in order_by], all_columns),
+            "describe": lambda: profile.describe(filtered),
+            "rows": lambda: row_count(filtered),
+        }
+    )

@@ -166,9 +166,9 @@ class VersionedDataset:
         version = self.version(number)
         if version is None:
             raise ValueError(f"{self.path} has no version yet")
-        return self._rows(version, version.folders).drop("run")
+        return self.rows_of(version, version.folders).drop("run")
 
-    def _rows(self, version: Version, folders: Sequence[Folder]) -> DataFrame:
+    def rows_of(self, version: Version, folders: Sequence[Folder]) -> DataFrame:
         """The rows of some folders, with ``run`` beside them."""
         schema = T.StructType.fromJson(json.loads(version.schema))
         if not folders:
@@ -279,11 +279,11 @@ class VersionedDataset:
         new = self._prepared(df.filter(F.when(inside, True).otherwise(F.raise_error(f"a row lies outside the replaced range of {column}").cast("boolean"))))
         touched: list[Folder] = []
         if base is not None:
-            hit = self._rows(base, base.folders).filter(inside) if base.folders else None
-            named = {tuple(r) for r in hit.select(*_place()).distinct().collect()} if hit is not None else set()
+            hit = self.rows_of(base, base.folders).filter(inside) if base.folders else None
+            named = {tuple(r) for r in hit.select(*place_of_rows()).distinct().collect()} if hit is not None else set()
             touched = [f for f in base.folders if (f.run, f.key) in named]
             if touched:
-                kept = self._rows(base, touched).drop("run").filter(~inside)
+                kept = self.rows_of(base, touched).drop("run").filter(~inside)
                 new = new.unionByName(kept)
         run, added = self._write(new, **kwargs)
         if base is None and not added:
@@ -299,7 +299,7 @@ class VersionedDataset:
         base = self.latest()
         if base is None or not base.folders:
             return base
-        rows = self._rows(base, base.folders)
+        rows = self.rows_of(base, base.folders)
         small = _files(rows).filter(F.col("size") < small_share * target_file_bytes)
         before = "sum(size) OVER (PARTITION BY key ORDER BY size, path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
         packed = small.withColumns(
@@ -334,7 +334,7 @@ class VersionedDataset:
                     only = tuple(sorted(r.name for r in stays))
                     kept.append(Folder(f.run, f.key, sum(r.rows for r in stays), len(stays), sum(r.size for r in stays), f.of, only))
         added = self._listed(run)
-        same = self._rows(base, ()).drop("run")
+        same = self.rows_of(base, ()).drop("run")
         return self._commit(lambda now: self._next(now, same, "compact", run, added, removed=removed, kept=kept))
 
     def drop_unreferenced(self, keep_versions: int = 1, older_than_hours: float = 24.0) -> list[str]:
@@ -357,9 +357,9 @@ class VersionedDataset:
         return dropped
 
 
-def _place() -> tuple[Column, Column]:
+def place_of_rows(file_path: str = "_metadata.file_path") -> tuple[Column, Column]:
     """Run and partition folder of a row, from the path of its file, which Spark gives in its URI form."""
-    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    path = F.url_decode(F.replace(F.col(file_path), F.lit("+"), F.lit("%2B")))
     inside = F.regexp_extract(path, r"/run=([0-9a-f]{32})/(.*)$", 2)
     run = F.regexp_extract(path, r"/run=([0-9a-f]{32})/(.*)$", 1)
     return run.alias("run"), F.regexp_replace(inside, r"/?[^/]*$", "").alias("key")
@@ -367,7 +367,7 @@ def _place() -> tuple[Column, Column]:
 
 def _files(rows: DataFrame) -> DataFrame:
     """``run, key, path, name, size, rows`` of the files the rows come from; no column is read for it."""
-    run, key = _place()
+    run, key = place_of_rows()
     name = F.regexp_extract(F.col("_metadata.file_path"), "[^/]*$", 0)
     placed = rows.select(run, key, F.col("_metadata.file_path").alias("path"), name.alias("name"), F.col("_metadata.file_size").alias("size"))
     return placed.groupBy("run", "key", "path", "name", "size").agg(F.count(F.lit(1)).alias("rows"))

@@ -19,6 +19,9 @@ CSV_FORMAT = {
 }
 
 
+FOOTER_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.DateType, T.BooleanType)
+
+
 def read_parquet(spark: SparkSession, *paths: str) -> DataFrame:
     return spark.read.parquet(*paths)
 
@@ -28,14 +31,16 @@ def read_csv(
     path: str | Sequence[str],
     schema: T.StructType | str | None = None,
     options: Mapping[str, object] | None = None,
-    multi_line: bool = True,
+    multi_line: bool | None = None,
 ) -> DataFrame:
     """CSV with a header row, quotes doubled inside quoted text, spaces kept.
 
     Without a schema Spark reads the data once more to infer it; instants are then read without
-    a time zone. Quoted text may hold line breaks, so a file is read by one task; for huge files
-    without such text ``multi_line=False`` lets Spark split them.
+    a time zone. A file with a line break inside quoted text can only be read whole, by one task. Unless the caller
+    says which it is, a pass over the lines looks for such breaks, and files without them are split.
     """
+    if multi_line is None:
+        multi_line = has_quoted_breaks(spark, path, options)
     reader = spark.read.option("header", True).options(**CSV_FORMAT).option("multiLine", multi_line)
     reader = reader.options(**dict(options or {}))
     if schema is not None:
@@ -44,6 +49,20 @@ def read_csv(
         return reader.option("inferSchema", True).csv(path)
 
 
+def has_quoted_breaks(spark: SparkSession, path: str | Sequence[str], options: Mapping[str, object] | None = None) -> bool:
+    """Whether a line of the files has an odd number of quotes, as where quoted text goes on in the next.
+
+    Lines are read in splits, and the search stops at the first find. With other quoting than ours the answer is yes.
+    """
+    given = {k.lower(): v for k, v in dict(options or {}).items()}
+    if any(given.get(k, CSV_FORMAT[k]) != CSV_FORMAT[k] for k in ("quote", "escape")) or not {"linesep", "encoding", "charset"}.isdisjoint(given):
+        return True
+    kept = {k: v for k, v in dict(options or {}).items() if k.lower() in ("pathglobfilter", "recursivefilelookup")}
+    lines = spark.read.options(**kept).text(path)
+    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
+    return not lines.filter(quotes % 2 == 1).isEmpty()
+
+
 def read_values(df: DataFrame, column: str) -> DataFrame:
     """The set of non-null values of one column; the scan reads that column only."""
     return df.select(col(column)).dropna().distinct()
@@ -82,11 +101,46 @@ def jdbc_options(
     return options
 
 
-def read_jdbc(spark: SparkSession, **kwargs) -> DataFrame:
-    """Scan of a database table through Spark's JDBC source; see ``jdbc_options``."""
+def jdbc_predicate_call(url: str, table: str, predicates: Sequence[str], properties: Mapping[str, str] | None = None, **kwargs) -> dict[str, object]:
+    """Arguments of ``spark.read.jdbc`` for one partition per predicate, such as those of ``range_predicates``.
+
+    The predicates must leave no row out and share none; the first range of ``range_predicates`` includes its low end.
+    """
+    if not predicates:
+        raise ValueError("give at least one predicate")
+    if any(not p.strip() for p in predicates):
+        raise ValueError("an empty predicate would read the whole table")
+    options = jdbc_options(url, table=table, properties=properties, **kwargs)
+    if "partitionColumn" in options:
+        raise ValueError("give either predicates or a key with bounds")
+    return {"url": url, "table": table, "predicates": list(predicates), "properties": {k: v for k, v in options.items() if k not in ("url", "dbtable")}}
+
+
+def read_jdbc(spark: SparkSession, predicates: Sequence[str] | None = None, **kwargs) -> DataFrame:
+    """Scan of a database table through Spark's JDBC source; see ``jdbc_options`` and ``jdbc_predicate_call``."""
+    if predicates is not None:
+        return spark.read.jdbc(**jdbc_predicate_call(predicates=predicates, **kwargs))
     return spark.read.format("jdbc").options(**jdbc_options(**kwargs)).load()
 
 
+def footer_facts(spark: SparkSession, path: str | Sequence[str], *names: str) -> DataFrame:
+    """Row count and bounds of columns of Parquet files from their footers alone: ``total_rows, min_<name>, max_<name>``.
+
+    The aggregates are pushed into the scan, for columns whose footers hold exact bounds: integers, dates and booleans;
+    others are an error, as they would be read (the bounds of texts may be cut short, those of doubles leave NaN out). A session
+    of its own keeps the settings for this to itself.
+    """
+    own = spark.newSession()
+    own.conf.set("spark.sql.sources.useV1SourceList", "")
+    own.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    files = own.read.parquet(*([path] if isinstance(path, str) else path))
+    for name in names:
+        if not isinstance(files.schema[name].dataType, FOOTER_TYPES):
+            raise ValueError(f"footers hold no exact bounds of {name}")
+    bounds = [f(quoted(n)).alias(f"{x}_{n}") for n in names for x, f in (("min", F.min), ("max", F.max))]
+    return files.agg(F.count(F.lit(1)).alias("total_rows"), *bounds)
+
+
 def row_count(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("total_rows"))
 

@@ -160,6 +160,26 @@ def _(spark, sf):
     return parsed.withColumn("usable", F.lit(",".join(usable)))
 
 
+@query(
+    "parse_dates_formats",
+    "C10",
+    """SELECT o_orderkey, CAST(o_orderdate AS TIMESTAMP) AS day_date, CAST(o_orderdate AS TIMESTAMP) AS zoned_date,
+       CASE WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate, '%d/%m/%Y') ELSE strftime(o_orderdate, '%Y-%m-%d') END AS mixed_date, 'day_date,zoned_date' AS usable FROM orders""",
+)
+def _(spark, sf):
+    """Two more patterns; a column in two forms fits none as a whole and stays text."""
+    day = F.col("o_orderdate")
+    slashed, iso = F.date_format(day, "dd/MM/yyyy"), F.date_format(day, "yyyy-MM-dd")
+    dated = table(spark, sf, "orders").select(
+        "o_orderkey",
+        slashed.alias("day_date"),
+        F.concat(iso, F.lit("T00:00:00Z")).alias("zoned_date"),
+        F.when(F.col("o_orderkey") % 2 == 0, slashed).otherwise(iso).alias("mixed_date"),
+    )
+    parsed, usable = clean.parse_dates(dated, formats=("dd/MM/yyyy", "yyyy-MM-dd'T'HH:mm:ssX"))
+    return parsed.withColumn("usable", F.lit(",".join(usable)))
+
+
 @query(
     "keys_to_integer",
     "C11",

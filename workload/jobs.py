@@ -12,6 +12,7 @@ from lakewright.plans.config import ExtractConfig
 from lakewright.plans.extract import extraction_partitions, extraction_runs, run_extract
 from lakewright.session import new_path
 from lakewright.sinks import lake
+from lakewright.sinks.bucketed import write_bucketed
 from lakewright.sinks.versions import VersionedDataset
 from lakewright.streaming import incremental
 from workload.filtering import CONFIG, priorities
@@ -292,3 +293,27 @@ def _(spark, sf):
     for low, high in (("2024-01-20T06:00:00", "2024-01-21T12:00:00"), ("2024-01-21T12:00:00", "2024-01-23T06:00:00")):
         data.replace_range(events.filter((F.col("ts") >= low) & (F.col("ts") < high)), "ts", low, high)
     return per_folder(data.read())
+
+
+@query(
+    "join_bucketed",
+    "J1 K1",
+    """SELECT o_orderpriority, l_returnflag, count(*) AS rows, round(sum(l_quantity), 2)::DOUBLE AS quantity
+       FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2""",
+)
+def join_bucketed(spark, sf):
+    """Both sides are written once in buckets of the key; the join reads them without a shuffle."""
+    joined = bucketed_join(spark, sf)
+    return joined.groupBy("o_orderpriority", "l_returnflag").agg(
+        F.count(F.lit(1)).alias("rows"), F.round(F.sum("l_quantity"), 2).alias("quantity")
+    )
+
+
+def bucketed_join(spark, sf):
+    sides = []
+    for name, key in (("lineitem", "l_orderkey"), ("orders", "o_orderkey")):
+        path = new_path(spark, f"bucketed-{name}")
+        label = path.rsplit("/", 1)[1].replace("-", "_")
+        write_bucketed(table(spark, sf, name), label, key, 8, path)
+        sides.append(spark.table(label))
+    return sides[0].hint("merge").join(sides[1], F.col("l_orderkey") == F.col("o_orderkey"))

@@ -6,11 +6,13 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from lakewright.operators import profile
+from lakewright.operators import heavy, profile, sketches
 from lakewright.operators.quantiles import quantile_table
+from lakewright.operators.sampling import exact_sample
 from lakewright.plans.explore import explore_table, profile_table
 from lakewright.session import new_path
-from lakewright.sources.readers import read_csv
+from lakewright.sinks.versions import VersionedDataset
+from lakewright.sources.readers import footer_facts, read_csv
 from workload.registry import query, table
 
 NUMBERS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -348,3 +350,137 @@ def _(spark, sf):
     if not original.exceptAll(events).isEmpty() or original.count() != events.count():
         raise ValueError("the exported original differs from the table")
     return read_csv(spark, f"{path}/filtered", events.schema)
+
+
+# 64 columns with gaps: each misses every seventh row, at another place.
+WIDE = [(i, f"x{i}") for i in range(64)]
+WIDE_SQL = ", ".join(f"CASE WHEN (event_id + {i}) % 7 <> 0 THEN (value * {i + 1}) % 97 + user_id % {i + 2} END AS {n}" for i, n in WIDE)
+
+
+def wide(spark, sf):
+    value, user = F.col("value"), F.col("user_id")
+    return table(spark, sf, "events").select(
+        *[F.when((F.col("event_id") + i) % 7 != 0, (value * (i + 1)) % 97 + user % (i + 2)).alias(n) for i, n in WIDE]
+    )
+
+
+@query(
+    "correlation_wide",
+    "A9",
+    f"""WITH w AS (SELECT {WIDE_SQL} FROM events),
+        m AS (SELECT {", ".join(f"avg({n}) AS m{i}" for i, n in WIDE)} FROM w),
+        c AS (SELECT row_number() OVER () AS r, {", ".join(f"{n} - m{i} AS {n}" for i, n in WIDE)} FROM w, m),
+        long AS (UNPIVOT c ON {", ".join(n for _, n in WIDE)} INTO NAME k VALUE v)
+        SELECT a.k AS column_a, b.k AS column_b, round(corr(a.v, b.v), 4)::DOUBLE + 0 AS correlation  -- no negative zero
+        FROM long a JOIN long b ON a.r = b.r GROUP BY 1, 2""",
+)
+def correlation_wide(spark, sf):
+    return rounded(profile.correlation_matrix(wide(spark, sf)), correlation=4).withColumn("correlation", F.col("correlation") + 0)
+
+
+TEXT_TOP = """SELECT '{c}' AS "column", CAST({c} AS VARCHAR) AS value, count(*) AS count,
+    CAST(row_number() OVER (ORDER BY count(*) DESC, CAST({c} AS VARCHAR)) AS INTEGER) AS rank
+    FROM {t} WHERE {c} IS NOT NULL GROUP BY {c} QUALIFY rank <= 25"""
+
+
+@query("top_values_of_texts", "A10", " UNION ALL ".join("(" + TEXT_TOP.format(c=c, t="documents") + ")" for c in ("text", "doc_id", "lang")))
+def top_values_of_texts(spark, sf):
+    """Texts of which nearly all are distinct, ids of which all are, and languages of which few are."""
+    documents = table(spark, sf, "documents")
+    return reduce(lambda a, b: a.unionByName(b), [heavy.top_values(documents, c, 25) for c in ("text", "doc_id", "lang")])
+
+
+@query(
+    "numeric_stats_64bit",
+    "A4 A13",
+    """SELECT 'big' AS "column", CAST(min(o_orderkey + 9007199254740993) AS VARCHAR) AS min_value, CAST(max(o_orderkey + 9007199254740993) AS VARCHAR) AS max_value
+       FROM orders UNION ALL SELECT 'o_orderkey', CAST(min(o_orderkey) AS VARCHAR), CAST(max(o_orderkey) AS VARCHAR) FROM orders""",
+)
+def _(spark, sf):
+    orders = table(spark, sf, "orders")
+    return profile.exact_extremes(orders.select("o_orderkey", (F.col("o_orderkey") + 9007199254740993).alias("big")))
+
+
+@query("footer_facts", "S5 A13", "SELECT count(*) AS total_rows, min(l_orderkey) AS min_l_orderkey, max(l_orderkey) AS max_l_orderkey, min(l_linenumber) AS min_l_linenumber, max(l_linenumber) AS max_l_linenumber FROM lineitem")
+def _(spark, sf):
+    return footer_facts(spark, f"{sf}/lineitem.parquet", "l_orderkey", "l_linenumber")
+
+
+@query(
+    "profile_merged",
+    "A3 A5 A8 L2",
+    each(
+        ["event_id", "user_id", "value"],
+        """count(*) AS rows, count(*) - count($) AS null_count, round(avg($), 4)::DOUBLE AS mean, round(stddev_samp($), 4)::DOUBLE AS std,
+           min($)::DOUBLE AS min, max($)::DOUBLE AS max, true AS distinct_near, true AS quartiles_near""",
+        "events",
+    ),
+)
+def profile_merged(spark, sf):
+    """A dataset that grows by thirds, profiled after each: the last profile merges sketches and reads the last third only."""
+    events = table(spark, sf, "events")
+    data = VersionedDataset(spark, new_path(spark, "growing"), F.date_trunc("month", "ts"))
+    store = VersionedDataset(spark, new_path(spark, "sketches"))
+    for i in range(3):
+        data.append(events.filter(F.col("event_id") % 3 == i))
+        merged = sketches.profile_versions(data, store)
+    found = merged.filter(F.col("column").isin("event_id", "user_id", "value"))
+    exact = profile.distinct_counts(events.select("event_id", "user_id", "value"))
+    # The rank of an estimated quartile may be off by a hundredth of the rows.
+    estimates = {r["column"]: r for r in found.collect()}
+    ranks = events.agg(
+        *[
+            F.array(*[F.array(F.count_if(F.col(c) < F.lit(r[q])), F.count_if(F.col(c) <= F.lit(r[q])), F.count(c)) for q in ("p25", "p50", "p75")]).alias(c)
+            for c, r in estimates.items()
+        ]
+    ).first()
+    near = {c: all(below <= (p + 0.01) * n and upto >= (p - 0.01) * n for p, (below, upto, n) in zip((0.25, 0.5, 0.75), ranks[c])) for c in estimates}
+    told = spark.createDataFrame(list(near.items()), "column string, quartiles_near boolean")
+    close = F.abs(F.col("unique_estimate") - F.col("distinct_count")) <= 0.05 * F.col("distinct_count")
+    joined = found.join(exact, "column").join(told, "column").withColumn("distinct_near", close)
+    return rounded(joined.select("column", "rows", "null_count", "mean", "std", "min", "max", "distinct_near", "quartiles_near"), mean=4, std=4)
+
+
+PROFILE_TABLES = {"rows": 1, "overview": 1, "columns": 11, "missing": 0, "histograms": None, "correlations": 64, "value_counts": None, "outliers": 8}
+
+
+@query(
+    "profile_tables",
+    "L2 K8",
+    """SELECT (SELECT count(*) FROM lineitem) AS total_rows, 11::BIGINT AS columns, 0::BIGINT AS missing, 64::BIGINT AS correlations, 8::BIGINT AS outliers,
+       8 * (SELECT count(*) FROM lineitem)::BIGINT AS in_histograms,
+       2 * (SELECT count(*) FROM lineitem)::BIGINT AS in_value_counts, (SELECT count(*) FROM lineitem) AS overview_rows""",
+)
+def _(spark, sf):
+    """All eight stored tables of a report read back; the two texts of the table have few values, so their counts add up to all rows."""
+    path = new_path(spark, "report")
+    profile_table(table(spark, sf, "lineitem"), report_path=path)
+    back = {name: spark.read.parquet(f"{path}/{name}") for name in PROFILE_TABLES}
+    numbers = {
+        "total_rows": back["rows"].select("total_rows"),
+        **{n: back[n].agg(F.count(F.lit(1)).alias(n)) for n in ("columns", "missing", "correlations", "outliers")},
+        "in_histograms": back["histograms"].agg(F.sum("count").alias("n")),
+        "in_value_counts": back["value_counts"].agg(F.sum("count").alias("n")),
+        "overview_rows": back["overview"].select("total_rows"),
+    }
+    return spark.range(1).select(*[F.lit(df.first()[0]).cast("bigint").alias(n) for n, df in numbers.items()])
+
+
+@query(
+    "sample_exact",
+    "P1",
+    "SELECT 1234::BIGINT AS rows, 1234::BIGINT AS distinct_ids, true AS inside, true AS spread, true AS repeatable",
+)
+def _(spark, sf):
+    """Exactly so many rows, none twice, all of the table, spread over it, and the same ones again."""
+    lines = table(spark, sf, "lineitem").withColumn("at", F.monotonically_increasing_id())
+    drawn, again = exact_sample(lines, 1234, 7), exact_sample(lines, 1234, 7)
+    total = lines.count()
+    facts = drawn.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("at").alias("distinct_ids"), F.avg("at").alias("middle"))
+    return facts.select(
+        "rows",
+        "distinct_ids",
+        F.lit(drawn.join(lines, "at", "left_anti").isEmpty()).alias("inside"),
+        (F.abs(F.col("middle") / total - 0.5) < 0.05).alias("spread"),
+        F.lit(drawn.select("at").exceptAll(again.select("at")).isEmpty()).alias("repeatable"),
+    )

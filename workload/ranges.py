@@ -202,3 +202,16 @@ def _(spark, sf):
     strata = orders.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n")).join(sizes, "o_orderpriority", "left")
     off = F.abs(F.coalesce("k", F.lit(0)) - F.col("n") * share)
     return strata.select("o_orderpriority", (off <= 5 * F.sqrt(F.col("n") * share * (1 - share))).alias("size_within"))
+
+
+@query(
+    "key_range_search",
+    "F3 W8",
+    "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE (event_id + 6) // 7 + 1 END AS range_id FROM events",
+)
+def _(spark, sf):
+    """A range for every seven ids, found among thousands of boundaries by halving."""
+    events = table(spark, sf, "events").select("event_id", F.when(F.col("event_id") % 3 != 0, F.col("event_id")).alias("key"))
+    last = events.agg(F.max("event_id")).first()[0] // 7 + 2
+    cut = spark.range(last).select((F.col("id") + 1).alias("range_id"), (F.col("id") * 7 - 7).alias("low"), (F.col("id") * 7).alias("high"))
+    return ranges.assign_key_range(events, "key", cut).select("event_id", "range_id")
