@@ -6,6 +6,7 @@ import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator, Mapping
+from contextvars import ContextVar
 
 from pyspark.sql import SparkSession
 
@@ -68,9 +69,34 @@ def drop_folder(spark: SparkSession, name: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+# The paths made inside the innermost ``scratch`` block, if there is one.
+_MADE: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
 def new_path(spark: SparkSession, label: str) -> str:
     """A path in the shared folder that no earlier run has used."""
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    made = _MADE.get()
+    if made is not None:
+        made.append(path)
+    return path
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Whatever operators write aside inside the block is deleted after it.
+
+    What the block is for must be written by then, to a path made before it: frames that still read the deleted
+    folders can't be run any more.
+    """
+    made: list[str] = []
+    token = _MADE.set(made)
+    try:
+        yield
+    finally:
+        _MADE.reset(token)
+        for path in made:
+            drop_folder(spark, path)
 
 
 @contextlib.contextmanager

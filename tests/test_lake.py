@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lakewright import ExtractConfig, explore_table, profile_table, run_extract
 from lakewright.operators.clean import plan_clean
 from lakewright.plans.extract import extraction_partitions, extraction_runs
-from lakewright.session import new_path, shared_folder
+from lakewright.session import new_path, scratch, shared_folder
 from lakewright.sinks import export, lake
 from lakewright.sources import readers
 from lakewright.streaming import incremental
@@ -26,6 +26,25 @@ def test_shared_folder_is_the_sessions_setting(spark):
     assert new_path(spark, "x") != new_path(spark, "x")
 
 
+def test_scratch_folders_go_after_their_block(spark):
+    kept = new_path(spark, "kept")
+    with scratch(spark):
+        inside = new_path(spark, "inside")
+        spark.range(3).write.parquet(inside)
+        with scratch(spark):
+            deeper = new_path(spark, "deeper")
+            spark.read.parquet(inside).write.parquet(deeper)
+            spark.read.parquet(deeper).write.parquet(kept)
+        assert os.path.isdir(inside) and not os.path.isdir(deeper)
+    assert not os.path.isdir(inside) and spark.read.parquet(kept).count() == 3
+    with pytest.raises(RuntimeError), scratch(spark):
+        failed = new_path(spark, "failed")
+        spark.range(3).write.parquet(failed)
+        raise RuntimeError
+    assert not os.path.isdir(failed)
+    assert os.path.isdir(kept) and new_path(spark, "after") != kept
+
+
 def test_partitioned_write_reads_back_identical(spark, events, tmp_path):
     path = str(tmp_path / "t")
     by = lake.write_partitioned(events, path, date=F.date_trunc("day", "ts"), partition_columns=["event_type"])
