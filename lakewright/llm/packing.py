@@ -18,6 +18,7 @@ task packs the same way; a second run may cut the order elsewhere.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -49,10 +50,17 @@ def byte_of_char() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+# Fixed value: white space as the split pattern understands it.
+BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+# The pattern looks back over a whole run of white space; longer runs are taken out before it.
+LONG_RUN = 10_000
+
+
 class Encoder:
-    """Ids of texts by the vocabulary of a ``tokenizers`` file of byte-level BPE without special tokens.
+    """Ids of texts by the vocabulary of a ``tokenizers`` file of byte-level BPE.
 
     Ids below the special ones are merge ranks in such a file, so ``tiktoken`` merges in the same order, several times faster.
+    Special tokens that a text spells out have their own ids, as they have there by default.
     """
 
     def __init__(self, path: str):
@@ -62,10 +70,36 @@ class Encoder:
             content = json.load(file)
         special, of = {t["content"] for t in content["added_tokens"]}, byte_of_char()
         ranks = {bytes(of[c] for c in token): n for token, n in content["model"]["vocab"].items() if token not in special}
+        self.special = {t["content"]: t["id"] for t in content["added_tokens"]}
         self.model = tiktoken.Encoding("file", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+        self.marks = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
+        self.run = re.compile(f"[{BLANKS}]{{{LONG_RUN},}}")
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        return [self.model.encode_to_numpy(t, disallowed_special=()) for t in texts]
+        return [self._ids(t) for t in texts]
+
+    def _ids(self, text: str) -> np.ndarray:
+        if not any(s in text for s in self.special):
+            return self._plain(text)
+        parts, at = [], 0
+        for mark in self.marks.finditer(text):
+            parts += [self._plain(text[at : mark.start()]), np.array([self.special[mark[0]]], np.uint32)]
+            at = mark.end()
+        return np.concatenate([*parts, self._plain(text[at:])])
+
+    def _plain(self, text: str) -> np.ndarray:
+        """Without special tokens. A long run of white space is one piece, but for its last character before other text."""
+        run = self.run.search(text) if len(text) >= LONG_RUN else None
+        if run is None:
+            return self.model.encode_to_numpy(text, disallowed_special=())
+        parts, at = [], 0
+        while run is not None:
+            end = run.end() if run.end() == len(text) else run.end() - 1
+            piece = self.model._encode_single_piece(text[run.start() : end].encode())
+            parts += [self.model.encode_to_numpy(text[at : run.start()], disallowed_special=()), np.array(piece, np.uint32)]
+            at = end
+            run = self.run.search(text, at)
+        return np.concatenate([*parts, self.model.encode_to_numpy(text[at:], disallowed_special=())])
 
 
 def tokenize(spark: SparkSession, documents: DataFrame, tokenizer: str, vocabulary: int, key: str = "doc_id", text: str = "text", end: int = END) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -20,7 +21,6 @@ def encode():
     from tokenizers import Tokenizer
 
     model = Tokenizer.from_file(queries.tokenizer()[0])
-    model.encode_special_tokens = True
     return lambda text: [*model.encode(text or "", add_special_tokens=False).ids, 1]
 
 
@@ -52,6 +52,35 @@ def test_pack_documents(spark, encode):
     check_pieces({d.doc_id: d.text for d in docs}, got, encode)
 
 
+LONG = [
+    " " * 1_000_000,
+    " " * 200_000 + "x",
+    "a" + "\n" * 200_000 + " b" + "\t " * 30_000 + "\u3000c",
+    "\u2003" * 20_000 + "<|endoftext|>" + " " * 20_000,
+    " " * 9_999 + "y" + " " * 10_000 + "z" + " " * 10_001 + "\x1c" * 20_000 + "w",
+    "a" * 300_000,
+    "7" * 300_000,
+    "word " * 100_000,
+]
+SPECIAL = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>  x", " <|endoftext|", "x  <|endoftext|>  y", "\n\n<|endoftext|>\n\n"]
+
+
+@pytest.mark.parametrize("text", [*SPECIAL, *LONG], ids=range(len(SPECIAL) + len(LONG)))
+def test_ids_are_those_of_tokenizers(encode, text):
+    """The plain call, special tokens and long runs included."""
+    ids = packing.Encoder(queries.tokenizer()[0])([text])[0]
+    assert ids.tolist() == encode(text)[:-1]
+
+
+def test_five_million_blanks_and_letters():
+    encoder = packing.Encoder(queries.tokenizer()[0])
+    start = time.perf_counter()
+    for c in (" ", "\n", "a", "7"):
+        (ids,) = encoder([c * 5_000_000])
+        assert encoder.model.decode(ids.tolist()) == c * 5_000_000
+    assert time.perf_counter() - start < 120
+
+
 def test_pack_edge_cases(spark, encode, monkeypatch):
     texts = ["", None, "a", "hello  world\n\n x's", "<|endoftext|> end", "日本語 ñ é ́", "word " * 6000, "x" * 2047, "tab\t\t y  ", "hello world again", "hello world again and again"]
     df = spark.createDataFrame([(i, t, 3) for i, t in enumerate(texts)], "doc_id bigint, text string, n int")
