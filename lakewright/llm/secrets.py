@@ -43,7 +43,8 @@ RULES = (
     Rule("access", r"AKIA[A-Z0-9]+", 0, 20),
     Rule("hex", r"[0-9a-f]{24,}"),  # the same spans as runs of any length, of which the short ones are dropped
     Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
-    Rule("url_login", r"[a-z][a-z0-9+.-]*://[^\s:/@]+:([^\s:/@]+)@", 1, 6),
+    # A scheme starts at the edge of its run, so that a long run without one is read once.
+    Rule("url_login", r"(?<![a-z0-9+.-])[a-z][a-z0-9+.-]*://[^\s:/@]+:([^\s:/@]+)@", 1, 6, version=2),
 )
 BASE_KINDS = ("assign", "access", "hex")
 SPANS = "array<struct<start:bigint,rule:int,kind:string,end:bigint>>"

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 
 import pytest
 
@@ -72,6 +73,14 @@ def test_secret_edge_cases(spark):
     assert secrets.scan_secrets(spark, df.limit(0), new_path(spark, "ledger")).count() == 0
 
 
+@pytest.mark.parametrize("text", ["a" * 1_000_000, "a." * 500_000, "x://" * 250_000, "ab0" * 300_000 + "://u:secret99@h", "token" * 200_000, "://a:" * 200_000])
+def test_rules_take_linear_time(text):
+    compiled = [(n, rule, re.compile(rule.pattern, re.ASCII)) for n, rule in enumerate(secrets.RULES)]
+    start = time.perf_counter()
+    secrets.find_spans(text, compiled)
+    assert time.perf_counter() - start < 5
+
+
 def test_ledger_scans_only_what_is_unseen(spark):
     ledger = new_path(spark, "ledger")
     one = secrets.RULES[:1]
