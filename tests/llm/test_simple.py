@@ -5,6 +5,7 @@ import re
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from lakewright.llm import chat, quality, secrets
 from lakewright.llm.queries import QUERIES
@@ -200,3 +201,28 @@ def test_chat_edge_cases(spark, monkeypatch):
     merged = chat.format_conversations(df.filter("conv_id = 1")).first().formatted
     assert merged.count("</s>") == 3 and merged.count("<sep>") == 3
     assert chat.format_conversations(df.limit(0)).count() == 0
+
+
+def test_many_turns_take_time_in_proportion(spark):
+    """Also the conversation that rows without an id form, however many they are."""
+    took = {}
+    for n in (25_000, 100_000):
+        role = F.when(F.col("id") % 2 == 0, "user").otherwise("assistant")
+        turns = spark.range(n).select(F.lit(None).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.concat(F.lit("é"), "id").alias("text"))
+        done = chat.format_conversations(turns)
+        start = time.perf_counter()
+        row = done.select(F.size("loss_spans").alias("spans"), chat.loss_text("formatted", "loss_spans").alias("loss"), F.size(chat.read_turns("formatted")).alias("turns")).first()
+        took[n] = time.perf_counter() - start
+        assert (row.spans, row.turns) == (n // 2, n) and row.loss == "".join(f"é{i}" for i in range(1, n, 2))
+    assert took[100_000] < 6 * took[25_000] + 5
+
+
+def test_running_sums_and_search(spark):
+    numbers = [[], [3], list(range(1, 700))]
+    df = spark.createDataFrame([(x,) for x in numbers], "x array<int>")
+    got = [r[0] for r in df.select(chat.sums_before(F.col("x"))).collect()]
+    assert got == [[sum(x[:i]) for i in range(len(x))] for x in numbers]
+    starts = [0, 4, 4, 9, 30]
+    df = spark.range(40).select("id", F.array(*[F.lit(v) for v in starts]).alias("s"))
+    found = {r.id: r.i for r in df.select("id", chat.last_not_above(F.col("s"), F.col("id")).alias("i")).collect()}
+    assert found == {i: max(k for k, v in enumerate(starts) if v <= i) for i in range(40)}
