@@ -145,7 +145,9 @@ def phrase_matches(index: DataFrame, items: DataFrame, window: int = WINDOW) ->
     if docs.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         postings = postings.join(F.broadcast(docs), "doc", "left_semi")
     wanted = alignments.join(F.broadcast(items.select("item", "item_id", "i", "term", "length")), "item")
-    here = wanted.join(postings.select("doc", "term", "positions"), ["doc", "term"]).filter(F.expr("array_contains(positions, shift + i)"))
+    # By place, not by list: a word that fills a document is looked up once per place, however many alignments it has.
+    places = postings.select("doc", "term", F.explode("positions").alias("p"))
+    here = wanted.withColumn("p", F.col("shift") + F.col("i")).join(places, ["doc", "term", "p"])
     # Offsets in a row have the same difference to their row number.
     order = W.partitionBy("doc", "item", "shift").orderBy("i")
     runs = here.select("doc", "item", "item_id", "shift", "i", "length", (F.col("i") - F.row_number().over(order)).alias("run"))

@@ -5,6 +5,7 @@ import hashlib
 import io
 import os
 import re
+import time
 import zlib
 
 import numpy as np
@@ -128,6 +129,19 @@ def test_contamination_edge_cases(spark, monkeypatch):
     assert run(d.limit(0), b) == [] and run(d, b.limit(0)) == plain_contamination(docs, [])
 
 
+def test_repetitive_text_takes_time_in_proportion(spark):
+    """One word fills a document and an item: every place starts an alignment."""
+    items = spark.createDataFrame([("i", "the " * 12)], "item_id string, text string")
+    took = {}
+    for n in (20_000, 200_000):
+        docs = spark.createDataFrame([(1, "the " * n), (2, "other words")], "doc_id bigint, text string")
+        start = time.perf_counter()
+        got = {r.doc_id: (r.n_words, r.n_hit, list(r["items"])) for r in decontaminate.contamination(spark, docs, items).collect()}
+        took[n] = time.perf_counter() - start
+        assert got == {1: (n, n, ["i"]), 2: (2, 0, [])}
+    assert took[200_000] < 12 * took[20_000] + 10
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "red q green q blue"), (2, "red q q q q green blue"), (3, "red green"), (4, "blue")], "doc_id bigint, text string")
     items = decontaminate.item_terms(spark.createDataFrame([(9, "blue green red red")], "item_id bigint, text string"))
