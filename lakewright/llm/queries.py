@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 
 from lakewright.llm import brown, chat, decontaminate, importance, jaccard, langid, packing, personal, quality, repair, repeats, secrets, warc
 from lakewright.llm.common import crc_of_id
+from lakewright.llm.oracles import SQL
 from lakewright.session import new_path
 from lakewright.sources.readers import read_parquet
 
+__all__ = ["QUERIES", "SQL"]
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
 
 
 def query(run: Callable[[SparkSession, str], DataFrame]):
