@@ -13,6 +13,8 @@ from lakewright.functions.columns import col, field_type, missing
 # A set of at most this many values and bytes may be broadcast; a larger one is left to a shuffled join.
 BROADCAST_VALUES = 100_000
 BROADCAST_BYTES = 16 * 1024 * 1024
+# Bits of a Bloom filter for each value, and the most it may have: 2^28 bits are 2^22 words of 16 bytes with their place.
+BLOOM_BITS, MOST_BLOOM_BITS = 16, 1 << 28
 
 
 def valid_values(values: DataFrame, excluded: Iterable = ()) -> DataFrame:
@@ -51,6 +53,49 @@ def keep_values(df: DataFrame, column: str, values: DataFrame, negate: bool = Fa
     return left.join(right, col(column) == F.col("__value"), "left_anti" if negate else "left_semi")
 
 
+def bloom_words(values: DataFrame, bits: int) -> DataFrame:
+    """A Bloom filter of a one-column set as its words that are not zero: ``__word`` (their place) and ``__set`` (64 bits).
+
+    Bits are set inside the tasks, so a shuffle holds at most one row per word and task.
+    """
+    place = F.pmod(F.xxhash64(col(values.columns[0])), F.lit(bits))
+    places = values.select(place.alias("place"))
+    word, bit = F.floor(F.col("place") / 64).cast("bigint"), (F.col("place") % 64).cast("int")
+    return places.groupBy(word.alias("__word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)).alias("__set"))
+
+
+def bloom_prefilter(df: DataFrame, column: str, words: DataFrame, bits: int) -> DataFrame:
+    """The rows whose value may be in the set: all that are, and about the filled share of the others. ``__set`` is not zero."""
+    place = F.pmod(F.xxhash64(col(column)), F.lit(bits))
+    word, bit = F.floor(place / 64).cast("bigint"), (place % 64).cast("int")
+    found = df.join(F.broadcast(words), word == F.col("__word"), "inner")
+    return found.filter(F.call_function("shiftright", F.col("__set"), bit).bitwiseAND(F.lit(1)) == 1).drop("__word")
+
+
+def keep_values_bloom(df: DataFrame, column: str, values: DataFrame, bits: int | None = None, broadcast_small: bool = True) -> DataFrame:
+    """``keep_values`` for a set too large to broadcast, when it holds a small share of the rows.
+
+    A Bloom filter of the set, of bounded size, is broadcast and thins the rows at their scan; the exact semi join then
+    shuffles only what is left. A set beyond what the filter is made for lets more rows through, never fewer.
+    A set that turns out small is broadcast itself, unless ``broadcast_small`` is off.
+    """
+    named = values.select(col(values.columns[0]).alias("__value")).dropna()
+    named, small = held_values(named) if broadcast_small else (named, False)
+    if small:
+        return keep_values(df, column, named)
+    kind = field_type(df, column)
+    # Equal values must have equal hashes: both sides are of the column's type, of which others can be no member.
+    cast = named.select(F.expr(f"try_cast(__value AS {kind.simpleString()})").alias("__value")).dropna().distinct()
+    if bits is None:
+        count = cast.agg(F.approx_count_distinct("__value")).first()[0]
+        bits = min(MOST_BLOOM_BITS, max(64, 1 << (BLOOM_BITS * count).bit_length()))
+    # The words are few and needed once per task; adaptive execution reads them back from one stage.
+    thinned = bloom_prefilter(df, column, bloom_words(cast, bits), bits)
+    # The key depends on the filter's words: otherwise the semi join would be moved below the filter, to all rows.
+    key = F.when(F.col("__set") != 0, col(column))
+    return thinned.join(cast, key == F.col("__value"), "left_semi").drop("__set")
+
+
 def apply_category_policy(
     df: DataFrame, column: str, valid: DataFrame, excluded: Sequence = (), mode: str = "allow"
 ) -> DataFrame:

@@ -141,3 +141,29 @@ def test_sets_of_many_bytes_are_not_broadcast(spark, monkeypatch):
     monkeypatch.setattr(filters, "BROADCAST_BYTES", 10)
     long, short = (spark.createDataFrame([(v,)], "v string") for v in ("x" * 11, "x"))
     assert filters.held_values(long)[1] is False and filters.held_values(short)[1] is True
+
+
+@pytest.mark.parametrize("kind", ["bigint", "string", "double"])
+def test_bloom_filter_thins_and_the_join_is_exact(spark, kind):
+    df = spark.range(20_000).select(F.col("id"), F.when(F.col("id") % 50 != 0, F.col("id").cast(kind)).alias("k"), F.lit(1).alias("__set"))
+    wanted = spark.range(0, 20_000, 97).select(F.col("id").cast("string").alias("v")).union(spark.createDataFrame([("none",), (None,), ("3",), ("3",)], "v string"))
+    got = sorted(values(filters.keep_values_bloom(df.drop("__set"), "k", wanted, broadcast_small=False), "id"))
+    assert got == sorted({3} | {i for i in range(0, 20_000, 97) if i % 50})
+    names = wanted.select(F.expr(f"try_cast(v AS {kind})").alias("v")).dropna().distinct()
+    left = filters.bloom_prefilter(df.drop("__set"), "k", filters.bloom_words(names, 4096), 4096)
+    assert set(got) <= set(values(left, "id")) and left.count() < 0.12 * 20_000
+    assert filters.keep_values_bloom(df.drop("__set"), "k", wanted.limit(0), broadcast_small=False).count() == 0
+    assert sorted(values(filters.keep_values_bloom(df.drop("__set"), "k", names), "id")) == got
+
+
+def test_bloom_filter_comes_before_the_shuffle(spark, monkeypatch):
+    df, wanted = spark.range(1000).withColumnRenamed("id", "k"), spark.range(0, 1000, 10)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = plan_of(filters.keep_values_bloom(df, "k", wanted, bits=1 << 12, broadcast_small=False))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    tree = plan.split("\n\n")[0]
+    assert "LeftSemi" in tree and tree.index("LeftSemi") < tree.index("BroadcastHashJoin Inner")
+    assert tree.rindex("Exchange", 0, tree.index("BroadcastHashJoin Inner")) > tree.index("LeftSemi")

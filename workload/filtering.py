@@ -323,6 +323,17 @@ def _(spark, sf):
     return filters.keep_values(events, "event_type", read_values(events.filter("event_type < 'p'"), "event_type"))
 
 
+@query(
+    "allow_list_bloom",
+    "J4 J2",
+    "SELECT * FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_totalprice > 480000)",
+)
+def allow_list_bloom(spark, sf):
+    """A set that is not broadcast: its Bloom filter thins the line items before the exact semi join."""
+    orders = table(spark, sf, "orders").filter("o_totalprice > 480000").select("o_orderkey")
+    return filters.keep_values_bloom(table(spark, sf, "lineitem"), "l_orderkey", orders, broadcast_small=False)
+
+
 @query(
     "join_left_count_distinct",
     "J3 A19",
