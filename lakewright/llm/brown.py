@@ -1,17 +1,23 @@
 """Class-based n-gram scoring in the manner of Brown: exchange clustering, class transitions and word emissions.
 
-Words are counted over the whole training set. The most frequent words are clustered by exchange: in each round Spark
-groups the bigram table by word, and every word of the round's half is moved to the class that raises the class
-bigram likelihood most, all against the same class counts. Every other word, also one never seen, belongs to the class
-of its last two bytes, so each word has exactly one class. A text's probability is the product of the class
-transitions, smoothed by the class shares, and the emissions of the words from their classes, with 0.5 added to each
-count and to one unknown word per class.
-
-Counts of the ``known`` most frequent words are broadcast, a bounded number of words of bounded length; the counts of all
-others are joined by word.
+Words are counted over the whole training set. Every word that occurs ``floor`` times or more is clustered by exchange: Spark
+counts the pairs of neighbouring words once, and in each turn joins them with the classes, sums the neighbours of each word
+by class, and moves every word of the turn's half to the class that raises the class bigram likelihood most, all
+against the same class counts. Turns go on until a word of text gains less than ``gain`` by two of them, at most ``turns``; classes are
+kept as they were at the greatest likelihood. The vocabulary grows with the input and stays a table; the driver holds counts of class pairs
+only. Rarer words, also one never seen, belong to the class of their last two bytes, so each word has exactly one class.
+A text's probability is the product of the class transitions, smoothed by the class shares, and the emissions of the words
+from their classes, with 0.5 added to each count and to one unknown word per class.
+
+The clustered unit is a word's 64-bit hash modulo some 2 ** 31, so that a pair is one number; words of one unit share a
+class and keep counts of their own. A bitmap of 32 bits for each word above the floor, at most 2 ** 28 in all, tells tasks which words to
+keep apart. It lets about 3 % of the rarer words pass, more beyond eight million words; these are clustered too.
+
+Class and count of up to ``known`` most frequent words are broadcast, a bounded number of words of bounded length; those of all
+others are joined by word. Which words these are changes no result.
 
 Edge cases: a missing or empty text is one end token; without training rows every probability is 1 but for the classes,
-which are equally likely; words are bytes, so any text has some; words of a frequency too common to broadcast are joined; repeated rows count and are scored
+which are equally likely; words are bytes, so any text has some; repeated rows count and are scored
 each; an empty table gives an empty result; other columns pass through only where asked for.
 """
 
@@ -25,26 +31,32 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakewright.llm.common import batches, bytes_of_text, staged
+from lakewright.session import drop_folder, new_path
 
 END = b""  # no word is empty
 LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 BATCH_BYTES = 4 << 20
 FLUSH = 1 << 20
+CODES = 2**31 - 1  # codes of units and of classes that stay are below
+BLOCK_BITS = 17  # the bitmap is built in blocks of so many bits
+BITS = 28
 
 
 @dataclass(frozen=True)
 class Settings:
-    """Clustered words, their classes, classes by ending, rounds of exchange, words broadcast, and the smoothing weight."""
+    """Least count and classes of clustered words, classes by ending, bounds of the turns, words broadcast, and the smoothing weight."""
 
-    clustered: int = 1000
-    classes: int = 64
-    endings: int = 192
-    rounds: int = 4
+    floor: int = 20
+    classes: int = 128
+    endings: int = 128
+    turns: int = 10
+    gain: float = 0.01
     known: int = 200_000
     longest: int = 64
     weight: float = 20.0
@@ -54,6 +66,11 @@ class Settings:
         """The class of the end token, after all others."""
         return self.classes + self.endings
 
+    @property
+    def first_unit(self) -> int:
+        """Codes below are the classes that stay, counted from the first of them."""
+        return self.endings + 1
+
 
 @dataclass(frozen=True)
 class Model:
@@ -77,6 +94,20 @@ def ending(word: bytes, settings: Settings) -> int:
     return settings.classes + zlib.crc32(word[-2:]) % settings.endings
 
 
+def unit_of(word: bytes, settings: Settings) -> int:
+    value = xxhash.xxh64_intdigest(word, 42)
+    return settings.first_unit + (value - (value >> 63 << 64)) % (CODES - settings.first_unit)
+
+
+def unit_column(settings: Settings) -> Column:
+    """``unit_of`` as an expression on ``word``."""
+    return (F.pmod(F.xxhash64("word"), F.lit(CODES - settings.first_unit)) + settings.first_unit).cast("int")
+
+
+def ending_column(classes: int) -> Column:
+    return (F.crc32(F.expr("substring(word, -2, 2)")) % classes).cast("int")
+
+
 def count_words(documents: DataFrame, text: str = "text") -> DataFrame:
     """``word`` and ``n`` over all rows, the end tokens included; tasks count before the shuffle."""
 
@@ -101,129 +132,198 @@ def count_words(documents: DataFrame, text: str = "text") -> DataFrame:
     return rows.groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def count_pairs(documents: DataFrame, words: dict[bytes, int], units: np.ndarray, settings: Settings, text: str = "text") -> DataFrame:
-    """Counts of neighbouring units: clustered words, ending classes and the end token. At most units squared rows."""
-    size = settings.clustered + settings.endings + 1
-    shared = documents.sparkSession.sparkContext.broadcast((words, units))
+def frequent_units(counts: DataFrame, settings: Settings) -> np.ndarray:
+    """The bitmap of the units of the words at or above the floor; its size goes by their number."""
+    units = counts.filter((F.col("n") >= settings.floor) & (F.octet_length("word") > 0)).select(unit_column(settings).alias("unit"))
+    bits = min(BITS, max(BLOCK_BITS, (32 * units.count()).bit_length()))
+
+    def fill(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        block = np.zeros(1 << BLOCK_BITS, np.uint8)
+        block[frame["place"].to_numpy() & ((1 << BLOCK_BITS) - 1)] = 1
+        return pd.DataFrame({"block": [key[0]], "bits": [np.packbits(block, bitorder="little").tobytes()]})
+
+    places = units.select(F.col("unit").bitwiseAND((1 << bits) - 1).alias("place")).distinct()
+    out = np.zeros((1 << (bits - BLOCK_BITS), 1 << (BLOCK_BITS - 3)), np.uint8)
+    for block, content in places.withColumn("block", F.shiftright("place", BLOCK_BITS)).groupBy("block").applyInPandas(fill, "block int, bits binary").collect():
+        out[block] = np.frombuffer(content, np.uint8)
+    return out.ravel()
+
+
+class Codes(dict):
+    """Codes of words, found as they are asked for: the unit where the bitmap has it, else the class of the ending."""
+
+    def __init__(self, bitmap: np.ndarray, settings: Settings):
+        super().__init__()
+        self.bitmap, self.settings = bitmap, settings
+
+    def __missing__(self, word: bytes) -> int:
+        unit = unit_of(word, self.settings)
+        place = unit & (8 * len(self.bitmap) - 1)
+        code = unit if self.bitmap[place >> 3] >> (place & 7) & 1 else ending(word, self.settings) - self.settings.classes
+        self[word] = code
+        return code
+
+
+def count_pairs(documents: DataFrame, bitmap: np.ndarray, settings: Settings, text: str = "text") -> DataFrame:
+    """``a``, ``b``, ``n``: counts of neighbouring codes. The end of another text comes before the first word."""
+    shared = documents.sparkSession.sparkContext.broadcast(bitmap)
 
     def count(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, unit = shared.value
-        held, total = [], 0
+        codes, held, total = Codes(shared.value, settings), [], 0
 
         def flush() -> pa.RecordBatch:
-            code, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array((code // size).astype(np.int32)), pa.array((code % size).astype(np.int32)), pa.array(n)], ["a", "b", "n"])
+            pair, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(pair), pa.array(n)], ["pair", "n"])
 
         for batch in batches(frames, BATCH_BYTES):
             for content in bytes_of_text(batch.column(0)):
-                own = unit_ids(words_of(content), known, unit, settings)
-                # The end of another text comes before the first word.
-                before = np.concatenate([[size - 1], own])
-                held.append(before * size + np.append(own, size - 1))
-                total += len(before)
-                if total > 4 * FLUSH:
+                own = np.fromiter(map(codes.__getitem__, words_of(content)), np.int64)
+                held.append(np.append(settings.endings, own) << 31 | np.append(own, settings.endings))
+                total += len(own) + 1
+                if total > 8 * FLUSH:
                     yield flush()
                     held, total = [], 0
+            if len(codes) > FLUSH:
+                codes.clear()
         if held:
             yield flush()
 
-    rows = documents.select(F.col(text).alias("text")).mapInArrow(count, "a int, b int, n bigint")
-    return rows.groupBy("a", "b").agg(F.sum("n").alias("n"))
-
-
-def unit_ids(own: list[bytes], known: dict[bytes, int], unit: np.ndarray, settings: Settings) -> np.ndarray:
-    """Units of words: 0.. the clustered words, then the ending classes."""
-    index = np.fromiter((known.get(w, -1) for w in own), np.int64, len(own))
-    out = unit[index]
-    shift = settings.clustered - settings.classes
-    for i in np.flatnonzero(index < 0):
-        out[i] = ending(own[i], settings) + shift
-    return out
+    rows = documents.select(F.col(text).alias("text")).mapInArrow(count, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
+    return rows.select(F.shiftright("pair", 31).cast("int").alias("a"), F.col("pair").bitwiseAND(2**31 - 1).cast("int").alias("b"), "n")
 
 
 def xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1))
 
 
-def best_class(word: int, own: int, after: np.ndarray, before: np.ndarray, itself: float, pairs: np.ndarray, classes: int) -> int:
-    """The class, among the first ``classes``, that gives the word the largest class bigram likelihood.
+def best_classes(own: np.ndarray, after: np.ndarray, before: np.ndarray, itself: np.ndarray, pairs: np.ndarray, classes: int) -> np.ndarray:
+    """Per word the class, among the first ``classes``, that gives the largest class bigram likelihood if it alone moves.
 
-    ``after`` and ``before`` count the classes next to the word, itself included under its own class.
+    ``after`` and ``before`` have a row of counts by class for each word, itself included under its own class. The
+    gain of a class is a sum over the classes next to the word; those of the own class and of the tried one are added apart.
     """
-    left = pairs.copy()
-    left[own] -= after
-    left[:, own] -= before
-    left[own, own] += itself
-    s, p = after.copy(), before.copy()
-    s[own] -= itself
-    p[own] -= itself
-    k = np.arange(classes)
-    rows, columns = left[:classes], left[:, :classes].T
-    more_rows, more_columns = rows + s, columns + p
-    more_rows[k, k] += p[:classes] + itself
-    gain = xlogx(more_rows).sum(1) - xlogx(rows).sum(1)
-    column_change = xlogx(more_columns) - xlogx(columns)
-    column_change[k, k] = 0
-    gain += column_change.sum(1)
-    n_after, n_before = after.sum(), before.sum()
-    out, into = pairs.sum(1), pairs.sum(0)
-    out[own] -= n_after
-    into[own] -= n_before
-    out, into = out[:classes], into[:classes]
-    gain -= xlogx(out + n_after) - xlogx(out) + xlogx(into + n_before) - xlogx(into)
-    best = int(gain.argmax())
-    return best if gain[best] > gain[own] + 1e-9 else own
-
-
-def mover(counts: np.ndarray, classes: np.ndarray, settings: Settings):
-    """The function that finds a word's best class from its neighbours, of which there are at most as many as units."""
-
-    def move(rows):
-        word = int(rows["word"].iloc[0])
-        other, n, side = rows["other"].to_numpy(), rows["n"].to_numpy(float), rows["after"].to_numpy(bool)
-        after, before = (np.bincount(classes[other[m]], n[m], settings.end + 1) for m in (side, ~side))
-        itself = n[side & (other == word)].sum()
-        best = best_class(word, int(classes[word]), after, before, itself, counts, settings.classes)
-        return pd.DataFrame({"word": [word], "class": [best]})
-
-    return move
-
-
-def exchange(pairs: DataFrame, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """Classes of all units after the rounds, and the class pair counts. ``pairs`` is read once a round."""
-    spark = pairs.sparkSession
-    n, total = settings.clustered, settings.end + 1
-    # Neighbours in frequency start in different classes; endings and the end token stay where they are.
-    of = np.concatenate([np.arange(n) % settings.classes, settings.classes + np.arange(settings.endings + 1)]).astype(np.int64)
-
-    def class_pairs() -> np.ndarray:
-        shared = spark.sparkContext.broadcast(of)
-
-        def add(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sums = np.zeros(total * total, np.int64)
-            for batch in frames:
-                a, b = (shared.value[batch.column(i).to_numpy()] for i in (0, 1))
-                np.add.at(sums, a * total + b, batch.column(2).to_numpy())
-            held = np.flatnonzero(sums)
-            yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(sums[held])], ["code", "n"])
-
-        rows = pairs.mapInArrow(add, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")).toPandas()
-        out = np.zeros(total * total)
-        out[rows["code"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
-        return out.reshape(total, total)
-
-    sides = pairs.filter(F.col("a") < n).selectExpr("a AS word", "b AS other", "n", "true AS after").unionByName(
-        pairs.filter(F.col("b") < n).selectExpr("b AS word", "a AS other", "n", "false AS after")
-    )
-    for turn in range(settings.rounds):
+    k, i = np.arange(classes), np.arange(len(own))
+    gain = np.zeros((len(own), classes))
+    s_own, p_own = after[i, own] - itself, before[i, own] - itself
+
+    def add(counts: np.ndarray, table: np.ndarray) -> None:
+        """Terms of ``table[class, neighbour]`` for neighbours that are neither the own class nor the tried one."""
+        log = xlogx(table)
+        word, other = np.nonzero(counts)
+        keep = other != own[word]
+        word, other = word[keep], other[keep]
+        if not len(word):
+            return
+        n, mine = counts[word, other], own[word]
+        rows, base = table[:, other].T[:, :classes], log[:, other].T[:, :classes]
+        change = xlogx(rows + n[:, None]) - base
+        at = np.arange(len(word))
+        # The own class is tried after the word has left it.
+        change[at, mine] = base[at, mine] - xlogx(rows[at, mine] - n)
+        inner = other < classes
+        change[at[inner], other[inner]] = 0
+        first = np.flatnonzero(np.diff(word, prepend=-1))
+        gain[word[first]] += np.add.reduceat(change, first)
+
+    add(after, pairs)
+    add(before, pairs.T)
+    # The tried class next to itself, and next to the own class without the word.
+    diagonal = pairs[k, k]
+    tried = xlogx(diagonal + after[:, :classes] + before[:, :classes] + itself[:, None]) - xlogx(diagonal)
+    down, across = pairs[:classes, own].T - before[:, :classes], pairs[own, :classes] - after[:, :classes]
+    tried += xlogx(down + s_own[:, None]) - xlogx(down) + xlogx(across + p_own[:, None]) - xlogx(across)
+    whole = pairs[own, own]
+    tried[i, own] = xlogx(whole) - xlogx(whole - after[i, own] - before[i, own] + itself)
+    gain += tried
+    for table, n in ((pairs.sum(1)[:classes], after.sum(1)), (pairs.sum(0)[:classes], before.sum(1))):
+        left = np.repeat(table[None], len(own), 0)
+        left[i, own] -= n
+        gain -= xlogx(left + n[:, None]) - xlogx(left)
+    best = gain.argmax(1)
+    return np.where(gain[i, best] > gain[i, own] + 1e-9, best, own)
+
+
+def likelihood(pairs: np.ndarray) -> float:
+    """The part of the class bigram log likelihood that depends on the classes."""
+    return float(xlogx(pairs).sum() - xlogx(pairs.sum(0)).sum() - xlogx(pairs.sum(1)).sum())
+
+
+def start_classes(pairs: DataFrame, counts: DataFrame, settings: Settings) -> DataFrame:
+    """``unit`` and ``class`` of all units in the pairs: the most frequent words a class each, others by their ending."""
+    words = counts.filter(F.octet_length("word") > 0).withColumn("unit", unit_column(settings))
+    # Every occurrence of a word is the first of a pair.
+    units = pairs.filter(F.col("a") >= settings.first_unit).select(F.col("a").alias("unit")).distinct()
+    main = words.join(units, "unit", "left_semi").groupBy("unit").agg(F.max(F.struct("n", "word")).alias("top")).select("unit", "top.*")
+    first = main.orderBy(F.desc("n"), "unit").limit(settings.classes).select("unit").collect()
+    alone = pairs.sparkSession.createDataFrame([(r.unit, i) for i, r in enumerate(first)], "unit int, alone int")
+    return main.join(F.broadcast(alone), "unit", "left").select("unit", F.coalesce("alone", ending_column(settings.classes)).alias("class"))
+
+
+def exchange(pairs: DataFrame, start: DataFrame, settings: Settings) -> tuple[DataFrame, np.ndarray]:
+    """Classes of all units (``unit``, ``class``) and the counts of class pairs. ``pairs`` is read twice a turn."""
+    spark, total = pairs.sparkSession, settings.end + 1
+    stay = spark.range(settings.first_unit).select(F.col("id").cast("int").alias("unit"), (F.col("id") + settings.classes).cast("int").alias("class"))
+
+    def with_classes(of: DataFrame) -> DataFrame:
+        both = of.unionByName(stay)
+        left, right = both.select(F.col("unit").alias("a"), F.col("class").alias("ca")), both.select(F.col("unit").alias("b"), F.col("class").alias("cb"))
+        return pairs.join(left, "a").join(right, "b")
+
+    def class_pairs(of: DataFrame) -> np.ndarray:
+        out = np.zeros((total, total))
+        for r in with_classes(of).groupBy("ca", "cb").agg(F.sum("n").alias("n")).collect():
+            out[r.ca, r.cb] = r.n
+        return out
+
+    def moved(of: DataFrame, table: np.ndarray, half: int) -> DataFrame:
+        rows, none = with_classes(of), F.lit(0).cast("bigint")
+        mine = lambda c: (F.col(c) >= settings.first_unit) & (F.col(c) % 2 == half)
+        follows = rows.filter(mine("a")).select(F.col("a").alias("unit"), F.col("ca").alias("own"), F.col("cb").alias("other"), F.col("n").alias("after"), none.alias("before"), F.when(F.col("a") == F.col("b"), F.col("n")).otherwise(0).alias("itself"))
+        leads = rows.filter(mine("b")).select(F.col("b").alias("unit"), F.col("cb").alias("own"), F.col("ca").alias("other"), none.alias("after"), F.col("n").alias("before"), none.alias("itself"))
+        # At most as many rows a word as there are classes, summed before each shuffle.
+        sums = follows.unionByName(leads).groupBy("unit", "own", "other").agg(*[F.sum(c).alias(c) for c in ("after", "before", "itself")])
+        words = sums.groupBy("unit", "own").agg(F.sum("itself").alias("itself"), *[F.collect_list(c).alias(c) for c in ("other", "after", "before")])
+        shared = spark.sparkContext.broadcast(table)
+
+        def move(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for frame in frames:
+                for batch in (frame.slice(i, 256) for i in range(0, frame.num_rows, 256)):
+                    unit, own, itself, other, follow, lead = batch.columns
+                    own = own.to_numpy().astype(np.int64)
+                    after, before = np.zeros((2, len(own), total))
+                    word = np.repeat(np.arange(len(own)), np.diff(other.offsets.to_numpy()))
+                    place = other.flatten().to_numpy()
+                    after[word, place], before[word, place] = follow.flatten().to_numpy(), lead.flatten().to_numpy()
+                    best = best_classes(own, after, before, itself.to_numpy().astype(float), shared.value, settings.classes)
+                    yield pa.RecordBatch.from_arrays([unit, pa.array(best.astype(np.int32))], ["unit", "class"])
+
+        return words.mapInArrow(move, "unit int, class int").unionByName(of.filter(F.col("unit") % 2 != half))
+
+    def written(df: DataFrame) -> tuple[str, DataFrame]:
+        path = new_path(spark, "classes")
+        df.write.parquet(path)
+        return path, spark.read.schema("unit int, class int").parquet(path)
+
+    path, of = written(start)
+    table = class_pairs(of)
+    seen = [likelihood(table)]
+    for turn in range(settings.turns):
         # Half of the words move at a time, so that two words seldom chase each other.
-        moved = sides.filter(F.col("word") % 2 == turn % 2).groupBy("word").applyInPandas(mover(class_pairs(), of.copy(), settings), "word int, class int").toPandas()
-        of[moved["word"].to_numpy(np.int64)] = moved["class"].to_numpy(np.int64)
-    return of, class_pairs()
+        new_folder, new = written(moved(of, table, turn % 2))
+        new_table = class_pairs(new)
+        seen.append(likelihood(new_table))
+        if seen[-1] < seen[-2]:
+            drop_folder(spark, new_folder)
+            break
+        drop_folder(spark, path)
+        path, of, table = new_folder, new, new_table
+        if turn % 2 and seen[-1] - seen[-3] < settings.gain * table.sum():
+            break
+    return of, table
 
 
 def most_frequent(counts: DataFrame, most: int) -> list:
-    """The words from some frequency on, most frequent first, at most ``most``: only they reach the driver.
+    """The words from some frequency on, at most ``most``: only they reach the driver. None where more than that share the top step.
 
     The frequency comes from how many words have counts of each size, in steps of about 3 %.
     """
@@ -237,39 +337,46 @@ def most_frequent(counts: DataFrame, most: int) -> list:
         least = r.step
     if least is None:
         return []
-    return sorted(counts.filter(step >= least).collect(), key=lambda r: (-r.n, bytes(r.word)))
+    return counts.filter(step >= least).collect()
 
 
 def train(spark: SparkSession, documents: DataFrame, settings: Settings = Settings(), text: str = "text") -> tuple[Model, DataFrame]:
-    """The model and the table of all word counts."""
-    counts = staged(spark, count_words(documents, text), "word-counts")
+    """The model and the table of all words with count and class: ``word``, ``n``, ``class``."""
+    folders = [new_path(spark, label) for label in ("word-counts", "word-pairs", "word-classes")]
+
+    def kept(df: DataFrame, folder: str) -> DataFrame:
+        df.write.parquet(folder)
+        return spark.read.schema(df.schema).parquet(folder)
+
+    counts = kept(count_words(documents, text), folders[0])
     size = counts.agg(F.count(F.lit(1)).alias("words"), F.sum("n").alias("tokens")).first()
-    top = most_frequent(counts.filter((F.octet_length("word") <= settings.longest) & (F.octet_length("word") > 0)), settings.known)
+    pairs = kept(count_pairs(documents, frequent_units(counts, settings), settings, text), folders[1])
+    of, table = exchange(pairs, start_classes(pairs, counts, settings), settings)
+    by_ending = ending_column(settings.endings) + settings.classes
+    own = F.when(F.octet_length("word") == 0, settings.end).otherwise(F.coalesce("class", by_ending))
+    classed = counts.withColumn("unit", unit_column(settings)).join(of, "unit", "left").select("word", "n", own.cast("int").alias("class"))
+    classed = kept(classed, folders[2])
+    drop_folder(spark, folders[0])
+    drop_folder(spark, folders[1])
+
+    shares = (table.sum(0) + 1) / (table.sum() + len(table))
+    transition = np.log10((table + settings.weight * shares) / (table.sum(1, keepdims=True) + settings.weight))
+    distinct = np.zeros(len(table))
+    for r in classed.groupBy("class").agg(F.count(F.lit(1)).alias("v")).collect():
+        distinct[r["class"]] = r.v
+    class_total = np.log10(table.sum(0) + 0.5 * (distinct + 1))
+    top = most_frequent(classed.filter((F.octet_length("word") <= settings.longest) & (F.octet_length("word") > 0)), settings.known)
     words = {bytes(r.word): i for i, r in enumerate(top)}
-    shift = settings.clustered - settings.classes
-    units = np.array([i if i < settings.clustered else ending(w, settings) + shift for w, i in words.items()] + [0], np.int64)
-    of, pairs = exchange(staged(spark, count_pairs(documents, words, units, settings, text), "unit-pairs"), settings)
-
-    shares = (pairs.sum(0) + 1) / (pairs.sum() + len(pairs))
-    transition = np.log10((pairs + settings.weight * shares) / (pairs.sum(1, keepdims=True) + settings.weight))
-    # Distinct words per class: clustered ones by the driver, all others by their ending in Spark.
-    clustered = spark.createDataFrame([(bytearray(w),) for w, i in words.items() if i < settings.clustered], "word binary")
-    others = counts.filter(F.octet_length("word") > 0).join(F.broadcast(clustered), "word", "left_anti")
-    by_ending = others.groupBy((F.crc32(F.expr("substring(word, -2, 2)")) % settings.endings).alias("k")).agg(F.count(F.lit(1)).alias("v")).collect()
-    distinct = np.zeros(len(pairs))
-    for r in by_ending:
-        distinct[settings.classes + r.k] = r.v
-    np.add.at(distinct, of[: min(settings.clustered, len(words))], 1)
-    distinct[settings.end] = 1 if size.tokens else 0
-    class_total = np.log10(pairs.sum(0) + 0.5 * (distinct + 1))
-    model = Model(words, of[units[:-1]], np.array([r.n for r in top], np.int64), transition, class_total, size.tokens or 0, size.words, settings)
-    return model, counts
+    of_word = np.array([r["class"] for r in top], np.int64)
+    model = Model(words, of_word, np.array([r.n for r in top], np.int64), transition, class_total, size.tokens or 0, size.words, settings)
+    return model, classed
 
 
 def score(spark: SparkSession, documents: DataFrame, model: Model, counts: DataFrame, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Per row the key and kept columns, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score``, ``perplexity``.
 
     ``base_score`` is the unigram log10 probability, ``score`` that of the class model, ``perplexity`` per token by the latter.
+    A first pass scores the broadcast words and tells the classes beside the others; a second one adds these.
     """
     end_count = counts.filter(F.octet_length("word") == 0).first()
     ends = end_count.n if end_count else 0
@@ -277,55 +384,74 @@ def score(spark: SparkSession, documents: DataFrame, model: Model, counts: DataF
     plain = documents.select(F.col(key).alias("doc_id"), *keep, F.col(text).alias("text"))
     carried = plain.drop("text")
     columns, end_log = carried.columns, float(np.log10(ends + 0.5))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in carried.schema) + ", doc bigint, n bigint, known bigint, emitted double, moved double, rare array<binary>"
+    own_columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in carried.schema)
+    schema = own_columns + ", doc bigint, n bigint, known bigint, emitted double, moved double, rare array<binary>, at binary, left binary, right binary"
 
     def run(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, row = shared.value, TaskContext.get().partitionId() << 40
         s, get = m.settings, m.words.get
-        logs, classes = np.append(np.log10(m.word_count + 0.5), 0.0), np.append(m.word_class, 0)
+        logs, classes = np.append(np.log10(m.word_count + 0.5), 0.0), np.append(m.word_class, -1)
         for batch in batches(frames, BATCH_BYTES):
-            n, known, emitted, moved, rare = [], [], [], [], []
+            out: list[list] = [[] for _ in range(8)]
             for content in bytes_of_text(batch.column(len(columns))):
                 own = words_of(content)
                 index = np.fromiter((get(w, -1) for w in own), np.int64, len(own))
                 cls = np.append(classes[index], s.end)
-                other = np.flatnonzero(index < 0)
-                for i in other:
-                    cls[i] = ending(own[i], s)
                 before = np.append(s.end, cls[:-1])
-                n.append(len(own) + 1)
-                known.append(len(own) - len(other) + (ends > 0))
-                emitted.append(float(logs[index].sum() + end_log))
-                moved.append(float(m.transition[before, cls].sum() - m.class_total[cls].sum()))
-                rare.append([own[i] for i in other])
+                both, held = (before >= 0) & (cls >= 0), cls[cls >= 0]
+                other = np.flatnonzero(index < 0)
+                rare: dict[bytes, int] = {}
+                at = [rare.setdefault(own[i], len(rare)) for i in other]
+                moved = float(m.transition[before[both], cls[both]].sum() - m.class_total[held].sum())
+                beside = [np.asarray(x, "<i4").tobytes() for x in (at, before[other], cls[other + 1])]
+                values = (len(own) + 1, len(own) - len(other) + (ends > 0), float(logs[index].sum() + end_log), moved, list(rare), *beside)
+                for column, value in zip(out, values):
+                    column.append(value)
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.binary(), pa.binary(), pa.binary())
+            n = batch.num_rows
             yield pa.RecordBatch.from_arrays(
-                [
-                    *batch.columns[:-1],
-                    pa.array(range(row, row + len(n)), pa.int64()),
-                    pa.array(n, pa.int64()),
-                    pa.array(known, pa.int64()),
-                    pa.array(emitted, pa.float64()),
-                    pa.array(moved, pa.float64()),
-                    pa.array(rare, pa.list_(pa.binary())),
-                ],
-                [*columns, "doc", "n", "known", "emitted", "moved", "rare"],
+                [*batch.columns[:-1], pa.array(range(row, row + n), pa.int64()), *[pa.array(x, k) for x, k in zip(out, kinds)]],
+                [*columns, "doc", "n", "known", "emitted", "moved", "rare", "at", "left", "right"],
             )
-            row += len(n)
+            row += n
 
     rows = staged(spark, plain.mapInArrow(run, schema), "scored")
-    rare = rows.select("doc", F.explode("rare").alias("word")).groupBy("doc", "word").agg(F.count(F.lit(1)).alias("times"))
-    found = rare.join(counts, "word", "left").groupBy("doc").agg(
-        F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("rare_known"),
-        F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("rare_emitted"),
-    )
-    emitted = F.col("emitted") + F.coalesce("rare_emitted", F.lit(0.0))
+    s = model.settings
+    by_ending = (ending_column(s.endings) + s.classes).cast("int")
+    rare = rows.select("doc", F.posexplode("rare").alias("place", "word")).join(counts, "word", "left")
+    found = rare.groupBy("doc").agg(F.collect_list(F.struct("place", F.coalesce("n", F.lit(0).cast("bigint")).alias("n"), F.coalesce("class", by_ending).alias("class"))).alias("found"))
+    whole = rows.drop("rare").join(found, "doc", "left").select(*columns, "n", "known", "emitted", "moved", "at", "left", "right", "found")
+
+    def add(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for batch in frames:
+            sums: list[list] = [[], [], []]
+            for r in batch.select(["known", "emitted", "moved", "at", "left", "right", "found"]).to_pylist():
+                known, emitted, moved = r["known"], r["emitted"], r["moved"]
+                if r["found"]:
+                    place, n, cls = np.array([[f["place"], f["n"], f["class"]] for f in r["found"]], np.int64).T
+                    order = np.argsort(place)
+                    at, before, after = (np.frombuffer(r[c], "<i4") for c in ("at", "left", "right"))
+                    n, cls = n[order][at], cls[order][at]
+                    # A rare word after another one: its class is the other's.
+                    before = np.where(before < 0, np.append(0, cls[:-1]), before)
+                    last = after >= 0
+                    known += int((n > 0).sum())
+                    emitted += float(np.log10(n + 0.5).sum())
+                    moved += float(m.transition[before, cls].sum() + m.transition[cls[last], after[last]].sum() - m.class_total[cls].sum())
+                for column, value in zip(sums, (known, emitted, moved)):
+                    column.append(value)
+            kinds = (pa.int64(), pa.float64(), pa.float64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns) + 1], *[pa.array(x, k) for x, k in zip(sums, kinds)]], [*columns, "n", "known", "emitted", "moved"])
+
+    scored = whole.mapInArrow(add, own_columns + ", n bigint, known bigint, emitted double, moved double")
     total = F.lit(float(np.log10(model.tokens + 0.5 * (model.vocabulary + 1))))
-    return rows.join(found, "doc", "left").select(
+    return scored.select(
         *columns,
         F.col("n").alias("n_tokens"),
-        (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
+        F.col("known").alias("n_known"),
         F.lit(model.tokens).cast("bigint").alias("train_tokens"),
-        (emitted - F.col("n") * total).alias("base_score"),
-        (emitted + F.col("moved")).alias("score"),
-        F.pow(F.lit(10.0), -(emitted + F.col("moved")) / F.col("n")).alias("perplexity"),
+        (F.col("emitted") - F.col("n") * total).alias("base_score"),
+        (F.col("emitted") + F.col("moved")).alias("score"),
+        F.pow(F.lit(10.0), -(F.col("emitted") + F.col("moved")) / F.col("n")).alias("perplexity"),
     )

@@ -138,7 +138,7 @@ def test_scores_of_documents(spark):
 def test_score_edge_cases(spark):
     rows = [(i, t, "z") for i, t in enumerate(["a b A\tc", None, "", "b" * 100 + " é É", "a " * 50_000, "a b A\tc"])]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, word string")
-    small = brown.Settings(clustered=2, classes=2, endings=3, known=3)
+    small = brown.Settings(floor=2, classes=2, endings=3, known=3)
     train = df.filter("doc_id < 4")
     model, counts = brown.train(spark, train, small)
     got = {r.doc_id: r for r in brown.score(spark, df, model, counts).collect()}
@@ -152,33 +152,104 @@ def test_score_edge_cases(spark):
 
 def test_probabilities_sum_to_one(spark):
     df = spark.createDataFrame([(0, "a b a c a b d e f g a b")], "doc_id bigint, text string")
-    small = brown.Settings(clustered=3, classes=2, endings=3, known=5)
+    small = brown.Settings(floor=2, classes=2, endings=3, known=5)
     model, counts = brown.train(spark, df, small)
     assert np.allclose((10**model.transition).sum(1), 1)
     totals = np.zeros(small.end + 1)
-    seen = {bytes(r.word): r.n for r in counts.collect()}
-    for word, n in seen.items():
-        c = small.end if not word else model.word_class[model.words[word]] if word in model.words else brown.ending(word, small)
-        totals[c] += (n + 0.5) / 10 ** model.class_total[c]
+    for r in counts.collect():
+        totals[r["class"]] += (r.n + 0.5) / 10 ** model.class_total[r["class"]]
     assert np.allclose(totals + 0.5 / 10**model.class_total, 1)
 
 
-def test_exchange_raises_the_likelihood():
+def random_texts(seed, rows=60):
+    rng = np.random.default_rng(seed)
+    words = [f"w{i}{'xyz'[i % 3]}" for i in range(40)]
+    share = 1 / np.arange(1, 41)
+    return [" ".join(rng.choice(words, rng.integers(0, 30), p=share / share.sum())) for _ in range(rows)]
+
+
+def plain_likelihood(pairs, of, total):
+    g = np.zeros((total, total))
+    for (a, b), n in pairs.items():
+        g[of[a], of[b]] += n
+    return brown.likelihood(g), g
+
+
+def plain_classes(texts, s):
+    """Class by word of the exchange, trying each word in each class over again. No rare word may be of a frequent one's place in the bitmap."""
+    counts, pairs = Counter(), Counter()
+    for t in texts:
+        own = [w.encode() for w in t.split()]
+        counts.update([*own, b""])
+        pairs.update(zip([b"", *own], [*own, b""]))
+    of = {w: brown.ending(w, s) if w else s.end for w in counts}
+    often = sorted((w for w in counts if w and counts[w] >= s.floor), key=lambda w: (-counts[w], brown.unit_of(w, s)))
+    for i, w in enumerate(often):
+        of[w] = i if i < s.classes else zlib.crc32(w[-2:]) % s.classes
+    seen = [plain_likelihood(pairs, of, s.end + 1)[0]]
+    for turn in range(s.turns):
+        new = dict(of)
+        for w in often:
+            if brown.unit_of(w, s) % 2 == turn % 2:
+                tries = [plain_likelihood(pairs, of | {w: k}, s.end + 1)[0] for k in range(s.classes)]
+                best = int(np.argmax(tries))
+                new[w] = best if tries[best] > tries[of[w]] + 1e-6 else of[w]
+        seen.append(plain_likelihood(pairs, new, s.end + 1)[0])
+        if seen[-1] < seen[-2]:
+            break
+        of = new
+        if turn % 2 and seen[-1] - seen[-3] < s.gain * sum(pairs.values()):
+            break
+    return of, counts, pairs
+
+
+@pytest.mark.parametrize("known", [0, 7, 1000])
+def test_classes_and_scores_are_those_of_a_plain_exchange(spark, known):
+    """Whichever words are broadcast, classes and scores are the same."""
+    texts = random_texts(3)
+    small = brown.Settings(floor=5, classes=4, endings=3, known=known, gain=0.0, turns=4)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    held = ["new words w1y w0x", "w0x w0x zz zz zz w39x", "", *texts[:5]]
+    model, counts = brown.train(spark, df, small)
+    of, plain_counts, pairs = plain_classes(texts, small)
+    got = {bytes(r.word): (r.n, r["class"]) for r in counts.collect()}
+    assert got == {w: (n, of[w]) for w, n in plain_counts.items()}
+    assert all(of[w] < small.classes for w, n in plain_counts.items() if w and n >= small.floor)
+    assert len(model.words) == min(known, len(plain_counts) - 1) or known == 7
+
+    g = plain_likelihood(pairs, of, small.end + 1)[1]
+    shares = (g.sum(0) + 1) / (g.sum() + len(g))
+    distinct = Counter(of.values())
+    scored = {r.doc_id: r for r in brown.score(spark, spark.createDataFrame(list(enumerate(held)), "doc_id bigint, text string"), model, counts).collect()}
+    for i, t in enumerate(held):
+        want, last = 0.0, small.end
+        for w in [*(x.encode() for x in t.split()), b""]:
+            c = of.get(w, brown.ending(w, small))
+            want += math.log10((g[last, c] + small.weight * shares[c]) / (g[last].sum() + small.weight))
+            want += math.log10((plain_counts[w] + 0.5) / (g[:, c].sum() + 0.5 * (distinct[c] + 1)))
+            last = c
+        assert scored[i].score == pytest.approx(want, rel=1e-9)
+
+
+def test_best_classes_are_those_of_trying_all():
     rng = np.random.default_rng(0)
-    n, classes = 12, 3
-    pairs = rng.integers(0, 20, (n, n)).astype(float)
-
-    def likelihood(of):
-        g = np.zeros((classes, classes))
-        np.add.at(g, (of[:, None].repeat(n, 1), of[None].repeat(n, 0)), pairs)
-        return brown.xlogx(g).sum() - brown.xlogx(g.sum(0)).sum() - brown.xlogx(g.sum(1)).sum(), g
-
-    of = np.arange(n) % classes
-    for w in range(n):
-        tries = []
-        for k in range(classes):
-            other = of.copy()
-            other[w] = k
-            tries.append(likelihood(other)[0])
-        after, before = np.bincount(of, pairs[w], classes), np.bincount(of, pairs[:, w], classes)
-        assert brown.best_class(w, of[w], after, before, pairs[w, w], likelihood(of)[1], classes) == int(np.argmax(tries))
+    for n, classes, stay in ((12, 3, 0), (20, 4, 3), (30, 6, 2)):
+        total = classes + stay
+        counts = rng.poisson(0.8, (n, n)).astype(float) * rng.integers(1, 9, (n, n))
+        of = np.append(np.arange(n - stay) % classes, classes + np.arange(stay))
+        pairs = {(a, b): counts[a, b] for a in range(n) for b in range(n)}
+        movable = np.arange(n - stay)
+        after = np.array([np.bincount(of, counts[w], total) for w in movable])
+        before = np.array([np.bincount(of, counts[:, w], total) for w in movable])
+        got = brown.best_classes(of[movable], after, before, counts[movable, movable], plain_likelihood(pairs, of, total)[1], classes)
+        for w in movable:
+            tries = [plain_likelihood(pairs, np.where(np.arange(n) == w, k, of), total)[0] for k in range(classes)]
+            assert tries[got[w]] == pytest.approx(max(tries), abs=1e-9)
+
+
+def test_units_are_those_of_the_expression(spark):
+    words = [b"a", b"", b"hello", "\u00e9\u6f22".encode(), b"x" * 40, *(f"w{i}".encode() for i in range(50))]
+    small = brown.Settings()
+    rows = spark.createDataFrame([(bytearray(w),) for w in words], "word binary").select("word", brown.unit_column(small).alias("unit"), brown.ending_column(small.endings).alias("ending"))
+    for r in rows.collect():
+        assert (r.unit, r.ending) == (brown.unit_of(bytes(r.word), small), brown.ending(bytes(r.word), small) - small.classes)
