@@ -5,13 +5,14 @@ counts the pairs of neighbouring words once, and in each turn joins them with th
 by class, and moves every word of the turn's half to the class that raises the class bigram likelihood most, all
 against the same class counts. Turns go on until a word of text gains less than ``gain`` by two of them, at most ``turns``; classes are
 kept as they were at the greatest likelihood. The vocabulary grows with the input and stays a table; the driver holds counts of class pairs
-only. Rarer words, also one never seen, belong to the class of their last two bytes, so each word has exactly one class.
+only. Where the vocabulary is small enough to be held (``held`` units, counted first), tasks get its classes and each word's
+neighbours are gathered once, so that turns shuffle nothing; the result is the same. Rarer words, also one never seen, belong to the class of their last two bytes, so each word has exactly one class.
 A text's probability is the product of the class transitions, smoothed by the class shares, and the emissions of the words
 from their classes, with 0.5 added to each count and to one unknown word per class.
 
 The clustered unit is a word's 64-bit hash modulo some 2 ** 31, so that a pair is one number; words of one unit share a
-class and keep counts of their own. A bitmap of 32 bits for each word above the floor, at most 2 ** 28 in all, tells tasks which words to
-keep apart. It lets about 3 % of the rarer words pass, more beyond eight million words; these are clustered too.
+class and keep counts of their own. Beyond ``held`` units a bitmap of 32 bits for each word above the floor, at most 2 ** 28 in all,
+tells tasks which words to keep apart. It lets some rarer words pass, about 3 % up to eight million words; these keep the class of their ending.
 
 Class and count of up to ``known`` most frequent words are broadcast, a bounded number of words of bounded length; those of all
 others are joined by word. Which words these are changes no result.
@@ -50,13 +51,14 @@ BITS = 28
 
 @dataclass(frozen=True)
 class Settings:
-    """Least count and classes of clustered words, classes by ending, bounds of the turns, words broadcast, and the smoothing weight."""
+    """Least count and classes of clustered words, classes by ending, bounds of the turns, units held in tasks, words broadcast, and the smoothing weight."""
 
     floor: int = 20
     classes: int = 128
     endings: int = 128
     turns: int = 10
     gain: float = 0.01
+    held: int = 1 << 20
     known: int = 200_000
     longest: int = 64
     weight: float = 20.0
@@ -150,26 +152,32 @@ def frequent_units(counts: DataFrame, settings: Settings) -> np.ndarray:
 
 
 class Codes(dict):
-    """Codes of words, found as they are asked for: the unit where the bitmap has it, else the class of the ending."""
+    """Codes of words, found as they are asked for: a place in ``units`` or the unit that the bitmap has, else the class of the ending."""
 
-    def __init__(self, bitmap: np.ndarray, settings: Settings):
+    def __init__(self, units: np.ndarray | None, bitmap: np.ndarray | None, settings: Settings):
         super().__init__()
-        self.bitmap, self.settings = bitmap, settings
+        self.units, self.bitmap, self.settings = units, bitmap, settings
 
     def __missing__(self, word: bytes) -> int:
-        unit = unit_of(word, self.settings)
-        place = unit & (8 * len(self.bitmap) - 1)
-        code = unit if self.bitmap[place >> 3] >> (place & 7) & 1 else ending(word, self.settings) - self.settings.classes
+        unit, code = unit_of(word, self.settings), ending(word, self.settings) - self.settings.classes
+        if self.units is None:
+            place = unit & (8 * len(self.bitmap) - 1)
+            if self.bitmap[place >> 3] >> (place & 7) & 1:
+                code = unit
+        else:
+            place = int(np.searchsorted(self.units, unit))
+            if place < len(self.units) and self.units[place] == unit:
+                code = self.settings.first_unit + place
         self[word] = code
         return code
 
 
-def count_pairs(documents: DataFrame, bitmap: np.ndarray, settings: Settings, text: str = "text") -> DataFrame:
+def count_pairs(documents: DataFrame, units: np.ndarray | None, bitmap: np.ndarray | None, settings: Settings, text: str = "text") -> DataFrame:
     """``a``, ``b``, ``n``: counts of neighbouring codes. The end of another text comes before the first word."""
-    shared = documents.sparkSession.sparkContext.broadcast(bitmap)
+    shared = documents.sparkSession.sparkContext.broadcast((units, bitmap))
 
     def count(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, held, total = Codes(shared.value, settings), [], 0
+        codes, held, total = Codes(*shared.value, settings), [], 0
 
         def flush() -> pa.RecordBatch:
             pair, n = np.unique(np.concatenate(held), return_counts=True)
@@ -248,15 +256,89 @@ def likelihood(pairs: np.ndarray) -> float:
     return float(xlogx(pairs).sum() - xlogx(pairs.sum(0)).sum() - xlogx(pairs.sum(1)).sum())
 
 
-def start_classes(pairs: DataFrame, counts: DataFrame, settings: Settings) -> DataFrame:
-    """``unit`` and ``class`` of all units in the pairs: the most frequent words a class each, others by their ending."""
-    words = counts.filter(F.octet_length("word") > 0).withColumn("unit", unit_column(settings))
-    # Every occurrence of a word is the first of a pair.
-    units = pairs.filter(F.col("a") >= settings.first_unit).select(F.col("a").alias("unit")).distinct()
-    main = words.join(units, "unit", "left_semi").groupBy("unit").agg(F.max(F.struct("n", "word")).alias("top")).select("unit", "top.*")
+def with_start(main: DataFrame, settings: Settings) -> DataFrame:
+    """``unit`` and ``class``: the most frequent words a class each, others by their ending. Rarer ones than the floor have the class they keep."""
     first = main.orderBy(F.desc("n"), "unit").limit(settings.classes).select("unit").collect()
-    alone = pairs.sparkSession.createDataFrame([(r.unit, i) for i, r in enumerate(first)], "unit int, alone int")
-    return main.join(F.broadcast(alone), "unit", "left").select("unit", F.coalesce("alone", ending_column(settings.classes)).alias("class"))
+    alone = main.sparkSession.createDataFrame([(r.unit, i) for i, r in enumerate(first)], "unit int, alone int")
+    start = F.coalesce("alone", ending_column(settings.classes))
+    kept = ending_column(settings.endings) + settings.classes
+    return main.join(F.broadcast(alone), "unit", "left").select("unit", F.when(F.col("n") < settings.floor, kept).otherwise(start).cast("int").alias("class"))
+
+
+def main_words(words: DataFrame) -> DataFrame:
+    """The most frequent word of each unit."""
+    return words.groupBy("unit").agg(F.max(F.struct("n", "word")).alias("top")).select("unit", "top.*")
+
+
+def neighbours(pairs: DataFrame) -> DataFrame:
+    """Per code ``word`` the codes beside it and how often: positive after it, negative before it. At most two for each held unit."""
+    after = pairs.select(F.col("a").alias("word"), F.col("b").alias("other"), "n")
+    before = pairs.select(F.col("b").alias("word"), F.col("a").alias("other"), (-F.col("n")).alias("n"))
+    return after.unionByName(before).groupBy("word").agg(F.collect_list("other").alias("other"), F.collect_list("n").alias("n"))
+
+
+def exchange_held(sides: DataFrame, units: np.ndarray, start: np.ndarray, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """``exchange`` where the classes of all units fit into every task. ``sides`` is read twice a turn, without a shuffle of words."""
+    spark, total, first = sides.sparkSession, settings.end + 1, settings.first_unit
+
+    def parts(batch: pa.RecordBatch, of: np.ndarray) -> tuple[np.ndarray, ...]:
+        word = batch.column(0).to_numpy()
+        at = np.repeat(np.arange(len(word)), np.diff(batch.column(1).offsets.to_numpy()))
+        other = batch.column(1).flatten().to_numpy()
+        return word, at, other, of[other], batch.column(2).flatten().to_numpy()
+
+    def class_pairs(of: np.ndarray) -> np.ndarray:
+        shared = spark.sparkContext.broadcast(of)
+
+        def add(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums = np.zeros(total * total)
+            for batch in frames:
+                word, at, _, cls, n = parts(batch, shared.value)
+                follows = n > 0
+                sums += np.bincount(shared.value[word[at[follows]]] * total + cls[follows], n[follows], total * total)
+            held = np.flatnonzero(sums)
+            yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(sums[held].astype(np.int64))], ["code", "n"])
+
+        rows = sides.mapInArrow(add, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")).toPandas()
+        out = np.zeros(total * total)
+        out[rows["code"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
+        return out.reshape(total, total)
+
+    def moved(of: np.ndarray, table: np.ndarray, half: int) -> np.ndarray:
+        shared = spark.sparkContext.broadcast((of, table, np.append(np.full(first, 1 - half), units % 2) == half))
+
+        def move(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            of, table, turns = shared.value
+            for frame in frames:
+                mine = frame.filter(pa.array(turns[frame.column(0).to_numpy()]))
+                for batch in (mine.slice(i, 64) for i in range(0, mine.num_rows, 64)):
+                    word, at, other, cls, n = parts(batch, of)
+                    sums = np.zeros((2, len(word), total))
+                    np.add.at(sums, ((n < 0).astype(np.int64), at, cls), np.abs(n))
+                    itself = np.bincount(at, np.where((n > 0) & (other == word[at]), n, 0), len(word))
+                    best = best_classes(of[word], *sums, itself, table, settings.classes)
+                    change = best != of[word]
+                    yield pa.RecordBatch.from_arrays([pa.array(word[change]), pa.array(best[change].astype(np.int32))], ["word", "class"])
+
+        rows = sides.filter(F.col("word") >= first).mapInArrow(move, "word int, class int").toPandas()
+        out = of.copy()
+        out[rows["word"].to_numpy(np.int64)] = rows["class"].to_numpy(np.int64)
+        return out
+
+    of = np.concatenate([settings.classes + np.arange(first), start]).astype(np.int64)
+    table = class_pairs(of)
+    seen = [likelihood(table)]
+    for turn in range(settings.turns):
+        # Half of the words move at a time, so that two words seldom chase each other.
+        new = moved(of, table, turn % 2)
+        new_table = class_pairs(new)
+        seen.append(likelihood(new_table))
+        if seen[-1] < seen[-2]:
+            break
+        of, table = new, new_table
+        if turn % 2 and seen[-1] - seen[-3] < settings.gain * table.sum():
+            break
+    return of[first:], table
 
 
 def exchange(pairs: DataFrame, start: DataFrame, settings: Settings) -> tuple[DataFrame, np.ndarray]:
@@ -277,7 +359,7 @@ def exchange(pairs: DataFrame, start: DataFrame, settings: Settings) -> tuple[Da
 
     def moved(of: DataFrame, table: np.ndarray, half: int) -> DataFrame:
         rows, none = with_classes(of), F.lit(0).cast("bigint")
-        mine = lambda c: (F.col(c) >= settings.first_unit) & (F.col(c) % 2 == half)
+        mine = lambda c: (F.col(c) >= settings.first_unit) & (F.col(c) % 2 == half) & (F.col(f"c{c}") < settings.classes)
         follows = rows.filter(mine("a")).select(F.col("a").alias("unit"), F.col("ca").alias("own"), F.col("cb").alias("other"), F.col("n").alias("after"), none.alias("before"), F.when(F.col("a") == F.col("b"), F.col("n")).otherwise(0).alias("itself"))
         leads = rows.filter(mine("b")).select(F.col("b").alias("unit"), F.col("cb").alias("own"), F.col("ca").alias("other"), none.alias("after"), F.col("n").alias("before"), none.alias("itself"))
         # At most as many rows a word as there are classes, summed before each shuffle.
@@ -287,7 +369,7 @@ def exchange(pairs: DataFrame, start: DataFrame, settings: Settings) -> tuple[Da
 
         def move(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for frame in frames:
-                for batch in (frame.slice(i, 256) for i in range(0, frame.num_rows, 256)):
+                for batch in (frame.slice(i, 64) for i in range(0, frame.num_rows, 64)):
                     unit, own, itself, other, follow, lead = batch.columns
                     own = own.to_numpy().astype(np.int64)
                     after, before = np.zeros((2, len(own), total))
@@ -297,7 +379,7 @@ def exchange(pairs: DataFrame, start: DataFrame, settings: Settings) -> tuple[Da
                     best = best_classes(own, after, before, itself.to_numpy().astype(float), shared.value, settings.classes)
                     yield pa.RecordBatch.from_arrays([unit, pa.array(best.astype(np.int32))], ["unit", "class"])
 
-        return words.mapInArrow(move, "unit int, class int").unionByName(of.filter(F.col("unit") % 2 != half))
+        return words.mapInArrow(move, "unit int, class int").unionByName(of.filter((F.col("unit") % 2 != half) | (F.col("class") >= settings.classes)))
 
     def written(df: DataFrame) -> tuple[str, DataFrame]:
         path = new_path(spark, "classes")
@@ -350,8 +432,19 @@ def train(spark: SparkSession, documents: DataFrame, settings: Settings = Settin
 
     counts = kept(count_words(documents, text), folders[0])
     size = counts.agg(F.count(F.lit(1)).alias("words"), F.sum("n").alias("tokens")).first()
-    pairs = kept(count_pairs(documents, frequent_units(counts, settings), settings, text), folders[1])
-    of, table = exchange(pairs, start_classes(pairs, counts, settings), settings)
+    words = counts.filter(F.octet_length("word") > 0).withColumn("unit", unit_column(settings))
+    often = main_words(words.filter(F.col("n") >= settings.floor))
+    if often.limit(settings.held + 1).count() <= settings.held:
+        start = with_start(often, settings).orderBy("unit").toPandas()
+        units = start["unit"].to_numpy(np.int64)
+        sides = kept(neighbours(count_pairs(documents, units, None, settings, text)), folders[1])
+        classes, table = exchange_held(sides, units, start["class"].to_numpy(np.int64), settings)
+        of = spark.createDataFrame(pd.DataFrame({"unit": units.astype(np.int32), "class": classes.astype(np.int32)}), "unit int, class int")
+    else:
+        pairs = kept(count_pairs(documents, None, frequent_units(counts, settings), settings, text), folders[1])
+        # Every occurrence of a word is the first of a pair.
+        units = pairs.filter(F.col("a") >= settings.first_unit).select(F.col("a").alias("unit")).distinct()
+        of, table = exchange(pairs, with_start(main_words(words.join(units, "unit", "left_semi")), settings), settings)
     by_ending = ending_column(settings.endings) + settings.classes
     own = F.when(F.octet_length("word") == 0, settings.end).otherwise(F.coalesce("class", by_ending))
     classed = counts.withColumn("unit", unit_column(settings)).join(of, "unit", "left").select("word", "n", own.cast("int").alias("class"))
