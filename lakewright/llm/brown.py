@@ -216,6 +216,8 @@ def best_classes(own: np.ndarray, after: np.ndarray, before: np.ndarray, itself:
 
     def add(counts: np.ndarray, table: np.ndarray) -> None:
         """Terms of ``table[class, neighbour]`` for neighbours that are neither the own class nor the tried one."""
+        # A row per neighbour, so that taking those of a word reads whole rows.
+        table = np.ascontiguousarray(table[:classes].T)
         log = xlogx(table)
         word, other = np.nonzero(counts)
         keep = other != own[word]
@@ -223,7 +225,7 @@ def best_classes(own: np.ndarray, after: np.ndarray, before: np.ndarray, itself:
         if not len(word):
             return
         n, mine = counts[word, other], own[word]
-        rows, base = table[:, other].T[:, :classes], log[:, other].T[:, :classes]
+        rows, base = table[other], log[other]
         change = xlogx(rows + n[:, None]) - base
         at = np.arange(len(word))
         # The own class is tried after the word has left it.
@@ -272,9 +274,9 @@ def main_words(words: DataFrame) -> DataFrame:
 
 def neighbours(pairs: DataFrame) -> DataFrame:
     """Per code ``word`` the codes beside it and how often: positive after it, negative before it. At most two for each held unit."""
-    after = pairs.select(F.col("a").alias("word"), F.col("b").alias("other"), "n")
-    before = pairs.select(F.col("b").alias("word"), F.col("a").alias("other"), (-F.col("n")).alias("n"))
-    return after.unionByName(before).groupBy("word").agg(F.collect_list("other").alias("other"), F.collect_list("n").alias("n"))
+    after = F.struct(F.col("a").alias("word"), F.col("b").alias("other"), "n")
+    before = F.struct(F.col("b").alias("word"), F.col("a").alias("other"), (-F.col("n")).alias("n"))
+    return pairs.select(F.inline(F.array(after, before))).groupBy("word").agg(F.collect_list("other").alias("other"), F.collect_list("n").alias("n"))
 
 
 def exchange_held(sides: DataFrame, units: np.ndarray, start: np.ndarray, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
@@ -313,8 +315,8 @@ def exchange_held(sides: DataFrame, units: np.ndarray, start: np.ndarray, settin
                 mine = frame.filter(pa.array(turns[frame.column(0).to_numpy()]))
                 for batch in (mine.slice(i, 64) for i in range(0, mine.num_rows, 64)):
                     word, at, other, cls, n = parts(batch, of)
-                    sums = np.zeros((2, len(word), total))
-                    np.add.at(sums, ((n < 0).astype(np.int64), at, cls), np.abs(n))
+                    cell = ((n < 0) * len(word) + at) * total + cls
+                    sums = np.bincount(cell, np.abs(n), 2 * len(word) * total).reshape(2, len(word), total)
                     itself = np.bincount(at, np.where((n > 0) & (other == word[at]), n, 0), len(word))
                     best = best_classes(of[word], *sums, itself, table, settings.classes)
                     change = best != of[word]
