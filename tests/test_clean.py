@@ -6,6 +6,7 @@ from pyspark.sql import functions as F, types as T
 from lakewright.functions.cleaning import parse_moment, parse_number, partition_text
 from lakewright.operators import clean
 from tests.conftest import values
+from workload import REGISTRY
 
 TEXTS = ["1", " 2 ", "1e5", "+3", ".5", "nan", "inf", "-inf", "1_000", "1d", "abc", "", "None", "<NA>", None, "١"]
 NUMBERS = [1.0, 2.0, 1e5, 3.0, 0.5] + [None] * 11
@@ -150,3 +151,15 @@ def test_partition_text(spark):
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     # The first hour was skipped in that zone.
     assert tuple(got) == ("2024-03-10_02", "2024-01-02_00", None)
+
+
+def test_totals_beyond_64_bits_are_whole(spark, tmp_path):
+    rows = "SELECT id + 3000000000 AS event_id, id AS user_id FROM range({n})"
+    for n, kind in ((1, "bigint"), (3, "decimal(38,0)")):
+        spark.sql(rows.format(n=n)).write.parquet(str(tmp_path / str(n) / "events.parquet"))
+        out = REGISTRY["narrow_ints"].run(spark, str(tmp_path / str(n)))
+        assert kinds(out)["total"] == kind
+        got = {r["column"]: (r["type"], int(r["total"] or 0), r["present"]) for r in out.collect()}
+        ids = [3_000_000_000 + i for i in range(n)]
+        assert got["large"] == ("bigint", sum(i * 3_000_000_000 for i in ids), n)
+        assert got["user_id"] == ("smallint", sum(range(n)), n)

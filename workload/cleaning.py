@@ -81,6 +81,7 @@ NARROW_SOURCE = """(SELECT event_id, user_id, event_id * 7 AS medium, event_id *
     ),
 )
 def _(spark, sf):
+    """Totals are bigint; where one outgrows 64 bits all are decimals, so that none is lost."""
     e = F.col("event_id")
     source = table(spark, sf, "events").select(
         "event_id",
@@ -90,18 +91,22 @@ def _(spark, sf):
         F.when(e % 5 != 0, e % 100).alias("holed"),
     )
     narrow = clean.narrow_integers(source)
+    # Sums of 64-bit values may need more bits: they are exact decimals first.
+    sums = [F.sum(F.col(c).cast("decimal(28,0)")).alias(f"s_{c}") for c in narrow.columns]
+    counts = [F.count(c).alias(f"n_{c}") for c in narrow.columns]
+    totals = narrow.agg(*sums, *counts)
+    found = totals.first()
+    held = all(found[f"s_{c}"] is None or -(2**63) <= found[f"s_{c}"] < 2**63 for c in narrow.columns)
     facts = [
         F.struct(
             F.lit(f.name).alias("column"),
             F.lit(f.dataType.simpleString()).alias("type"),
-            F.col(f"s_{f.name}").alias("total"),
+            F.col(f"s_{f.name}").cast("bigint" if held else "decimal(38,0)").alias("total"),
             F.col(f"n_{f.name}").alias("present"),
         )
         for f in narrow.schema.fields
     ]
-    sums = [F.sum(F.col(c).cast("bigint")).alias(f"s_{c}") for c in narrow.columns]
-    counts = [F.count(c).alias(f"n_{c}") for c in narrow.columns]
-    return narrow.agg(*sums, *counts).select(F.inline(F.array(*facts)))
+    return totals.select(F.inline(F.array(*facts)))
 
 
 @query("clean_floats", "C5", "SELECT vec_id, CAST(label AS DOUBLE) / 4 AS ratio FROM embeddings")
