@@ -184,6 +184,16 @@ def test_packing_leaves_large_files_alone(spark, tmp_path):
     assert any(f.only and len(f.only) == 1 for f in done.folders)
 
 
+def test_paths_are_taken_apart_once_a_file(spark, events, tmp_path):
+    data = VersionedDataset(spark, str(tmp_path / "t"), day(), ["event_type"])
+    data.append(events)
+    files = versions._files(data.rows_of(data.latest(), data.latest().folders))
+    below = files._jdf.queryExecution().optimizedPlan().toString().partition("Aggregate")[2].partition("\n")[2]
+    assert "_metadata" in below and "regexp" not in below
+    listed = {(r.run, r.key): r.rows for r in files.groupBy("run", "key").agg(F.sum("rows").alias("rows")).collect()}
+    assert listed == {(f.run, f.key): f.rows for f in data.latest().folders} and sum(listed.values()) == 1000
+
+
 def test_stream_batches_are_committed_once(spark, events, tmp_path, monkeypatch):
     source, path, progress = (str(tmp_path / n) for n in ("in", "out", "progress"))
     for i in range(3):
