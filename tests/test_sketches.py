@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from lakewright.operators import clean, heavy, profile, ranges, sampling, sketches
 from lakewright.operators.gram import blocked_correlation
 from lakewright.plans.explore import Tables, explore_table, profile_table
-from lakewright.sinks.bucketed import drop_bucketed, write_bucketed
+from lakewright.sinks.bucketed import buckets_for, drop_bucketed, write_bucketed
 from lakewright.sinks.versions import VersionedDataset
 from lakewright.sources import readers
+from workload import jobs
 from tests.conftest import SMALL, plan_of, values
 
 
@@ -222,6 +223,16 @@ def test_bucketed_sides_join_without_a_shuffle(spark, lineitem, orders, tmp_path
         write_bucketed(orders, "none", "o_orderkey", 0, str(tmp_path / "n"))
 
 
+def test_buckets_grow_with_the_tables(spark, lineitem, orders, monkeypatch):
+    lines = lineitem.count()
+    assert buckets_for(orders, lineitem) == 8 and buckets_for(orders, lineitem, least=3, rows_per_bucket=lines // 5) == 6
+    monkeypatch.setattr(jobs, "buckets_for", lambda *sides: buckets_for(*sides, rows_per_bucket=lines // 50))
+    joined = jobs.bucketed_join(spark, SMALL)
+    assert "64 out of 64" in plan_of(joined) and joined.count() == lines
+    with pytest.raises(ValueError):
+        buckets_for(orders, rows_per_bucket=0)
+
+
 def test_large_csv_files_are_split_unless_text_has_breaks(spark, tmp_path):
     df = spark.range(60_000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("v"))
     plain, broken = str(tmp_path / "p"), str(tmp_path / "b")

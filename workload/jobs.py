@@ -12,7 +12,7 @@ from lakewright.plans.config import ExtractConfig
 from lakewright.plans.extract import extraction_partitions, extraction_runs, run_extract
 from lakewright.session import new_path
 from lakewright.sinks import lake
-from lakewright.sinks.bucketed import write_bucketed
+from lakewright.sinks.bucketed import buckets_for, write_bucketed
 from lakewright.sinks.versions import VersionedDataset
 from lakewright.streaming import incremental
 from workload.filtering import CONFIG, priorities
@@ -310,10 +310,10 @@ def join_bucketed(spark, sf):
 
 
 def bucketed_join(spark, sf):
-    sides = []
+    sides, buckets = [], buckets_for(table(spark, sf, "lineitem"), table(spark, sf, "orders"))
     for name, key in (("lineitem", "l_orderkey"), ("orders", "o_orderkey")):
         path = new_path(spark, f"bucketed-{name}")
         label = path.rsplit("/", 1)[1].replace("-", "_")
-        write_bucketed(table(spark, sf, name), label, key, 8, path)
+        write_bucketed(table(spark, sf, name), label, key, buckets, path)
         sides.append(spark.table(label))
     return sides[0].hint("merge").join(sides[1], F.col("l_orderkey") == F.col("o_orderkey"))
