@@ -25,6 +25,8 @@ from lakewright.functions.cleaning import (
 from lakewright.functions.columns import FLOATS, INTEGERS, TEXT, col, date_candidates, field_type, one_row
 
 _INFINITE_PATTERN = r"(?i)^\s*[+-]?inf(inity)?\s*$"
+# With what a text that any of the patterns takes can begin: white space, a sign, a point, a digit, or an i.
+_FIRST = tuple(map(ord, "\t\n\x0b\f\r +-.0123456789iI"))
 _SHORT = (-(2**15), 2**15 - 1)
 _INT = (-(2**31), 2**31 - 1)
 
@@ -65,11 +67,13 @@ def plan_clean(df: DataFrame, min_ratio: float = 1.0, strict_types: bool = False
             parts += [F.min(c).alias(f"lo{i}"), F.max(c).alias(f"hi{i}")]
         elif isinstance(f.dataType, TEXT):
             t = without_tokens(c, SCHEMA_NULL_TOKENS)
-            whole = parse_integer(t)
+            # Most texts are told by their first character; the patterns look at the others only.
+            likely = F.when(F.ascii(t).isin(*_FIRST), t)
+            whole = parse_integer(likely)
             parts += [
                 F.count(t).alias(f"present{i}"),
-                F.count_if(t.rlike(NUMBER_PATTERN)).alias(f"number{i}"),
-                F.count_if(t.rlike(_INFINITE_PATTERN)).alias(f"infinite{i}"),
+                F.count_if(likely.rlike(NUMBER_PATTERN)).alias(f"number{i}"),
+                F.count_if(likely.rlike(_INFINITE_PATTERN)).alias(f"infinite{i}"),
                 F.count(whole).alias(f"whole{i}"),
                 F.min(whole).alias(f"lo{i}"),
                 F.max(whole).alias(f"hi{i}"),
