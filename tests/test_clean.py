@@ -167,7 +167,7 @@ def test_totals_beyond_64_bits_are_whole(spark, tmp_path):
 
 def test_first_characters_hide_no_number(spark):
     """Texts of every first character: the plan reads as numbers what the patterns alone do."""
-    texts = [chr(i) + rest for i in (*range(1, 128), 0x85, 0xA0, 0x661, 0x2028) for rest in ("", "1", "1.5", "nf", "nfinity", " 7")]
+    texts = [chr(i) + rest for i in (*range(1, 128), 0x85, 0xA0, 0x661, 0x2028) for rest in ("", "1", "1.5", "nf", "inf", "nfinity", " 7")]
     df = column(spark, texts, "string")
     t = F.col("v")
     want = df.agg(F.count_if(t.rlike(clean.NUMBER_PATTERN)).alias("number"), F.count_if(t.rlike(clean._INFINITE_PATTERN)).alias("infinite"), F.count(clean.parse_integer(t)).alias("whole")).first()
