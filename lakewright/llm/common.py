@@ -35,7 +35,8 @@ def crc_of_id(column: str):
 def batches(frames: Iterable[pa.RecordBatch], limit: int, text: str = "text") -> Iterator[pa.RecordBatch]:
     """Slices of at most ``limit`` bytes of text each, or of one row where a row is larger.
 
-    Bounds the memory of a task whatever the batch size of the session is.
+    Bounds the memory of a task whatever the batch size of the session is. What Arrow holds back goes with the last one,
+    as the worker may idle beside the stages that follow.
     """
     for batch in frames:
         column = batch.column(batch.schema.get_field_index(text)).cast(pa.large_binary())
@@ -48,3 +49,4 @@ def batches(frames: Iterable[pa.RecordBatch], limit: int, text: str = "text") ->
             total += size
         if start < len(sizes):
             yield batch.slice(start)
+    pa.default_memory_pool().release_unused()

@@ -30,7 +30,7 @@ from lakewright.llm.common import batches, bytes_of_text, staged
 
 WINDOW = 10
 TERM_BYTES = 32 << 20
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 RAREST = 3  # terms of a window whose lists are intersected first
 BROADCAST_ROWS = 1_000_000  # document numbers broadcast to thin the postings; more are joined by a shuffle
 LENGTH = -1  # the term number under which the index keeps a document's number of words
@@ -124,22 +124,23 @@ def phrase_matches(index: DataFrame, items: DataFrame, window: int = WINDOW) ->
     known = items.join(frequency, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     reach = W.partitionBy("item").orderBy("i").rowsBetween(0, window - 1)
     own = F.array_sort(F.collect_list(F.struct("df", F.col("i").alias("at"), "term")).over(reach))
-    seeds = (
+    grouped = (
         known.select("item", "i", "length", own.alias("own"))
         .filter((F.col("i") <= F.greatest(F.lit(0), F.col("length") - window)) & (F.col("own")[0]["df"] > 0))
         .groupBy("item", F.slice("own", 1, RAREST).alias("own"))
         .agg(F.min("i").alias("seed"))
-        .select("item", "seed", F.size("own").alias("need"), F.inline("own"))
-        .drop("df")
+        .select("item", "seed", "own", F.monotonically_increasing_id().alias("number"))
     )
-    # The seeds are no more rows than the block of items has words, times a constant.
-    agreed = (
-        postings.join(F.broadcast(seeds), "term")
-        .select("doc", "item", "seed", "need", "at", F.explode("positions").alias("p"))
-        .groupBy("doc", "item", "seed", "need", (F.col("p") - F.col("at")).alias("shift"))
+    # The seeds are no more rows than the block of items has words, times a constant. Tasks count places by a seed's number:
+    # with its item they would hold half as much again.
+    seeds = staged(index.sparkSession, grouped, "seeds")
+    counted = (
+        postings.join(F.broadcast(seeds.select("number", F.inline("own")).drop("df")), "term")
+        .select("doc", "number", "at", F.explode("positions").alias("p"))
+        .groupBy("doc", "number", (F.col("p") - F.col("at")).alias("shift"))
         .agg(F.count(F.lit(1)).alias("n"))
-        .filter("n = need")
     )
+    agreed = counted.join(F.broadcast(seeds.select("item", "number", F.size("own").alias("need"))), "number").filter("n = need")
     alignments = staged(index.sparkSession, agreed.select("doc", "item", "shift").distinct(), "alignments")
     docs = alignments.select("doc").distinct()
     if docs.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:

@@ -142,6 +142,22 @@ def test_repetitive_text_takes_time_in_proportion(spark):
     assert took[200_000] < 12 * took[20_000] + 10
 
 
+def test_places_are_counted_by_the_number_of_their_seed(spark, monkeypatch):
+    plans = {}
+
+    def spy(session, df, label):
+        plans[label] = df._jdf.queryExecution().optimizedPlan().toString()
+        return staged(session, df, label)
+
+    monkeypatch.setattr(decontaminate, "staged", spy)
+    docs = spark.createDataFrame([(1, "a b c d"), (2, "x a b c")], "doc_id bigint, text string")
+    items = spark.createDataFrame([(7, "a b c")], "item_id bigint, text string")
+    got = sorted((r.doc_id, r.n_words, r.n_hit, list(r["items"])) for r in decontaminate.contamination(spark, docs, items).collect())
+    assert got == [(1, 4, 3, ["7"]), (2, 4, 3, ["7"])]
+    counted = [line for line in plans["alignments"].splitlines() if "count(1)" in line]
+    assert counted and not any("item" in line for line in counted)
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "red q green q blue"), (2, "red q q q q green blue"), (3, "red green"), (4, "blue")], "doc_id bigint, text string")
     items = decontaminate.item_terms(spark.createDataFrame([(9, "blue green red red")], "item_id bigint, text string"))
