@@ -1,9 +1,14 @@
-"""Suffix-array deduplication by distributed prefix doubling.
+"""Suffix-array deduplication by prefix doubling, distributed by anchors.
 
-Positions are ranked by what starts there. A rank is the smallest position (document id, row, offset) with the same
-string, so equal ranks mean equal strings, whatever the hash of anything. The first rank covers 16 bytes; a round joins a
-position's rank with the rank ``step`` bytes on, groups the rank pairs in Spark and reranks: 16 bytes, 32, and the threshold of 50. A
-position whose string starts in one document only can never repeat and leaves at once.
+Every string of 50 bytes has an anchor, the smallest hash of the 30-byte strings in it, which is the same wherever the string
+occurs. So equal strings meet where Spark brings the strings of an anchor together: neighbouring strings of one anchor go as one
+row, a unit, with the bytes they cover. A task ranks the bytes of its units by prefix doubling: a rank covers 8 bytes, the
+ranks of a place and of the place 8 bytes on give that of 16 bytes, then 32, and the threshold of 50. Equal ranks mean equal strings, whatever the
+hash of anything. A string is repeated if a document of smaller id has one of its rank.
+
+An anchor of more than ``HELD`` places is not held by one task. Its strings are ranked over Spark: a rank is the smallest
+position (document id, row, offset) with the same string, the first covers 16 bytes, a round joins a position's rank with the rank ``step``
+bytes on, groups the rank pairs and reranks; a position whose string starts in one document only can never repeat and leaves at once.
 
 Copies are long, so most of their strings are settled before, at one position for many. A text is cut into phrases where
 nearby bytes alone say so, about every 65 bytes, and the positions of cuts are ranked by their phrase and the bytes after it
@@ -12,15 +17,14 @@ a document of smaller id, every string inside it is settled. The doubling ranks
 the ends of copies, short ones, and first occurrences. The document with the smallest id that holds a string is never settled by
 phrases, so it still meets every open string.
 
-Most strings enter neither. Every 50-byte string has an anchor, the smallest hash of the 20-byte strings in it, which is
-the same wherever the string occurs. Anchors are counted first, about one for 15 bytes; those that occur in two
-rows go into a bitmap of fixed size, and only strings whose anchor is in the bitmap are looked at. Before the doubling this is
-done once more, with the open strings alone and anchors of 40 bytes, which seldom meet by chance. The bitmap may let others pass,
+Most strings enter neither. Anchors are counted first, about one for 11 bytes, by 42 bits of their hash, four bytes each; those that
+occur twice go into a bitmap of at least 16 bits for each, and only strings whose anchor is in the bitmap are looked at. Before the
+doubling this is done once more, with the open strings alone and anchors of 40 bytes. The bitmap may let others pass,
 never hold one back.
 
 Edge cases: missing text is empty; texts shorter than the threshold are kept whole; repeated rows with one id do not remove
 each other, as neither id is smaller; rows without an id are kept whole; an empty table gives an empty result; other columns are ignored. A
-very long text is one row, processed in memory, while its positions are rows of their own.
+very long text is one row, processed in memory, while its units are rows of their own.
 """
 
 from __future__ import annotations
@@ -31,19 +35,26 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lakewright.llm.common import batches, bytes_of_text, staged
+from lakewright.session import drop_folder, new_path
 
 LENGTH = 50
-ANCHOR = 20
+LEAST = 36
+ANCHOR = 30
 FIRST = 16
 REACH = 32  # a cut has the only smallest hash among so many places on either side
-BITS = 28  # the bitmap has 2 ** BITS bits
-BLOCK_BITS = 17  # and is built in blocks of so many
+BITS = 42  # an anchor's place has so many
+BLOCKS = 10  # the first of which tell the block that counts it
+BITMAP_BITS = 30  # the bitmap has 16 to 32 bits for each shared anchor, 2 ** BITMAP_BITS at most
+HELD = 50_000  # an anchor of more places is ranked over Spark
+CHUNK_BYTES = 1 << 18  # a task ranks units of so many bytes at a time, whole anchors always
+JOINED_BYTES = 1 << 16  # short texts are hashed together, as many as stay in a core's cache
 BATCH_BYTES = 2 << 20
 MIX = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -87,57 +98,124 @@ def anchors(text: np.ndarray, length: int, width: int) -> np.ndarray:
     return smallest(hashes(text, width), length - width + 1)
 
 
-def cuts(text: np.ndarray) -> np.ndarray:
-    """Where phrases begin: at 0 and where a hash is smaller than all others near it. Copies are cut alike inside."""
-    value = hashes(text, ANCHOR)
-    least = smallest(value, 2 * REACH + 1)
-    at = np.flatnonzero(value[REACH : REACH + len(least)] == least) + REACH
-    gap = np.diff(at, prepend=-REACH - 1, append=len(text) + REACH + 1) > REACH
-    return np.append(0, at[gap[:-1] & gap[1:]])
+def joined(contents: list[bytes]) -> Iterator[tuple[int, bytes, np.ndarray, np.ndarray]]:
+    """Neighbouring texts as one: number of the first, bytes, the same as numbers, and where each begins and the last ends."""
+    first = size = 0
+    for i in range(len(contents) + 1):
+        if i == len(contents) or i > first and size + len(contents[i]) > JOINED_BYTES:
+            if first < i:
+                whole = b"".join(contents[first:i])
+                yield first, whole, np.frombuffer(whole, np.uint8), np.cumsum([0, *map(len, contents[first:i])])
+            first, size = i, 0
+        if i < len(contents):
+            size += len(contents[i])
 
 
-def shared_bitmap(rows: DataFrame, length: int, width: int) -> np.ndarray:
-    """Bits of the anchors that occur in two rows, as words. ``rows``: ``row``, ``text``; parts of a row count as one if they lie together."""
+def owner_of(at: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """The number of the text that holds each place; empty ones hold none."""
+    return np.searchsorted(begin, at, "right") - 1
+
+
+def inside(begin: np.ndarray, length: int) -> np.ndarray:
+    """Whether a string of ``length`` bytes that starts at a place ends in the same text."""
+    size = max(int(begin[-1]) - length + 1, 0)
+    step = np.zeros(int(begin[-1]) + 2, np.int32)
+    own = np.diff(begin) >= length
+    step[begin[:-1][own]] += 1
+    step[begin[1:][own] - length + 1] -= 1
+    return np.cumsum(step[:size]) > 0
+
+
+def heads_of(value: np.ndarray, live: np.ndarray) -> np.ndarray:
+    """Places of live strings whose value is not that of a live string before them."""
+    head = live.copy()
+    head[1:] &= (value[1:] != value[:-1]) | ~live[:-1]
+    return np.flatnonzero(head)
 
-    def send(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(frames, BATCH_BYTES):
-            found: dict[int, list[np.ndarray]] = {}
-            for row, content in zip(batch.column(0).to_pylist(), bytes_of_text(batch.column(1))):
-                found.setdefault(row, []).append(places(np.frombuffer(content, np.uint8), length, width))
-            place, n = np.unique(np.concatenate([np.unique(np.concatenate(x)) for x in found.values()]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(place.astype(np.int32)), pa.array(np.minimum(n, 2).astype(np.int32))], ["place", "n"])
-
-    both = rows.mapInArrow(send, "place int, n int").groupBy("place").agg(F.sum("n").alias("n")).filter("n > 1")
-
-    def fill(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        bits = np.zeros(1 << BLOCK_BITS, np.uint8)
-        bits[frame["place"].to_numpy() & ((1 << BLOCK_BITS) - 1)] = 1
-        return pd.DataFrame({"block": [key[0]], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
-
-    # The driver gets the bitmap in blocks, 2 ** BITS bits in all whatever the input.
-    blocks = both.withColumn("block", F.shiftright("place", BLOCK_BITS)).groupBy("block").applyInPandas(fill, "block int, bits binary")
-    out = np.zeros(1 << (BITS - 5), "<u4")
-    parts = out.view(np.uint8).reshape(-1, 1 << (BLOCK_BITS - 3))
-    for block, bits in blocks.collect():
-        parts[block] = np.frombuffer(bits, np.uint8)
-    return out
 
+def spread(at: np.ndarray, value: np.ndarray, live: np.ndarray) -> np.ndarray:
+    """The values of heads for all live strings, false for others."""
+    if not len(at):
+        return np.zeros(len(live), bool)
+    return np.repeat(np.append(False, value), np.diff(at, prepend=0, append=len(live))) & live
 
-def places(text: np.ndarray, length: int, width: int) -> np.ndarray:
-    """The bit of the anchor of every string of ``length`` bytes. Anchors are small hashes, so they are mixed again."""
-    return (mix(anchors(text, length, width) * MIX) >> np.uint64(64 - BITS)).astype(np.int64)
 
+def cuts(value: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Where phrases begin: at the first byte of a text and where a hash is smaller than all others near it. Copies are cut alike inside.
 
-def candidates(bitmap: np.ndarray, text: np.ndarray, length: int, width: int) -> np.ndarray:
-    """Whether each string of ``length`` bytes has its anchor in the bitmap."""
-    place = places(text, length, width)
+    ``value``: the hashes of the strings of ``ANCHOR`` bytes.
+    """
+    least = smallest(value, 2 * REACH + 1)
+    at = np.flatnonzero(value[REACH : REACH + len(least)] == least) + REACH
+    own = owner_of(at, begin)
+    at = at[(at - REACH >= begin[own]) & (at + REACH + ANCHOR <= begin[own + 1])]
+    gap = np.diff(at, prepend=-REACH - 1, append=begin[-1] + REACH + 1) > REACH
+    return np.sort(np.concatenate([begin[:-1][np.diff(begin) > 0], at[gap[:-1] & gap[1:]]]))
+
+
+def shared_bitmap(rows: DataFrame, length: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bits of the anchors that occur twice, as words, and the places of those that occur more than ``HELD`` times. ``rows``: ``text``.
+
+    Tasks send the places of a batch in blocks, four bytes a place, so that places meet by chance as seldom as anchors do.
+    """
+    low = BITS - BLOCKS
+
+    def send(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(frames, BATCH_BYTES):
+            found = []
+            for _, _, text, begin in joined(bytes_of_text(batch.column(0))):
+                anchor = anchors(text, length, width)
+                found.append(places(anchor[heads_of(anchor, inside(begin, length))]))
+            place = np.sort(np.concatenate(found))
+            first = np.flatnonzero(np.diff(place >> low, prepend=-1))
+            parts = np.split((place & ((1 << low) - 1)).astype("<u4"), first[1:])
+            yield pa.RecordBatch.from_arrays([pa.array((place[first] >> low).astype(np.int32)), pa.array([x.tobytes() for x in parts[: len(first)]], pa.binary())], ["block", "places"])
+
+    def count(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        place, n = np.unique(np.frombuffer(b"".join(frame["places"]), "<u4"), return_counts=True)
+        place, n = place[n > 1], n[n > 1]
+        return pd.DataFrame({"block": [key[0]], "n": [len(place)], "places": [place.tobytes()], "hot": [place[n > HELD].tobytes()]})
+
+    path = new_path(rows.sparkSession, "shared-anchors")
+    counted = rows.select("text").mapInArrow(send, "block int, places binary").groupBy("block").applyInPandas(count, "block int, n bigint, places binary, hot binary")
+    counted.write.parquet(path)
+    counted = rows.sparkSession.read.schema(counted.schema).parquet(path)
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    bits = min(BITMAP_BITS, max(20, (16 * total).bit_length()))
+
+    def fill(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in frames:
+            blocks = []
+            for blob in batch.column(1):
+                block = np.zeros(1 << (bits - BLOCKS), np.uint8)
+                block[np.frombuffer(blob.as_py(), "<u4") >> np.uint32(BITS - bits)] = 1
+                blocks.append(np.packbits(block, bitorder="little").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blocks, pa.binary())], ["block", "bits"])
+
+    # The driver gets the bitmap in blocks and the places that more than ``HELD`` others share.
+    out = np.zeros(1 << (bits - 5), "<u4")
+    parts = out.view(np.uint8).reshape(1 << BLOCKS, -1)
+    for block, content in counted.select("block", "places").mapInArrow(fill, "block int, bits binary").collect():
+        parts[block] = np.frombuffer(content, np.uint8)
+    often = [np.frombuffer(hot, "<u4") + (np.int64(block) << low) for block, hot in counted.filter("octet_length(hot) > 0").select("block", "hot").collect()]
+    drop_folder(rows.sparkSession, path)
+    return out, np.sort(np.concatenate([np.zeros(0, np.int64), *often]))
+
+
+def places(anchor: np.ndarray) -> np.ndarray:
+    """The places of anchors. These are small hashes, so they are mixed again."""
+    return (mix(anchor * MIX) >> np.uint64(64 - BITS)).astype(np.int64)
+
+
+def in_bitmap(bitmap: np.ndarray, place: np.ndarray) -> np.ndarray:
+    place = place >> (BITS - (32 * len(bitmap)).bit_length() + 1)
     return (bitmap[place >> 5] >> (place & 31).astype(np.uint32)) & 1 == 1
 
 
-def runs_of(mask: np.ndarray) -> list[tuple[int, int]]:
-    """Begin and end of every run of true values."""
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], mask.view(np.int8), [0]])))
-    return list(zip(edge[::2].tolist(), edge[1::2].tolist()))
+def candidates(bitmap: np.ndarray, anchor: np.ndarray, live: np.ndarray) -> np.ndarray:
+    """Whether each live string has its anchor in the bitmap. Neighbours of one anchor are looked up once."""
+    at = heads_of(anchor, live)
+    return spread(at, in_bitmap(bitmap, places(anchor[at])), live)
 
 
 def covered_bytes(starts: np.ndarray, length: int) -> np.ndarray:
@@ -149,46 +227,71 @@ def covered_bytes(starts: np.ndarray, length: int) -> np.ndarray:
     return np.cumsum(step)[:-1] > 0
 
 
-PHRASES = "at int, stop int, k1 bigint, k2 bigint"
-SEGMENTS = "base int, text binary"
+def segments_of(whole: bytes, begin: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Text, place in it and bytes of every part that consists of strings of ``length`` bytes beginning at ``starts``."""
+    held = covered_bytes(starts, length)
+    # Parts of different texts may touch.
+    fresh = np.zeros(len(held) + 1, bool)
+    fresh[begin[begin <= len(held)]] = True
+    first = np.flatnonzero(held & (fresh[:-1] | ~np.append(False, held[:-1])))
+    last = np.flatnonzero(held & (fresh[1:] | ~np.append(held[1:], False)))
+    own = owner_of(first, begin)
+    return own, first - begin[own], [whole[a : b + 1] for a, b in zip(first.tolist(), last.tolist())]
 
 
-def segments_of(content: bytes, starts: np.ndarray, length: int) -> list[tuple[int, bytes]]:
-    """Place and bytes of every part that consists of strings of ``length`` bytes beginning at ``starts``."""
-    return [(a, content[a:b]) for a, b in runs_of(covered_bytes(starts, length))]
+def phrases_of(whole: bytes, begin: np.ndarray, value: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """Text, begin, end and digest (two numbers) of the phrases whose first string may repeat, each with all strings that start in it."""
+    first = cuts(value, begin)
+    own = owner_of(first, begin)
+    end = np.minimum(np.append(first[1:], begin[-1]) + length - 1, begin[own + 1])
+    live = np.append(starts, np.zeros(length, bool))[first]
+    first, end, own = first[live], end[live], own[live]
+    digests = [hashlib.blake2b(whole[a:b], digest_size=16).digest() for a, b in zip(first.tolist(), end.tolist())]
+    k1, k2 = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2).T
+    return own, first - begin[own], end - begin[own], k1, k2
 
 
-def phrases_of(content: bytes, text: np.ndarray, starts: np.ndarray, length: int) -> list[tuple[int, int, int, int]]:
-    """Begin, end and digest of the phrases whose first string may repeat, each with all strings that start in it."""
-    begin = cuts(text)
-    end = np.append(np.minimum(begin[1:] + length - 1, len(text)), len(text))
-    live = np.append(starts, np.zeros(length, bool))[begin]
-    out = []
-    for a, b in zip(begin[live].tolist(), end[live].tolist()):
-        digest = hashlib.blake2b(content[a:b], digest_size=16).digest()
-        out.append((a, b, int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)))
-    return out
+def nested(own: list[np.ndarray], rows: np.ndarray, fields: dict[str, pa.Array]) -> pa.Array:
+    """A list for each of ``rows`` of the structs that are ``own`` to it, in order of the rows."""
+    own = np.concatenate([np.zeros(0, np.int64), *own])
+    offsets = np.searchsorted(own, np.append(rows, rows[-1] + 1 if len(rows) else 0)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(list(fields.values()), list(fields)))
 
 
 def candidate_parts(spark: SparkSession, rows: DataFrame, bitmap: np.ndarray, length: int) -> DataFrame:
     """``row``, ``doc_id``, ``phrases`` and ``segments`` of the texts with strings that may repeat."""
     shared = spark.sparkContext.broadcast(bitmap)
-    kinds = [pa.list_(pa.struct([("at", pa.int32()), ("stop", pa.int32()), ("k1", pa.int64()), ("k2", pa.int64())])), pa.list_(pa.struct([("base", pa.int32()), ("text", pa.binary())]))]
 
     def run(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(frames, BATCH_BYTES):
-            out: list[list] = [[], [], [], []]
-            for row, doc, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), bytes_of_text(batch.column(2))):
-                text = np.frombuffer(content, np.uint8)
-                starts = candidates(shared.value, text, length, ANCHOR)
-                if starts.any():
-                    own = [dict(zip(("at", "stop", "k1", "k2"), x)) for x in phrases_of(content, text, starts, length)]
-                    parts = [{"base": a, "text": b} for a, b in segments_of(content, starts, length)]
-                    for column, value in zip(out, (row, doc, own, parts)):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], kinds[0]), pa.array(out[3], kinds[1])], ["row", "doc_id", "phrases", "segments"])
+            phrases: list[list] = [[] for _ in range(5)]
+            owners, bases, texts = [], [], []
+            for number, whole, text, begin in joined(bytes_of_text(batch.column(2))):
+                value = hashes(text, ANCHOR)
+                starts = candidates(shared.value, smallest(value, length - ANCHOR + 1), inside(begin, length))
+                if not starts.any():
+                    continue
+                for column, x in zip(phrases, phrases_of(whole, begin, value, starts, length)):
+                    column.append(x)
+                phrases[0][-1] = phrases[0][-1] + number
+                own, base, parts = segments_of(whole, begin, starts, length)
+                owners.append(own + number)
+                bases.append(base)
+                texts += parts
+            held = np.unique(np.concatenate([np.zeros(0, np.int64), *owners]))
+            flat = [np.concatenate([np.zeros(0, np.int64), *x]) for x in (*phrases[1:], bases)]
+            kinds = dict(zip(("at", "stop", "k1", "k2"), (pa.int32(), pa.int32(), pa.int64(), pa.int64())))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0).take(pa.array(held)),
+                    batch.column(1).take(pa.array(held)),
+                    nested(phrases[0], held, {k: pa.array(x, t) for (k, t), x in zip(kinds.items(), flat)}),
+                    nested(owners, held, {"base": pa.array(flat[4], pa.int32()), "text": pa.array(texts, pa.binary())}),
+                ],
+                ["row", "doc_id", "phrases", "segments"],
+            )
 
-    return rows.mapInArrow(run, f"row bigint, doc_id bigint, phrases array<struct<{PHRASES.replace(' ', ':').replace(',:', ',')}>>, segments array<struct<{SEGMENTS.replace(' ', ':').replace(',:', ',')}>>")
+    return rows.mapInArrow(run, "row bigint, doc_id bigint, phrases array<struct<at:int,stop:int,k1:bigint,k2:bigint>>, segments array<struct<base:int,text:binary>>")
 
 
 def open_segments(segments: DataFrame, settled: DataFrame, length: int) -> DataFrame:
@@ -197,18 +300,144 @@ def open_segments(segments: DataFrame, settled: DataFrame, length: int) -> DataF
 
     def run(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(frames, BATCH_BYTES):
-            out: list[list] = [[], [], [], []]
-            for r, content in zip(batch.select(["row", "doc_id", "base", "spans"]).to_pylist(), bytes_of_text(batch.column("text"))):
-                starts = np.ones(len(content) - length + 1, bool)
-                for s in r["spans"] or []:
-                    starts[max(s["first"] - r["base"], 0) : max(s["last"] + 1 - r["base"], 0)] = False
-                for at, part in segments_of(content, starts, length):
-                    for column, value in zip(out, (r["row"], r["doc_id"], r["base"] + at, part)):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.binary()))], ["row", "doc_id", "base", "text"])
+            base = batch.column("base").to_numpy()
+            counts = pc.fill_null(pc.list_value_length(batch.column("spans")), 0).to_numpy()
+            of, spans = np.repeat(np.arange(batch.num_rows), counts), batch.column("spans").flatten()
+            first, last = (spans.field(i).to_numpy() for i in range(2))
+            owners, bases, texts = [], [], []
+            for number, whole, text, begin in joined(bytes_of_text(batch.column("text"))):
+                starts = inside(begin, length)
+                a, b = np.searchsorted(of, [number, number + len(begin) - 1])
+                own = of[a:b] - number
+                # A span is taken out where it lies within the strings of its segment.
+                low = np.maximum(first[a:b] - base[of[a:b]], 0)
+                high = np.minimum(last[a:b] + 1 - base[of[a:b]], np.diff(begin)[own] - length + 1)
+                step, real = np.zeros(len(text) + 1, np.int32), low < high
+                np.add.at(step, begin[own][real] + low[real], 1)
+                np.add.at(step, begin[own][real] + high[real], -1)
+                starts &= np.cumsum(step)[: len(starts)] == 0
+                own, place, parts = segments_of(whole, begin, starts, length)
+                owners.append(own + number)
+                bases.append(base[own + number] + place)
+                texts += parts
+            held = pa.array(np.concatenate([np.zeros(0, np.int64), *owners]))
+            at = pa.array(np.concatenate([np.zeros(0, np.int64), *bases]), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("row").take(held), batch.column("doc_id").take(held), at, pa.array(texts, pa.binary())], ["row", "doc_id", "base", "text"])
+
+    joined_spans = segments.join(spans, "row", "left").select("row", "doc_id", "base", "text", "spans")
+    return joined_spans.mapInArrow(run, "row bigint, doc_id bigint, base int, text binary")
+
+
+def units(spark: SparkSession, segments: DataFrame, bitmap: np.ndarray, wide: int, hot: np.ndarray, length: int) -> DataFrame:
+    """``anchor``, ``row``, ``doc_id``, ``at``, ``text``: neighbouring strings of one anchor that may repeat and all the bytes they cover.
+
+    Strings need an anchor of ``wide`` bytes in the bitmap; those with one of ``ANCHOR`` bytes in ``hot`` are left out.
+    """
+    shared = spark.sparkContext.broadcast((bitmap, hot))
+
+    def run(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap, hot = shared.value
+        for batch in batches(frames, BATCH_BYTES):
+            row, doc, base = (batch.column(i).to_numpy() for i in range(3))
+            for number, whole, text, begin in joined(bytes_of_text(batch.column(3))):
+                live, anchor = candidates(bitmap, anchors(text, length, wide), inside(begin, length)), anchors(text, length, ANCHOR)
+                first = heads_of(anchor, live)
+                change = np.flatnonzero(np.diff(np.append(live, False).view(np.int8), prepend=0) < 0)
+                # A unit ends where the next begins or where live strings do.
+                end = np.minimum(np.append(first[1:], len(live)), change[np.searchsorted(change, first, "right")]) if len(first) else first
+                cold = ~np.isin(places(anchor[first]), hot)
+                first, end = first[cold], end[cold] + length - 1
+                own = owner_of(first, begin)
+                texts = [whole[a:b] for a, b in zip(first.tolist(), end.tolist())]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(anchor[first].view(np.int64)),
+                        pa.array(row[own + number]),
+                        pa.array(doc[own + number]),
+                        pa.array(base[own + number] + first - begin[own], pa.int32()),
+                        pa.array(texts, pa.binary()),
+                    ],
+                    ["anchor", "row", "doc_id", "at", "text"],
+                )
 
-    joined = segments.join(spans, "row", "left").select("row", "doc_id", "base", "text", "spans")
-    return joined.mapInArrow(run, "row bigint, doc_id bigint, base int, text binary")
+    return segments.mapInArrow(run, "anchor bigint, row bigint, doc_id bigint, at int, text binary")
+
+
+def repeated_in(anchor: np.ndarray, doc: np.ndarray, texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Unit, first and last start of the strings that a document of smaller id has too."""
+    numbers: dict[bytes, int] = {}
+    same = np.fromiter((numbers.setdefault(t, len(numbers)) for t in texts), np.int64, len(texts))
+    least = np.full(len(numbers), np.iinfo(np.int64).max)
+    np.minimum.at(least, same, doc)
+    # Units of equal bytes are ranked once, for the smallest id; all strings of the others are repeated.
+    distinct = list(numbers)
+    mine = np.zeros(len(numbers), np.int64)
+    mine[same] = anchor
+    _, at, times = np.unique(mine, return_inverse=True, return_counts=True)
+    met = np.flatnonzero(times[at] > 1)
+    low = high = of = np.zeros(0, np.int64)
+    if len(met):
+        begin = np.cumsum([0, *[len(distinct[i]) for i in met]])
+        starts = np.flatnonzero(inside(begin, length))
+        rank = ranks(np.frombuffer(b"".join(distinct[i] for i in met), np.uint8), starts, length)
+        own = owner_of(starts, begin)
+        first = np.full(int(rank.max()) + 1, np.iinfo(np.int64).max)
+        np.minimum.at(first, rank, least[met][own])
+        late = starts[least[met][own] > first[rank]]
+        own = owner_of(late, begin)
+        edge = np.flatnonzero((np.diff(late, prepend=-2) > 1) | (np.diff(own, prepend=-1) > 0))
+        own, last = own[edge], np.append(late[edge[1:] - 1], late[-1:])
+        low, high, of = late[edge] - begin[own], last - begin[own], met[own]
+    runs = np.bincount(of, minlength=len(distinct))
+    whole = doc > least[same]
+    rest = np.flatnonzero(~whole)
+    unit = np.repeat(rest, runs[same[rest]])
+    # The place of each run among those of its unit, after those of the units before it.
+    turn = np.arange(len(unit)) - np.repeat(np.cumsum(runs[same[rest]]) - runs[same[rest]], runs[same[rest]])
+    take = (np.cumsum(runs) - runs)[same[unit]] + turn
+    every = np.flatnonzero(whole)
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    return np.append(every, unit), np.append(np.zeros(len(every), np.int64), low[take]), np.append(size[every] - length, high[take])
+
+
+def ranks(text: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """Equal numbers for equal strings of ``length`` bytes at ``starts``, by prefix doubling from 8 bytes on."""
+    value = np.ndarray(len(text) - 7, "<u8", text, strides=(1,)).copy()
+    rank = np.unique(value, return_inverse=True)[1]
+    *steps, last = FIRST // 2, *steps_of(length)
+    for step in steps:
+        rank = np.unique(rank[:-step] << 32 | rank[step:], return_inverse=True)[1]
+    return np.unique(rank[starts] << 32 | rank[starts + last], return_inverse=True)[1]
+
+
+def ranked_by_anchor(spark: SparkSession, found: DataFrame, length: int) -> DataFrame:
+    """``row``, ``first``, ``last`` of the repeated strings of units. A task holds the units of one anchor, or of some small ones, at a time."""
+
+    def run(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
+
+        def close(part: pa.Table) -> pa.RecordBatch:
+            anchor, row, doc, at = (part.column(i).to_numpy() for i in range(4))
+            unit, low, high = repeated_in(anchor, doc, part.column(4).to_pylist(), length)
+            return pa.RecordBatch.from_arrays([pa.array(row[unit]), pa.array(at[unit] + low, pa.int32()), pa.array(at[unit] + high, pa.int32())], ["row", "first", "last"])
+
+        for batch in batches(frames, CHUNK_BYTES):
+            held.append(batch)
+            size += batch.column(4).nbytes
+            if size >= CHUNK_BYTES:
+                part = pa.Table.from_batches(held)
+                anchor = part.column(0).to_numpy()
+                whole = int(np.searchsorted(anchor, anchor[-1]))
+                if whole:
+                    yield close(part.slice(0, whole))
+                    held = part.slice(whole).to_batches()
+                size = sum(b.column(4).nbytes for b in held) if whole else 0
+        if held:
+            yield close(pa.Table.from_batches(held))
+
+    near = found.repartition("anchor").sortWithinPartitions("anchor")
+    return near.mapInArrow(run, "row bigint, first int, last int")
 
 
 def steps_of(length: int) -> list[int]:
@@ -220,9 +449,9 @@ def steps_of(length: int) -> list[int]:
     return out
 
 
-def positions(spark: SparkSession, segments: DataFrame, bitmap: np.ndarray, length: int, width: int) -> DataFrame:
-    """``row``, ``doc_id``, ``at`` and 16 bytes (``k1``, ``k2``) of the strings that may repeat and of the places their doubling looks at."""
-    shared = spark.sparkContext.broadcast(bitmap)
+def positions(spark: SparkSession, segments: DataFrame, hot: np.ndarray, length: int) -> DataFrame:
+    """``row``, ``doc_id``, ``at`` and 16 bytes (``k1``, ``k2``) of the strings with an anchor in ``hot`` and of the places their doubling looks at."""
+    shared = spark.sparkContext.broadcast(hot)
     offsets = {0}
     for step in steps_of(length):
         offsets |= {x + step for x in offsets}
@@ -231,7 +460,7 @@ def positions(spark: SparkSession, segments: DataFrame, bitmap: np.ndarray, leng
         for batch in batches(frames, BATCH_BYTES):
             for row, doc, base, content in zip(*[batch.column(i).to_pylist() for i in range(3)], bytes_of_text(batch.column(3))):
                 text = np.frombuffer(content, np.uint8)
-                starts = candidates(shared.value, text, length, width)
+                starts = np.isin(places(anchors(text, length, ANCHOR)), shared.value)
                 if not starts.any():
                     continue
                 needs = np.zeros(len(text) - FIRST + 1, bool)
@@ -274,20 +503,35 @@ def repeated_strings(spark: SparkSession, rows: DataFrame, length: int = LENGTH)
 
     ``rows``: ``row`` (unique), ``doc_id`` (bigint, not null), ``text``.
     """
-    if length < FIRST + ANCHOR:
-        raise ValueError(f"at least {FIRST + ANCHOR} bytes")
-    bitmap = shared_bitmap(rows.select("row", "text"), length, ANCHOR)
-    parts = staged(spark, candidate_parts(spark, rows, bitmap, length), "repeat-candidates")
+    if length < LEAST:
+        raise ValueError(f"at least {LEAST} bytes")
+    def kept(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+        path = new_path(spark, label)
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path), path
+
+    bitmap, hot = shared_bitmap(rows, length, ANCHOR)
+    parts, folder = kept(candidate_parts(spark, rows, bitmap, length), "repeat-candidates")
     settled = staged(spark, settled_by_phrases(parts, length), "settled")
     segments = parts.select("row", "doc_id", F.explode("segments").alias("s")).select("row", "doc_id", "s.*")
-    segments = staged(spark, open_segments(segments, settled, length), "open-strings")
+    segments, opened = kept(open_segments(segments, settled, length), "open-strings")
+    drop_folder(spark, folder)
     wide = max(ANCHOR, length - 10)
-    bitmap = shared_bitmap(segments.select("row", "text"), length, wide)
-    ranked = staged(spark, rerank(positions(spark, segments, bitmap, length, wide), ["k1", "k2"]), "ranks")
+    bitmap, _ = shared_bitmap(segments, length, wide)
+    found = staged(spark, ranked_by_anchor(spark, units(spark, segments, bitmap, wide, hot, length), length), "starts")
+    if len(hot):
+        found = found.union(ranked_over_spark(spark, positions(spark, segments, hot, length), length))
+    drop_folder(spark, opened)
+    return settled.union(found)
+
+
+def ranked_over_spark(spark: SparkSession, found: DataFrame, length: int) -> DataFrame:
+    """``row``, ``first``, ``last`` of the repeated strings of positions, whose ranks are tables."""
+    ranked = staged(spark, rerank(found, ["k1", "k2"]), "ranks")
     for step in steps_of(length)[:-1]:
         ranked = staged(spark, rerank(_pairs(ranked, step), ["rank", "next"]), "ranks")
     starts = staged(spark, _final(_pairs(ranked, steps_of(length)[-1])), "starts")
-    return settled.union(starts.selectExpr("row", "at AS first", "at AS last"))
+    return starts.selectExpr("row", "at AS first", "at AS last")
 
 
 def _pairs(ranked: DataFrame, step: int) -> DataFrame:

@@ -113,6 +113,32 @@ def test_repeat_edge_cases(spark):
     assert repeats.remove_repeats(spark, df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("held", [50_000, 3])
+def test_repeats_by_anchor_and_over_spark(spark, monkeypatch, held):
+    # Anchors of few places are ranked by one task, the others over Spark; short texts are hashed together.
+    monkeypatch.setattr(repeats, "HELD", held)
+    rng = random.Random(8)
+    words = [bytes(rng.choices(range(97, 123), k=rng.randint(2, 9))).decode() for _ in range(300)]
+    lines = [" ".join(rng.choices(words, k=rng.randint(3, 40))) for _ in range(60)]
+    docs = [(rng.randrange(90), "\n".join(rng.choice(lines)[rng.randrange(20) :] for _ in range(rng.randrange(9)))) for _ in range(150)]
+    docs += [(200, ""), (201, None), (202, "ab" * 300), (203, "ba" * 200), (204, lines[0] * 3)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    assert sorted(tuple(r) for r in repeats.remove_repeats(spark, df).drop("kept").collect()) == plain_repeats(docs)
+
+
+def test_units_of_neighbouring_strings_are_one_row(spark):
+    # A row per string took more than seven times the input of disk.
+    rng = random.Random(4)
+    text = "".join(rng.choice("abcdefgh ") for _ in range(4000))
+    segments = spark.createDataFrame([(row, row, 0, text[1000 * row :].encode()) for row in range(3)], "row bigint, doc_id bigint, base int, text binary")
+    bitmap, _ = repeats.shared_bitmap(segments, 50, 40)
+    found = repeats.units(spark, segments, bitmap, 40, np.zeros(0, np.int64), 50).collect()
+    assert len(bitmap) == 1 << 15  # grows with the anchors that are shared
+    strings = {(r.row, r.at + i): bytes(r.text[i : i + 50]).decode() for r in found for i in range(len(r.text) - 49)}
+    assert all(text[1000 * row + at :][:50] == x for (row, at), x in strings.items())
+    assert {(0, i) for i in range(1000, 3951)} <= set(strings) and 7 * len(found) < len(strings)
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     columns, sizes = docs.columns, [docs.count()]
