@@ -28,10 +28,12 @@ import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -159,52 +161,106 @@ class Codes(dict):
         self.units, self.bitmap, self.settings = units, bitmap, settings
 
     def __missing__(self, word: bytes) -> int:
-        unit, code = unit_of(word, self.settings), ending(word, self.settings) - self.settings.classes
+        self.learn([word])
+        return self[word]
+
+    def learn(self, words: Iterable[bytes]) -> None:
+        """Finds the codes of many words at once."""
+        new, s = [w for w in set(words) if w not in self], self.settings
+        value = np.fromiter(map(xxhash.xxh64_intdigest, new, repeat(42)), np.uint64, len(new)).view(np.int64)
+        unit = s.first_unit + value % (CODES - s.first_unit)
+        code = np.fromiter((zlib.crc32(w[-2:]) for w in new), np.int64, len(new)) % s.endings
         if self.units is None:
             place = unit & (8 * len(self.bitmap) - 1)
-            if self.bitmap[place >> 3] >> (place & 7) & 1:
-                code = unit
-        else:
-            place = int(np.searchsorted(self.units, unit))
-            if place < len(self.units) and self.units[place] == unit:
-                code = self.settings.first_unit + place
-        self[word] = code
-        return code
+            code = np.where(self.bitmap[place >> 3] >> (place & 7).astype(np.uint8) & 1, unit, code)
+        elif len(self.units):
+            place = np.searchsorted(self.units, unit)
+            code = np.where(self.units[np.minimum(place, len(self.units) - 1)] == unit, s.first_unit + place, code)
+        self.update(zip(new, code.tolist()))
+
+
+def local_pairs(frames: Iterable[pa.RecordBatch], codes: Codes, settings: Settings) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Neighbouring codes ``a << 31 | b`` in order, and how often. The end of another text comes before the first word."""
+    held, total = [], 0
+
+    def flush() -> tuple[np.ndarray, np.ndarray]:
+        # Sorted where they are: the parts and the copies of np.unique would take five times the room.
+        pair = np.concatenate(held)
+        held.clear()
+        pair.sort()
+        first = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
+        n = np.diff(first, append=len(pair))
+        return pair[first], n
+
+    for batch in batches(frames, BATCH_BYTES):
+        texts = [words_of(content) for content in bytes_of_text(batch.column(0))]
+        codes.learn(chain.from_iterable(texts))
+        for words in texts:
+            own = np.fromiter(map(codes.__getitem__, words), np.int64, len(words))
+            held.append(np.append(settings.endings, own) << 31 | np.append(own, settings.endings))
+            total += len(own) + 1
+            if total > 8 * FLUSH:
+                yield flush()
+                total = 0
+        if len(codes) > FLUSH:
+            codes.clear()
+    if held:
+        yield flush()
 
 
-def count_pairs(documents: DataFrame, units: np.ndarray | None, bitmap: np.ndarray | None, settings: Settings, text: str = "text") -> DataFrame:
-    """``a``, ``b``, ``n``: counts of neighbouring codes. The end of another text comes before the first word."""
-    shared = documents.sparkSession.sparkContext.broadcast((units, bitmap))
+def count_pairs(documents: DataFrame, bitmap: np.ndarray, settings: Settings, text: str = "text") -> DataFrame:
+    """``a``, ``b``, ``n``: counts of neighbouring codes, those of ``bitmap``."""
+    shared = documents.sparkSession.sparkContext.broadcast(bitmap)
 
     def count(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, held, total = Codes(*shared.value, settings), [], 0
-
-        def flush() -> pa.RecordBatch:
-            # Sorted where they are: the parts and the copies of np.unique would take five times the room.
-            pair = np.concatenate(held)
-            held.clear()
-            pair.sort()
-            first = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
-            n = np.diff(first, append=len(pair))
-            return pa.RecordBatch.from_arrays([pa.array(pair[first]), pa.array(n)], ["pair", "n"])
-
-        for batch in batches(frames, BATCH_BYTES):
-            for content in bytes_of_text(batch.column(0)):
-                own = np.fromiter(map(codes.__getitem__, words_of(content)), np.int64)
-                held.append(np.append(settings.endings, own) << 31 | np.append(own, settings.endings))
-                total += len(own) + 1
-                if total > 8 * FLUSH:
-                    yield flush()
-                    total = 0
-            if len(codes) > FLUSH:
-                codes.clear()
-        if held:
-            yield flush()
+        for pair, n in local_pairs(frames, Codes(None, shared.value, settings), settings):
+            yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(n)], ["pair", "n"])
 
     rows = documents.select(F.col(text).alias("text")).mapInArrow(count, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
     return rows.select(F.shiftright("pair", 31).cast("int").alias("a"), F.col("pair").bitwiseAND(2**31 - 1).cast("int").alias("b"), "n")
 
 
+def neighbours(documents: DataFrame, units: np.ndarray, tokens: int, settings: Settings, text: str = "text") -> DataFrame:
+    """Per code ``word`` the codes beside it and how often: positive after it, negative before it. At most two for each held unit.
+
+    A task sends its counts in blocks of words, as numbers of four bytes: a row for each pair would take twice the room. There
+    is a block for each million of ``tokens``, with as many pairs at most on either side; the last bits of a code tell it.
+    """
+    shared = documents.sparkSession.sparkContext.broadcast(units)
+    blocks = 1 << min(15, max(5, (tokens // FLUSH).bit_length()))
+
+    def send(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for pair, n in local_pairs(frames, Codes(shared.value, None, settings), settings):
+            codes = [(pair >> 31).astype("<u4"), (pair & (2**31 - 1)).astype("<u4")]
+            n, pair = n.astype("<u4"), None
+            for side in range(2):
+                # Two-byte numbers sort fastest where the order of equal ones is kept.
+                block = (codes[side] & np.uint32(blocks - 1)).astype(np.uint16)
+                order = np.argsort(block, kind="stable")
+                block = block[order]
+                first = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
+                # The other code and the side, the word before them.
+                columns = (codes[side][order], codes[1 - side][order] << np.uint32(1) | np.uint32(side), n[order])
+                parts = [pa.array([x.tobytes() for x in np.split(c, first[1:])], pa.binary()) for c in columns]
+                yield pa.RecordBatch.from_arrays([pa.array(block[first].astype(np.int32)), *parts], ["block", "word", "other", "n"])
+
+    def merge(frame: pa.Table) -> pa.Table:
+        word, other, n = (np.frombuffer(b"".join(frame.column(c).to_pylist()), "<u4").astype(np.int64) for c in ("word", "other", "n"))
+        key = word << 32 | other
+        order = np.argsort(key)
+        key = key[order]
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        key, n = key[first], np.add.reduceat(n[order], first)
+        word, other = key >> 32, key & (2**32 - 1)
+        start = np.flatnonzero(np.diff(word, prepend=-1))
+        offsets = pa.array(np.append(start, len(word)).astype(np.int32))
+        others, counts = pa.array((other >> 1).astype(np.int32)), pa.array(np.where(other & 1, -n, n))
+        return pa.table({"word": pa.array(word[start].astype(np.int32)), "other": pa.ListArray.from_arrays(offsets, others), "n": pa.ListArray.from_arrays(offsets, counts)})
+
+    rows = documents.select(F.col(text).alias("text")).mapInArrow(send, "block int, word binary, other binary, n binary")
+    return rows.groupBy("block").applyInArrow(merge, "word int, other array<int>, n array<bigint>")
+
+
 def xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1))
 
@@ -277,13 +333,6 @@ def main_words(words: DataFrame) -> DataFrame:
     return words.groupBy("unit").agg(F.max(F.struct("n", "word")).alias("top")).select("unit", "top.*")
 
 
-def neighbours(pairs: DataFrame) -> DataFrame:
-    """Per code ``word`` the codes beside it and how often: positive after it, negative before it. At most two for each held unit."""
-    after = F.struct(F.col("a").alias("word"), F.col("b").alias("other"), "n")
-    before = F.struct(F.col("b").alias("word"), F.col("a").alias("other"), (-F.col("n")).alias("n"))
-    return pairs.select(F.inline(F.array(after, before))).groupBy("word").agg(F.collect_list("other").alias("other"), F.collect_list("n").alias("n"))
-
-
 def exchange_held(sides: DataFrame, units: np.ndarray, start: np.ndarray, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
     """``exchange`` where the classes of all units fit into every task. ``sides`` is read twice a turn, without a shuffle of words."""
     spark, total, first = sides.sparkSession, settings.end + 1, settings.first_unit
@@ -444,11 +493,11 @@ def train(spark: SparkSession, documents: DataFrame, settings: Settings = Settin
     if often.limit(settings.held + 1).count() <= settings.held:
         start = with_start(often, settings).orderBy("unit").toPandas()
         units = start["unit"].to_numpy(np.int64)
-        sides = kept(neighbours(count_pairs(documents, units, None, settings, text)), folders[1])
+        sides = kept(neighbours(documents, units, size.tokens or 0, settings, text), folders[1])
         classes, table = exchange_held(sides, units, start["class"].to_numpy(np.int64), settings)
         of = spark.createDataFrame(pd.DataFrame({"unit": units.astype(np.int32), "class": classes.astype(np.int32)}), "unit int, class int")
     else:
-        pairs = kept(count_pairs(documents, None, frequent_units(counts, settings), settings, text), folders[1])
+        pairs = kept(count_pairs(documents, frequent_units(counts, settings), settings, text), folders[1])
         # Every occurrence of a word is the first of a pair.
         units = pairs.filter(F.col("a") >= settings.first_unit).select(F.col("a").alias("unit")).distinct()
         of, table = exchange(pairs, with_start(main_words(words.join(units, "unit", "left_semi")), settings), settings)
@@ -495,13 +544,13 @@ def score(spark: SparkSession, documents: DataFrame, model: Model, counts: DataF
             out: list[list] = [[] for _ in range(8)]
             for content in bytes_of_text(batch.column(len(columns))):
                 own = words_of(content)
-                index = np.fromiter((get(w, -1) for w in own), np.int64, len(own))
+                index = np.fromiter(map(get, own, repeat(-1)), np.int64, len(own))
                 cls = np.append(classes[index], s.end)
                 before = np.append(s.end, cls[:-1])
                 both, held = (before >= 0) & (cls >= 0), cls[cls >= 0]
                 other = np.flatnonzero(index < 0)
                 rare: dict[bytes, int] = {}
-                at = [rare.setdefault(own[i], len(rare)) for i in other]
+                at = [rare.setdefault(own[i], len(rare)) for i in other.tolist()]
                 moved = float(m.transition[before[both], cls[both]].sum() - m.class_total[held].sum())
                 beside = [np.asarray(x, "<i4").tobytes() for x in (at, before[other], cls[other + 1])]
                 values = (len(own) + 1, len(own) - len(other) + (ends > 0), float(logs[index].sum() + end_log), moved, list(rare), *beside)
@@ -525,24 +574,25 @@ def score(spark: SparkSession, documents: DataFrame, model: Model, counts: DataF
     def add(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in frames:
-            sums: list[list] = [[], [], []]
-            for r in batch.select(["known", "emitted", "moved", "at", "left", "right", "found"]).to_pylist():
-                known, emitted, moved = r["known"], r["emitted"], r["moved"]
-                if r["found"]:
-                    place, n, cls = np.array([[f["place"], f["n"], f["class"]] for f in r["found"]], np.int64).T
-                    order = np.argsort(place)
-                    at, before, after = (np.frombuffer(r[c], "<i4") for c in ("at", "left", "right"))
-                    n, cls = n[order][at], cls[order][at]
-                    # A rare word after another one: its class is the other's.
-                    before = np.where(before < 0, np.append(0, cls[:-1]), before)
-                    last = after >= 0
-                    known += int((n > 0).sum())
-                    emitted += float(np.log10(n + 0.5).sum())
-                    moved += float(m.transition[before, cls].sum() + m.transition[cls[last], after[last]].sum() - m.class_total[cls].sum())
-                for column, value in zip(sums, (known, emitted, moved)):
-                    column.append(value)
-            kinds = (pa.int64(), pa.float64(), pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns) + 1], *[pa.array(x, k) for x, k in zip(sums, kinds)]], [*columns, "n", "known", "emitted", "moved"])
+            n = batch.num_rows
+            times = pc.fill_null(pc.list_value_length(batch.column("found")), 0).to_numpy()
+            begin, flat = np.cumsum(times) - times, batch.column("found").flatten()
+            # The words of all rows in order of their places.
+            place, count, cls = (flat.field(i).to_numpy() for i in range(3))
+            order = np.empty(len(place), np.int64)
+            order[np.repeat(begin, times) + place] = np.arange(len(place))
+            # Their occurrences: word, class before (-1 after another of them), class after.
+            row = np.repeat(np.arange(n), pc.binary_length(batch.column("at")).to_numpy() // 4)
+            at, before, after = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<i4") for c in ("at", "left", "right"))
+            own = order[begin[row] + at]
+            count, cls = count[own], cls[own]
+            before = np.where(before < 0, np.append(0, cls)[: len(cls)], before)
+            last = after >= 0
+            gain = m.transition[before, cls] - m.class_total[cls]
+            gain[last] += m.transition[cls[last], after[last]]
+            sums = (np.bincount(row, count > 0, n).astype(np.int64), np.bincount(row, np.log10(count + 0.5), n), np.bincount(row, gain, n))
+            old = (batch.column(c).to_numpy() for c in ("known", "emitted", "moved"))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns) + 1], *[pa.array(x + y) for x, y in zip(old, sums)]], [*columns, "n", "known", "emitted", "moved"])
 
     scored = whole.mapInArrow(add, own_columns + ", n bigint, known bigint, emitted double, moved double")
     total = F.lit(float(np.log10(model.tokens + 0.5 * (model.vocabulary + 1))))

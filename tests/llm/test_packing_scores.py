@@ -1,6 +1,7 @@
 """Packing by exact round trip and class scores against plain Python."""
 
 import math
+import random
 import re
 import time
 import zlib
@@ -11,7 +12,7 @@ import pytest
 
 from lakewright.llm import brown, packing, queries
 from lakewright.llm.queries import QUERIES
-from tests.conftest import SMALL
+from tests.conftest import SMALL, plan_of
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -253,3 +254,22 @@ def test_units_are_those_of_the_expression(spark):
     rows = spark.createDataFrame([(bytearray(w),) for w in words], "word binary").select("word", brown.unit_column(small).alias("unit"), brown.ending_column(small.endings).alias("ending"))
     for r in rows.collect():
         assert (r.unit, r.ending) == (brown.unit_of(bytes(r.word), small), brown.ending(bytes(r.word), small) - small.classes)
+
+
+def test_neighbours_are_merged_in_one_shuffle(spark):
+    # Counting pairs as rows and gathering them by word took two shuffles and most of the time of a turnless training.
+    rng = random.Random(6)
+    texts = [" ".join(rng.choices([f"w{i}" for i in range(30)], k=rng.randrange(40))) for _ in range(200)]
+    small = brown.Settings(endings=3)
+    units = np.unique([brown.unit_of(f"w{i}".encode(), small) for i in range(20)])
+    want = Counter()
+    for text in texts:
+        codes = brown.Codes(units, None, small)
+        own = [small.endings, *[codes[w] for w in brown.words_of(text.encode())], small.endings]
+        for a, b in zip(own, own[1:]):
+            want[a, b, 1] += 1
+            want[b, a, -1] += 1
+    found = brown.neighbours(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3), units, sum(want.values()), small)
+    got = {(r.word, o, 1 if n > 0 else -1): abs(n) for r in found.collect() for o, n in zip(r.other, r.n)}
+    assert got == dict(want)
+    assert "hashpartitioning(block" in plan_of(found) and "hashpartitioning(word" not in plan_of(found)
