@@ -38,6 +38,7 @@ BATCH_BYTES = 4 << 20
 SHARD_TOKENS = 4 << 20
 ROUTE_TERMS = 8
 COMMON = 8  # terms in at least one of so many fragments of a shard have a weight for each fragment
+MATRIX_BYTES = 1 << 27  # scores by common terms are multiplied at once for all fragments of a shard where they take no more
 K1, B = 1.2, 0.75
 
 # Fixed value: how this kind of byte-level vocabulary splits a text before merging, but for runs of white space. These are taken
@@ -74,6 +75,7 @@ class Encoder:
         self.model = tiktoken.Encoding("file", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
         self.marks = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
         self.run = re.compile(f"[{BLANKS}]{{2,}}")
+        self.blank = np.array([bool(re.match(f"[{BLANKS}]", chr(c))) for c in range(0x3002)])
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         return [self._ids(t) for t in texts]
@@ -90,7 +92,9 @@ class Encoder:
     def _plain(self, text: str) -> np.ndarray:
         """Without special tokens. A run of white space is one piece, but for its last character before other text."""
         ids, at = array("I"), 0
-        for run in self.run.finditer(text):
+        blank = self.blank[np.minimum(np.frombuffer(text.encode("utf-32-le"), "<u4"), 0x3001)]
+        # Most texts have no run of two.
+        for run in self.run.finditer(text) if (blank[1:] & blank[:-1]).any() else ():
             end = run.end() if run.end() == len(text) else run.end() - 1
             ids.extend(self.model.encode_ordinary(text[at : run.start()]))
             ids.extend(self.model._encode_single_piece(text[run.start() : end].encode()))
@@ -161,9 +165,14 @@ def rarity(frequency: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
 
 def route(ids: np.ndarray, order: np.ndarray, place: np.ndarray, alone: int) -> bytes:
     """Sort key of a fragment: its rarest terms that other documents hold too, rarest first."""
-    found, _ = distinct(place[ids])
-    first = int(np.searchsorted(found, alone))
-    return order[found[first : first + ROUTE_TERMS]].astype(">u4").tobytes()
+    found = place[ids]
+    found = found[found >= alone]
+    # The first terms are sought among the first places, if these have enough.
+    few = 8 * ROUTE_TERMS
+    first = distinct(np.partition(found, few)[:few])[0] if len(found) > few else found
+    if len(first) < ROUTE_TERMS or len(found) <= few:
+        first = distinct(found)[0]
+    return order[first[:ROUTE_TERMS]].astype(">u4").tobytes()
 
 
 def routed(documents: DataFrame, frequency: np.ndarray, width: str, window: int) -> DataFrame:
@@ -209,6 +218,9 @@ class Shard:
         for n, t in enumerate(common):
             a, b = self.first[t], self.first[t + 1]
             self.dense[n, self.owner[a:b]] = self.weight[a:b]
+        # A weight is more than nothing, so it tells which fragments hold the term.
+        small = 4 * len(fragments) ** 2 <= MATRIX_BYTES
+        self.base = (self.dense > 0).astype(np.float32).T @ self.dense if small else None
 
     def seed(self) -> int | None:
         while self.next < len(self.unused) and not self.unused[self.next]:
@@ -217,13 +229,19 @@ class Shard:
 
     def scores(self, seed: int) -> np.ndarray:
         """BM25 of all fragments for the seed's terms; used ones score less than nothing."""
-        total = np.zeros(len(self.unused), np.float32)
-        for t in self.own[seed].tolist():
-            if t in self.row:
+        terms, n = self.own[seed], len(self.unused)
+        start, count = self.first[terms], self.first[terms + 1] - self.first[terms]
+        rare = COMMON * count < n
+        if self.base is not None:
+            total = self.base[seed].copy()
+        else:
+            total = np.zeros(n, np.float32)
+            for t in terms[~rare].tolist():
                 total += self.dense[self.row[t]]
-            else:
-                a, b = self.first[t], self.first[t + 1]
-                total[self.owner[a:b]] += self.weight[a:b]
+        # All postings of the rare terms at once.
+        start, count = start[rare], count[rare]
+        at = np.arange(count.sum()) + np.repeat(start - np.cumsum(count) + count, count)
+        total += np.bincount(self.owner[at], self.weight[at], n).astype(np.float32)
         return np.where(self.unused, total, -1)
 
 

@@ -256,6 +256,34 @@ def test_units_are_those_of_the_expression(spark):
         assert (r.unit, r.ending) == (brown.unit_of(bytes(r.word), small), brown.ending(bytes(r.word), small) - small.classes)
 
 
+@pytest.mark.parametrize("room", [1 << 27, 0])
+def test_scores_of_a_shard(monkeypatch, room):
+    # With room, common terms are multiplied at once for all seeds; they were added one by one for each.
+    monkeypatch.setattr(packing, "MATRIX_BYTES", room)
+    rng, idf = np.random.default_rng(2), np.linspace(0.1, 5, 400).astype(np.float32)
+    fragments = [np.minimum(rng.zipf(1.3, rng.integers(1, 300)) - 1, 399).astype(np.uint16) for _ in range(60)]
+    shard = packing.Shard(fragments, idf, 120.0)
+    assert (shard.base is None) == (room == 0)
+    shard.unused[7] = False
+    for seed in (0, 7, 59):
+        got = shard.scores(seed)
+        for i, f in enumerate(fragments):
+            c = Counter(f.tolist())
+            norm = packing.K1 * (1 - packing.B + packing.B * len(f) / 120.0)
+            want = sum(float(idf[t]) * c[t] * (packing.K1 + 1) / (c[t] + norm) for t in set(fragments[seed].tolist()) if t in c)
+            assert got[i] == pytest.approx(-1 if i == 7 else want, rel=1e-4)
+
+
+def test_routes_are_the_rarest_shared_terms():
+    rng = np.random.default_rng(9)
+    frequency = rng.integers(0, 50, 500)
+    order, place, alone = packing.rarity(frequency)
+    for size in (0, 1, 7, 64, 65, 300, 2000):
+        for ids in (rng.integers(0, 500, size).astype(np.uint16), np.repeat(rng.integers(0, 500, 9), size // 9).astype(np.uint16)):
+            want = sorted({int(t) for t in ids if frequency[t] > 1}, key=lambda t: (frequency[t], t))[: packing.ROUTE_TERMS]
+            assert np.frombuffer(packing.route(ids, order, place, alone), ">u4").tolist() == want
+
+
 def test_neighbours_are_merged_in_one_shuffle(spark):
     # Counting pairs as rows and gathering them by word took two shuffles and most of the time of a turnless training.
     rng = random.Random(6)
