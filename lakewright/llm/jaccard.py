@@ -194,13 +194,15 @@ def links(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int)
                 yield i, j
 
 
-def group_links(sets: DataFrame, percent: int) -> DataFrame:
+def group_links(sets: DataFrame, percent: int, members: DataFrame | None = None) -> DataFrame:
     """Links ``a``, ``b`` within groups of ``node``, ``n``, ``label``, ``tokens``.
 
-    A group is cut into blocks by size; blocks whose sizes are too far apart to hold partners do not meet.
+    A group is cut into blocks by size; blocks whose sizes are too far apart to hold partners do not meet. With ``members`` (``node``,
+    ``n``, ``label``, each node once) ``sets`` is read once, needs ``node`` and ``tokens`` only and may have equal rows.
     """
+    members = sets.select("node", "n", "label") if members is None else members
     # A running sum over all groups, of sizes only, less what comes before the group; the sets follow in the join.
-    placed = staged(sets.sparkSession, with_running_total(sets.select("node", "n", "label"), ["label", "n", "node"], F.col("n"), "upto"), "placed")
+    placed = staged(sets.sparkSession, with_running_total(members, ["label", "n", "node"], F.col("n"), "upto"), "placed")
     starts = placed.groupBy("label").agg(F.min(F.col("upto") - F.col("n")).alias("start"))
     blocked = placed.join(starts, "label").select("node", "n", "label", F.floor((F.col("upto") - F.col("start") - 1) / BLOCK_SHINGLES).alias("block"))
     spans = blocked.groupBy("label", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
@@ -210,7 +212,7 @@ def group_links(sets: DataFrame, percent: int) -> DataFrame:
     tasks = places.join(sets.select("node", "tokens"), "node")
 
     def search(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("node")
+        rows = rows.drop_duplicates("node").sort_values("node")
         left, right = rows[rows["block"] == rows["x"]], rows[rows["block"] == rows["y"]]
         same = rows["x"].iloc[0] == rows["y"].iloc[0]
 
@@ -248,8 +250,9 @@ def jaccard_classes(spark: SparkSession, documents: DataFrame, key: str = "doc_i
     def full(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(frames, BATCH_BYTES):
             own = [shingles(x, width) for x in bytes_of_text(batch.column(0))]
-            prints = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in own]
-            yield pa.RecordBatch.from_arrays([pa.array(prints, pa.binary()), pa.array([x.tobytes() for x in own], pa.binary())], ["fp", "tokens"])
+            # Rows without an id, or with the id of another, may repeat a set: it goes once a batch.
+            once = {hashlib.blake2b(x.tobytes(), digest_size=16).digest(): x.tobytes() for x in own}
+            yield pa.RecordBatch.from_arrays([pa.array(list(once), pa.binary()), pa.array(list(once.values()), pa.binary())], ["fp", "tokens"])
 
     # Groups of one have no links. The texts of the others are read again rather than keeping all sets.
     alone = groups.groupBy("label").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select("label")
@@ -259,9 +262,9 @@ def jaccard_classes(spark: SparkSession, documents: DataFrame, key: str = "doc_i
     ids = F.broadcast(ids) if wanted.count() <= BROADCAST_ROWS else ids
     # Another text under a wanted id goes when its fingerprint finds no node.
     texts = documents.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).join(ids, F.expr("doc_id <=> least"), "left_semi").select("text")
-    sets = texts.mapInArrow(full, "fp binary, tokens binary").join(wanted.drop("least"), "fp").dropDuplicates(["node"])
-    sets = staged(spark, sets, "full-sets")
-    found = staged(spark, group_links(sets.select("node", "n", "label", "tokens"), percent), "links")
+    # The sets are the bulk of all that is moved: they go to their groups without being written or dealt out before.
+    sets = texts.mapInArrow(full, "fp binary, tokens binary").join(wanted.select("fp", "node"), "fp").select("node", "tokens")
+    found = staged(spark, group_links(sets, percent, wanted.select("node", "n", "label")), "links")
     linked = components(spark, wanted.select("node"), found)
     linked = staged(spark, prints.join(linked, "node", "left").select("fp", "least", F.coalesce("label", "node").alias("label")), "classes")
     smallest = linked.groupBy("label").agg(F.min("least").alias("class"))
