@@ -3,10 +3,11 @@
 A document is the set of its word shingles, hashed to 64 bits. Copies of a set share a fingerprint and are represented by one
 number. Sets are ordered by hash; two sets that are similar enough share at least ``c`` of their first
 ``n - T + c`` shingles, where ``T`` is the overlap the smaller of two similar sets needs. Counting shared prefix
-shingles therefore drops, exactly, every document that can have no partner. The rest falls into groups connected by
-shared prefix shingles. A group is searched in blocks of bounded size: within a task, the short inverted lists of a query are
-merged by counting, the longest ``L`` are only probed by binary search for documents found at least ``T - L`` times,
-and exact overlaps decide. Documents already linked with the first of a block are not searched again: a pair of them adds
+shingles therefore drops, exactly, every document that can have no partner. In the order of their hashes, similar sets also share a
+run of consecutive shingles near the front; the rest falls into groups connected by such runs, which seldom join unlike texts
+however many there are. A group is searched in blocks of bounded size, small groups a bundle at a time: within a task, the short
+inverted lists of a query are merged by counting, the longest ``L`` are only probed by binary search for documents found at least
+``T - L`` times, and exact overlaps decide. Documents already linked with the first of a block are not searched again: a pair of them adds
 nothing to the classes.
 
 Edge cases: missing text and texts without words have no shingles and no links; with fewer words than a shingle, all words are
@@ -34,6 +35,9 @@ from lakewright.operators.numbering import with_running_total
 WIDTH, PERCENT = 3, 90
 BATCH_BYTES = 8 << 20
 BLOCK_SHINGLES = 2_000_000
+BUNDLE_SHINGLES = 1 << 18  # of small groups searched by one task, about
+RANGE_VALUES = 1 << 19  # hashes counted together, about
+RUN, SHORT = 3, 8  # consecutive shingles of a key; sets with fewer than SHORT have keys of one
 BROADCAST_ROWS = 1_000_000  # fingerprints broadcast to pick texts; more are joined by a shuffle
 LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -46,11 +50,16 @@ def shingles(text: bytes, width: int = WIDTH) -> np.ndarray:
         return np.zeros(0, np.uint64)
     h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     width = min(width, len(words))
+    return np.unique(folded(h, width))
+
+
+def folded(h: np.ndarray, width: int) -> np.ndarray:
+    """One hash for each run of ``width`` consecutive ones."""
     value = np.full(len(h) - width + 1, width, np.uint64)
     for j in range(width):
         value = (value ^ h[j : j + len(value)]) * MIX
         value ^= value >> np.uint64(31)
-    return np.unique(value)
+    return value
 
 
 def needed(n, percent: int = PERCENT):
@@ -67,6 +76,54 @@ def prefix_length(n, percent: int = PERCENT):
     return np.minimum(n, n - needed(n, percent) + extra(n))
 
 
+def lost_runs(n: int, run: int, percent: int) -> int:
+    """How many runs of consecutive shingles of a set of ``n`` any set similar enough can lack.
+
+    A shingle the other set lacks is in ``run`` of them at most; one only the other has lies within ``run - 1``.
+    """
+    return max(run * (100 - percent) * n // 100, (run - 1) * (100 - percent) * n // percent)
+
+
+def keys(own: np.ndarray, percent: int) -> np.ndarray:
+    """Hashes of which two sets that are similar enough share one at least: the first runs of a set, one more than can be lost.
+
+    Where more than three fifths of the runs can be lost, shorter ones are taken. Similar sets with fewer than ``SHORT`` shingles may
+    share no run, so those and all that can be similar to them have single shingles as keys.
+    """
+    n = len(own)
+    run = next(k for k in range(RUN, 0, -1) if k == 1 or 5 * lost_runs(1000, k, percent) <= 3 * 1000)
+    widths = [run] * (n >= SHORT or run == 1) + [1] * (run > 1 and percent * n < 100 * SHORT)
+    return np.concatenate([np.zeros(0, np.uint64), *[folded(own[: lost_runs(n, k, percent) + k], k) for k in widths if n]])
+
+
+def ranges_for(values: float) -> int:
+    """A power of two, so that a range has about ``RANGE_VALUES`` of so many hashes."""
+    return 1 << max(0, int(values) // RANGE_VALUES).bit_length()
+
+
+def cut(value: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where each of ``count`` ranges of the ascending 64-bit hashes begins, and the 32 bits after those that tell the range.
+
+    With ranges of bounded size, few others in a range have these bits too.
+    """
+    bits = np.uint64(count.bit_length() - 1)
+    start = np.searchsorted((value >> np.uint64(1)) >> (np.uint64(63) - bits), np.arange(count + 1).astype(np.uint64))
+    return start, ((value << bits) >> np.uint64(32)).astype(np.uint32)
+
+
+def planes(number: np.ndarray) -> bytes:
+    """Eight-byte numbers, all first bytes first and so on: bytes that hardly change are next to each other."""
+    return np.ascontiguousarray(number.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def from_planes(blobs: Iterable[bytes]) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.int64), *[np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(8, -1).T).view("<i8").ravel() for b in blobs]])
+
+
+def short_numbers(blobs: Iterable[bytes]) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.uint32), *[np.frombuffer(b, np.uint32) for b in blobs]])
+
+
 def sets_of(documents: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
     """``doc_id``, ``n``, ``fp`` (of the whole set) and ``prefix`` (hashes, 8 bytes each) per row."""
 
@@ -87,39 +144,114 @@ def sets_of(documents: DataFrame, key: str, text: str, width: int, percent: int)
 def with_partners(sets: DataFrame, percent: int) -> DataFrame:
     """``node`` of the sets that share enough prefix shingles with others to have a partner at all.
 
-    A task sends each shingle of a batch once. Those found twice in the batch are shared for certain and counted there; their
-    documents get one row with that count under a hash of their own. So a hot shingle has a row per batch, not per document.
+    A task sends each shingle of a batch once, in a block for each range of hashes. Those found twice in the batch are shared for
+    certain and counted there, and go without a document. So a hot shingle is in a block per batch, not per document. Shingles that
+    can't be told apart by the bits sent count as shared, which keeps a set too many at worst.
     """
+    count = ranges_for((sets.agg(F.sum("n")).first()[0] or 0) * prefix_length(1000, percent) / 1000)
 
-    def run(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def deal(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in frames:
-            node, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            prefix = [np.frombuffer(x.as_py(), np.uint64) for x in batch.column(2)]
+            node, prefix = batch.column(0).to_numpy(), [np.frombuffer(x.as_py(), np.uint64) for x in batch.column(1)]
             if not prefix:
                 continue
-            owner, token = np.repeat(np.arange(len(node)), [len(p) for p in prefix]), np.concatenate(prefix)
-            value, at, count = np.unique(token, return_inverse=True, return_counts=True)
-            shared = np.bincount(owner[count[at] > 1], minlength=len(node))
-            first = np.full(len(value), -1)
+            owner, value = np.repeat(np.arange(len(node)), [len(p) for p in prefix]), np.concatenate(prefix) * MIX
+            value, at, times = np.unique(value, return_inverse=True, return_counts=True)
+            shared = np.bincount(owner[times[at] > 1], minlength=len(node))
+            first = np.zeros(len(value), np.int64)
             first[at] = owner
-            need = extra(needed(n, percent))
             local = np.flatnonzero(shared)
-            own_hash = (node[local].astype(np.uint64) + np.uint64(1)) * MIX
-            lone = count == 1
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.concatenate([value, own_hash]).view(np.int64)),
-                    pa.array(np.concatenate([np.where(lone, node[first], -1), node[local]])),
-                    pa.array(np.concatenate([need[first], need[local]])),
-                    pa.array(np.concatenate([count, np.full(len(local), 2)]).astype(np.int64)),
-                    pa.array(np.concatenate([np.ones(len(value), np.int64), shared[local]])),
-                ],
-                ["token", "node", "need", "times", "gain"],
-            )
-
-    rows = sets.select("node", "n", "prefix").mapInArrow(run, "token bigint, node bigint, need bigint, times bigint, gain bigint")
-    seen = rows.withColumn("times", F.sum("times").over(W.partitionBy("token"))).filter("times > 1 AND node >= 0")
-    return seen.groupBy("node", "need").agg(F.sum("gain").alias("gain")).filter("gain >= need").select("node")
+            out = [(int(node[0]) % count, shared[local].astype(np.uint32).tobytes(), planes(node[local]), None)]
+            start, short = cut(value, count)
+            for r in np.flatnonzero(np.diff(start)).tolist():
+                own = slice(start[r], start[r + 1])
+                lone = times[own] == 1
+                out.append((r, short[own][lone].tobytes(), planes(node[first[own][lone]]), short[own][~lone].tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [pa.int32(), pa.binary(), pa.binary(), pa.binary()])], ["range", "values", "nodes", "many"])
+
+    def count_shared(rows: pd.DataFrame) -> pd.DataFrame:
+        local = rows["many"].isna()
+        dealt, counted = rows[~local], rows[local]
+        node, many = from_planes(dealt["nodes"]), short_numbers(dealt["many"])
+        _, at, times = np.unique(np.concatenate([short_numbers(dealt["values"]), many, many]), return_inverse=True, return_counts=True)
+        found, gain = np.unique(node[times[at[: len(node)]] > 1], return_counts=True)
+        return pd.DataFrame({"node": np.concatenate([found, from_planes(counted["nodes"])]), "gain": np.concatenate([gain, short_numbers(counted["values"])]).astype(np.int64)})
+
+    rows = sets.select("node", "prefix").mapInArrow(deal, "range int, values binary, nodes binary, many binary")
+    gains = rows.groupBy("range").applyInPandas(count_shared, "node bigint, gain bigint").groupBy("node").agg(F.sum("gain").alias("gain"))
+    # As ``extra`` and ``needed`` have it.
+    need = F.expr(f"greatest(1, ({percent} * n + 99) div 100 div 12)")
+    return sets.select("node", need.alias("need")).join(gains, "node").filter("gain >= need").select("node")
+
+
+def texts_of(documents: DataFrame, key: str, text: str, wanted: DataFrame, width: int) -> DataFrame:
+    """``text``, ``node`` and ``fp`` of the documents whose id is ``least`` of a row in ``wanted``; an id may have other texts.
+
+    Ids that are missing or stand for several sets would pair all their rows with all these: there the fingerprint tells the node.
+    """
+    rows, columns = wanted.select("least", "node", "fp"), documents.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
+    small = F.broadcast if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else lambda x: x
+    several = rows.groupBy(F.col("least").alias("doc_id")).agg(F.count(F.lit(1)).alias("sets")).filter("sets > 1 OR doc_id IS NULL").select("doc_id")
+    if several.isEmpty():
+        return columns.join(small(rows), F.expr("doc_id = least")).select("text", "node", "fp")
+
+    def printed(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(frames, BATCH_BYTES):
+            prints = [hashlib.blake2b(shingles(x, width).tobytes(), digest_size=16).digest() for x in bytes_of_text(batch.column(0))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.binary())], ["text", "fp"])
+
+    same = F.expr("doc_id <=> least")
+    alone = columns.join(small(rows.join(several, same, "left_anti")), F.expr("doc_id = least")).select("text", "node", "fp")
+    texts = columns.join(small(several.withColumnRenamed("doc_id", "least")), same, "left_semi").select("text")
+    found = texts.mapInArrow(printed, "text string, fp binary").join(small(rows.join(several, same, "left_semi").select("node", "fp")), "fp")
+    return alone.unionByName(found.select("text", "node", "fp"))
+
+
+def sets_again(frames: Iterable[pa.RecordBatch], width: int) -> Iterator[tuple[list[int], list[np.ndarray]]]:
+    """Batches of nodes and their sets, of rows as ``texts_of`` gives them; texts with another fingerprint are left out."""
+    for batch in batches(frames, BATCH_BYTES):
+        own = {}
+        for content, node, fp in zip(bytes_of_text(batch.column(0)), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            # Rows without an id, or with the id of another, may repeat a set: it goes once a batch.
+            if node not in own:
+                found = shingles(content, width)
+                if hashlib.blake2b(found.tobytes(), digest_size=16).digest() == fp:
+                    own[node] = found
+        if own:
+            yield list(own), list(own.values())
+
+
+def near_sets(texts: DataFrame, shingles_in_all: int, width: int, percent: int) -> DataFrame:
+    """Pairs ``a``, ``b`` of nodes with a key in common that connect all nodes with common keys; dealt like shingles in ``with_partners``."""
+    count = ranges_for(shingles_in_all * lost_runs(1000, RUN, percent) / 1000)
+
+    def lowest(value: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, pd.DataFrame]:
+        """The values, each once, with its smallest node, to which all its others are paired."""
+        value, at = np.unique(value, return_inverse=True)
+        low = np.full(len(value), np.iinfo(np.int64).max)
+        np.minimum.at(low, at, node)
+        pairs = pd.DataFrame({"a": node, "b": low[at]})
+        return value, low, pairs[pairs["a"] != pairs["b"]].drop_duplicates()
+
+    def deal(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for nodes, own in sets_again(frames, width):
+            found = [keys(x, percent) for x in own]
+            value, low, pairs = lowest(np.concatenate(found) * MIX, np.repeat(np.array(nodes, np.int64), [len(x) for x in found]))
+            out = [(nodes[0] % count, None, planes(pairs["a"].to_numpy()), planes(pairs["b"].to_numpy()))]
+            start, short = cut(value, count)
+            for r in np.flatnonzero(np.diff(start)).tolist():
+                own = slice(start[r], start[r + 1])
+                out.append((r, short[own].tobytes(), planes(low[own]), None))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [pa.int32(), pa.binary(), pa.binary(), pa.binary()])], ["range", "values", "nodes", "ends"])
+
+    def pair(rows: pd.DataFrame) -> pd.DataFrame:
+        local = rows["values"].isna()
+        dealt, paired = rows[~local], rows[local]
+        pairs = lowest(short_numbers(dealt["values"]), from_planes(dealt["nodes"]))[2]
+        return pd.concat([pairs, pd.DataFrame({"a": from_planes(paired["nodes"]), "b": from_planes(paired["ends"])})])
+
+    rows = texts.mapInArrow(deal, "range int, values binary, nodes binary, ends binary")
+    return rows.groupBy("range").applyInPandas(pair, "a bigint, b bigint").distinct()
 
 
 def components(spark: SparkSession, nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -203,27 +335,38 @@ def group_links(sets: DataFrame, percent: int, members: DataFrame | None = None)
     members = sets.select("node", "n", "label") if members is None else members
     # A running sum over all groups, of sizes only, less what comes before the group; the sets follow in the join.
     placed = staged(sets.sparkSession, with_running_total(members, ["label", "n", "node"], F.col("n"), "upto"), "placed")
-    starts = placed.groupBy("label").agg(F.min(F.col("upto") - F.col("n")).alias("start"))
-    blocked = placed.join(starts, "label").select("node", "n", "label", F.floor((F.col("upto") - F.col("start") - 1) / BLOCK_SHINGLES).alias("block"))
+    starts = placed.groupBy("label").agg(F.min(F.col("upto") - F.col("n")).alias("start"), F.max("upto").alias("end"))
+    bundles = max(1, (placed.agg(F.sum("n")).first()[0] or 0) // BUNDLE_SHINGLES)
+    whole = F.col("end") - F.col("start") <= BLOCK_SHINGLES
+    # Groups of one block are dealt into bundles, others have their own.
+    cut_up = placed.join(starts, "label").select(
+        "node", "n", "label", F.floor((F.col("upto") - F.col("start") - 1) / BLOCK_SHINGLES).alias("block"),
+        F.when(whole, F.lit(-1)).otherwise(F.col("label")).alias("large"), F.when(whole, F.pmod(F.xxhash64("label"), F.lit(bundles))).otherwise(0).alias("bundle"),
+    )
+    blocked = staged(sets.sparkSession, cut_up, "blocks")
     spans = blocked.groupBy("label", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     a, b = spans.alias("a"), spans.alias("b")
     meet = a.join(b, "label").filter(F.expr(f"a.block <= b.block AND {percent} * b.low <= 100 * a.high")).select("label", F.col("a.block").alias("x"), F.col("b.block").alias("y"))
     places = blocked.join(meet.select("label", F.explode(F.array_distinct(F.array("x", "y"))).alias("block"), "x", "y"), ["label", "block"])
-    tasks = places.join(sets.select("node", "tokens"), "node")
+    places = staged(sets.sparkSession, places.select("node", "label", "large", "bundle", "block", "x", "y"), "places")
+    few = places.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    tasks = sets.select("node", "tokens").join(F.broadcast(places) if few else places, "node")
 
     def search(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop_duplicates("node").sort_values("node")
-        left, right = rows[rows["block"] == rows["x"]], rows[rows["block"] == rows["y"]]
-        same = rows["x"].iloc[0] == rows["y"].iloc[0]
-
-        def own(part: pd.DataFrame) -> list[np.ndarray]:
-            return [np.frombuffer(t, np.uint64) for t in part["tokens"]]
-
-        found = list(links(own(left), None if same else own(right), percent)) if len(left) and len(right) else []
-        a, b = left["node"].to_numpy(), right["node"].to_numpy()
-        return pd.DataFrame({"a": [a[i] for i, _ in found], "b": [b[j] for _, j in found]}, dtype="int64")
-
-    return tasks.groupBy("label", "x", "y").applyInPandas(search, "a bigint, b bigint")
+        rows = rows.drop_duplicates("node").sort_values(["label", "node"])
+        label, node, block = (rows[c].to_numpy() for c in ("label", "node", "block"))
+        own = [np.frombuffer(t, np.uint64) for t in rows["tokens"]]
+        x, y = rows["x"].iloc[0], rows["y"].iloc[0]
+        found: list[tuple[int, int]] = []
+        edges = [0, *(np.flatnonzero(np.diff(label)) + 1).tolist(), len(rows)]
+        for start, end in zip(edges[:-1], edges[1:]):
+            left, right = (np.flatnonzero(block[start:end] == b) + start for b in (x, y))
+            if len(left) and len(right):
+                pairs = links([own[i] for i in left], None if x == y else [own[i] for i in right], percent)
+                found += [(node[left[i]], node[right[j]]) for i, j in pairs]
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    return tasks.groupBy("large", "bundle", "x", "y").applyInPandas(search, "a bigint, b bigint")
 
 
 def jaccard_classes(spark: SparkSession, documents: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -234,36 +377,22 @@ def jaccard_classes(spark: SparkSession, documents: DataFrame, key: str = "doc_i
     prints = staged(spark, least.withColumn("node", F.monotonically_increasing_id()), "fingerprints")
     one = every.alias("e").join(prints.alias("p"), F.expr("e.fp = p.fp AND e.doc_id <=> p.least")).select("p.node", "e.n", "p.fp", "e.prefix", "p.least")
     nodes = staged(spark, one.dropDuplicates(["node"]), "distinct-sets")
-    kept = staged(spark, nodes.join(with_partners(nodes, percent), "node", "left_semi"), "with-partners")
+    kept = staged(spark, nodes.join(with_partners(nodes, percent), "node", "left_semi").select("node", "n", "fp", "least"), "with-partners")
 
-    def plain_prefix(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in frames:
-            for node, n, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                own = np.frombuffer(blob, np.int64)[: n - needed(n, percent) + 1]
-                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.full(len(own), node))], ["token", "node"])
-
-    tokens = kept.select("node", "n", "prefix").mapInArrow(plain_prefix, "token bigint, node bigint")
-    least = tokens.groupBy("token").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("times")).filter("times > 1")
-    near = tokens.join(least, "token").filter("node != b").select(F.col("node").alias("a"), "b").distinct()
+    total = kept.agg(F.sum("n")).first()[0] or 0
+    near = near_sets(texts_of(documents, key, text, kept, width), total, width, percent)
     groups = components(spark, kept, near)
 
     def full(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(frames, BATCH_BYTES):
-            own = [shingles(x, width) for x in bytes_of_text(batch.column(0))]
-            # Rows without an id, or with the id of another, may repeat a set: it goes once a batch.
-            once = {hashlib.blake2b(x.tobytes(), digest_size=16).digest(): x.tobytes() for x in own}
-            yield pa.RecordBatch.from_arrays([pa.array(list(once), pa.binary()), pa.array(list(once.values()), pa.binary())], ["fp", "tokens"])
+        for own, sets in sets_again(frames, width):
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["node", "tokens"])
 
     # Groups of one have no links. The texts of the others are read again rather than keeping all sets.
     alone = groups.groupBy("label").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select("label")
     wanted = groups.join(alone, "label").join(kept.select("node", "n", "fp", "least"), "node")
     wanted = staged(spark, wanted.select("node", "label", "n", "fp", "least"), "grouped")
-    ids = wanted.select("least").distinct()
-    ids = F.broadcast(ids) if wanted.count() <= BROADCAST_ROWS else ids
-    # Another text under a wanted id goes when its fingerprint finds no node.
-    texts = documents.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).join(ids, F.expr("doc_id <=> least"), "left_semi").select("text")
     # The sets are the bulk of all that is moved: they go to their groups without being written or dealt out before.
-    sets = texts.mapInArrow(full, "fp binary, tokens binary").join(wanted.select("fp", "node"), "fp").select("node", "tokens")
+    sets = texts_of(documents, key, text, wanted, width).mapInArrow(full, "node bigint, tokens binary")
     found = staged(spark, group_links(sets, percent, wanted.select("node", "n", "label")), "links")
     linked = components(spark, wanted.select("node"), found)
     linked = staged(spark, prints.join(linked, "node", "left").select("fp", "least", F.coalesce("label", "node").alias("label")), "classes")
