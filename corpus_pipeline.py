@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakewright.llm import decontaminate, jaccard, langid, packing, secrets
-from lakewright.llm.common import staged
+from lakewright.llm.common import small_batches, staged
 from lakewright.llm.queries import table, tokenizer
 from lakewright.session import new_path, scratch
 
@@ -45,7 +45,7 @@ def with_row_key(spark: SparkSession, docs: DataFrame) -> DataFrame:
 def decided(spark: SparkSession, label: str, decide: Callable[[], DataFrame]) -> DataFrame:
     """The rows of ``decide``, written; all that it wrote aside is deleted."""
     path = new_path(spark, label)
-    with scratch(spark):
+    with scratch(spark), small_batches(spark):
         rows = decide()
         rows.write.parquet(path)
     return spark.read.schema(rows.schema).parquet(path)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from lakewright.llm.common import batches
+from lakewright.llm.common import batches, small_batches
 from lakewright.session import new_path
 
 WINDOW = 2048
@@ -127,7 +127,8 @@ def tokenize(spark: SparkSession, documents: DataFrame, tokenizer: str, vocabula
 
     path = new_path(spark, "tokens")
     rows = documents.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInArrow(encode, f"doc_id {kind}, n bigint, ids binary")
-    rows.write.option("compression", "zstd").parquet(path)
+    with small_batches(spark):
+        rows.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(rows.schema).parquet(path)
 
 
