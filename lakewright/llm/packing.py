@@ -92,7 +92,10 @@ class Encoder:
     def _plain(self, text: str) -> np.ndarray:
         """Without special tokens. A run of white space is one piece, but for its last character before other text."""
         ids, at = array("I"), 0
-        blank = self.blank[np.minimum(np.frombuffer(text.encode("utf-32-le"), "<u4"), 0x3001)]
+        if text.isascii():  # a byte a character
+            blank = self.blank[np.frombuffer(text.encode(), np.uint8)]
+        else:
+            blank = self.blank[np.minimum(np.frombuffer(text.encode("utf-32-le"), "<u4"), 0x3001)]
         # Most texts have no run of two.
         for run in self.run.finditer(text) if (blank[1:] & blank[:-1]).any() else ():
             end = run.end() if run.end() == len(text) else run.end() - 1
@@ -113,11 +116,11 @@ def tokenize(spark: SparkSession, documents: DataFrame, tokenizer: str, vocabula
     width = "<u2" if vocabulary <= 1 << 16 else "<u4"
 
     def encode(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, frequency = Encoder(tokenizer), np.zeros(vocabulary, np.int64)
+        encoder, frequency, place = Encoder(tokenizer), np.zeros(vocabulary, np.int64), np.zeros(vocabulary, np.int32)
         for batch in batches(frames, BATCH_BYTES):
             out = [np.append(ids, np.uint32(end)) for ids in encoder([x or "" for x in batch.column(1).to_pylist()])]
             for ids in out:
-                frequency[distinct(ids)[0]] += 1
+                frequency[each_once(ids, place)] += 1
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(x) for x in out], pa.int64()), pa.array([x.astype(width).tobytes() for x in out], pa.binary())], ["doc_id", "n", "ids"]
             )
@@ -156,6 +159,13 @@ def distinct(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids[first], first
 
 
+def each_once(ids: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The ids, each once, in any order; ``place``, a number for each id of the vocabulary, is written over. Nothing is sorted."""
+    at = np.arange(len(ids), dtype=place.dtype)
+    place[ids] = at
+    return ids[place[ids] == at]
+
+
 def rarity(frequency: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     """The terms from the rarest on, the place of each among them, and how many of the first no two documents share."""
     order = np.lexsort((np.arange(len(frequency)), frequency))

@@ -40,3 +40,10 @@ def test_scores_are_bm25_of_all_terms():
     for seed in (0, 7, 59):
         assert len(np.unique(docs[seed])) > 24
         assert np.allclose(shard.scores(seed), [bm25(seed, i) for i in range(60)], rtol=1e-4)
+
+
+def test_ids_once_without_a_sort():
+    random, place = np.random.default_rng(5), np.zeros(300, np.int32)
+    for n in (0, 1, 2, 50, 2000):
+        ids = random.integers(0, 300, n).astype(np.uint32)
+        assert sorted(packing.each_once(ids, place).tolist()) == np.unique(ids).tolist()
