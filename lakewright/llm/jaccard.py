@@ -3,7 +3,7 @@
 A document is the set of its word shingles, hashed to 64 bits. Copies of a set share a fingerprint and are represented by one
 number. Sets are ordered by hash; two sets that are similar enough share at least ``c`` of their first
 ``n - T + c`` shingles, where ``T`` is the overlap the smaller of two similar sets needs. Counting shared prefix
-shingles therefore drops, exactly, every document that can have no partner. In the order of their hashes, similar sets also share a
+shingles therefore drops no document that can have a partner; a bitmap tells which are shared. In the order of their hashes, similar sets also share a
 run of consecutive shingles near the front; the rest falls into groups connected by such runs, which seldom join unlike texts
 however many there are. A group is searched in blocks of bounded size, small groups a bundle at a time: within a task, the short
 inverted lists of a query are merged by counting, the longest ``L`` are only probed by binary search for documents found at least
@@ -37,6 +37,8 @@ BATCH_BYTES = 8 << 20
 BLOCK_SHINGLES = 2_000_000
 BUNDLE_SHINGLES = 1 << 18  # of small groups searched by one task, about
 RANGE_VALUES = 1 << 19  # hashes counted together, about
+BITMAP_BITS = 30  # the bitmap has 16 to 32 bits for each shared shingle, 2 ** BITMAP_BITS at most
+SPREAD = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)  # a bit of a shingle for each
 RUN, SHORT = 3, 8  # consecutive shingles of a key; sets with fewer than SHORT have keys of one
 BROADCAST_ROWS = 1_000_000  # fingerprints broadcast to pick texts; more are joined by a shuffle
 LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
@@ -101,14 +103,19 @@ def ranges_for(values: float) -> int:
     return 1 << max(0, int(values) // RANGE_VALUES).bit_length()
 
 
-def cut(value: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
-    """Where each of ``count`` ranges of the ascending 64-bit hashes begins, and the 32 bits after those that tell the range.
+def dealt(value: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """The range of each 64-bit hash, of ``count``, and the 32 bits after those that tell the range.
 
     With ranges of bounded size, few others in a range have these bits too.
     """
     bits = np.uint64(count.bit_length() - 1)
-    start = np.searchsorted((value >> np.uint64(1)) >> (np.uint64(63) - bits), np.arange(count + 1).astype(np.uint64))
-    return start, ((value << bits) >> np.uint64(32)).astype(np.uint32)
+    return (value >> np.uint64(1)) >> (np.uint64(63) - bits), ((value << bits) >> np.uint64(32)).astype(np.uint32)
+
+
+def cut(value: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where each of ``count`` ranges of the ascending hashes begins, and their short forms."""
+    block, short = dealt(value, count)
+    return np.searchsorted(block, np.arange(count + 1).astype(np.uint64)), short
 
 
 def planes(number: np.ndarray) -> bytes:
@@ -141,47 +148,88 @@ def sets_of(documents: DataFrame, key: str, text: str, width: int, percent: int)
     return documents.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, n bigint, fp binary, prefix binary")
 
 
-def with_partners(sets: DataFrame, percent: int) -> DataFrame:
-    """``node`` of the sets that share enough prefix shingles with others to have a partner at all.
+def bits_at(value: np.ndarray, count: int, bits: int) -> Iterator[np.ndarray]:
+    """Where the hashes have their bits in a bitmap of 2 ** ``bits``, of which each of ``count`` ranges has a block."""
+    low = bits + 1 - count.bit_length()
+    block, short = dealt(value, count)
+    for odd in SPREAD:
+        yield (block << np.uint64(low)) | ((short * odd) >> np.uint32(32 - low))
+
 
-    A task sends each shingle of a batch once, in a block for each range of hashes. Those found twice in the batch are shared for
-    certain and counted there, and go without a document. So a hot shingle is in a block per batch, not per document. Shingles that
-    can't be told apart by the bits sent count as shared, which keeps a set too many at worst.
+def shared_bitmap(sets: DataFrame, count: int) -> np.ndarray:
+    """Bits, as words, of the prefix shingles found in two sets or more; others may have the same bits.
+
+    A task sends each shingle of a batch once, in a block for each range of hashes, and apart those found twice there, which are shared for
+    certain. So a hot shingle is in a block per batch, not per document. A range answers with a row: its shared shingles, each once.
     """
-    count = ranges_for((sets.agg(F.sum("n")).first()[0] or 0) * prefix_length(1000, percent) / 1000)
 
     def deal(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in frames:
-            node, prefix = batch.column(0).to_numpy(), [np.frombuffer(x.as_py(), np.uint64) for x in batch.column(1)]
-            if not prefix:
-                continue
-            owner, value = np.repeat(np.arange(len(node)), [len(p) for p in prefix]), np.concatenate(prefix) * MIX
-            value, at, times = np.unique(value, return_inverse=True, return_counts=True)
-            shared = np.bincount(owner[times[at] > 1], minlength=len(node))
-            first = np.zeros(len(value), np.int64)
-            first[at] = owner
-            local = np.flatnonzero(shared)
-            out = [(int(node[0]) % count, shared[local].astype(np.uint32).tobytes(), planes(node[local]), None)]
+            value, times = np.unique(np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(x.as_py(), np.uint64) for x in batch.column(0)]]) * MIX, return_counts=True)
             start, short = cut(value, count)
+            out = []
             for r in np.flatnonzero(np.diff(start)).tolist():
-                own = slice(start[r], start[r + 1])
-                lone = times[own] == 1
-                out.append((r, short[own][lone].tobytes(), planes(node[first[own][lone]]), short[own][~lone].tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [pa.int32(), pa.binary(), pa.binary(), pa.binary()])], ["range", "values", "nodes", "many"])
+                own, lone = short[start[r] : start[r + 1]], times[start[r] : start[r + 1]] == 1
+                out.append((r, own[lone].tobytes(), own[~lone].tobytes()))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [pa.int32(), pa.binary(), pa.binary()])], ["range", "values", "many"])
+
+    def find_shared(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        many = short_numbers(rows["many"])
+        value, times = np.unique(np.concatenate([short_numbers(rows["values"]), many, many]), return_counts=True)
+        return pd.DataFrame({"range": [key[0]], "n": [int((times > 1).sum())], "values": [value[times > 1].tobytes()]})
+
+    rows = sets.select("prefix").mapInArrow(deal, "range int, values binary, many binary")
+    shared = staged(sets.sparkSession, rows.groupBy("range").applyInPandas(find_shared, "range int, n bigint, values binary"), "shared-shingles")
+    total = shared.agg(F.sum("n")).first()[0] or 0
+    bits = max(min(BITMAP_BITS, max(20, (16 * total).bit_length())), count.bit_length() + 4)
+    low = bits + 1 - count.bit_length()
+
+    def fill(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in frames:
+            blocks = []
+            for values in batch.column(1):
+                block, short = np.zeros(1 << low, np.uint8), np.frombuffer(values.as_py(), np.uint32)
+                for odd in SPREAD:
+                    block[(short * odd) >> np.uint32(32 - low)] = 1
+                blocks.append(np.packbits(block, bitorder="little").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blocks, pa.binary())], ["range", "bits"])
+
+    # The driver gets the bitmap in blocks, of bounded size in all.
+    out = np.zeros(1 << (bits - 5), "<u4")
+    parts = out.view(np.uint8).reshape(count, -1)
+    for r, content in shared.select("range", "values").mapInArrow(fill, "range int, bits binary").collect():
+        parts[r] = np.frombuffer(content, np.uint8)
+    return out
+
+
+def with_partners(sets: DataFrame, percent: int) -> DataFrame:
+    """``node``, ``n``, ``fp`` and ``least`` of the sets that share enough prefix shingles with others to have a partner at all.
+
+    A set counts its own shingles in the bitmap of shared ones, which keeps a set too many at worst: no counts of sets and ranges
+    are moved, as their number grows with that of the ranges until each shared shingle has one of its own.
+    """
+    count = ranges_for((sets.agg(F.sum("n")).first()[0] or 0) * prefix_length(1000, percent) / 1000)
+    bitmap = shared_bitmap(sets, count)
+    bits = (32 * len(bitmap)).bit_length() - 1
+    shared = sets.sparkSession.sparkContext.broadcast(bitmap)
 
-    def count_shared(rows: pd.DataFrame) -> pd.DataFrame:
-        local = rows["many"].isna()
-        dealt, counted = rows[~local], rows[local]
-        node, many = from_planes(dealt["nodes"]), short_numbers(dealt["many"])
-        _, at, times = np.unique(np.concatenate([short_numbers(dealt["values"]), many, many]), return_inverse=True, return_counts=True)
-        found, gain = np.unique(node[times[at[: len(node)]] > 1], return_counts=True)
-        return pd.DataFrame({"node": np.concatenate([found, from_planes(counted["nodes"])]), "gain": np.concatenate([gain, short_numbers(counted["values"])]).astype(np.int64)})
+    def keep(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = shared.value
+        for batch in frames:
+            prefix = [np.frombuffer(x.as_py(), np.uint64) for x in batch.column(4)]
+            if not prefix:
+                continue
+            owner, value = np.repeat(np.arange(len(prefix)), [len(p) for p in prefix]), np.concatenate(prefix) * MIX
+            found = np.ones(len(value), bool)
+            for at in bits_at(value, count, bits):
+                found &= (bitmap[at >> np.uint64(5)] >> (at & np.uint64(31)).astype(np.uint32)) & 1 == 1
+            gain = np.bincount(owner[found], minlength=len(prefix))
+            need = extra(needed(batch.column(1).to_numpy(), percent))
+            yield batch.select(["node", "n", "fp", "least"]).filter(pa.array(gain >= need))
 
-    rows = sets.select("node", "prefix").mapInArrow(deal, "range int, values binary, nodes binary, many binary")
-    gains = rows.groupBy("range").applyInPandas(count_shared, "node bigint, gain bigint").groupBy("node").agg(F.sum("gain").alias("gain"))
-    # As ``extra`` and ``needed`` have it.
-    need = F.expr(f"greatest(1, ({percent} * n + 99) div 100 div 12)")
-    return sets.select("node", need.alias("need")).join(gains, "node").filter("gain >= need").select("node")
+    rows = sets.select("node", "n", "fp", "least", "prefix")
+    return rows.mapInArrow(keep, rows.drop("prefix").schema)
 
 
 def texts_of(documents: DataFrame, key: str, text: str, wanted: DataFrame, width: int) -> DataFrame:
@@ -222,7 +270,7 @@ def sets_again(frames: Iterable[pa.RecordBatch], width: int) -> Iterator[tuple[l
 
 
 def near_sets(texts: DataFrame, shingles_in_all: int, width: int, percent: int) -> DataFrame:
-    """Pairs ``a``, ``b`` of nodes with a key in common that connect all nodes with common keys; dealt like shingles in ``with_partners``."""
+    """Pairs ``a``, ``b`` of nodes with a key in common that connect all nodes with common keys; dealt like shingles in ``shared_bitmap``."""
     count = ranges_for(shingles_in_all * lost_runs(1000, RUN, percent) / 1000)
 
     def lowest(value: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, pd.DataFrame]:
@@ -377,7 +425,7 @@ def jaccard_classes(spark: SparkSession, documents: DataFrame, key: str = "doc_i
     prints = staged(spark, least.withColumn("node", F.monotonically_increasing_id()), "fingerprints")
     one = every.alias("e").join(prints.alias("p"), F.expr("e.fp = p.fp AND e.doc_id <=> p.least")).select("p.node", "e.n", "p.fp", "e.prefix", "p.least")
     nodes = staged(spark, one.dropDuplicates(["node"]), "distinct-sets")
-    kept = staged(spark, nodes.join(with_partners(nodes, percent), "node", "left_semi").select("node", "n", "fp", "least"), "with-partners")
+    kept = staged(spark, with_partners(nodes, percent), "with-partners")
 
     total = kept.agg(F.sum("n")).first()[0] or 0
     near = near_sets(texts_of(documents, key, text, kept, width), total, width, percent)
