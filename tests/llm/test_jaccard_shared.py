@@ -54,3 +54,11 @@ def test_ranges_answer_with_a_row_each(spark, monkeypatch):
 
 def test_no_sets_have_no_partners(spark):
     assert jaccard.with_partners(sets_of_texts(spark, ["", None], 90), 90).collect() == []
+
+
+def test_a_full_bitmap_loses_no_set(spark, monkeypatch):
+    sets = sets_of_texts(spark, texts(), 90)
+    whole = {r.node for r in jaccard.with_partners(sets, 90).collect()}
+    monkeypatch.setattr(jaccard, "BITMAP_BITS", 8)
+    kept = {r.node for r in jaccard.with_partners(sets, 90).collect()}
+    assert whole < kept
