@@ -6,7 +6,8 @@ row, a unit, with the bytes they cover. A task ranks the bytes of its units by p
 ranks of a place and of the place 8 bytes on give that of 16 bytes, then 32, and the threshold of 50. Equal ranks mean equal strings, whatever the
 hash of anything. A string is repeated if a document of smaller id has one of its rank.
 
-An anchor of more than ``HELD`` places is not held by one task. Its strings are ranked over Spark: a rank is the smallest
+An anchor of more than ``HELD`` places is not held by one task. Its units of equal bytes are brought together, and the strings of
+those with the smallest id are ranked over Spark: a rank is the smallest
 position (document id, row, offset) with the same string, the first covers 16 bytes, a round joins a position's rank with the rank ``step``
 bytes on, groups the rank pairs and reranks; a position whose string starts in one document only can never repeat and leaves at once.
 
@@ -18,7 +19,7 @@ the ends of copies, short ones, and first occurrences. The document with the sma
 phrases, so it still meets every open string.
 
 Most strings enter neither. Anchors are counted first, about one for 11 bytes, by 42 bits of their hash, four bytes each; those that
-occur twice go into a bitmap of at least 16 bits for each, and only strings whose anchor is in the bitmap are looked at. Before the
+occur twice set three bits each in a bitmap of at least 16 bits for each, and only strings whose anchor is in the bitmap are looked at. Before the
 doubling this is done once more, with the open strings alone and anchors of 40 bytes. The bitmap may let others pass,
 never hold one back.
 
@@ -36,7 +37,6 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -52,9 +52,10 @@ REACH = 32  # a cut has the only smallest hash among so many places on either si
 BITS = 42  # an anchor's place has so many
 BLOCKS = 10  # the first of which tell the block that counts it
 BITMAP_BITS = 30  # the bitmap has 16 to 32 bits for each shared anchor, 2 ** BITMAP_BITS at most
+PROBES = (1, 0x9E3779B1, 0x85EBCA6B)  # odd factors of the bits of an anchor, all in its block
 HELD = 50_000  # an anchor of more places is ranked over Spark
-CHUNK_BYTES = 1 << 18  # a task ranks units of so many bytes at a time, whole anchors always
-JOINED_BYTES = 1 << 16  # short texts are hashed together, as many as stay in a core's cache
+CHUNK_BYTES = 1 << 17  # a task ranks units of so many bytes at a time, whole anchors always
+JOINED_BYTES = 1 << 15  # short texts are hashed together, as many as stay in a core's cache; memory for larger arrays is given back and mapped anew
 BATCH_BYTES = 2 << 20
 MIX = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -65,21 +66,18 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def hashes(text: np.ndarray, width: int) -> np.ndarray:
-    """A hash of every substring of ``width`` bytes, from those of half the width."""
+    """A hash of every substring of ``width`` bytes, 8 at least, from those of half the width or of two that overlap."""
     if len(text) < width:
         return np.zeros(0, np.uint64)
-    half, reach, out, done = text.astype(np.uint64) + np.uint64(1), 1, None, 0
-    size = len(text) - width + 1
-    while reach <= width:
-        if width & reach:
-            part = half[done : done + size]
-            out = part if out is None else out * MIX + part
-            done += reach
-        if 2 * reach <= width:
-            half = half[:-reach] * np.uint64(0x9E3779B97F4A7C15 + 2 * reach) + half[reach:]
-            half ^= half >> np.uint64(31)
-        reach *= 2
-    return mix(out)
+    value, reach = np.ndarray(len(text) - 7, "<u8", text, strides=(1,)).copy(), 8
+    while reach < width:
+        step = min(reach, width - reach)
+        value = value[:-step] * np.uint64(0x9E3779B97F4A7C15 + 2 * reach) + value[step:]
+        value ^= value >> np.uint64(29)
+        value *= MIX
+        reach += step
+    value ^= value >> np.uint64(32)
+    return value
 
 
 def smallest(value: np.ndarray, window: int) -> np.ndarray:
@@ -187,8 +185,9 @@ def shared_bitmap(rows: DataFrame, length: int, width: int) -> tuple[np.ndarray,
         for batch in frames:
             blocks = []
             for blob in batch.column(1):
-                block = np.zeros(1 << (bits - BLOCKS), np.uint8)
-                block[np.frombuffer(blob.as_py(), "<u4") >> np.uint32(BITS - bits)] = 1
+                block, place = np.zeros(1 << (bits - BLOCKS), np.uint8), np.frombuffer(blob.as_py(), "<u4")
+                for factor in PROBES:
+                    block[place * np.uint32(factor) >> np.uint32(BITS - bits)] = 1
                 blocks.append(np.packbits(block, bitorder="little").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blocks, pa.binary())], ["block", "bits"])
 
@@ -208,8 +207,21 @@ def places(anchor: np.ndarray) -> np.ndarray:
 
 
 def in_bitmap(bitmap: np.ndarray, place: np.ndarray) -> np.ndarray:
-    place = place >> (BITS - (32 * len(bitmap)).bit_length() + 1)
-    return (bitmap[place >> 5] >> (place & 31).astype(np.uint32)) & 1 == 1
+    """Whether all bits of a place are set. Most that are not shared miss the first."""
+    shift = BITS - (32 * len(bitmap)).bit_length() + 1
+    block, low = place >> (BITS - BLOCKS) << (BITS - BLOCKS - shift), place.astype(np.uint32)
+    at = np.arange(len(place))
+    for factor in PROBES:
+        bit = block[at] | (low[at] * np.uint32(factor) >> np.uint32(shift))
+        at = at[(bitmap[bit >> 5] >> (bit & 31).astype(np.uint32)) & 1 == 1]
+    found = np.zeros(len(place), bool)
+    found[at] = True
+    return found
+
+
+def is_among(place: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """Whether each place is one of ``hot``, which is sorted."""
+    return hot[np.minimum(np.searchsorted(hot, place), len(hot) - 1)] == place if len(hot) else np.zeros(len(place), bool)
 
 
 def candidates(bitmap: np.ndarray, anchor: np.ndarray, live: np.ndarray) -> np.ndarray:
@@ -328,10 +340,11 @@ def open_segments(segments: DataFrame, settled: DataFrame, length: int) -> DataF
     return joined_spans.mapInArrow(run, "row bigint, doc_id bigint, base int, text binary")
 
 
-def units(spark: SparkSession, segments: DataFrame, bitmap: np.ndarray, wide: int, hot: np.ndarray, length: int) -> DataFrame:
+def units(spark: SparkSession, segments: DataFrame, bitmap: np.ndarray, wide: int, hot: np.ndarray, length: int, of_hot: bool = False) -> DataFrame:
     """``anchor``, ``row``, ``doc_id``, ``at``, ``text``: neighbouring strings of one anchor that may repeat and all the bytes they cover.
 
-    Strings need an anchor of ``wide`` bytes in the bitmap; those with one of ``ANCHOR`` bytes in ``hot`` are left out.
+    Strings need an anchor of ``wide`` bytes in the bitmap; those with one of ``ANCHOR`` bytes in ``hot`` are left out,
+    or only those are given (``of_hot``).
     """
     shared = spark.sparkContext.broadcast((bitmap, hot))
 
@@ -345,8 +358,10 @@ def units(spark: SparkSession, segments: DataFrame, bitmap: np.ndarray, wide: in
                 change = np.flatnonzero(np.diff(np.append(live, False).view(np.int8), prepend=0) < 0)
                 # A unit ends where the next begins or where live strings do.
                 end = np.minimum(np.append(first[1:], len(live)), change[np.searchsorted(change, first, "right")]) if len(first) else first
-                cold = ~np.isin(places(anchor[first]), hot)
-                first, end = first[cold], end[cold] + length - 1
+                taken = is_among(places(anchor[first]), hot) == of_hot
+                if not taken.any():
+                    continue
+                first, end = first[taken], end[taken] + length - 1
                 own = owner_of(first, begin)
                 texts = [whole[a:b] for a, b in zip(first.tolist(), end.tolist())]
                 yield pa.RecordBatch.from_arrays(
@@ -449,37 +464,32 @@ def steps_of(length: int) -> list[int]:
     return out
 
 
-def positions(spark: SparkSession, segments: DataFrame, hot: np.ndarray, length: int) -> DataFrame:
-    """``row``, ``doc_id``, ``at`` and 16 bytes (``k1``, ``k2``) of the strings with an anchor in ``hot`` and of the places their doubling looks at."""
-    shared = spark.sparkContext.broadcast(hot)
+def positions(found: DataFrame, length: int) -> DataFrame:
+    """``row``, ``doc_id``, ``at`` and 16 bytes (``k1``, ``k2``) of the strings of units and of the places their doubling looks at.
+
+    Units of a row overlap, so they are brought together and a place is given once, or once more where a batch ends.
+    """
     offsets = {0}
     for step in steps_of(length):
         offsets |= {x + step for x in offsets}
 
     def run(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(frames, BATCH_BYTES):
-            for row, doc, base, content in zip(*[batch.column(i).to_pylist() for i in range(3)], bytes_of_text(batch.column(3))):
-                text = np.frombuffer(content, np.uint8)
-                starts = np.isin(places(anchors(text, length, ANCHOR)), shared.value)
-                if not starts.any():
-                    continue
-                needs = np.zeros(len(text) - FIRST + 1, bool)
-                for offset in offsets:
-                    needs[offset : offset + len(starts)] |= starts
-                at = np.flatnonzero(needs)
-                pairs = np.lib.stride_tricks.sliding_window_view(text, FIRST)[at].copy().view("<i8")
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.full(len(at), row)),
-                        pa.array(np.full(len(at), doc)),
-                        pa.array((base + at).astype(np.int32)),
-                        pa.array(np.ascontiguousarray(pairs[:, 0])),
-                        pa.array(np.ascontiguousarray(pairs[:, 1])),
-                    ],
-                    ["row", "doc_id", "at", "k1", "k2"],
-                )
-
-    return segments.mapInArrow(run, "row bigint, doc_id bigint, at int, k1 bigint, k2 bigint")
+        for batch in batches(frames, CHUNK_BYTES):
+            row, doc, base = (batch.column(i).to_numpy() for i in range(3))
+            contents = bytes_of_text(batch.column(3))
+            begin = np.cumsum([0, *map(len, contents)])
+            starts = np.flatnonzero(inside(begin, length))
+            place = np.concatenate([starts + x for x in offsets])
+            own = owner_of(place, begin)
+            at = base[own] + place - begin[own]
+            number = np.cumsum(np.diff(row, prepend=row[:1]) != 0)
+            once = np.unique(number[own] << 32 | at, return_index=True)[1]
+            place, own, at = place[once], own[once], at[once]
+            value = np.ndarray(max(int(begin[-1]) - 7, 0), "<i8", b"".join(contents), strides=(1,))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (row[own], doc[own], at.astype(np.int32), value[place], value[place + 8])], ["row", "doc_id", "at", "k1", "k2"])
+
+    near = found.select("row", "doc_id", "at", "text").repartition("row").sortWithinPartitions("row", "at")
+    return near.mapInArrow(run, "row bigint, doc_id bigint, at int, k1 bigint, k2 bigint")
 
 
 def rerank(frame: DataFrame, keys: list[str]) -> DataFrame:
@@ -520,18 +530,25 @@ def repeated_strings(spark: SparkSession, rows: DataFrame, length: int = LENGTH)
     bitmap, _ = shared_bitmap(segments, length, wide)
     found = staged(spark, ranked_by_anchor(spark, units(spark, segments, bitmap, wide, hot, length), length), "starts")
     if len(hot):
-        found = found.union(ranked_over_spark(spark, positions(spark, segments, hot, length), length))
+        found = found.union(ranked_over_spark(spark, units(spark, segments, bitmap, wide, hot, length, of_hot=True), length))
     drop_folder(spark, opened)
     return settled.union(found)
 
 
 def ranked_over_spark(spark: SparkSession, found: DataFrame, length: int) -> DataFrame:
-    """``row``, ``first``, ``last`` of the repeated strings of positions, whose ranks are tables."""
-    ranked = staged(spark, rerank(found, ["k1", "k2"]), "ranks")
+    """``row``, ``first``, ``last`` of the repeated strings of units of hot anchors, whose ranks are tables.
+
+    Units of equal bytes are ranked once, for the smallest id; all strings of the others are repeated.
+    """
+    found = staged(spark, found.select("row", "doc_id", "at", "text"), "hot-units")
+    least = staged(spark, found.groupBy("text").agg(F.min("doc_id").alias("least")), "least")
+    found = staged(spark, found.join(least, "text").select("row", "doc_id", "at", "text", "least"), "hot-units")
+    ranked = staged(spark, rerank(positions(found.filter("doc_id = least"), length), ["k1", "k2"]), "ranks")
     for step in steps_of(length)[:-1]:
         ranked = staged(spark, rerank(_pairs(ranked, step), ["rank", "next"]), "ranks")
     starts = staged(spark, _final(_pairs(ranked, steps_of(length)[-1])), "starts")
-    return starts.selectExpr("row", "at AS first", "at AS last")
+    whole = found.filter("doc_id > least").selectExpr("row", "at AS first", f"int(at + octet_length(text) - {length}) AS last")
+    return whole.union(starts.selectExpr("row", "at AS first", "at AS last"))
 
 
 def _pairs(ranked: DataFrame, step: int) -> DataFrame:
@@ -547,14 +564,8 @@ def _final(pairs: DataFrame) -> DataFrame:
 def remove_repeats(spark: SparkSession, documents: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row ``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept`` (the bytes left) and ``kept_sha256``. Ids must be integers."""
 
-    def number(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row = TaskContext.get().partitionId() << 40
-        for batch in frames:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + batch.num_rows)), *batch.columns], ["row", "doc_id", "text"])
-            row += batch.num_rows
-
     # Numbered anew in each pass: files are read in the same order every time.
-    rows = documents.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(number, "row bigint, doc_id bigint, text string")
+    rows = documents.select(F.monotonically_increasing_id().alias("row"), F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     starts = repeated_strings(spark, rows.filter("doc_id IS NOT NULL"), length)
     # Starts at most a string apart belong to one removed run.
     order = W.partitionBy("row").orderBy("first", "last")
